@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,26 @@ def sifted(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     got = at.join(F.broadcast(bitmap), at["_word"] == bitmap["word"])
     bit = F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64(`{key}`), 64) as int)) & 1L")
     return got.filter(bit == 1).drop("_word", "word", "bits")
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key of a stream sorted by ``keys``; one key is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            now = tuple(c[begin] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

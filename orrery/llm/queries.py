@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import table
 from orrery.llm.exact_dedup import exact_groups
+from orrery.llm.minhash import near_duplicates
 from orrery.llm.sharding import shard_documents
 
 
@@ -13,12 +14,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
