@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm.bpe import encoding_digests
 from orrery.llm.common import table
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.exact_dedup import exact_groups
@@ -19,6 +20,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -30,6 +35,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
