@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.llm.bpe import encoding_digests
 from orrery.llm.common import table
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.minhash import near_duplicates
+from orrery.llm.packing import pack_documents
+from orrery.llm.secret_scan import KINDS, secret_spans, span_digest
 from orrery.llm.sharding import shard_documents
 
 
@@ -20,10 +23,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), 2048)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(span_digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_digest(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -36,6 +49,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op4_pattern_packing": op4_pattern_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
