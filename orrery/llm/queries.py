@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import encoding_digests
-from orrery.llm.common import table
+from orrery.llm.common import id_mod, table
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.exact_dedup import exact_groups
+from orrery.llm.language import languages
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.packing import pack_documents
+from orrery.llm.quality import quality_scores
 from orrery.llm.secret_scan import KINDS, secret_spans, span_digest
 from orrery.llm.sharding import shard_documents
 
@@ -37,6 +39,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_digest(F.col("spans")).alias("spans"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"), F.coalesce(id_mod("doc_id", 3) == 1, F.lit(False)))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -51,6 +61,8 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
