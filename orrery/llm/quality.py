@@ -8,10 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
 from orrery.llm.common import ready
 
@@ -138,18 +137,15 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
     """
     ready(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, memo = model.value.astype(np.float64), {}
-        for batch in batches:
-            out = []
-            for text in batch.column(at).to_pylist():
-                place, value = features(text, memo)
-                out.append(1 / (1 + np.exp(-np.clip(w[place] @ value, -35, 35))))
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, column])
-
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add(column, DoubleType()))
+        for part in texts:
+            dots = [w[place] @ value for place, value in (features(t, memo) for t in part)]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(dots, -35, 35))), dtype="float64")
+
+    return docs.withColumn(column, probability("text"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7) -> DataFrame:
