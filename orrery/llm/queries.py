@@ -10,6 +10,7 @@ from orrery.llm.common import id_mod, table
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.language import languages
+from orrery.llm.lm_scoring import pseudo_likelihood
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.packing import pack_documents
 from orrery.llm.quality import quality_scores
@@ -25,6 +26,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 2048)
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
