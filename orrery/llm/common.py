@@ -80,10 +80,31 @@ def sieve(ids: DataFrame, key: str, expected: int) -> DataFrame:
 
 def sifted(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     """Rows whose key the bitmap may hold."""
-    at = rows.withColumn("_word", F.pmod(F.shiftright(F.xxhash64(F.col(key)), 6), F.lit(bitmap._sieve_words)))
-    got = at.join(F.broadcast(bitmap), at["_word"] == bitmap["word"])
-    bit = F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64(`{key}`), 64) as int)) & 1L")
-    return got.filter(bit == 1).drop("_word", "word", "bits")
+    return _tested(rows, key, bitmap).filter("_orrery_maybe").drop("_orrery_maybe")
+
+
+def _tested(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    h = F.xxhash64(F.col(key))
+    at = rows.withColumn("_orrery_word", F.pmod(F.shiftright(h, 6), F.lit(bitmap._sieve_words)))
+    bits = bitmap.select(F.col("word").alias("_orrery_word"), F.col("bits").alias("_orrery_bits"))
+    bit = F.expr(f"shiftrightunsigned(_orrery_bits, cast(pmod(xxhash64(`{key}`), 64) as int)) & 1L") == 1
+    got = at.join(F.broadcast(bits), "_orrery_word", "left").withColumn("_orrery_maybe", F.coalesce(bit, F.lit(False)))
+    return got.drop("_orrery_word", "_orrery_bits")
+
+
+def rows_with(rows: DataFrame, key: Column, keys: DataFrame, stay: bool) -> DataFrame:
+    """Rows whose key is in ``keys(key)`` (``stay``) or is not; a null key is in no table.
+
+    The sieve settles nearly all rows where they are read, so only rows that it
+    lets pass are shuffled for the exact join.
+    """
+    keys = keys.select(F.col("key").alias("_orrery_key"))
+    tested = _tested(rows.withColumn("_orrery_key", key), "_orrery_key", sieve(keys, "_orrery_key", keys.count()))
+    if stay:
+        out = tested.filter("_orrery_maybe").join(keys, "_orrery_key", "left_semi")
+    else:
+        out = tested.filter("not _orrery_maybe").unionByName(tested.filter("_orrery_maybe").join(keys, "_orrery_key", "left_anti"))
+    return out.drop("_orrery_key", "_orrery_maybe")
 
 
 def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -107,3 +128,16 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
             last = now
     if held:
         yield pa.Table.from_batches(held)
+
+
+def larger(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Joins short batches until the text column holds about ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column(column).nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held and any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
-import sys
+import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,78 +13,144 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orrery.llm.common import gapless_rank, ready
+from orrery.llm.bpe import byte_chars
+from orrery.llm.common import gapless_rank, larger, ready
 from orrery.storage import stash
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; forgotten together when full.
-MEMO = 600_000
+#: Words whose ids a worker remembers; when there are so many, those not met again are forgotten.
+MEMO = 300_000
+#: Bytes of text encoded at a time, and words whose ids are put together at a time.
+BATCH_BYTES = 6_000_000
+WORDS = 500_000
 #: Steps of the least-squares fit.
 STEPS = 300
 
-#: str.split() takes these four for white space; the vocabulary's patterns do not.
-_CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-_tokenizers: dict[int, tuple[Tokenizer, dict[str, bytes]]] = {}
+#: A word that ends in one full stop or comma after a letter or digit: the split pattern cuts there.
+_TAILED = r"(?s)^(.*[\p{L}\p{N}])[.,]$"
 
 
-def _tokenizer(state: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    name = zlib.crc32(state.encode())
-    if name not in _tokenizers:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        _tokenizers.clear()
-        _tokenizers[name] = (Tokenizer.from_str(state), {})
-    return _tokenizers[name]
-
+class WordIds:
+    """Ids of whole texts from those of their words, each encoded once and remembered.
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A word as parts with the same ids: A-Z lower-cased, a last full stop or comma after a letter or digit on its own.
-
-    The vocabulary lower-cases, and its pattern ends a run of letters or a digit
-    before a mark. Words with a bracket that could belong to a special token are
-    left alone.
+    The vocabulary lower-cases, drops white space, and its split pattern never
+    takes any, so a text's ids are those of its words one after the other.
+    Arrow's hash tables tell words apart, so Python sees the distinct words of a
+    batch only; words of letters only skip the tokenizer's normaliser and go to
+    its merges in bulk.
     """
-    if "<" in word:
-        return (word,)
-    low = word.lower() if word.isascii() else word
-    if len(low) > 1 and low[-1] in ".," and low[-2].isalnum():
-        return (low[:-1], low[-1])
-    return (low,)
-
 
-def token_bytes(texts: list[str | None], tokenizer: Tokenizer, memo: dict[str, bytes]) -> Iterator[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit integers, without an end mark.
-
-    The vocabulary drops white space and its split pattern never takes any, so a
-    text's ids are those of its words one after the other; a word is encoded
-    once and remembered.
-    """
-    split = [_SPACE.split(t) if _CONTROL.search(t) else t.split() for t in (t or "" for t in texts)]
-    if len(memo) > MEMO:
-        memo.clear()
-    parts = {w: _parts(w) for w in set().union(*split).difference(memo)}
-    new = list({p for some in parts.values() for p in some}.difference(memo))
-    if new:
-        for word, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[word] = array("I", got.ids).tobytes() if _LITTLE else np.array(got.ids, dtype="<u4").tobytes()
-    for word, some in parts.items():
-        memo[word] = b"".join([memo[p] for p in some])
-    for words in split:
-        yield b"".join([memo[w] for w in words])
+    def __init__(self, state: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer = Tokenizer.from_str(state)
+        bare = json.loads(state) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        chars = byte_chars()
+        self.shown = {b: chars[b] for b in range(256) if chars[b] != chr(b) and b > 32}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, without an end mark."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        raw = coded.dictionary
+        # what could be part of a special token is left alone; it would not be one in lower case
+        special = pc.match_substring(raw, "<")
+        tailed = pc.and_not(pc.match_substring_regex(raw, _TAILED), special)
+        base = pc.if_else(special, raw, pc.ascii_lower(raw))
+        base = pc.if_else(tailed, pc.utf8_slice_codeunits(base, 0, -1), base).dictionary_encode()
+        entries = [*self._entries(base.dictionary.to_pylist()), *self._entries([".", ","]), b""]
+        n = len(entries)
+        tail = np.where(tailed.to_numpy(zero_copy_only=False), np.where(pc.ends_with(raw, ".").to_numpy(zero_copy_only=False), n - 3, n - 2), n - 1)
+        index = coded.indices.to_numpy()
+        parts = np.stack([base.indices.to_numpy()[index], tail[index]], axis=1).ravel() if len(index) else np.zeros(0, np.int64)
+
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=n) // 4
+        store, first, out = np.frombuffer(b"".join(entries), dtype="<u4"), np.cumsum(size) - size, []
+        for i in range(0, len(parts), WORDS):
+            at = parts[i : i + WORDS]
+            m = size[at]
+            out.append(store[np.repeat(first[at] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))])
+        ids = np.concatenate(out) if out else store[:0]
+        ends = np.concatenate([[0], np.cumsum(size[parts])])[2 * (words.offsets.to_numpy() - words.offsets[0].as_py())]
+        return [ids[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _entries(self, words: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        found = list(map(self.memo.get, words))
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                if (ids := self.old.get(word)) is None:
+                    new.append(word)
+                else:
+                    found[i] = self.memo[word] = ids
+        if new:
+            self._add(new)
+            found = list(map(self.memo.get, words))
+        return found
+
+    def _add(self, words: list[str]) -> None:
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or _composed(w)) else rest).append(w)
+        for i in range(0, len(plain), 4000):
+            if not self._add_plain(plain[i : i + 4000]):
+                rest += plain[i : i + 4000]
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
+
+    def _add_plain(self, words: list[str]) -> bool:
+        """Words of letters only in one call: each is one run of the pattern, so its last token alone has the word-end mark."""
+        text = " ".join(words)
+        text = text.lower() if text.isascii() else text.lower().encode().decode("latin-1").translate(self.shown)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return False
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.memo[word] = raw[at:end]
+            at = end
+        return True
+
+
+def _composed(word: str) -> bool:
+    """Whether lower-casing letter by letter leaves letters in composed form, as the normaliser's own result would be."""
+    low = word.lower()
+    return "\u03a3" not in word and low.isalpha() and unicodedata.is_normalized("NFC", word)
+
+
+_word_ids: dict[int, WordIds] = {}
+
+
+def _held(state: str) -> WordIds:
+    """A worker's encoder; one is kept for the tasks that follow."""
+    name = zlib.crc32(state.encode())
+    if name not in _word_ids:
+        _word_ids.clear()
+        _word_ids[name] = WordIds(state)
+    return _word_ids[name]
 
 
 def _pieces(state, most: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo = _tokenizer(state.value)
+        encode = _held(state.value)
         mark = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in larger(batches, 1, BATCH_BYTES):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(token_bytes(batch.column(1).to_pylist(), tokenizer, memo)):
+            for i, ids in enumerate(encode(batch.column(1))):
                 ids += mark
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
