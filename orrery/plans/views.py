@@ -59,3 +59,57 @@ IPC = """ipc AS (
            l_extendedprice AS total, l_extendedprice * (1 - l_discount) AS cum_amt,
            round(100 * (1 - l_discount), 6) AS cum_pct, l_extendedprice * l_tax AS cur_amt, l_returnflag AS period
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters between parties: one an order, from its customer to its first supplier or, every third, back."""
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    per = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("sk"), F.sort_array(F.collect_set("l_partkey")).alias("refs"), F.sort_array(F.collect_set("p_type")).alias("topics"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = per.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("sk") == F.col("s_suppkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    back = F.col("o_orderkey") % 3 == 0
+    return rows.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.when(back, F.col("s_name")).otherwise(F.col("c_name")).alias("sender"),
+        F.when(back, F.col("c_name")).otherwise(F.col("s_name")).alias("recipient"),
+        F.col("o_orderpriority").alias("doc_type"),
+        F.col("o_custkey").cast("string").alias("contract_ref"),
+        F.col("n_name").alias("project"),
+        "refs",
+        "topics",
+    )
+
+
+NOTICES = """notices AS (
+    SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS date,
+           CASE WHEN o_orderkey % 3 = 0 THEN s_name ELSE c_name END AS sender,
+           CASE WHEN o_orderkey % 3 = 0 THEN c_name ELSE s_name END AS recipient,
+           o_orderpriority AS doc_type, CAST(o_custkey AS VARCHAR) AS contract_ref, n_name AS project, refs, topics
+    FROM (SELECT l_orderkey, min(l_suppkey) AS sk, list_sort(list(DISTINCT l_partkey)) AS refs, list_sort(list(DISTINCT p_type)) AS topics
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) per
+    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN supplier ON sk = s_suppkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated events of documents and actors."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.col("user_id") % 37).alias("doc_id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date_sort"),
+        "ts",
+        "event_type",
+        F.concat(F.lit("actor"), F.col("user_id").cast("string")).alias("actor"),
+        F.get_json_object("props", "$.k").cast("long").alias("severity"),
+        F.round("value", 6).alias("value"),
+    )
+
+
+EVENT_STORE = """event_store AS (
+    SELECT event_id, user_id % 37 AS doc_id, strftime(ts, '%Y-%m-%d') AS date_sort, ts, event_type,
+           'actor' || CAST(user_id AS VARCHAR) AS actor, CAST(json_extract_string(props, '$.k') AS BIGINT) AS severity, round(value, 6) AS value
+    FROM events)"""
