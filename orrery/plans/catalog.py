@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import letters, sql_surface, tables, templates  # noqa: F401
+from orrery.plans import graphs, letters, sql_surface, tables, templates  # noqa: F401
 from orrery.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
