@@ -134,9 +134,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     same = same.filter("group_size > 1").select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size")
     same = stash(same, "exact-groups")
 
-    grouped = suspects.join(same, "sha")
-    stays = grouped.filter("doc_id <=> keep_id").groupBy("sha").agg(F.min("row_no").alias("stay_no"))
-    judged = suspects.join(same.join(stays, "sha"), "sha", "left").select(
+    # by hash and id together, so that a large group is spread by its ids
+    least = same.select(F.col("sha").alias("same_sha"), "keep_id")
+    holders = suspects.join(least, (F.col("sha") == F.col("same_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stays = holders.groupBy("sha").agg(F.min("row_no").alias("stay_no"))
+    verdict = stash(same.join(stays, "sha"), "exact-verdict")
+    judged = suspects.join(verdict, "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
