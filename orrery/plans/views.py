@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators.retrieval import windows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -113,3 +115,18 @@ EVENT_STORE = """event_store AS (
     SELECT event_id, user_id % 37 AS doc_id, strftime(ts, '%Y-%m-%d') AS date_sort, ts, event_type,
            'actor' || CAST(user_id AS VARCHAR) AS actor, CAST(json_extract_string(props, '$.k') AS BIGINT) AS severity, round(value, 6) AS value
     FROM events)"""
+
+
+#: Characters of a chunk and how far the next one starts after it.
+CHUNK, STRIDE = 1024, 824
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of the documents' texts, scoped by project (source) and corpus (language)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("project_id"), F.col("lang").alias("corpus"))
+    return windows(docs, CHUNK, STRIDE)
+
+
+CHUNKS = f"""chunks AS (
+    SELECT doc_id, source AS project_id, lang AS corpus, CAST(p AS BIGINT) AS page, substr(text, CAST(p * {STRIDE} + 1 AS BIGINT), {CHUNK}) AS text
+    FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil((length(text) - {CHUNK - STRIDE}) / {STRIDE}.0) AS BIGINT)))) AS p FROM documents WHERE text IS NOT NULL))"""
