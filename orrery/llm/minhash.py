@@ -15,12 +15,12 @@ from orrery.llm.shingles import mix, shared, shingle_set
 from orrery.operators.components import connected_components
 from orrery.storage import discard, stash
 
-#: A pair at a Jaccard similarity of 0.85 shares no band with probability (1 - 0.85 ** 6) ** 32 = 2.6e-7.
-BANDS, ROWS = 32, 6
+#: A pair at a Jaccard similarity of 0.80 shares no band with probability (1 - 0.80 ** 6) ** 48 = 5e-7; 1.4e-10 at 0.85.
+BANDS, ROWS = 48, 6
 HASHES = BANDS * ROWS
-#: Low bits kept of each minimum, one bit plane each.
-BITS = 2
-WORDS = HASHES // 64
+#: Minima whose low bits the signature keeps, and how many bits of each, one bit plane a bit.
+KEPT, BITS = 256, 2
+WORDS = KEPT // 64
 #: An estimate may fall this many standard errors short before a pair is given up.
 SIGMAS = 5.0
 #: Rows of a bucket that one task compares with as many others.
@@ -41,7 +41,7 @@ def least_matches(similarity: float) -> int:
     """
     chance = 2.0**-BITS
     p = chance + (1 - chance) * similarity
-    return int(np.floor(HASHES * p - SIGMAS * np.sqrt(HASHES * p * (1 - p))))
+    return int(np.floor(KEPT * p - SIGMAS * np.sqrt(KEPT * p * (1 - p))))
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for i in range(0, len(x), 1024):
             np.minimum(least, (x[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-        low = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        low = (least[:KEPT] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         planes = np.concatenate([np.packbits((low >> np.uint32(b)).astype(np.uint8) & 1) for b in range(BITS)])
         bands = mix((least.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     return planes.view(np.int64), bands.view(np.int64)
@@ -77,7 +77,7 @@ def matches(a: str, b: str) -> Column:
     """Equal b-bit minima of two packed signatures, by bit counts."""
     planes = [[p * WORDS + w for p in range(BITS)] for w in range(WORDS)]
     unequal = [F.expr("bit_count(" + " | ".join(f"({a}[{i}] ^ {b}[{i}])" for i in word) + ")") for word in planes]
-    return F.lit(HASHES) - sum(unequal[1:], unequal[0])
+    return F.lit(KEPT) - sum(unequal[1:], unequal[0])
 
 
 def _alike(inter: int, a: int, b: int, percent: int) -> bool:
@@ -111,7 +111,7 @@ def _near(sig_m: np.ndarray, comp_m: np.ndarray, sig_r: np.ndarray, comp_r: np.n
         for p in range(BITS):
             x |= sig_r[:, None, p * WORDS + w] ^ sig_m[None, :, p * WORDS + w]
         unequal += np.bitwise_count(x.view(np.uint64))
-    return (HASHES - unequal.astype(np.int32) >= least) & (comp_r[:, None] != comp_m[None, :])
+    return (KEPT - unequal.astype(np.int32) >= least) & (comp_r[:, None] != comp_m[None, :])
 
 
 def _block(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     label = connected_components(star.unionByName(cross), "near-last")
     classes = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    classes = stash(classes, "near-classes")  # so that the join below has no aggregate in it and a hot set can be split
     out = prints.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
