@@ -1,9 +1,9 @@
 """The letters' graph: edges by shared facts, closure, traversal, components.
 
 Every kind of edge is an equi-join on the shared fact, never a join of all
-pairs. A fact that very many letters share would still pair them all, so facts
-over ``hub`` letters link each letter with its neighbour in order instead: that
-keeps the group connected with as many edges as letters.
+pairs. Letters with the same set of facts are one class, named by its smallest
+id: edges run between classes, and :func:`members` tells who is in which, so
+many letters of one kind do not pair with each other.
 """
 
 from __future__ import annotations
@@ -14,58 +14,58 @@ from pyspark.sql import functions as F
 from orrery.operators.correspondence import party_key
 from orrery.storage import stash
 
-#: Letters that share a fact, beyond which they are chained rather than paired.
-HUB = 2_000
 
+def _sets(notices: DataFrame, values: Column) -> DataFrame:
+    """``id, facts``: each letter's distinct facts in order."""
+    facts = F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
+    return notices.select(F.col("doc_id").alias("id"), facts.alias("facts")).filter(F.size("facts") > 0)
 
-def pairs_of(facts: DataFrame, hub: int = HUB) -> DataFrame:
-    """Pairs ``a < b`` of ids with the number of facts they share, from ``facts(id, fact)``; hubs are chained."""
-    facts = facts.distinct()
-    size = facts.groupBy("fact").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = facts.join(size, "fact")
-    small, large = sized.filter(F.col("n") <= hub), sized.filter(F.col("n") > hub)
-    left, right = small.select("fact", F.col("id").alias("a")), small.select("fact", F.col("id").alias("b"))
-    pairs = left.join(right, "fact").filter("a < b").select("a", "b")
-    chained = large.select(F.col("id").alias("a"), F.lead("id").over(Window.partitionBy("fact").orderBy("id")).alias("b")).filter("b is not null")
-    return pairs.unionByName(chained).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
+def members(sets: DataFrame) -> DataFrame:
+    """``id, rep``: each letter with the smallest id of its class."""
+    return sets.join(sets.groupBy("facts").agg(F.min("id").alias("rep")), "facts").select("id", "rep")
 
-def _weighted(pairs: DataFrame, sizes: DataFrame, weight, kind: str) -> DataFrame:
-    a, b = (sizes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    joined = pairs.join(a, "a").join(b, "b").withColumn("weight", F.round(weight(F.col("shared"), F.col("n_a"), F.col("n_b")), 6))
-    return joined.select("a", "b", F.lit(kind).alias("edge_type"), "weight")
 
+def class_edges(sets: DataFrame, weight, kind: str) -> DataFrame:
+    """Edges ``a < b`` between the classes of different sets that share a fact; ``weight`` takes shared, size of a, size of b."""
+    facts = sets.groupBy("facts").agg(F.min("id").alias("id")).select("id", F.size("facts").alias("n"), F.explode("facts").alias("fact"))
+    a = facts.select("fact", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    b = facts.select("fact", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    shared = a.join(b, "fact").filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return shared.select("a", "b", F.lit(kind).alias("edge_type"), F.round(weight(F.col("shared"), F.col("n_a"), F.col("n_b")), 6).alias("weight"))
 
-def _sets(notices: DataFrame, values: Column) -> DataFrame:
-    return notices.select(F.col("doc_id").alias("id"), F.explode(values).alias("fact")).filter("fact is not null and fact <> ''").distinct()
+
+def reference_sets(notices: DataFrame) -> DataFrame:
+    return _sets(notices, F.transform("refs", lambda r: r.cast("string")))
+
+
+def party_sets(notices: DataFrame) -> DataFrame:
+    return _sets(notices, F.array(party_key(F.col("sender")), party_key(F.col("recipient"))))
 
 
-def _sizes(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("id").agg(F.count("*").alias("n"))
+def topic_sets(notices: DataFrame) -> DataFrame:
+    return _sets(notices, F.transform("topics", lambda t: F.lower(t)))
 
 
-def reference_edges(notices: DataFrame, hub: int = HUB) -> DataFrame:
-    """Letters that share references; weight: shared over the larger set."""
-    facts = _sets(notices, F.transform("refs", lambda r: r.cast("string")))
-    return _weighted(pairs_of(facts, hub), _sizes(facts), lambda s, a, b: s / F.greatest(a, b), "references")
+def reference_edges(notices: DataFrame) -> DataFrame:
+    """Classes of letters that share references; weight: shared over the larger set."""
+    return class_edges(reference_sets(notices), lambda s, a, b: s / F.greatest(a, b), "references")
 
 
-def party_edges(notices: DataFrame, hub: int = HUB) -> DataFrame:
-    """Letters that share parties; weight: shared over the larger set."""
-    facts = _sets(notices, F.array(party_key(F.col("sender")), party_key(F.col("recipient"))))
-    return _weighted(pairs_of(facts, hub), _sizes(facts), lambda s, a, b: s / F.greatest(a, b), "same_party")
+def party_edges(notices: DataFrame) -> DataFrame:
+    """Classes of letters that share a party; weight: shared over the larger set."""
+    return class_edges(party_sets(notices), lambda s, a, b: s / F.greatest(a, b), "same_party")
 
 
-def topic_edges(notices: DataFrame, least: float = 0.3, hub: int = HUB) -> DataFrame:
-    """Letters whose topics have a Jaccard similarity of ``least`` or more, which is the weight."""
-    facts = _sets(notices, F.transform("topics", lambda t: F.lower(t)))
-    return _weighted(pairs_of(facts, hub), _sizes(facts), lambda s, a, b: s / (a + b - s), "same_topic").filter(F.col("weight") >= least)
+def topic_edges(notices: DataFrame, least: float = 0.3) -> DataFrame:
+    """Classes of letters whose topics have a Jaccard similarity of ``least`` or more, which is the weight."""
+    return class_edges(topic_sets(notices), lambda s, a, b: s / (a + b - s), "same_topic").filter(F.col("weight") >= least)
 
 
-def contract_edges(notices: DataFrame, hub: int = HUB) -> DataFrame:
-    """Letters under the same contract; weight 0.9."""
-    facts = notices.select(F.col("doc_id").alias("id"), F.lower("contract_ref").alias("fact")).filter("fact <> ''")
-    return pairs_of(facts, hub).select("a", "b", F.lit("same_contract").alias("edge_type"), F.lit(0.9).alias("weight"))
+def contract_edges(notices: DataFrame) -> DataFrame:
+    """Letters under one contract: an edge from the smallest id to each other; weight 0.9."""
+    sets = _sets(notices, F.array(F.lower("contract_ref")))
+    return members(sets).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same_contract").alias("edge_type"), F.lit(0.9).alias("weight"))
 
 
 def reply_edges(notices: DataFrame) -> DataFrame:

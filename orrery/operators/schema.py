@@ -95,13 +95,13 @@ def profile(frame: DataFrame, numbers: list[str], categories: list[str]) -> Data
     return frame.agg(*numeric, *(F.count_distinct(c).alias(f"distinct_{c}") for c in categories))
 
 
-def gaps(frame: DataFrame, date: str, days: int = 7) -> DataFrame:
-    """Dates after which nothing follows for more than ``days``: ``gap_from, gap_to, gap_days``.
+def gaps(frame: DataFrame, date: str, days: int = 7, by: list[str] = ()) -> DataFrame:
+    """Dates after which nothing follows for more than ``days``: ``by.., gap_from, gap_to, gap_days``.
 
-    Distinct dates are few beside rows, and they are what the window sorts.
+    Only distinct dates reach the window; without ``by`` that is one row a day.
     """
-    dates = frame.select(F.col(date).alias("gap_to")).filter("gap_to is not null").distinct()
-    before = F.lag("gap_to").over(Window.partitionBy(F.lit(0)).orderBy("gap_to"))
+    dates = frame.select(*by, F.col(date).alias("gap_to")).filter("gap_to is not null").distinct()
+    before = F.lag("gap_to").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("gap_to"))
     return dates.withColumn("gap_from", before).withColumn("gap_days", F.datediff("gap_to", "gap_from").cast("long")).filter(F.col("gap_days") > days)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import extract as x
-from orrery.operators import review, usage
+from orrery.operators import retrieval, review, usage
 from orrery.plans.registry import query
-from orrery.plans.views import EVENT_STORE, event_store, table
+from orrery.plans.views import EVENT_STORE, chunks, event_store, table
 
 _LETTER = """letters AS (SELECT doc_id, 'From: ' || source || chr(10) || 'To: Team ' || CAST(doc_id % 7 AS VARCHAR) || chr(10) || 'Subject: Notice of delay ' || CAST(doc_id AS VARCHAR) || chr(10)
     || 'Ref: ABC-' || CAST(1000 + doc_id % 50 AS VARCHAR) || ' Contract No: C-' || CAST(doc_id % 9 AS VARCHAR) || '/X1' || chr(10)
@@ -78,9 +78,9 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", x.html_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
-@query("claim_support", f"""WITH {_LETTER} SELECT doc_id, contains(text, CAST(100 + doc_id % 901 AS VARCHAR)) AND contains(text, '50') AS supported FROM letters WHERE doc_id % 5 = 0""")
+@query("claim_support", f"""WITH {_LETTER} SELECT doc_id, contains(text, CAST(100 + doc_id % 901 AS VARCHAR)) AND contains(text, '50') AS supported FROM letters""")
 def claim_support(spark, sf_dir):
-    rows = letters(spark, sf_dir).filter("doc_id % 5 = 0")
+    rows = letters(spark, sf_dir)
     claim = F.concat(F.lit("hereby notify delay claim payable "), (100 + F.col("doc_id") % 901).cast("string"), F.lit(" and 50"))
     return rows.select("doc_id", x.supported(claim, F.col("text")).alias("supported"))
 
@@ -108,14 +108,15 @@ def review_accuracy(spark, sf_dir):
 @query("evidence_pack")
 def evidence_pack(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rows = e.select((F.col("event_id") % 20).alias("request"), (F.col("user_id") % 11).alias("file"), F.col("event_id").alias("passage"), F.col("value").alias("score"), (400 + F.col("event_id") % 900).alias("chars"), F.array("event_type").alias("facets"))
-    return review.evidence_pack(rows, budget=30_000)
+    rows = e.select(F.col("user_id").alias("request"), F.date_diff("ts", F.lit("2024-01-01")).cast("long").alias("file"), F.col("event_id").alias("passage"), F.col("value").alias("score"), (400 + F.col("event_id") % 900).alias("chars"), F.array("event_type").alias("facets"))
+    ranked = retrieval.top_k(rows, "request", "score", ["passage"], 200)  # a request's passages are its retrieval's best
+    return review.evidence_pack(ranked.drop("rank"), budget=30_000)
 
 
 @query("size_batches")
 def size_batches(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return review.size_batches(rows, "source", ["doc_id"], "n_chars")
+    rows = chunks(spark, sf_dir).select("doc_id", "page", F.length("text").cast("long").alias("chars"))
+    return review.size_batches(rows, "doc_id", ["page"], "chars", most=8_000)
 
 
 _LEDGER = "ledger AS (SELECT o_orderkey AS event_id, o_custkey AS username, o_orderpriority AS project, CAST(o_orderkey % 5000 AS BIGINT) AS tokens, CAST(round(o_totalprice * 100) AS BIGINT) * 1000 AS cost_nanos, CAST(round(o_totalprice * 100) AS BIGINT) * (900 + o_orderkey % 200) AS charge_nanos FROM orders)"
@@ -198,18 +199,19 @@ def dedupe_largest(spark, sf_dir):
     return usage.largest_record(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "n_chars", ["doc_id"])
 
 
-@query("upsert_counts", """WITH s AS (SELECT doc_id % 50 AS k, count(*) AS cnt FROM documents WHERE doc_id < 600 GROUP BY 1), n AS (SELECT doc_id % 70 AS k, count(*) AS cnt FROM documents WHERE doc_id >= 600 GROUP BY 1)
+@query("upsert_counts", """WITH s AS (SELECT source AS k, count(*) AS cnt FROM documents WHERE lang = 'en' GROUP BY 1), n AS (SELECT source AS k, count(*) AS cnt FROM documents WHERE lang = 'fr' GROUP BY 1)
     SELECT k, coalesce(s.cnt, 0) + coalesce(n.cnt, 0) AS cnt FROM s FULL JOIN n USING (k)""")
 def upsert_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    counted = lambda rows, m: rows.groupBy((F.col("doc_id") % m).alias("k")).agg(F.count("*").alias("cnt"))
-    return usage.merged(counted(d.filter("doc_id < 600"), 50), counted(d.filter("doc_id >= 600"), 70), ["k"], add=["cnt"])
+    counted = lambda lang: d.filter(F.col("lang") == lang).groupBy(F.col("source").alias("k")).agg(F.count("*").alias("cnt"))
+    return usage.merged(counted("en"), counted("fr"), ["k"], add=["cnt"])
 
 
-@query("append_once", "SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+@query("append_once", "SELECT doc_id, source FROM documents WHERE n_chars > 1500 AND lang <> 'en'")
 def append_once(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return usage.append_once(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0").unionByName(d.filter("doc_id % 6 = 3")), "doc_id")
+    d = table(spark, sf_dir, "documents")
+    stored, new = d.filter("lang = 'en'"), d.filter("n_chars > 1500")
+    return usage.append_once(stored.select("doc_id", "source"), new.unionByName(new.filter("lang = 'fr'")).select("doc_id", "source"), "doc_id")
 
 
 @query("library_summary", f"WITH {EVENT_STORE} SELECT doc_id, count(*) AS events, count(DISTINCT actor) AS actors, max(severity) AS worst, min(date_sort) AS first_date FROM event_store GROUP BY doc_id")

@@ -1,4 +1,4 @@
-"""Queries over the letters' graph. Edges of refs and topics are shown for the letters of one project, which is the operator's scope."""
+"""Queries over the letters' graph."""
 
 from __future__ import annotations
 
@@ -10,35 +10,35 @@ from orrery.plans.registry import query
 from orrery.plans.views import NOTICES, notices
 
 _N = f"WITH {NOTICES}"
-_P = _N + ", p AS (SELECT * FROM notices WHERE project = 'NATION_3')"
-
-
-def _project(spark, sf_dir):
-    return notices(spark, sf_dir).filter("project = 'NATION_3'")
 
 
 def _shared(column: str) -> str:
-    return _P + f""", f AS (SELECT doc_id AS id, unnest({column}) AS fact FROM p), s AS (SELECT id, count(*) AS n FROM f GROUP BY id),
-    e AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM f x JOIN f y ON x.fact = y.fact AND x.id < y.id GROUP BY 1, 2),
-    w AS (SELECT a, b, shared, sa.n AS na, sb.n AS nb FROM e JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b)"""
+    return _N + f""", k AS (SELECT doc_id, list_sort(list_distinct({column})) AS facts FROM notices), r AS (SELECT min(doc_id) AS id, facts FROM k GROUP BY facts),
+    f AS (SELECT id, len(facts) AS n, unnest(facts) AS fact FROM r),
+    w AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM f x JOIN f y ON x.fact = y.fact AND x.id < y.id GROUP BY ALL)"""
 
 
 @query("edge_refs", _shared("refs") + " SELECT a, b, 'references' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
 def edge_refs(spark, sf_dir):
-    return g.reference_edges(_project(spark, sf_dir))
+    return g.reference_edges(notices(spark, sf_dir))
 
 
 @query("edge_party", _shared("[lower(sender), lower(recipient)]") + " SELECT a, b, 'same_party' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
 def edge_party(spark, sf_dir):
-    return g.party_edges(_project(spark, sf_dir))
+    return g.party_edges(notices(spark, sf_dir))
 
 
 @query("edge_topic", _shared("topics") + " SELECT a, b, 'same_topic' AS edge_type, round(shared / (na + nb - shared), 6) AS weight FROM w WHERE round(shared / (na + nb - shared), 6) >= 0.3")
 def edge_topic(spark, sf_dir):
-    return g.topic_edges(_project(spark, sf_dir))
+    return g.topic_edges(notices(spark, sf_dir))
+
+
+@query("edge_members", _shared("[lower(sender), lower(recipient)]") + " SELECT doc_id AS id, r.id AS rep FROM k JOIN r USING (facts)")
+def edge_members(spark, sf_dir):
+    return g.members(g.party_sets(notices(spark, sf_dir)))
 
 
-@query("edge_contract", _N + " SELECT x.doc_id AS a, y.doc_id AS b, 'same_contract' AS edge_type, CAST(0.9 AS DOUBLE) AS weight FROM notices x JOIN notices y ON x.contract_ref = y.contract_ref AND x.doc_id < y.doc_id")
+@query("edge_contract", _N + ", m AS (SELECT doc_id AS b, min(doc_id) OVER (PARTITION BY contract_ref) AS a FROM notices) SELECT a, b, 'same_contract' AS edge_type, CAST(0.9 AS DOUBLE) AS weight FROM m WHERE a <> b")
 def edge_contract(spark, sf_dir):
     return g.contract_edges(notices(spark, sf_dir))
 
@@ -88,7 +88,7 @@ _REPLIES = f"{_N}, e AS ({_REPLY}), u AS (SELECT a, b FROM e UNION SELECT b, a F
 def _trace_sql(depth: int) -> str:
     text = _REPLIES.replace("WITH ", "WITH RECURSIVE ", 1)
     return text + f""", t(start, node, depth) AS (
-        SELECT DISTINCT a, a, 0 FROM u WHERE a % 40 = 1
+        SELECT DISTINCT a, a, 0 FROM u
         UNION SELECT t.start, u.b, t.depth + 1 FROM t JOIN u ON u.a = t.node WHERE t.depth < {depth})
     SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY 1, 2"""
 
@@ -96,20 +96,20 @@ def _trace_sql(depth: int) -> str:
 @query("trace_depth3", _trace_sql(3))
 def trace_depth3(spark, sf_dir):
     edges = g.reply_edges(notices(spark, sf_dir))
-    starts = g.both_ways(edges).filter("a % 40 = 1").select(F.col("a").alias("start")).distinct()
+    starts = g.both_ways(edges).select(F.col("a").alias("start")).distinct()
     return g.trace(edges, starts, 3)
 
 
-@query("shortest_path", _trace_sql(4).replace("a % 40 = 1", "a % 400 = 1"))
+@query("shortest_path", _trace_sql(4))
 def shortest_path(spark, sf_dir):
     edges = g.reply_edges(notices(spark, sf_dir))
-    starts = g.both_ways(edges).filter("a % 400 = 1").select(F.col("a").alias("start")).distinct()
+    starts = g.both_ways(edges).select(F.col("a").alias("start")).distinct()
     return g.trace(edges, starts, 4)
 
 
 @query("neighbours_by_weight", _shared("refs") + " SELECT CASE WHEN a = m THEN b ELSE a END AS b, max(round(shared / greatest(na, nb), 6)) AS weight FROM w, (SELECT min(a) AS m FROM w) WHERE a = m OR b = m GROUP BY 1 ORDER BY weight DESC, b LIMIT 10")
 def neighbours_by_weight(spark, sf_dir):
-    edges = g.reference_edges(_project(spark, sf_dir))
+    edges = g.reference_edges(notices(spark, sf_dir))
     least = edges.agg(F.min("a")).first()[0]
     return g.neighbours(edges, least if least is not None else -1)
 
@@ -121,7 +121,7 @@ def reply_components(spark, sf_dir):
 
 @query("topic_components")
 def topic_components(spark, sf_dir):
-    return connected_components(g.topic_edges(_project(spark, sf_dir), 0.5).select("a", "b")).groupBy("component").agg(F.count("*").alias("size"))
+    return connected_components(g.topic_edges(notices(spark, sf_dir), 0.5).select("a", "b")).groupBy("component").agg(F.count("*").alias("size"))
 
 
 @query("priority_clusters", _N + """, k AS (SELECT doc_id, least(lower(sender), lower(recipient)) || ' / ' || greatest(lower(sender), lower(recipient)) AS pair, lower(project) AS project FROM notices),

@@ -93,13 +93,13 @@ def rank_normalised(spark, sf_dir):
     return r.rank_normalised(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "value", ["event_id"]).drop("value")
 
 
-@query("neighbour_pages", f"""WITH {CHUNKS}, h AS (SELECT doc_id, page, CAST(1 + page % 3 AS DOUBLE) AS score FROM chunks WHERE doc_id % 10 = 0 AND page % 4 = 1),
+@query("neighbour_pages", f"""WITH {CHUNKS}, h AS (SELECT doc_id, page, CAST(1 + page % 3 AS DOUBLE) AS score FROM chunks WHERE contains(lower(text), 'which')),
     a AS (SELECT * FROM h UNION ALL SELECT doc_id, page, score FROM (SELECT doc_id, unnest([page - 1, page + 1]) AS page, score * 0.85 AS score FROM h) JOIN (SELECT doc_id, page FROM chunks) USING (doc_id, page))
     SELECT doc_id, page, round(max(score), 6) AS score FROM a GROUP BY 1, 2""")
 def neighbour_pages(spark, sf_dir):
-    pages = chunks(spark, sf_dir).select("doc_id", "page")
-    hits = pages.filter("doc_id % 10 = 0 and page % 4 = 1").withColumn("score", (1 + F.col("page") % 3).cast("double"))
-    return r.neighbour_pages(hits, pages).withColumn("score", F.round("score", 6))
+    found = chunks(spark, sf_dir)
+    hits = found.filter(F.lower("text").contains("which")).select("doc_id", "page", (1 + F.col("page") % 3).cast("double").alias("score"))
+    return r.neighbour_pages(hits, found.select("doc_id", "page")).withColumn("score", F.round("score", 6))
 
 
 @query("role_quota", """WITH p AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events),
@@ -139,13 +139,6 @@ def assign_nearest_055(spark, sf_dir):
     return r.nearest(vectors, r.centroids(vectors, "label"), "label")
 
 
-@query("query_cosines", f"WITH {_DENSE} SELECT query_id, vec_id, round(c, 6) AS cosine FROM n WHERE vec_id % 7 = 0")
-def query_cosines(spark, sf_dir):
-    q = r.small(_query_vectors(spark, sf_dir))
-    met = table(spark, sf_dir, "embeddings").filter("vec_id % 7 = 0").join(q)
-    return met.select("query_id", "vec_id", F.round(r.cosine(F.col("embedding"), F.col("query")), 6).alias("cosine"))
-
-
 @query("term_scores", "SELECT p_type, CASE WHEN lower(p_type) = 'econ' THEN 1.0::DOUBLE WHEN starts_with(lower(p_type), 'econ') THEN 0.75 WHEN contains(lower(p_type), 'econ') THEN 0.5 ELSE 0.0 END AS score, count(*) AS n FROM part GROUP BY 1")
 def term_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type", r.term_score(F.lower("p_type"), F.lit("econ")).alias("score")).agg(F.count("*").alias("n"))

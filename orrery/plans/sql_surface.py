@@ -38,7 +38,7 @@ SURFACE = {
     "correlated_counts": "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS orders, (SELECT round(sum(o_totalprice), 2) FROM orders o WHERE o.o_custkey = c.c_custkey) AS spent FROM customer c",
     "inner_star": "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2",
     "left_right_full": "SELECT count(*) AS n, count(c_custkey) AS with_customer, count(s_suppkey) AS with_supplier FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey * 10",
-    "lateral_latest": "SELECT c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) t WHERE c_custkey % 25 = 0",
+    "lateral_latest": "SELECT c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) t",
     "window_frames": "SELECT o_orderkey, CAST(ntile(4) OVER w AS BIGINT) AS quarter, lead(o_orderkey) OVER w AS following, first_value(o_orderkey) OVER w AS first_key, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) + 0.0000001, 2) AS smooth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "extract_parts": "SELECT CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS BIGINT) AS q, count(*) AS n FROM orders GROUP BY 1, 2",
     "like_ilike": "SELECT count(*) AS n FROM customer WHERE c_name LIKE '%1%' AND c_mktsegment ILIKE 'build%'",

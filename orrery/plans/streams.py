@@ -61,9 +61,9 @@ def stream_dedupe(spark, sf_dir):
     return _finished(spark, s.once(events), "append").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_pairs", "WITH f AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS file FROM lineitem WHERE l_orderkey < 2000) SELECT a.file AS doc_a, b.file AS doc_b, count(*) AS cnt FROM f a JOIN f b ON a.i = b.i AND a.file < b.file GROUP BY 1, 2")
+@query("stream_pairs", "WITH f AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS file FROM lineitem) SELECT a.file AS doc_a, b.file AS doc_b, count(*) AS cnt FROM f a JOIN f b ON a.i = b.i AND a.file < b.file GROUP BY 1, 2")
 def stream_pairs(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
+    line = table(spark, sf_dir, "lineitem")
     pairs = co_retrieval(line.select(F.col("l_orderkey").alias("interaction"), F.col("l_partkey").alias("file")))
     per_answer = pairs.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "cnt"))).select("doc_a", "doc_b")
     name = f"pairs-{uuid.uuid4().hex[:12]}"
@@ -72,8 +72,8 @@ def stream_pairs(spark, sf_dir):
     return _finished(spark, s.pair_counts(s.stream_of(spark, folder, per_answer.schema, 4)), "complete")
 
 
-@query("stream_clusters", "SELECT label AS grp, count(*) AS n FROM embeddings WHERE label < 3 GROUP BY label")
+@query("stream_clusters", "SELECT label AS grp, count(*) AS n FROM embeddings GROUP BY label")
 def stream_clusters(spark, sf_dir):
     static = table(spark, sf_dir, "embeddings")
-    vectors = s.stream_of(spark, f"{sf_dir}/embeddings.parquet*", static.schema).filter("label < 3").withColumn("grp", F.col("label").cast("long"))
+    vectors = s.stream_of(spark, f"{sf_dir}/embeddings.parquet*", static.schema).withColumn("grp", F.col("label").cast("long"))
     return _finished(spark, s.running_clusters(vectors), "append").groupBy(F.col("grp").cast("int").alias("grp")).agg(F.count("*").alias("n"))

@@ -135,12 +135,11 @@ def anomaly_single(spark, sf_dir):
     return schema.singles(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
-@query("anomaly_gap", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS gap_to FROM orders WHERE o_custkey % 50 = 1 AND o_orderdate IS NOT NULL),
-    g AS (SELECT gap_to, lag(gap_to) OVER (ORDER BY gap_to) AS gap_from FROM d)
-    SELECT gap_from, gap_to, CAST(gap_to - gap_from AS BIGINT) AS gap_days FROM g WHERE gap_to - gap_from > 7""")
+@query("anomaly_gap", """WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS gap_to FROM orders WHERE o_orderdate IS NOT NULL),
+    g AS (SELECT o_custkey, gap_to, lag(gap_to) OVER (PARTITION BY o_custkey ORDER BY gap_to) AS gap_from FROM d)
+    SELECT o_custkey, gap_from, gap_to, CAST(gap_to - gap_from AS BIGINT) AS gap_days FROM g WHERE gap_to - gap_from > 7""")
 def anomaly_gap(spark, sf_dir):
-    few = table(spark, sf_dir, "orders").filter("o_custkey % 50 = 1").select(F.to_date("o_orderdate").alias("day"))
-    return schema.gaps(few, "day")
+    return schema.gaps(table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), "day", by=["o_custkey"])
 
 
 @query("month_coverage", f"WITH {DAILY_LOG} SELECT min(strftime(work_date, '%Y-%m')) AS first_month, max(strftime(work_date, '%Y-%m')) AS last_month, count(DISTINCT strftime(work_date, '%Y-%m')) AS months FROM daily_log")
@@ -178,16 +177,16 @@ def period_union(spark, sf_dir):
 
 
 @query("search_priority_union", """WITH s AS (
-      SELECT c_custkey AS id, 0 AS p, 'registry' AS source_name, c_name AS title FROM customer WHERE c_custkey % 3 = 0
-      UNION ALL SELECT c_custkey, 1, 'catalog', c_mktsegment FROM customer WHERE c_custkey % 2 = 0
+      SELECT c_custkey AS id, 0 AS p, 'registry' AS source_name, c_name AS title FROM customer WHERE c_acctbal > 5000
+      UNION ALL SELECT c_custkey, 1, 'catalog', c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'
       UNION ALL SELECT o_custkey, 2, 'orders', o_orderpriority FROM orders),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, title) AS k FROM s)
     SELECT id, source_name, title FROM r WHERE k = 1""")
 def search_priority_union(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     sources = [
-        ("registry", c.filter("c_custkey % 3 = 0").selectExpr("c_custkey AS id", "c_name AS title")),
-        ("catalog", c.filter("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "c_mktsegment AS title")),
+        ("registry", c.filter("c_acctbal > 5000").selectExpr("c_custkey AS id", "c_name AS title")),
+        ("catalog", c.filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS id", "c_mktsegment AS title")),
         ("orders", o.selectExpr("o_custkey AS id", "o_orderpriority AS title")),
     ]
     return unions.first_source_wins(sources, "id", "title")
