@@ -15,9 +15,14 @@ def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
         size = max(n, 2 * len(_powers), 1 << 14)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[1], np.full(size - 1, _STEP, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate([[1], np.full(size - 1, _BACK, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        _powers, _inverse = _series(_STEP, size), _series(_BACK, size)
+
+
+def _series(base: int, size: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64."""
+    out = np.full(size, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
