@@ -31,8 +31,9 @@ WORDS = 500_000
 #: Steps of the least-squares fit.
 STEPS = 300
 
-#: A word that ends in one full stop or comma after a letter or digit: the split pattern cuts there.
-_TAILED = r"(?s)^(.*[\p{L}\p{N}])[.,]$"
+#: A word that ends in one full stop or comma after a digit or a Latin letter that is one letter in lower
+#: case and in composed form too (the dotted capital I is not): the split pattern cuts there.
+_TAILED = r"(?s)^.*[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}][.,]$"
 
 
 class WordIds:
