@@ -1,0 +1,38 @@
+"""Clusters of documents by their vectors."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orrery.operators.retrieval import centroids, cosine, small, unit
+
+# The least cosine with a cluster's centre, with an old centre to keep its id, and the fewest documents to cluster.
+ASSIGN, KEEP_ID, FEWEST = 0.55, 0.6, 5
+
+
+def cluster_all(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """``vec_id, cluster``: bisecting k-means by cosine; a vector under ASSIGN of its centre has no cluster.
+
+    Density clustering needs all neighbourhoods; this stands in for it, with
+    work linear in the vectors. Fewer than FEWEST vectors are left without
+    clusters, as are zero vectors.
+    """
+    rows = vectors.select("vec_id", "embedding").filter(F.exists("embedding", lambda x: x != 0))
+    if rows.limit(FEWEST).count() < FEWEST:
+        return vectors.select("vec_id", F.lit(None).cast("int").alias("cluster"))
+    model = BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine").fit(rows.select(array_to_vector(unit(F.col("embedding"))).alias("features")))
+    placed = model.transform(rows.withColumn("features", array_to_vector(unit(F.col("embedding"))))).select("vec_id", "embedding", F.col("prediction").alias("cluster"))
+    centres = centroids(placed, "cluster")
+    near = placed.join(small(centres), "cluster").select("vec_id", F.when(cosine(F.col("embedding"), F.col("centroid")) >= ASSIGN, F.col("cluster")).alias("cluster"))
+    return vectors.select("vec_id").join(near, "vec_id", "left")
+
+
+def kept_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new_cluster, cluster``: a new centre takes the id of the old one nearest to it at KEEP_ID or more; both are small tables of ``cluster, centroid``."""
+    a, b = old.select(F.col("cluster").alias("old"), F.col("centroid").alias("oc")), new.select(F.col("cluster").alias("new_cluster"), "centroid")
+    met = b.join(small(a)).withColumn("c", cosine(F.col("oc"), F.col("centroid"))).filter(F.col("c") >= KEEP_ID)
+    best = met.groupBy("new_cluster").agg(F.max_by("old", "c").alias("cluster"))
+    return b.select("new_cluster").join(best, "new_cluster", "left")

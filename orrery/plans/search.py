@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.operators import clusters
 from orrery.operators import retrieval as r
 from orrery.plans.registry import query
 from orrery.plans.views import CHUNKS, chunks, table
@@ -139,6 +140,11 @@ def assign_nearest_055(spark, sf_dir):
     return r.nearest(vectors, r.centroids(vectors, "label"), "label")
 
 
+@query("vector_clusters")
+def vector_clusters(spark, sf_dir):
+    return clusters.cluster_all(table(spark, sf_dir, "embeddings"), 10).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 @query("term_scores", "SELECT p_type, CASE WHEN lower(p_type) = 'econ' THEN 1.0::DOUBLE WHEN starts_with(lower(p_type), 'econ') THEN 0.75 WHEN contains(lower(p_type), 'econ') THEN 0.5 ELSE 0.0 END AS score, count(*) AS n FROM part GROUP BY 1")
 def term_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type", r.term_score(F.lower("p_type"), F.lit("econ")).alias("score")).agg(F.count("*").alias("n"))

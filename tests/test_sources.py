@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from orrery.functions.entries import entries
+from orrery.operators.clusters import cluster_all, kept_ids
 from orrery.sources import formats, store
 
 
@@ -44,3 +47,22 @@ def test_reports_and_converters(spark):
     known.register(formats.Converter("double", lambda f: pd.DataFrame({"v": f["a"] * 2}), "v long", r"^double", ("a", "b", "c")))
     assert known.match("double.csv", []).name == "double" and known.match("x.csv", ["A", "B", "C"]).name == "double" and known.match("x.csv", ["A"]) is None
     assert [r.v for r in known.apply("double", spark.createDataFrame([(2,)], "a long")).collect()] == [4]
+
+
+def test_entries(spark):
+    rows = [("p", 0, "Title"), ("p", 1, "1. On 3 May 2020, work began."), ("p", 2, "(i) at the gate"), ("p", 3, "2) It stopped.")]
+    got = entries(spark.createDataFrame(rows, "path string, paragraph long, text string")).orderBy("entry").collect()
+    assert [(r.number, r.date_text, r.text) for r in got] == [(1, "3 May 2020", "work began. (i) at the gate"), (2, None, "It stopped.")]
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((5, 16))
+    rows = [(i, [float(x) for x in centre[i % 5] + 0.05 * rng.standard_normal(16)]) for i in range(20)] + [(99, [0.0] * 16)]
+    got = {r.vec_id: r.cluster for r in cluster_all(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5).collect()}
+    assert got[99] is None and len({got[i] for i in range(5)}) == 5 and all(got[i] == got[i % 5] for i in range(20))
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    assert {r.cluster for r in cluster_all(few, 5).collect()} == {None}
+    old = spark.createDataFrame([(7, [1.0, 0.0])], "cluster int, centroid array<double>")
+    new = spark.createDataFrame([(0, [0.9, 0.1]), (1, [0.0, 1.0])], "cluster int, centroid array<double>")
+    assert {r.new_cluster: r.cluster for r in kept_ids(old, new).collect()} == {0: 7, 1: None}
