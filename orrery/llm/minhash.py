@@ -200,14 +200,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     prints = docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, n_shingles long, set_key binary, sig array<long>, bands array<long>")
     prints = stash(prints, "near-prints")
     reps = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    one = prints.join(reps.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
+    first = reps.select("set_key", F.col("id").alias("doc_id"))
+    signs = stash(prints.select("set_key", "doc_id", "sig").join(first, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("id"), "sig"), "near-signatures")
 
-    bucket = one.select(F.col("doc_id").alias("id"), "sig", F.explode("bands").alias("bkey"))
-    lead = bucket.groupBy("bkey").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    one = prints.select("set_key", "doc_id", "bands").join(first, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
+    bucket = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bkey"))
+    lead = bucket.groupBy("bkey").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
     member = stash(bucket.join(lead, "bkey"), "near-members")
-    followers = member.filter("id <> leader").select("id", "leader", "sig").dropDuplicates(["id", "leader"])
-    leaders = member.filter("id = leader").select("leader", F.col("sig").alias("lead_sig")).dropDuplicates(["leader"])
-    scored = followers.join(leaders, "leader").withColumn("same", matches("sig", "lead_sig")).filter(F.col("same") >= least)
+    pairs = member.filter("id <> leader").select("id", "leader").distinct()
+    lead_signs = signs.select(F.col("id").alias("leader"), F.col("sig").alias("lead_sig"))
+    scored = pairs.join(signs, "id").join(lead_signs, "leader").withColumn("same", matches("sig", "lead_sig")).filter(F.col("same") >= least)
     best = scored.groupBy("id").agg(F.max(F.struct("same", (-F.col("leader")).alias("neg"))).alias("top")).select("id", (-F.col("top.neg")).alias("leader"))
     best = stash(best, "near-best")
 
@@ -224,11 +226,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     discard(texts)
 
     label = connected_components(star, "near-first")
-    member = member.select("bkey", "id", "sig").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    member = member.select("bkey", "id").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     share = member.groupBy("bkey", "comp").agg(F.count("*").alias("n"))
     mixed = share.groupBy("bkey").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
     mixed = mixed.select("bkey", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("nm"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("nr"))
-    inner = member.join(mixed, "bkey").withColumn("h", F.xxhash64("id"))
+    inner = member.join(mixed, "bkey").join(signs, "id").withColumn("h", F.xxhash64("id"))
     every = inner.select("bkey", "id", "sig", "comp", F.pmod("h", "nm").alias("mblk"), F.explode(F.expr("sequence(0L, nr - 1)")).alias("rblk"), F.lit(False).alias("side"))
     rest = inner.filter("comp <> main").select("bkey", "id", "sig", "comp", F.explode(F.expr("sequence(0L, nm - 1)")).alias("mblk"), F.pmod("h", "nr").alias("rblk"), F.lit(True).alias("side"))
     keys = ("bkey", "mblk", "rblk")
