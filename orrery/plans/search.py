@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import clusters
+from orrery.operators import document_index as di
 from orrery.operators import retrieval as r
 from orrery.plans.registry import query
 from orrery.plans.views import CHUNKS, chunks, table
@@ -140,6 +141,27 @@ def assign_nearest_055(spark, sf_dir):
     return r.nearest(vectors, r.centroids(vectors, "label"), "label")
 
 
+_INDEX_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'Audit overview' WHEN 1 THEN 'Notice of variation' WHEN 2 THEN 'Reply confirmed' ELSE 'Site diary' END || chr(10) || text"
+
+
+def _any(words, column="lower(text)"):
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_INDEX = f"""x AS (SELECT doc_id, source || '.pdf' AS file_name, {_INDEX_TEXT} AS text FROM documents),
+    q(query_id, term) AS (VALUES (0, 'variation'), (0, 'the')), {_bm25_sql('x', 'doc_id')},
+    g AS (SELECT x.doc_id, file_name, text, coalesce(score / max(score) OVER (), 0) AS lexical, {_any(di.MAP_TERMS)} AS is_map, {_any(di.PRIMARY_TERMS)} AS prime, row_number() OVER (PARTITION BY sha256(text) ORDER BY file_name, x.doc_id) AS k FROM x LEFT JOIN b ON b.doc_id = x.doc_id)"""
+
+
+@query("document_index", f"""WITH {_INDEX} SELECT doc_id, file_name, CASE WHEN is_map THEN 'map' WHEN prime THEN 'primary' ELSE 'corroborator' END AS role, score FROM (
+    SELECT *, round(2 * lexical + CASE WHEN split_part(text, chr(10), 1) = 'Notice of variation' THEN 2 ELSE 0 END + CASE WHEN is_map THEN 0.5 WHEN prime THEN 1.5 ELSE 0 END
+      + CASE WHEN contains(lower(text), 'idiot') THEN 1 ELSE 0 END + CASE WHEN {_any(di.CORROBORATION_TERMS)} THEN 1 ELSE 0 END + CASE WHEN {_any(di.COUNTER_TERMS)} THEN 1 ELSE 0 END + CASE WHEN k > 1 THEN -1.5 ELSE 0 END, 6) AS score FROM g) WHERE score > 0""")
+def document_index(spark, sf_dir):
+    heads = F.element_at(F.array(*(F.lit(h) for h in ("Audit overview", "Notice of variation", "Reply confirmed", "Site diary"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("file_name"), F.concat(heads, F.lit("\n"), "text").alias("text"), F.lit(0).alias("ocr_pages"), F.lit(1).alias("total_pages"))
+    return di.ranked(di.records(docs), di.Topic("notice of variation", ("variation", "the"), parties=("idiot",)))
+
+
 @query("vector_clusters")
 def vector_clusters(spark, sf_dir):
     return clusters.cluster_all(table(spark, sf_dir, "embeddings"), 10).groupBy("cluster").agg(F.count("*").alias("n"))
