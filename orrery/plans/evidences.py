@@ -76,8 +76,8 @@ def fuzzy_names(spark, sf_dir):
     return fuzzy.best_names(wanted, table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
 
 
-@query("glossary_terms", "SELECT doc_id, list_sort(list_filter(['de', 'la', 'of the'], lambda t: regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}_]' || t || '[^\\p{L}\\p{N}_]'))) AS terms FROM documents")
+@query("glossary_terms", "SELECT doc_id, array_to_string(list_sort(list_filter(['de', 'la', 'of the'], lambda t: regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}_]' || t || '[^\\p{L}\\p{N}_]'))), ',') AS terms FROM documents")
 def glossary_terms(spark, sf_dir):
     known = fuzzy.Glossary({"of the": "genitive", "la": "article", "de": "preposition"})
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_sort(known.column(F.col("text"))).alias("terms"))
+    return docs.select("doc_id", F.array_join(F.array_sort(known.column(F.col("text"))), ",").alias("terms"))
