@@ -102,3 +102,8 @@ def _first_day(text: Column) -> Column:
 def padded(window_from: Column, window_to: Column, days: int) -> tuple[Column, Column]:
     """A date window widened by some days at either end."""
     return F.date_sub(window_from, days), F.date_add(window_to, days)
+
+
+def repaired(text: Column) -> Column:
+    """ISO dates without a stray letter behind them."""
+    return F.regexp_replace(text, r"(\d{4}-\d{2}-\d{2})[A-Za-z]\b", "$1")

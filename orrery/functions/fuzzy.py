@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,3 +118,26 @@ class Glossary:
             return texts.map(known.matches)
 
         return find(text)
+
+
+def passage_place(text: str | None, passage: str | None, least: float = 0.75) -> tuple[int, float] | None:
+    """Where a passage stands in a text and how alike it is: as it is, then by its first 50 characters, then by the window of words most like it."""
+    if not text or not passage:
+        return None
+    low, want = text.lower(), passage.lower().strip()
+    if (at := low.find(want)) >= 0:
+        return at, 1.0
+    if len(want) > 50 and (at := low.find(want[:50])) >= 0:
+        return at, 0.9
+    words = [(m.start(), m[0]) for m in re.finditer(r"\S+", low)]
+    size = len(want.split())
+    best, place = 0.0, None
+    goal = Counter(want.split())
+    for i in range(max(1, len(words) - size + 1)):
+        part = [w for _, w in words[i : i + size]]
+        if sum((Counter(part) & goal).values()) < least * size / 2:
+            continue  # too few common words to be alike
+        ratio = SequenceMatcher(None, want, " ".join(part), autojunk=False).ratio()
+        if ratio > best:
+            best, place = ratio, words[i][0]
+    return (place, round(best, 4)) if place is not None and best > least else None

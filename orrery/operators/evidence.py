@@ -68,3 +68,9 @@ def table_blocks(rows: DataFrame, sheet: str, order: list[str], size: int = 40)
 def chart_kind(rows: Column, labels: Column, dated: Column) -> Column:
     """``line`` for dated labels, ``bar`` for others, none unless there are 3 to 24 rows with labels of their own."""
     return F.when(rows.between(3, 24) & (labels == rows), F.when(dated, "line").otherwise("bar"))
+
+
+def golden(examples: DataFrame, order: list[str]) -> DataFrame:
+    """One example for each question (in lower case), route and vote: the first in order."""
+    place = F.row_number().over(Window.partitionBy(F.lower(F.trim("question")), "route", "vote").orderBy(*order))
+    return examples.withColumn("_place", place).filter("_place = 1").drop("_place")

@@ -4,8 +4,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from orrery.functions.dates import repaired
 from orrery.functions.entries import entries
+from orrery.functions.fuzzy import passage_place
 from orrery.operators.clusters import cluster_all, kept_ids
+from orrery.operators.evidence import golden
 from orrery.sources import formats, store
 
 
@@ -66,3 +69,12 @@ def test_clusters(spark):
     old = spark.createDataFrame([(7, [1.0, 0.0])], "cluster int, centroid array<double>")
     new = spark.createDataFrame([(0, [0.9, 0.1]), (1, [0.0, 1.0])], "cluster int, centroid array<double>")
     assert {r.new_cluster: r.cluster for r in kept_ids(old, new).collect()} == {0: 7, 1: None}
+
+
+def test_small_ones(spark):
+    assert passage_place("The works were delayed by rain at the north gate.", "works were delayed by rain") == (4, 1.0)
+    assert passage_place("The works were delaid by rain at the north gate.", "works were delayed by rain")[0] == 4
+    assert passage_place("nothing alike", "works were delayed by rain") is None and passage_place(None, "x") is None
+    rows = spark.createDataFrame([("Q ", "sql", 1, 2), ("q", "sql", 1, 1), ("q", "doc", 1, 3)], "question string, route string, vote int, ts int")
+    assert sorted((r.route, r.ts) for r in golden(rows, ["ts"]).collect()) == [("doc", 3), ("sql", 1)]
+    assert spark.createDataFrame([("2024-01-02T, 2024-01-03",)], "t string").select(repaired(F.col("t"))).first()[0] == "2024-01-02, 2024-01-03"
