@@ -24,10 +24,10 @@ from orrery.storage import stash
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; when there are so many, those not met again are forgotten.
-MEMO = 500_000
+MEMO = 150_000
 #: Bytes of text encoded at a time, and words whose ids are put together at a time.
-BATCH_BYTES = 6_000_000
-WORDS = 500_000
+BATCH_BYTES = 1_000_000
+WORDS = 50_000
 #: Steps of the least-squares fit.
 STEPS = 300
 

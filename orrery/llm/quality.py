@@ -21,7 +21,7 @@ FIT_ROWS = 6_000
 #: Characters of text to learn from at most, in whole texts, for the same reason.
 FIT_CHARS = 60_000_000
 PASSES = 3
-MEMO = 400_000
+MEMO = 150_000
 
 #: A token is a run of letters and digits or a run of other marks.
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
