@@ -69,7 +69,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of 2048 tokens."""
-    return pack_documents(docs, 2048)
+    return pack_documents(docs, 2048, memo=150_000, batch_bytes=1_000_000)  # the workers have served other stages before
 
 
 STAGES = [

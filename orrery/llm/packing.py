@@ -23,11 +23,9 @@ from orrery.llm.common import gapless_rank, larger, ready
 from orrery.storage import stash
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; when there are so many, those not met again are forgotten.
-MEMO = 150_000
-#: Bytes of text encoded at a time, and words whose ids are put together at a time.
-BATCH_BYTES = 1_000_000
-WORDS = 50_000
+#: Words whose ids a worker remembers (when there are so many, those not met again are forgotten), and bytes
+#: of text encoded at a time. Both can be given smaller where a worker has less memory; ids stay the same.
+MEMO, BATCH_BYTES = 500_000, 6_000_000
 #: Steps of the least-squares fit.
 STEPS = 300
 
@@ -46,7 +44,8 @@ class WordIds:
     its merges in bulk.
     """
 
-    def __init__(self, state: str):
+    def __init__(self, state: str, memo: int = MEMO, words: int = BATCH_BYTES // 12):
+        self.most, self.words = memo, words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(state)
         bare = json.loads(state) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
@@ -77,8 +76,8 @@ class WordIds:
 
         size = np.fromiter(map(len, entries), dtype=np.int64, count=n) // 4
         store, first, out = np.frombuffer(b"".join(entries), dtype="<u4"), np.cumsum(size) - size, []
-        for i in range(0, len(parts), WORDS):
-            at = parts[i : i + WORDS]
+        for i in range(0, len(parts), self.words):
+            at = parts[i : i + self.words]
             m = size[at]
             out.append(store[np.repeat(first[at] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))])
         ids = np.concatenate(out) if out else store[:0]
@@ -86,7 +85,7 @@ class WordIds:
         return [ids[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
     def _entries(self, words: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo, self.old = {}, self.memo
         found = list(map(self.memo.get, words))
         new = []
@@ -136,20 +135,20 @@ def _composed(word: str) -> bool:
 _word_ids: dict[int, WordIds] = {}
 
 
-def _held(state: str) -> WordIds:
+def _held(state: str, memo: int, words: int) -> WordIds:
     """A worker's encoder; one is kept for the tasks that follow."""
-    name = zlib.crc32(state.encode())
+    name = zlib.crc32(f"{memo} {words} {state}".encode())
     if name not in _word_ids:
         _word_ids.clear()
-        _word_ids[name] = WordIds(state)
+        _word_ids[name] = WordIds(state, memo, words)
     return _word_ids[name]
 
 
-def _pieces(state, most: int, end: int):
+def _pieces(state, most: int, end: int, memo: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _held(state.value)
+        encode = _held(state.value, memo, size // 12)
         mark = np.array([end], dtype="<u4").tobytes()
-        for batch in larger(batches, 1, BATCH_BYTES):
+        for batch in larger(batches, 1, size):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode(batch.column(1))):
                 ids += mark
@@ -308,7 +307,7 @@ def segments(packed: list[tuple[tuple[int, ...], int]], most: int) -> dict[str,
     return {"length": table[:, 0], "rank": table[:, 1], "base": table[:, 2], "offset": table[:, 3]}
 
 
-def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, end: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, end: int = 0, memo: int = MEMO, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Packs the tokens of all rows of ``docs(doc_id, text)`` into few sequences of at most ``most`` tokens.
 
     A document is its text's ids and then ``end``; longer ones are cut into
@@ -328,7 +327,7 @@ def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, e
     ready(spark)
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         state = spark.sparkContext.broadcast(f.read())
-    cut = docs.select("doc_id", "text").mapInArrow(_pieces(state, most, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = docs.select("doc_id", "text").mapInArrow(_pieces(state, most, end, memo, batch_bytes), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = stash(cut, "pack-pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     histogram = np.zeros(most + 1, dtype=np.int64)
