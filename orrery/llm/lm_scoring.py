@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import ready
+from orrery.storage import stash
 
 #: Symbols: 0 beyond the text's ends, then the most frequent words, then hash classes for all others.
 SYMBOLS, CLASSES = 256, 64
 TOP = SYMBOLS - CLASSES - 1
 #: Words looked at on each side of the masked one, and hidden units.
 SIDE, HIDDEN = 2, 16
-#: Rounds of training, and the share of segments of SEGMENT words that each round draws from every text, by hash.
-ROUNDS, EVERY, SEGMENT = 2, 16, 32
+#: Rounds of training, which deal the segments of SEGMENT words of every text among them by hash: each is learned from once.
+ROUNDS, SEGMENT = 2, 32
+#: Words with a frequency of their own for each root of the corpus's number of words; the others of a class share one.
+GROWTH = 16
 #: Windows in one step, learning rate, and tokens scored at a time.
-STEP, RATE, BLOCK = 512, 0.02, 4096
+STEP, RATE, BLOCK = 512, 0.02, 1024
+#: Words of short texts that are put together for one call.
+GATHER = 8 * STEP
 #: Parameters in one message, and first-level groups of the average.
 CHUNK, FAN = 1024, 64
 MEMO = 400_000
@@ -47,21 +52,44 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Symbols:
-    """Ids of words: a frequent word has its own, all others share hash classes."""
+class Vocabulary:
+    """The corpus's words: symbols of the network, and each word's share of its symbol.
 
-    def __init__(self, frequent: list[str]):
-        self.known = {w: i + 1 for i, w in enumerate(frequent)}
+    The most frequent words are symbols of their own. All others are in hash
+    classes: those in ``listed`` by their counts, the rest of a class, ``types``
+    words, by what is left of the class's count, in equal parts. One more part
+    is for a word that was not counted.
+    """
+
+    def __init__(self, frequent: list[str], listed: list[str], counts: np.ndarray, mass: np.ndarray, types: np.ndarray):
+        self.words, self.frequent = [*frequent, *listed], len(frequent)
+        classes = np.array([_class(w) for w in listed], dtype=np.int64)
+        total = mass + 1.0
+        left = np.maximum(mass - np.bincount(classes, counts, CLASSES), 0.0) + 1.0
+        spread = np.maximum(types - np.bincount(classes, minlength=CLASSES), 0) + 1.0
+        self.symbol = np.concatenate([np.arange(1, self.frequent + 1), TOP + 1 + classes, TOP + 1 + np.arange(CLASSES)]).astype(np.int64)
+        self.share = np.concatenate([np.zeros(self.frequent), np.log(counts / total[classes]), np.log(left / spread / total)])
+
+
+class Codes:
+    """Places of words in a vocabulary's arrays."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.known = {w: i for i, w in enumerate(vocabulary.words)}
         self.memo: dict[str, int] = dict(self.known)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
+    def of(self, words: list[str]) -> np.ndarray:
+        memo, known = self.memo, len(self.known)
+        if len(memo) > MEMO + known:
             memo.clear()
             memo.update(self.known)
         for w in set(words).difference(memo):
-            memo[w] = TOP + 1 + zlib.crc32(w.encode("utf-8", "replace")) % CLASSES
-        return np.array([memo[w] for w in words], dtype=np.int64)
+            memo[w] = known + _class(w)
+        return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def _class(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % CLASSES
 
 
 def _words(text: str | None) -> list[str]:
@@ -74,6 +102,14 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return padded[np.arange(len(ids))[:, None] + SIDE + _AROUND]
 
 
+def joined(ids: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The windows of several texts, whose symbols follow each other in ``ids``."""
+    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    padded = np.zeros(len(ids) + SIDE * (len(lengths) + 1), dtype=np.int64)
+    padded[at] = ids
+    return padded[at[:, None] + _AROUND]
+
+
 def log_probabilities(net: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Log of the probability that the network gives each masked symbol, from both sides."""
     hidden = net["a"] + sum(net["e"][k][around[:, k]] for k in range(2 * SIDE))
@@ -114,45 +150,45 @@ class Trainer:
         self.flat -= pace * self.m / (np.sqrt(self.v) + 1e-7)
 
 
-def _drawn(text: str | None, turn: int) -> list[list[str]]:
-    """The segments of a text that a round learns from, by a hash of the text and the place; each with SIDE words around it."""
-    words = _words(text)
-    if not words:
-        return []
-    n = -(-len(words) // SEGMENT)
+def _drawn(words: list[str], turn: int) -> np.ndarray:
+    """Which words of a text a round learns from: whole segments, by a hash of the text and the place."""
     key = np.uint64(zlib.crc32(" ".join(words[:64]).encode("utf-8", "replace")) + (len(words) << 32))
     with np.errstate(over="ignore"):
-        draw = ((np.arange(n, dtype=np.uint64) + key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return [words[max(0, i * SEGMENT - SIDE) : (i + 1) * SEGMENT + SIDE] for i in np.flatnonzero(draw % np.uint64(EVERY) == turn)]
+        draw = ((np.arange(-(-len(words) // SEGMENT), dtype=np.uint64) + key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return np.repeat(draw % np.uint64(ROUNDS) == turn, SEGMENT)[: len(words)]
 
 
 def _learn(shared, turn: int):
     """Trains on a partition's segments and sends the parameters, in chunks, with the number of windows they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, flat = shared.value
-        symbols, trainer, seen = Symbols(frequent), Trainer(flat), 0
-        around, goal, held = [], [], 0
+        vocabulary, flat = shared.value
+        codes, trainer, seen = Codes(vocabulary), Trainer(flat), 0
+        words, lengths, drawn = [], [], []
 
-        def flush(least: int) -> int:
-            nonlocal around, goal, held
-            if held < least or not held:
+        def flush() -> int:
+            if not words:
                 return 0
-            x, y = np.concatenate(around), np.concatenate(goal)
+            ids, mine = vocabulary.symbol[codes.of(words)], np.concatenate(drawn)
+            x, y = joined(ids, lengths)[mine], ids[mine]
             for i in range(0, len(y), STEP):
                 trainer.step(x[i : i + STEP], y[i : i + STEP])
-            done, around, goal, held = held, [], [], 0
-            return done
+            words.clear()
+            lengths.clear()
+            drawn.clear()
+            return len(y)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for segment in _drawn(text, turn):
-                    ids = symbols.ids(segment)
-                    around.append(windows(ids))
-                    goal.append(ids)
-                    held += len(ids)
-            seen += flush(8 * STEP)
-        seen += flush(1)
+            for text in batch.column(0):
+                own = _words(text.as_py())
+                mine = _drawn(own, turn)
+                if mine.any():
+                    words.extend(own)
+                    lengths.append(len(own))
+                    drawn.append(mine)
+                if len(words) >= GATHER:
+                    seen += flush()
+        seen += flush()
         if seen:
             part = TaskContext.get().partitionId() % FAN
             chunks = range(0, _SIZE, CHUNK)
@@ -174,62 +210,100 @@ def _average(rows: pa.Table) -> pa.Table:
 _MESSAGE = "chunk int, part int, seen long, weights binary"
 
 
-def frequent_words(docs: DataFrame, top: int = TOP) -> list[str]:
-    """The corpus's most frequent words, counted over all texts; ties in order."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(top).collect()]
-
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The corpus's words, counted over all texts; ties in order.
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Frequent words and the network's parameters, learned from all of ``docs``.
+    The words with counts of their own are those over a least count that a
+    histogram of the counts gives: GROWTH for each root of the number of words.
+    """
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
+    counts = stash(words.groupBy("word").agg(F.count("*").alias("n")), "lm-words")
+    frequent = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()}
+    histogram = sorted(((r["n"], r["types"]) for r in counts.groupBy("n").agg(F.count("*").alias("types")).collect()), reverse=True)
+    room, least = GROWTH * sum(n * types for n, types in histogram) ** 0.5, 1 << 62
+    for n, types in histogram:
+        if (room := room - types) < 0:
+            break
+        least = n
+    listed = counts.filter(F.col("n") >= least).toArrow()
+    pairs = [(w, n) for w, n in zip(listed["word"].to_pylist(), listed["n"].to_pylist(), strict=True) if w not in frequent]
+    mass, types = np.zeros(CLASSES), np.zeros(CLASSES, dtype=np.int64)
+    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % CLASSES).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        mass[r["class"]], types[r["class"]] = r["n"], r["types"]
+    for w, n in frequent.items():
+        mass[_class(w)] -= n
+        types[_class(w)] -= 1
+    return Vocabulary(list(frequent), [w for w, _ in pairs], np.array([n for _, n in pairs], dtype=np.float64), mass, types)
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and the network's parameters, learned from every word of ``docs``.
 
     In each round every partition trains a copy on the segments it draws, and
     the copies are averaged by the windows they saw, in two levels; what moves
-    grows with the partitions, what reaches the driver is one model of 80 kB.
+    grows with the partitions, what reaches the driver is one model of 80 kB and
+    a vocabulary that grows with the root of the number of words.
     """
     spark = docs.sparkSession
-    frequent, flat = frequent_words(docs), start()
+    known, flat = vocabulary(docs), start()
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((frequent, flat))
+        shared = spark.sparkContext.broadcast((known, flat))
         sent = docs.select("text").mapInArrow(_learn(shared, turn), _MESSAGE)
         means = sent.groupBy("chunk", "part").applyInArrow(_average, _MESSAGE).groupBy("chunk").applyInArrow(_average, _MESSAGE)
         got = {r["chunk"]: np.frombuffer(r["weights"], dtype=np.float32) for r in means.collect()}
         if got:
             flat = np.concatenate([got[i] for i in sorted(got)])
-    return frequent, flat
+    return known, flat
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Scores every whole text of ``docs(doc_id, text)`` by its masked pseudo-likelihood.
 
     Each word is masked in turn and predicted from SIDE words on either side;
-    the score is the sum of the logs of the words' conditional probabilities.
-    Words are symbols (the corpus's most frequent ones, hash classes for the
-    rest), in lower case, between white space.
+    ``pll`` is the sum of the logs of the conditional probabilities of the
+    words' symbols (the corpus's most frequent words, hash classes for the
+    rest); ``word_pll`` adds the log of each word's share of its symbol and so
+    is the score over all words of the corpus. Words are in lower case, between
+    white space.
 
     Null, empty and blank texts: no tokens, score 0, no mean. Null or repeated
     doc_id: scored row by row. Other columns are not looked at; an empty table
     gives an empty result.
 
-    Returns ``doc_id, n_tokens, pll, pll_per_token``.
+    Returns ``doc_id, n_tokens, pll, pll_per_token, word_pll, word_pll_per_token``.
     """
     spark = docs.sparkSession
     ready(spark)
     shared = spark.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, flat = shared.value
-        symbols, net = Symbols(frequent), unpack(flat)
+        known, flat = shared.value
+        codes, net = Codes(known), unpack(flat)
+
+        def scored(texts: list[list[str]]) -> np.ndarray:
+            """Sums of the logs of symbols and of words, by text."""
+            lengths = np.array([len(t) for t in texts])
+            at = codes.of([w for t in texts for w in t])
+            ids, own = known.symbol[at], np.repeat(np.arange(len(texts)), lengths)
+            around = joined(ids, lengths)
+            logs = [log_probabilities(net, around[i : i + BLOCK], ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+            symbols = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
+            return np.array([np.bincount(own, x, len(texts)) for x in (symbols, symbols + known.share[at])])
+
         for batch in batches:
-            counts, sums = [], []
-            for text in batch.column(1).to_pylist():
-                ids = symbols.ids(_words(text))
-                around, total = windows(ids), 0.0
-                for i in range(0, len(ids), BLOCK):
-                    total += float(log_probabilities(net, around[i : i + BLOCK], ids[i : i + BLOCK]).sum(dtype=np.float64))
-                counts.append(len(ids))
-                sums.append(total)
-            means = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "pll", "pll_per_token"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+            counts, sums, texts, held = [], [np.zeros((2, 0))], [], 0
+            for text in batch.column(1):
+                texts.append(_words(text.as_py()))
+                counts.append(len(texts[-1]))
+                held += counts[-1]
+                if held >= GATHER:
+                    sums.append(scored(texts))
+                    texts, held = [], 0
+            if texts:
+                sums.append(scored(texts))
+            n, columns = np.array(counts, dtype=np.float64), [batch.column(0), pa.array(counts, pa.int64())]
+            for x in np.concatenate(sums, axis=1):
+                columns += [pa.array(x, pa.float64()), pa.array(x / np.maximum(n, 1), pa.float64(), mask=n == 0)]
+            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "pll", "pll_per_token", "word_pll", "word_pll_per_token"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double, word_pll double, word_pll_per_token double")

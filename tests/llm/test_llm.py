@@ -352,6 +352,29 @@ def test_network_learns_from_both_sides():
     assert lm_scoring.log_probabilities(lm_scoring.unpack(trainer.flat), x, ids).mean() > before + 3
 
 
+def test_network_learns_from_every_word(spark, docs):
+    """The rounds together see each word of each text once."""
+    shared = spark.sparkContext.broadcast((lm_scoring.vocabulary(docs), lm_scoring.start()))
+    seen = [docs.select("text").mapInArrow(lm_scoring._learn(shared, turn), lm_scoring._MESSAGE).filter("chunk = 0").agg(F.sum("seen")).first()[0] for turn in range(lm_scoring.ROUNDS)]
+    assert sum(seen) == sum(len((t or "").lower().split()) for _, t in texts(docs)) and min(seen) > 0
+
+
+def test_words_share_their_symbols(spark):
+    """The shares of a symbol's words sum to one, and a word of a class scores by its own frequency."""
+    counts = {f"w{i}": 2 + 3000 // (i + 1) for i in range(3000)}
+    frame = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(counts.items())], "doc_id long, text string")
+    known = lm_scoring.vocabulary(frame)
+    at, sums = lm_scoring.Codes(known).of(list(counts)), Counter()
+    for c in at:
+        sums[known.symbol[c]] += np.exp(known.share[c])
+    assert lm_scoring.TOP < len(known.words) < len(counts)
+    assert len(sums) == lm_scoring.SYMBOLS - 1 and all(0.97 < x <= 1 + 1e-9 for x in sums.values())
+    listed = [(w, known.symbol[c], known.share[c]) for w, c in zip(counts, at, strict=True) if lm_scoring.TOP <= c < len(known.words)]
+    assert all((counts[a] > counts[b]) == (x > y) for a, s, x in listed for b, r, y in listed if s == r)
+    for r in lm_scoring.pseudo_likelihood(frame).collect():
+        assert np.isclose(r.word_pll, r.pll + r.n_tokens * known.share[at[r.doc_id]])
+
+
 # embeddings
 
 
