@@ -14,8 +14,11 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 8
 
-#: Runs that the battery looks at, and the fewest characters that give its tests any power.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the battery looks at, padding only at their end, and the fewest characters that give its tests any power.
+RUN = r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+RUN_LEAST = 20
+#: Parts of a run that has characters of both base64 alphabets.
+PARTS = (r"[A-Za-z0-9+/]{14,}=*", r"[A-Za-z0-9_-]{14,}=*")
 #: Rate at which tokens ruled out as not random may in truth be random, in each class of encoding and length.
 FDR = 0.05
 #: Bins a decade of the p-values' histogram, and decades kept apart.
@@ -47,6 +50,11 @@ def _places(text: Column, pattern: str, found: Column) -> Column:
     return F.when(text.rlike(pattern), walk).otherwise(empty)
 
 
+def _then(value: Column, step) -> Column:
+    """Binds a value once: SQL expressions have no names, and nested ones are worked out again at each use."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
 def _base_spans(text: Column) -> Column:
     """Spans of the fixed kinds: ``kind, start, end, value`` (the whole match), by start, then kind as listed."""
 
@@ -110,18 +118,27 @@ def _battery(token: Column) -> Column:
         p = F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
         return F.struct(F.concat_ws(":", s["name"], F.least(F.floor(F.log2(n)), F.lit(12)).cast("string")).alias("class"), p.alias("p"))
 
-    def then(value: Column, step) -> Column:
-        """Binds a value once: SQL expressions have no names, and nested ones are worked out again at each use."""
-        return F.element_at(F.transform(F.array(value), step), 1)
-
-    return F.when(mixed & name.isNotNull(), then(then(then(base, counted), moments), judged))
+    return F.when(mixed & name.isNotNull(), _then(_then(_then(base, counted), moments), judged))
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Runs outside the base spans with their class and p-value."""
-    runs = _places(text, RUN, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
-    apart = F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["start"] < x["start"] + F.length(x["value"])) & (x["start"] < b["end"])))
-    tested = F.transform(apart, lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _battery(x["value"]).alias("test")))
+    """Runs outside the base spans, which cut them, with their class and p-value.
+
+    A run with characters of both base64 alphabets is in no single encoding; it
+    is cut at the ones and at the others, and parts of both kinds are tested.
+    """
+    blank = lambda t, b: F.concat(F.substring(t, F.lit(1), b["start"]), F.repeat(F.lit(" "), b["end"] - b["start"]), F.substring(t, b["end"] + 1, F.length(t)))
+    found = lambda t, pattern: _places(t, pattern, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+
+    def parts(x: Column) -> Column:
+        cut = F.array_distinct(F.concat(*(found(x["value"], p) for p in PARTS)))
+        moved = F.transform(cut, lambda y: F.struct((x["start"] + y["start"]).cast("int").alias("start"), y["value"].alias("value")))
+        return F.when(x["value"].rlike("[+/]") & x["value"].rlike("[_-]"), moved).otherwise(F.array(F.struct(x["start"].alias("start"), x["value"].alias("value"))))
+
+    left = F.when(F.size(base) > 0, F.aggregate(base, text, blank)).otherwise(text)
+    runs = F.flatten(F.transform(_then(left, lambda t: found(t, RUN)), parts))
+    long = F.filter(runs, lambda x: F.length(x["value"]) >= RUN_LEAST)
+    tested = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _battery(x["value"]).alias("test")))
     return F.filter(tested, lambda x: x["test"].isNotNull())
 
 
