@@ -44,8 +44,8 @@ def evidence_pack(passages: DataFrame, budget: int = BUDGET, floor: float = FLOO
     ``share`` of the budget; after ``saturation`` picks in a row without a new
     facet the pack is full; facets still missing then take their best passage,
     above the floor or not, while the budget lasts. Order: score, then file,
-    then passage. A pick depends on all before it, so each request is one group;
-    what can enter at all is cut natively first.
+    then passage. A pick depends on all before it, so each request's passages
+    are one group, in the memory of one task.
 
     Returns ``request, file, passage, pick`` in order of picks.
     """

@@ -14,6 +14,7 @@ from orrery.functions.fuzzy import Glossary, denies, token_set
 from orrery.functions.periods import period
 from orrery.operators import graph, normalise, programme, retrieval, review, schema, unions, usage
 from orrery.operators.components import connected_components
+from orrery.plans import facts
 from orrery.plans.selection import Entry, choose, reliable, resolve_column
 from orrery.plans.templates import answer, match
 from orrery.sources import files, spreadsheet
@@ -153,6 +154,15 @@ def test_upsert_and_append(spark):
     assert [r.k for r in usage.append_once(stored, new.unionByName(new), "k").collect()] == [3]
 
 
+def test_evidence_pack_sees_all_passages(spark, tmp_path):
+    """A request's best 300 passages are in one file, which takes a quarter of the budget; the picks and a rare facet are beyond them."""
+    rows = [(i * 900, dt.datetime(2024, 1, 1), 1, "click", 1000.0 - i) for i in range(300)]
+    rows += [(i * 900, dt.datetime(2024, 1, 2), 1, "rare" if i == 309 else "click", 800.0 - i) for i in range(300, 310)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = [(r.file, r.passage // 900) for r in sorted(facts.evidence_pack(spark, str(tmp_path)).collect(), key=lambda r: r.pick)]
+    assert got == [(0, i) for i in range(18)] + [(1, i) for i in (*range(300, 308), 309)]
+
+
 def test_graph_classes(spark):
     letters = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a"]), (3, ["b", "c"]), (4, [])], "doc_id long, topics array<string>")
     assert sorted(map(tuple, graph.members(graph.topic_sets(letters)).collect())) == [(1, 1), (2, 1), (3, 3)]
