@@ -27,8 +27,10 @@ KINDS = {
     ".csv": "data", ".xlsx": "data", ".xlsm": "data", ".parquet": "data", ".json": "records", ".jsonl": "records",
     ".txt": "document", ".md": "document", ".docx": "document", ".pdf": "document", ".eml": "email",
 }
-#: A sheet's cells read at most: rows and columns.
+#: Rows and columns to which a merged range is filled in where the sheet's own cells do not reach further.
 MAX_ROWS, MAX_COLUMNS = 10_000, 500
+#: Places of a sheet's grid, empty ones too; a larger sheet is an error.
+MAX_GRID = 1 << 25
 #: Characters of a page of mail.
 MAIL_PAGE = 2_000
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.operators.normalise import clean_names
 from orrery.session import ship
-from orrery.sources.files import MAX_COLUMNS, MAX_ROWS, _contents
+from orrery.sources.files import MAX_COLUMNS, MAX_GRID, MAX_ROWS, _contents
 
 # Number formats of a workbook that are dates.
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
@@ -80,12 +80,16 @@ def workbook(raw: bytes) -> list[Sheet]:
     return out
 
 
+def _checked(path: str, rows: int, cols: int) -> tuple[int, int]:
+    if rows * cols > MAX_GRID:
+        raise ValueError(f"{path}: a sheet of {rows} rows and {cols} columns is too large")
+    return rows, cols
+
+
 def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path: str) -> tuple[Grid, list]:
     cells: dict[tuple[int, int], object] = {}
     for c in (e for e in root.iter() if _name(e) == "c"):
         at = _place(c.get("r"))
-        if at[0] >= MAX_ROWS or at[1] >= MAX_COLUMNS:
-            continue
         kind, style = c.get("t", "n"), int(c.get("s", 0))
         value = next((v.text for v in c if _name(v) == "v"), None)
         if kind == "s" and value is not None:
@@ -99,13 +103,15 @@ def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path:
             cells[at] = _date(number) if style < len(dated) and dated[style] else int(number) if number.is_integer() else number
         elif value is not None:
             cells[at] = value
+    extent = lambda: [1 + max((k[i] for k in cells), default=-1) for i in (0, 1)]
+    _checked(path, *(used := extent()))
     for m in (e for e in root.iter() if _name(e) == "mergeCell"):
         r0, c0, r1, c1 = _area(m.get("ref"))
-        for r in range(r0, min(r1 + 1, MAX_ROWS)):
-            for c in range(c0, min(c1 + 1, MAX_COLUMNS)):
-                if (r0, c0) in cells:
+        if (r0, c0) in cells:
+            for r in range(r0, min(r1 + 1, max(used[0], MAX_ROWS))):
+                for c in range(c0, min(c1 + 1, max(used[1], MAX_COLUMNS))):
                     cells[r, c] = cells[r0, c0]
-    rows, cols = (1 + max((k[i] for k in cells), default=-1) for i in (0, 1))
+    rows, cols = _checked(path, *extent())
     grid = [[cells.get((r, c)) for c in range(cols)] for r in range(rows)]
     folder, _, leaf = path.rpartition("/")
     tables, rels = [], f"{folder}/_rels/{leaf}.rels"

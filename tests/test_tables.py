@@ -209,6 +209,28 @@ def test_spreadsheets(spark, tmp_path):
     assert {"machine": "m3", "hours": "3.5", "date": "2024-01-01"} in log
 
 
+def _sheet(cells: str, merged: str = "") -> bytes:
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row>{cells}</row></sheetData>{merged}</worksheet>")
+    return out.getvalue()
+
+
+def test_long_and_wide_sheets():
+    """Every cell is read; merged ranges that run on beyond the sheet are not, and a sheet too large for a grid is an error."""
+    long = "".join(f'<c r="A{i}"><v>{i}</v></c>' for i in range(1, 10_052))
+    [sheet] = spreadsheet.workbook(_sheet(long, '<mergeCells><mergeCell ref="A10051:B10051"/></mergeCells>'))
+    assert [r[0] for r in sheet.grid] == list(range(1, 10_052)) and sheet.grid[-1] == [10_051, 10_051]
+    [sheet] = spreadsheet.workbook(_sheet('<c r="A1"><v>1</v></c><c r="TZZ1"><v>2</v></c>'))
+    assert sheet.grid[0][-1] == 2 and len(sheet.grid[0]) == 14_222
+    [sheet] = spreadsheet.workbook(_sheet('<c r="A1"><v>1</v></c>', '<mergeCells><mergeCell ref="A1:B1048576"/></mergeCells>'))
+    assert len(sheet.grid) == files.MAX_ROWS
+    with pytest.raises(ValueError, match="too large"):
+        spreadsheet.workbook(_sheet('<c r="A1"><v>1</v></c><c r="XFD1048576"><v>2</v></c>'))
+
+
 def test_layouts():
     grid = [["a", "b", None, None], [1, 2, None, None], [3, 4, None, None], *[[None] * 4] * 4, [None, None, "c", "d"], [None, None, 5, 6], [None, None, 7, 8]]
     assert spreadsheet.blocks(grid) == [(0, 0, 2, 1), (7, 2, 9, 3)]
