@@ -6,10 +6,10 @@ again, and all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import collapse_space, id_mod, rows_with, table
+from orrery.llm.common import collapse_space, fresh, id_mod, row_key, table, without
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.packing import pack_documents
@@ -32,34 +32,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     held_out = F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False))
     weights = fit(docs, table(spark, sf_dir, "labels"), train_on=~held_out)
-    return score(docs, weights, "_quality").filter(F.col("_quality") >= QUALITY).drop("_quality")
+    (quality,) = fresh(docs, "_quality")
+    return score(docs, weights, quality).filter(F.col(quality) >= QUALITY).drop(quality)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space: the one with the smallest doc_id."""
-    groups = stash(exact_groups(docs).withColumn("key", _row_key(F.col("text_sha256"))), "pipeline-exact")
+    groups = stash(exact_groups(docs).withColumn("key", row_key(F.col("text_sha256"))), "pipeline-exact")
     gone = groups.filter("not kept")
-    left = rows_with(docs, _row_key(F.sha2(collapse_space(F.col("text")).cast("binary"), 256)), gone.filter("not doc_id <=> keep_id").select("key").distinct(), stay=False)
     twice = stash(gone.filter("doc_id <=> keep_id").select("key").distinct(), "pipeline-twice")
-    if twice.isEmpty():
-        return left
-    key = _row_key(F.sha2(collapse_space(F.col("text")).cast("binary"), 256))
-    once = rows_with(left, key, twice, stay=True).withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
-    return rows_with(left, key, twice, stay=False).unionByName(once)
-
-
-def _row_key(sha: Column) -> Column:
-    """Names a row by its id and its text's hash: a repeated doc_id may come with several texts."""
-    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha)
+    key = row_key(F.sha2(collapse_space(F.col("text")).cast("binary"), 256))
+    return without(docs, key, gone.filter("not doc_id <=> keep_id").select("key").distinct(), twice)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest doc_id. Rows without a doc_id stay."""
-    judged = stash(near_duplicates(docs, NEAR).select(F.col("doc_id").alias("key"), "kept").filter("key is not null"), "pipeline-near")
-    gone, kept = (judged.filter(k).select("key").distinct() for k in ("not kept", "kept"))
-    if gone.count() <= kept.count():
-        return rows_with(docs, F.col("doc_id"), gone, stay=False)
-    return rows_with(docs, F.col("doc_id"), kept, stay=True).unionByName(docs.filter("doc_id is null"))
+    """One document of each class of near copies: the one with the smallest doc_id.
+
+    Rows are told apart by id and text: where a class has several rows of its
+    smallest id, the least key of id and text stays. Of a class without any id
+    one row stays; texts without words all stay.
+    """
+    judged = stash(near_duplicates(docs, NEAR).select(F.col("row_key").alias("key"), "class", "kept"), "pipeline-near")
+    kept = judged.filter("kept and class is not null")
+    first = kept.groupBy("class").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = stash(first, "pipeline-several")
+    others = kept.join(first, "class").filter("key <> first").select("key")
+    gone = stash(judged.filter("not kept").select("key").unionByName(others).distinct(), "pipeline-gone")
+    return without(docs, row_key(F.md5(F.coalesce("text", F.lit("")))), gone, first.select(F.col("first").alias("key")))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,22 @@ def id_mod(col: str, m: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
 
+def row_key(text_hash: Column) -> Column:
+    """Names a row by its id and its text's hash: a repeated doc_id may come with several texts."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash)
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Names like those asked for that no column of ``frame`` has, whatever its case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def gapless_rank(rows: DataFrame, within: list[str], spread: Column, order: list[Column], n_rows: int, rank: str) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... within each value of ``within``, in no set order.
 
@@ -80,16 +96,17 @@ def sieve(ids: DataFrame, key: str, expected: int) -> DataFrame:
 
 def sifted(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     """Rows whose key the bitmap may hold."""
-    return _tested(rows, key, bitmap).filter("_orrery_maybe").drop("_orrery_maybe")
+    (maybe,) = fresh(rows, "_maybe")
+    return _tested(rows, key, bitmap, maybe).filter(F.col(maybe)).drop(maybe)
 
 
-def _tested(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+def _tested(rows: DataFrame, key: str, bitmap: DataFrame, maybe: str) -> DataFrame:
+    word, bits = fresh(rows, "_word", "_bits")
     h = F.xxhash64(F.col(key))
-    at = rows.withColumn("_orrery_word", F.pmod(F.shiftright(h, 6), F.lit(bitmap._sieve_words)))
-    bits = bitmap.select(F.col("word").alias("_orrery_word"), F.col("bits").alias("_orrery_bits"))
-    bit = F.expr(f"shiftrightunsigned(_orrery_bits, cast(pmod(xxhash64(`{key}`), 64) as int)) & 1L") == 1
-    got = at.join(F.broadcast(bits), "_orrery_word", "left").withColumn("_orrery_maybe", F.coalesce(bit, F.lit(False)))
-    return got.drop("_orrery_word", "_orrery_bits")
+    at = rows.withColumn(word, F.pmod(F.shiftright(h, 6), F.lit(bitmap._sieve_words)))
+    bit = F.expr(f"shiftrightunsigned(`{bits}`, cast(pmod(xxhash64(`{key}`), 64) as int)) & 1L") == 1
+    got = at.join(F.broadcast(bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits))), word, "left").withColumn(maybe, F.coalesce(bit, F.lit(False)))
+    return got.drop(word, bits)
 
 
 def rows_with(rows: DataFrame, key: Column, keys: DataFrame, stay: bool) -> DataFrame:
@@ -98,13 +115,24 @@ def rows_with(rows: DataFrame, key: Column, keys: DataFrame, stay: bool) -> Data
     The sieve settles nearly all rows where they are read, so only rows that it
     lets pass are shuffled for the exact join.
     """
-    keys = keys.select(F.col("key").alias("_orrery_key"))
-    tested = _tested(rows.withColumn("_orrery_key", key), "_orrery_key", sieve(keys, "_orrery_key", keys.count()))
+    name, maybe = fresh(rows, "_key", "_maybe")
+    keys = keys.select(F.col("key").alias(name))
+    tested = _tested(rows.withColumn(name, key), name, sieve(keys, name, keys.count()), maybe)
     if stay:
-        out = tested.filter("_orrery_maybe").join(keys, "_orrery_key", "left_semi")
+        out = tested.filter(F.col(maybe)).join(keys, name, "left_semi")
     else:
-        out = tested.filter("not _orrery_maybe").unionByName(tested.filter("_orrery_maybe").join(keys, "_orrery_key", "left_anti"))
-    return out.drop("_orrery_key", "_orrery_maybe")
+        out = tested.filter(~F.col(maybe)).unionByName(tested.filter(F.col(maybe)).join(keys, name, "left_anti"))
+    return out.select(rows.columns)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, once: DataFrame) -> DataFrame:
+    """``rows`` without those whose key is in ``gone(key)``, and one only of those with a key in ``once(key)``."""
+    left = rows_with(rows, key, gone, stay=False)
+    if once.isEmpty():
+        return left
+    (name,) = fresh(rows, "_key")
+    single = rows_with(left, key, once, stay=True).withColumn(name, key).dropDuplicates([name]).select(rows.columns)
+    return rows_with(left, key, once, stay=False).unionByName(single)
 
 
 def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:

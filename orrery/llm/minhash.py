@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import grouped_rows, ready, sieve, sifted
+from orrery.llm.common import grouped_rows, ready, row_key, sieve, sifted
 from orrery.llm.shingles import mix, shared, shingle_set
 from orrery.operators.components import connected_components
 from orrery.storage import discard, stash
@@ -59,7 +59,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         count, key, sig, bands = [], [], [], []
         for text in texts:
             s = shingle_set(text.as_py())
@@ -70,7 +70,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(band)
         n = batch.num_rows
         lists = lambda rows, width: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), lists(sig, BITS * WORDS), lists(bands, BANDS)], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+        columns = [*batch.columns[:2], pa.array(count, pa.int64()), pa.array(key, pa.binary()), lists(sig, BITS * WORDS), lists(bands, BANDS)]
+        yield pa.record_batch(columns, names=["doc_id", "row_key", "n_shingles", "set_key", "sig", "bands"])
 
 
 def matches(a: str, b: str) -> Column:
@@ -171,14 +172,16 @@ def _across(least: int, percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Classes of near copies among all rows of ``docs(doc_id, text)``.
 
-    A document's set holds its distinct shingles of five words (A-Z lower-cased,
-    words are runs of anything but ASCII white space; fewer words are one
-    shingle). Documents are linked where 100 * intersection >= percent * union
-    of the full sets, and classes are the connected components of these links.
+    A row's set holds the distinct shingles of five words of its text (A-Z
+    lower-cased, words are runs of anything but ASCII white space; fewer words
+    are one shingle). Rows are linked where 100 * intersection >= percent *
+    union of the full sets, and classes are the connected components of these
+    links. A node is a distinct set, named by the number of one of its rows, so
+    a doc_id that comes with several texts is a node for each.
 
     1. Every text gets a b-bit signature and band hashes; equal sets collapse.
     2. Each member of a band's bucket is a candidate of the bucket's smallest
-       id; packed signatures pick each document's best such leader and the pair
+       node; packed signatures pick each node's best such leader and the pair
        is confirmed on full sets. That is linear in a bucket's size.
     3. In buckets that still hold several components, rows outside the largest
        one meet all rows block by block: bit counts find the pairs across
@@ -188,23 +191,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     A pair that reaches the limit is missed only if it shares no band or its
     estimate is off by SIGMAS standard errors, each below 1e-6.
 
-    Null or empty texts and texts without words link with nothing. A null doc_id
-    is its own class with a null component_id. Repeated rows of a doc_id are one
-    document. Other columns are not looked at; an empty table gives an empty
-    result.
+    Null or empty texts and texts without words link with nothing; their
+    ``class`` is null. ``component_id`` is the smallest doc_id of the class; rows
+    without a doc_id link like others but never name a class that has an id, and
+    are kept only where no row of the class has one. Rows that repeat an id and
+    its text share one verdict. Other columns are not looked at; an empty table
+    gives an empty result.
 
-    Returns ``doc_id, n_shingles, component_id, kept``.
+    Returns ``doc_id, n_shingles, component_id, kept, row_key, class``: the
+    last two name the row (id and text) and its class.
     """
     ready(docs.sparkSession)
     least = least_matches(percent / 100)
-    prints = docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, n_shingles long, set_key binary, sig array<long>, bands array<long>")
-    prints = stash(prints, "near-prints")
-    reps = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    first = reps.select("set_key", F.col("id").alias("doc_id"))
-    signs = stash(prints.select("set_key", "doc_id", "sig").join(first, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("id"), "sig"), "near-signatures")
-
-    one = prints.select("set_key", "doc_id", "bands").join(first, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
-    bucket = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bkey"))
+    named = docs.select("doc_id", row_key(F.md5(F.coalesce("text", F.lit("")))).alias("row_key"), "text")
+    prints = named.mapInArrow(_prints, "doc_id long, row_key string, n_shingles long, set_key binary, sig array<long>, bands array<long>")
+    prints = stash(prints.withColumn("node", F.monotonically_increasing_id()), "near-prints")
+    sets = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"))
+    sets = stash(sets, "near-sets")
+    one = stash(prints.select("node", "row_key", "sig", "bands").join(sets.select("node"), "node", "left_semi"), "near-nodes")
+    signs = one.select(F.col("node").alias("id"), "sig")
+
+    bucket = one.select(F.col("node").alias("id"), F.explode("bands").alias("bkey"))
     lead = bucket.groupBy("bkey").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
     member = stash(bucket.join(lead, "bkey"), "near-members")
     pairs = member.filter("id <> leader").select("id", "leader").distinct()
@@ -214,14 +221,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     best = stash(best, "near-best")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        n = ids.count()
-        found = sifted(docs.select("doc_id", "text"), "doc_id", sieve(ids, "doc_id", n))
-        return found.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-
-    wanted = best.select(F.col("id").alias("doc_id")).unionByName(best.select(F.col("leader").alias("doc_id"))).distinct()
-    texts = stash(texts_of(stash(wanted, "near-wanted")), "near-texts")
-    paired = best.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("own")), "id")
-    paired = paired.join(texts.select(F.col("doc_id").alias("leader"), "text"), "leader").select("leader", "id", "text", "own")
+        """Texts of nodes, read by the key of the row that stands for each."""
+        keys = stash(one.select(F.col("node").alias("id"), "row_key").join(ids, "id", "left_semi"), "near-keys")
+        found = sifted(named.select("row_key", "text"), "row_key", sieve(keys, "row_key", keys.count()))
+        return found.groupBy("row_key").agg(F.first("text").alias("text")).join(keys, "row_key").select("id", "text")
+
+    wanted = best.select("id").unionByName(best.select(F.col("leader").alias("id"))).distinct()
+    texts = stash(texts_of(wanted), "near-texts")
+    paired = best.join(texts.select("id", F.col("text").alias("own")), "id")
+    paired = paired.join(texts.select(F.col("id").alias("leader"), "text"), "leader").select("leader", "id", "text", "own")
     star = stash(paired.mapInArrow(_confirm(percent), "a long, b long"), "near-star")
     discard(texts)
 
@@ -236,13 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keys = ("bkey", "mblk", "rblk")
     blocks = every.unionByName(rest).repartition(*keys).sortWithinPartitions(*keys)
     doubt = stash(blocks.mapInArrow(_involved(least), "bkey long, id long, sig array<long>, comp long, mblk long, rblk long, side boolean"), "near-doubt")
-    wanted = stash(doubt.select(F.col("id").alias("doc_id")).distinct(), "near-doubtful")
-    held = doubt.join(texts_of(wanted).withColumnRenamed("doc_id", "id"), "id").repartition(*keys).sortWithinPartitions(*keys)
+    held = doubt.join(texts_of(doubt.select("id").distinct()), "id").repartition(*keys).sortWithinPartitions(*keys)
     cross = stash(held.mapInArrow(_across(least, percent), "a long, b long"), "near-cross")
 
     label = connected_components(star.unionByName(cross), "near-last")
-    classes = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    classes = stash(classes, "near-classes")  # so that the join below has no aggregate in it and a hot set can be split
-    out = prints.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    classes = stash(sets.join(label, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("class")), "near-labels")
+    named_by = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
+    classes = stash(classes.join(named_by, "class").select("set_key", "class", "component_id"), "near-classes")  # so that the join below has no aggregate in it and a hot set can be split
+    out = prints.select("doc_id", "row_key", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "row_key", "class")

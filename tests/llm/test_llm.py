@@ -134,24 +134,32 @@ def test_exact_dedup(docs, odd):
 
 
 def brute_near(rows, percent):
+    """Each row's id, set size and class's smallest id, and the classes as sets of row numbers."""
+
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in rows if i is not None}
-    root = {i: i for i in sets}
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    classes = defaultdict(list)
+    for i in range(len(rows)):
+        classes[find(i)].append(i)
+    least = {k: min((rows[i][0] for i in v if rows[i][0] is not None), default=None) for k, v in classes.items()}
+    return Counter((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows))), list(classes.values())
+
+
+TWO_TEXTS = BASE.replace("w40 ", "changed ")
+OTHER = " ".join(f"o{i}" for i in range(80))
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -159,12 +167,36 @@ def test_near_duplicates(docs, odd, percent):
     for frame in (docs, odd):
         rows = texts(frame)
         got = minhash.near_duplicates(frame, percent).collect()
-        assert len(got) == len(rows)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_near(rows, percent)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, percent)[0]
         assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+CASES = [
+    [(1, BASE), (2, TWO_TEXTS), (2, OTHER)],
+    [(1, "z" + BASE[1:]), (1, BASE), (2, OTHER), (None, TWO_TEXTS), (None, OTHER + " x")],
+    [(None, BASE), (None, TWO_TEXTS), (None, OTHER)],
+    [(5, BASE), (5, BASE), (5, TWO_TEXTS), (7, BASE.upper())],
+]
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_an_id_with_several_texts(spark, step):
+    """Each text of an id links for itself: no link is lost, no stranger joined or dropped, one row of each class stays."""
+    rows = [(i and i + 10 * k, " ".join(f"c{k}{w}" for w in t.split())) for k, case in enumerate(CASES) for i, t in case]
+    rows = [*rows, (None, ""), (None, None), (90, " ")][::step]
+    frame = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, class int, row_key string, _key string").repartition(3)
+    want, classes = brute_near(rows, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 80).collect()) == want
+    left = corpus_pipeline.drop_near_copies(spark, frame, DATA)
+    assert left.columns == frame.columns
+    left = [(r.doc_id, r.text) for r in left.collect()]
+    number = {rows[i]: k for k, members in enumerate(classes) for i in members}
+    assert Counter(number[r] for r in left if (r[1] or "").strip()) == Counter(k for k, members in enumerate(classes) if (rows[members[0]][1] or "").strip())
+    assert sum(not (t or "").strip() for _, t in left) == 3
+    assert all(i == min((rows[j][0] for j in classes[number[i, t]] if rows[j][0] is not None), default=None) for i, t in left)
+
+
 def test_links_across_components(spark):
     """Near copies of near copies, of which only the last pairs are similar enough, and dissimilar ones in the same buckets."""
     rng = np.random.default_rng(3)
@@ -175,8 +207,8 @@ def test_links_across_components(spark):
             words[j] = f"z{i}_{j}"
         rows.append((i, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 85).collect()}
-    assert got == brute_near(rows, 85)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 85).collect())
+    assert got == brute_near(rows, 85)[0]
 
 
 @given(st.text(alphabet="aAbé \t\n\x0b\xa0 .", max_size=60))
@@ -187,6 +219,18 @@ def test_shingles_are_those_of_words(text):
     assert len(shingles.shingle_set(text.encode())) == len(want)
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = b" \n".join(b"w%d" % i for i in rng.integers(0, 40, 3000)) + b"  "
+    whole = shingles.shingle_set(raw)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(shingles, "SLICE", size)
+        assert (shingles.shingle_set(raw) == whole).all()
+        assert [len(shingles.shingle_set(b"a " * n)) for n in (0, 1, 4, 5, 9)] == [0, 1, 1, 1, 1]
+    monkeypatch.undo()
+    assert len(shingles.shingle_set(b"x" * (3 * shingles.SLICE) + b" y")) == 1
+
+
 # packing
 
 
@@ -471,8 +515,8 @@ def test_pipeline(spark, tmp_path):
     assert good.join(labels, "doc_id").count() >= 0.95 * documents.join(labels, "doc_id").count()
     groups, n = brute_exact(texts(good))
     assert sorted(r.doc_id for r in exact.collect()) == sorted({k for _, k, _, _ in groups}) and exact.count() == n
-    classes = brute_near(texts(exact), 80)
-    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in classes.items() if i == c)
+    classes, _ = brute_near(texts(exact), 80)
+    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, _, c in classes if i == c)
     assert masked.count() == near.count() and not any(brute_secrets(t) for _, t in texts(masked))
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
 
