@@ -2,44 +2,50 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ready
+from orrery.llm.common import larger, ready
+from orrery.llm.shingles import hashes
 from orrery.storage import stash
 
-#: Symbols: 0 beyond the text's ends, then the most frequent words, then hash classes for all others.
-SYMBOLS, CLASSES = 256, 64
-TOP = SYMBOLS - CLASSES - 1
+#: The most frequent words are outputs of the network's first level; the next ones are in classes of EACH words, dealt by rank; one output is for all others.
+HEADS, CLASSES, EACH = 31, 32, 128
+FIRST, WORDS = HEADS + CLASSES + 1, HEADS + CLASSES * EACH
+#: Inputs: 0 beyond the text's ends, the words above, and hash places for all others.
+HASHED = 256
+INPUTS = 1 + WORDS + HASHED
 #: Words looked at on each side of the masked one, and hidden units.
 SIDE, HIDDEN = 2, 16
-#: Rounds of training, which deal the segments of SEGMENT words of every text among them by hash: each is learned from once.
-ROUNDS, SEGMENT = 2, 32
-#: Words with a frequency of their own for each root of the corpus's number of words; the others of a class share one.
-GROWTH = 16
+#: Rounds of training; each learns from every word.
+ROUNDS = 1
 #: Windows in one step, learning rate, and tokens scored at a time.
-STEP, RATE, BLOCK = 512, 0.02, 1024
-#: Words of short texts that are put together for one call.
-GATHER = 8 * STEP
-#: Parameters in one message, and first-level groups of the average.
-CHUNK, FAN = 1024, 64
-MEMO = 400_000
-
-_SHAPES = {"e": (2 * SIDE, SYMBOLS, HIDDEN), "a": (HIDDEN,), "o": (HIDDEN, SYMBOLS), "c": (SYMBOLS,)}
+STEP, RATE, BLOCK = 4096, 0.15, 2048
+#: Rows of one class in a product of the second level.
+TILE = 16
+#: Bytes of text put together for one call.
+GATHER = 1_000_000
+#: Parameters in one message, and partitions whose messages are averaged first.
+CHUNK, FAN = 8192, 256
+#: Places of the table of word counts: 16 for each kind of word up to 16 MB in all.
+PLACES_LEAST, PLACES_MOST = 1 << 16, 1 << 24
+#: Steps of a doubling in the table of word counts, and slices it is made in.
+FINE, SLICES = 8, 256
+
+_SHAPES = {"e": (2 * SIDE, INPUTS, HIDDEN), "a": (HIDDEN,), "o": (HIDDEN, FIRST), "c": (FIRST,), "p": (CLASSES, HIDDEN, EACH), "q": (CLASSES, EACH)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-_AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-
-
-def start() -> np.ndarray:
-    rng = np.random.default_rng(23)
-    parts = [rng.normal(0, 0.1, s) if k in "eo" else np.zeros(s) for k, s in _SHAPES.items()]
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+_AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)], dtype=np.int32)
+_INPUT = np.arange(INPUTS)
+_IN_CLASS = (_INPUT > HEADS) & (_INPUT <= WORDS)
+#: Of each input, its output on the first level, its class and its place there (-1: none).
+_ONE = np.where(_INPUT <= HEADS, np.maximum(_INPUT - 1, 0), np.where(_IN_CLASS, HEADS + (_INPUT - HEADS - 1) % CLASSES, FIRST - 1)).astype(np.int32)
+_TWO = np.where(_IN_CLASS, (_INPUT - HEADS - 1) // CLASSES, -1).astype(np.int32)
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -53,145 +59,193 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Vocabulary:
-    """The corpus's words: symbols of the network, and each word's share of its symbol.
+    """The corpus's words: the frequent ones by name, with their counts, and the counts of all others in a table.
 
-    The most frequent words are symbols of their own. All others are in hash
-    classes: those in ``listed`` by their counts, the rest of a class, ``types``
-    words, by what is left of the class's count, in equal parts. One more part
-    is for a word that was not counted.
+    A place of the table holds the mean count of the words that hash there, as
+    a power of two in steps of 1 / FINE; ``others`` is the sum of their counts.
     """
 
-    def __init__(self, frequent: list[str], listed: list[str], counts: np.ndarray, mass: np.ndarray, types: np.ndarray):
-        self.words, self.frequent = [*frequent, *listed], len(frequent)
-        classes = np.array([_class(w) for w in listed], dtype=np.int64)
-        total = mass + 1.0
-        left = np.maximum(mass - np.bincount(classes, counts, CLASSES), 0.0) + 1.0
-        spread = np.maximum(types - np.bincount(classes, minlength=CLASSES), 0) + 1.0
-        self.symbol = np.concatenate([np.arange(1, self.frequent + 1), TOP + 1 + classes, TOP + 1 + np.arange(CLASSES)]).astype(np.int64)
-        self.share = np.concatenate([np.zeros(self.frequent), np.log(counts / total[classes]), np.log(left / spread / total)])
-
-
-class Codes:
-    """Places of words in a vocabulary's arrays."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.known = {w: i for i, w in enumerate(vocabulary.words)}
-        self.memo: dict[str, int] = dict(self.known)
+    def __init__(self, words: list[str], counts: np.ndarray, table: np.ndarray, others: float):
+        self.words, self.counts, self.table, self.others = words, counts, table, others
 
-    def of(self, words: list[str]) -> np.ndarray:
-        memo, known = self.memo, len(self.known)
-        if len(memo) > MEMO + known:
-            memo.clear()
-            memo.update(self.known)
-        for w in set(words).difference(memo):
-            memo[w] = known + _class(w)
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+    def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's input and the log of its share of its output: 0 for a frequent word."""
+        at = pc.index_in(words, value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy()
+        other = np.flatnonzero(at < 0)
+        hashed = hashes(words)[other]
+        codes, share = at + 1, np.zeros(len(at))
+        codes[other] = 1 + WORDS + (hashed % np.uint64(HASHED)).astype(np.int32)
+        mean = np.exp2(self.table[place_of(hashed, len(self.table))] / FINE)
+        share[other] = np.log(np.maximum(mean, 1.0) / max(self.others, 1.0))
+        return codes, share
 
 
-def _class(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % CLASSES
+def place_of(hashed: np.ndarray, places: int) -> np.ndarray:
+    return ((hashed >> np.uint64(20)) % np.uint64(places)).astype(np.int64)
 
 
-def _words(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def start(known: Vocabulary) -> np.ndarray:
+    """Parameters that give each word its frequency, whatever is around it."""
+    rng = np.random.default_rng(23)
+    net = {k: rng.normal(0, 0.1, s) if k in "eop" else np.zeros(s) for k, s in _SHAPES.items()}
+    counts = np.ones(INPUTS)
+    counts[1 : len(known.counts) + 1] += known.counts
+    here = np.arange(1, WORDS + 1)
+    first = np.bincount(_ONE[here], counts[here], FIRST)
+    first[-1] += known.others + 1
+    net["c"] = np.log(first / first.sum())
+    inner = here[_TWO[here] >= 0]
+    net["q"][_ONE[inner] - HEADS, _TWO[inner]] = np.log(counts[inner] / first[_ONE[inner]])
+    return np.concatenate([p.ravel() for p in net.values()]).astype(np.float32)
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, each word's place among them, and the number of words of each text.
+
+    Words are in lower case, between white space; a null text has none.
+    """
+    clean = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    lists = pc.utf8_split_whitespace(clean)
+    words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(clean, "").to_numpy(zero_copy_only=False)
+    if blank.any():
+        words, lengths = words.filter(pc.not_equal(words, "")), np.where(blank, 0, lengths)
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), lengths
+
+
+class Windows:
+    """The symbols around each position of several texts; beyond a text's ends there is symbol 0."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.at = (np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(lengths) + 1), lengths)).astype(np.int32)
+        self.padded = np.zeros(len(ids) + SIDE * (len(lengths) + 1), dtype=np.int32)
+        self.padded[self.at] = ids
+
+    def of(self, places: slice) -> np.ndarray:
+        return self.padded[self.at[places][:, None] + _AROUND]
+
+
+class Inner:
+    """Rows of the second level, sorted by class and put into tiles of TILE rows of one class."""
+
+    def __init__(self, goal: np.ndarray):
+        rows = np.flatnonzero(_TWO[goal] >= 0)
+        kind = _ONE[goal[rows]] - HEADS
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        self.rows, kind = rows[order], kind[order]
+        self.slot = _TWO[goal[self.rows]]
+        counts = np.bincount(kind, minlength=CLASSES)
+        tiles = -(-counts // TILE)
+        place = np.arange(len(rows)) - (np.cumsum(counts) - counts)[kind]
+        self.tile, self.place = (np.cumsum(tiles) - tiles)[kind] + place // TILE, place % TILE
+        self.kind = np.repeat(np.arange(CLASSES), tiles)  # of each tile
+
+    def logits(self, net: dict[str, np.ndarray], hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = np.zeros((len(self.kind), TILE, HIDDEN), dtype=hidden.dtype)
+        held[self.tile, self.place] = hidden[self.rows]
+        out = held @ net["p"][self.kind]
+        out += net["q"][self.kind][:, None, :]
+        return held, out
+
+
+def _hidden(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
+    total = net["e"][0][around[:, 0]] + net["a"]
+    for k in range(1, 2 * SIDE):
+        total += net["e"][k][around[:, k]]
+    return np.tanh(total, out=total)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """The symbols around each position; beyond the ends there is symbol 0."""
-    padded = np.concatenate([np.zeros(SIDE, dtype=np.int64), ids, np.zeros(SIDE, dtype=np.int64)])
-    return padded[np.arange(len(ids))[:, None] + SIDE + _AROUND]
+def log_probabilities(net: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Log of the probability that the network gives each masked symbol, from both sides: output, then place in its class.
 
+    Logits are bounded by the parameters, as hidden units are by 1, so nothing overflows.
+    """
+    hidden = _hidden(net, around)
+    logits = hidden @ net["o"]
+    logits += net["c"]
+    out = logits[np.arange(len(goal)), _ONE[goal]]
+    out -= np.log(np.exp(logits, out=logits).sum(axis=1))
+    inner = Inner(goal)
+    if len(inner.rows):
+        _, two = inner.logits(net, hidden)
+        own = two[inner.tile, inner.place, inner.slot]
+        out[inner.rows] += own - np.log(np.exp(two, out=two).sum(axis=2))[inner.tile, inner.place]
+    return out
 
-def joined(ids: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """The windows of several texts, whose symbols follow each other in ``ids``."""
-    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(lengths) + 1), lengths)
-    padded = np.zeros(len(ids) + SIDE * (len(lengths) + 1), dtype=np.int64)
-    padded[at] = ids
-    return padded[at[:, None] + _AROUND]
 
-
-def log_probabilities(net: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """Log of the probability that the network gives each masked symbol, from both sides."""
-    hidden = net["a"] + sum(net["e"][k][around[:, k]] for k in range(2 * SIDE))
-    logits = np.tanh(hidden) @ net["o"] + net["c"]
-    top = logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(goal)), goal] - top[:, 0]
-    np.subtract(logits, top, out=logits)
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
+def gradient(net: dict[str, np.ndarray], around: np.ndarray, goal: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """Of the mean negative log-probability of the masked symbols: by the parameters but "e", and by the rows of "e" that were used."""
+    n, hidden = len(goal), _hidden(net, around)
+    p = hidden @ net["o"]
+    p += net["c"]
+    np.exp(p, out=p)
+    p /= n * p.sum(axis=1, keepdims=True)
+    p[np.arange(n), _ONE[goal]] -= 1 / n
+    out = {"o": hidden.T @ p, "c": p.sum(axis=0), "p": np.zeros_like(net["p"]), "q": np.zeros_like(net["q"])}
+    back = p @ net["o"].T
+    inner = Inner(goal)
+    if len(inner.rows):
+        held, two = inner.logits(net, hidden)
+        np.exp(two, out=two)
+        two /= n * two.sum(axis=2, keepdims=True)
+        two[inner.tile, inner.place, inner.slot] -= 1 / n
+        used = np.zeros(two.shape[:2], dtype=bool)
+        used[inner.tile, inner.place] = True
+        two[~used] = 0
+        ends = np.concatenate([np.flatnonzero(np.diff(inner.kind, prepend=-1)), [len(inner.kind)]])
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            mine = two[i:j].reshape(-1, EACH)
+            out["p"][inner.kind[i]], out["q"][inner.kind[i]] = held[i:j].reshape(-1, HIDDEN).T @ mine, mine.sum(axis=0)
+        back[inner.rows] += (two @ net["p"].transpose(0, 2, 1)[inner.kind])[inner.tile, inner.place]
+    back *= 1 - hidden * hidden
+    out["a"] = back.sum(axis=0)
+    rows, units, sent = [], np.arange(HIDDEN), back.ravel()
+    for k in range(2 * SIDE):
+        used = np.zeros(INPUTS, dtype=bool)
+        used[around[:, k]] = True
+        used = np.flatnonzero(used)
+        total = np.bincount((around[:, k, None] * HIDDEN + units).ravel(), sent, INPUTS * HIDDEN).reshape(INPUTS, HIDDEN)
+        rows.append((used, total[used].astype(hidden.dtype)))
+    return out, rows
 
 
 class Trainer:
-    """One partition's copy of the network, with Adam."""
+    """One partition's copy of the network, with a rate for each parameter that falls as its gradients add up."""
 
     def __init__(self, flat: np.ndarray):
-        self.flat = flat.copy()
-        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.flat, self.total = flat.copy(), np.full_like(flat, 1e-6)
 
     def step(self, around: np.ndarray, goal: np.ndarray) -> None:
-        net, grad = unpack(self.flat), np.zeros_like(self.flat)
-        g, n = unpack(grad), len(goal)
-        hidden = np.tanh(net["a"] + sum(net["e"][k][around[:, k]] for k in range(2 * SIDE)))
-        logits = hidden @ net["o"] + net["c"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), goal] -= 1
-        p /= n
-        g["o"][:] = hidden.T @ p
-        g["c"][:] = p.sum(axis=0)
-        back = (p @ net["o"].T) * (1 - hidden * hidden)
-        g["a"][:] = back.sum(axis=0)
-        for k in range(2 * SIDE):
-            np.add.at(g["e"][k], around[:, k], back)
-        self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        pace = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t) / (1 + self.t / 2000)
-        self.flat -= pace * self.m / (np.sqrt(self.v) + 1e-7)
-
-
-def _drawn(words: list[str], turn: int) -> np.ndarray:
-    """Which words of a text a round learns from: whole segments, by a hash of the text and the place."""
-    key = np.uint64(zlib.crc32(" ".join(words[:64]).encode("utf-8", "replace")) + (len(words) << 32))
-    with np.errstate(over="ignore"):
-        draw = ((np.arange(-(-len(words) // SEGMENT), dtype=np.uint64) + key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return np.repeat(draw % np.uint64(ROUNDS) == turn, SEGMENT)[: len(words)]
-
-
-def _learn(shared, turn: int):
-    """Trains on a partition's segments and sends the parameters, in chunks, with the number of windows they saw."""
+        net, total = unpack(self.flat), unpack(self.total)
+        dense, rows = gradient(net, around, goal)
+        for k, g in dense.items():
+            total[k] += g * g
+            g /= np.sqrt(total[k])
+            g *= RATE
+            net[k] -= g
+        for k, (at, g) in enumerate(rows):
+            total["e"][k][at] += g * g
+            net["e"][k][at] -= RATE * g / np.sqrt(total["e"][k][at])
+
+
+def _learn(shared):
+    """Trains on a partition's words and sends the parameters, in chunks, with the number of windows they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
-        codes, trainer, seen = Codes(vocabulary), Trainer(flat), 0
-        words, lengths, drawn = [], [], []
-
-        def flush() -> int:
-            if not words:
-                return 0
-            ids, mine = vocabulary.symbol[codes.of(words)], np.concatenate(drawn)
-            x, y = joined(ids, lengths)[mine], ids[mine]
-            for i in range(0, len(y), STEP):
-                trainer.step(x[i : i + STEP], y[i : i + STEP])
-            words.clear()
-            lengths.clear()
-            drawn.clear()
-            return len(y)
-
-        for batch in batches:
-            for text in batch.column(0):
-                own = _words(text.as_py())
-                mine = _drawn(own, turn)
-                if mine.any():
-                    words.extend(own)
-                    lengths.append(len(own))
-                    drawn.append(mine)
-                if len(words) >= GATHER:
-                    seen += flush()
-        seen += flush()
+        known, flat = shared.value
+        trainer, seen = Trainer(flat), 0
+        for batch in larger(batches, 0, GATHER):
+            words, at, lengths = tokens(batch.column(0))
+            if not len(words):
+                continue
+            ids = known.codes(words)[0][at]
+            windows = Windows(ids, lengths)
+            seen += len(ids)
+            for i in range(0, len(ids), STEP):
+                trainer.step(windows.of(slice(i, i + STEP)), ids[i : i + STEP])
         if seen:
-            part = TaskContext.get().partitionId() % FAN
-            chunks = range(0, _SIZE, CHUNK)
+            part, chunks = TaskContext.get().partitionId() // FAN, range(0, _SIZE, CHUNK)
             columns = [pa.array([i // CHUNK for i in chunks], pa.int32()), pa.array([part] * len(chunks), pa.int32()), pa.array([seen] * len(chunks), pa.int64()), pa.array([trainer.flat[i : i + CHUNK].tobytes() for i in chunks], pa.binary())]
             yield pa.record_batch(columns, names=["chunk", "part", "seen", "weights"])
 
@@ -210,45 +264,66 @@ def _average(rows: pa.Table) -> pa.Table:
 _MESSAGE = "chunk int, part int, seen long, weights binary"
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in larger(batches, 0, 4 * GATHER):
+        words, at, _ = tokens(batch.column(0))
+        if len(words):
+            yield pa.record_batch([words, pa.array(hashes(words).view(np.int64)), pa.array(np.bincount(at, minlength=len(words)), pa.int64())], names=["word", "hash", "n"])
+
+
+def _slice(places: int):
+    """A slice of the table of counts, from its places' sums of counts and numbers of words."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        width = places // SLICES
+        out = np.zeros(width, dtype=np.uint8)
+        mean = rows["n"].to_numpy() / rows["types"].to_numpy()
+        out[rows["place"].to_numpy() % width] = np.clip(np.rint(FINE * np.log2(mean)), 0, 255)
+        return pa.table({"slice": pa.array([int(rows["slice"][0].as_py())], pa.int64()), "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The corpus's words, counted over all texts; ties in order.
 
-    The words with counts of their own are those over a least count that a
-    histogram of the counts gives: GROWTH for each root of the number of words.
+    The driver gets the WORDS most frequent ones and a table of counts whose
+    size follows the number of kinds of words, up to PLACES_MOST bytes. Beyond,
+    words that share a place share the mean of their counts.
     """
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
-    counts = stash(words.groupBy("word").agg(F.count("*").alias("n")), "lm-words")
-    frequent = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()}
-    histogram = sorted(((r["n"], r["types"]) for r in counts.groupBy("n").agg(F.count("*").alias("types")).collect()), reverse=True)
-    room, least = GROWTH * sum(n * types for n, types in histogram) ** 0.5, 1 << 62
-    for n, types in histogram:
-        if (room := room - types) < 0:
-            break
-        least = n
-    listed = counts.filter(F.col("n") >= least).toArrow()
-    pairs = [(w, n) for w, n in zip(listed["word"].to_pylist(), listed["n"].to_pylist(), strict=True) if w not in frequent]
-    mass, types = np.zeros(CLASSES), np.zeros(CLASSES, dtype=np.int64)
-    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % CLASSES).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        mass[r["class"]], types[r["class"]] = r["n"], r["types"]
-    for w, n in frequent.items():
-        mass[_class(w)] -= n
-        types[_class(w)] -= 1
-    return Vocabulary(list(frequent), [w for w, _ in pairs], np.array([n for _, n in pairs], dtype=np.float64), mass, types)
+    counts = docs.select("text").mapInArrow(_counts, "word string, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
+    counts = stash(counts, "lm-words")
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    facts = counts.agg(F.count("*").alias("types"), F.sum("n").alias("n")).first()
+    places = PLACES_LEAST
+    while places < min(PLACES_MOST, 16 * facts["types"]):
+        places *= 2
+    place = F.shiftrightunsigned("hash", 20) % places
+    last, n = (top[-1]["word"], top[-1]["n"]) if len(top) == WORDS else ("", 0)  # with fewer kinds of words, all are frequent
+    others = counts.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > last)))
+    sums = others.groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+    pieces = sums.withColumn("slice", F.floor(F.col("place") / (places // SLICES))).groupBy("slice").applyInArrow(_slice(places), "slice long, bytes binary").collect()
+    table = np.zeros(places, dtype=np.uint8)
+    for r in pieces:
+        table[r["slice"] * (places // SLICES) :][: places // SLICES] = np.frombuffer(r["bytes"], dtype=np.uint8)
+    named = np.array([r["n"] for r in top], dtype=np.float64)
+    return Vocabulary([r["word"] for r in top], named, table, float((facts["n"] or 0) - named.sum()))
 
 
 def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the network's parameters, learned from every word of ``docs``.
 
-    In each round every partition trains a copy on the segments it draws, and
-    the copies are averaged by the windows they saw, in two levels; what moves
-    grows with the partitions, what reaches the driver is one model of 80 kB and
-    a vocabulary that grows with the root of the number of words.
+    In each round every partition trains a copy on all its words, and the
+    copies are averaged by the windows they saw, in two levels; what moves
+    grows with the partitions, what reaches the driver is one model of 1.4 MB
+    and a vocabulary of bounded size.
     """
     spark = docs.sparkSession
-    known, flat = vocabulary(docs), start()
-    for turn in range(ROUNDS):
+    known = vocabulary(docs)
+    flat = start(known)
+    for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((known, flat))
-        sent = docs.select("text").mapInArrow(_learn(shared, turn), _MESSAGE)
+        sent = docs.select("text").mapInArrow(_learn(shared), _MESSAGE)
         means = sent.groupBy("chunk", "part").applyInArrow(_average, _MESSAGE).groupBy("chunk").applyInArrow(_average, _MESSAGE)
         got = {r["chunk"]: np.frombuffer(r["weights"], dtype=np.float32) for r in means.collect()}
         if got:
@@ -259,18 +334,17 @@ def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Scores every whole text of ``docs(doc_id, text)`` by its masked pseudo-likelihood.
 
-    Each word is masked in turn and predicted from SIDE words on either side;
-    ``pll`` is the sum of the logs of the conditional probabilities of the
-    words' symbols (the corpus's most frequent words, hash classes for the
-    rest); ``word_pll`` adds the log of each word's share of its symbol and so
-    is the score over all words of the corpus. Words are in lower case, between
-    white space.
+    Each word is masked in turn and predicted from SIDE words on either side.
+    ``pll`` is the sum of the logs of the words' conditional probabilities: the
+    network's for its WORDS most frequent words and for all others together,
+    times, for one of these, its share of them by its count. ``network_pll``
+    leaves those shares out. Words are in lower case, between white space.
 
     Null, empty and blank texts: no tokens, score 0, no mean. Null or repeated
     doc_id: scored row by row. Other columns are not looked at; an empty table
     gives an empty result.
 
-    Returns ``doc_id, n_tokens, pll, pll_per_token, word_pll, word_pll_per_token``.
+    Returns ``doc_id, n_tokens, pll, pll_per_token, network_pll``.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -278,32 +352,17 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
-        codes, net = Codes(known), unpack(flat)
-
-        def scored(texts: list[list[str]]) -> np.ndarray:
-            """Sums of the logs of symbols and of words, by text."""
-            lengths = np.array([len(t) for t in texts])
-            at = codes.of([w for t in texts for w in t])
-            ids, own = known.symbol[at], np.repeat(np.arange(len(texts)), lengths)
-            around = joined(ids, lengths)
-            logs = [log_probabilities(net, around[i : i + BLOCK], ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-            symbols = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
-            return np.array([np.bincount(own, x, len(texts)) for x in (symbols, symbols + known.share[at])])
-
-        for batch in batches:
-            counts, sums, texts, held = [], [np.zeros((2, 0))], [], 0
-            for text in batch.column(1):
-                texts.append(_words(text.as_py()))
-                counts.append(len(texts[-1]))
-                held += counts[-1]
-                if held >= GATHER:
-                    sums.append(scored(texts))
-                    texts, held = [], 0
-            if texts:
-                sums.append(scored(texts))
-            n, columns = np.array(counts, dtype=np.float64), [batch.column(0), pa.array(counts, pa.int64())]
-            for x in np.concatenate(sums, axis=1):
-                columns += [pa.array(x, pa.float64()), pa.array(x / np.maximum(n, 1), pa.float64(), mask=n == 0)]
-            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "pll", "pll_per_token", "word_pll", "word_pll_per_token"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double, word_pll double, word_pll_per_token double")
+        net = unpack(flat)
+        for batch in larger(batches, 1, GATHER):
+            words, at, lengths = tokens(batch.column(1))
+            codes, share = known.codes(words)
+            ids = codes[at]
+            windows = Windows(ids, lengths)
+            logs = [log_probabilities(net, windows.of(slice(i, i + BLOCK)), ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+            logs = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
+            own = np.repeat(np.arange(len(lengths)), lengths)
+            network, whole = (np.bincount(own, x, len(lengths)) for x in (logs, logs + share[at]))
+            mean = pa.array(whole / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
+            yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(whole, pa.float64()), mean, pa.array(network, pa.float64())], names=["doc_id", "n_tokens", "pll", "pll_per_token", "network_pll"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double, network_pll double")

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -82,6 +83,29 @@ def shingle_set(raw: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string of an array without nulls, as that of a window of words."""
+    size = len(words)
+    if not size:
+        return np.zeros(0, dtype=np.uint64)
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + size + 1]
+    text = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    out = np.zeros(size, dtype=np.uint64)
+    begin = 0
+    while begin < size:
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE, side="right")) - 1)
+        part, at = text[ends[begin] : ends[stop]], ends[begin : stop + 1] - ends[begin]
+        powers, inverse = (_POWERS, _INVERSE) if len(part) < len(_POWERS) else (_series(_STEP, len(part) + 1), _series(_BACK, len(part) + 1))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_CODE[part] * powers[: len(part)], out=sums[1:])
+            out[begin:stop] = mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]])
+        begin = stop
+    return out
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):

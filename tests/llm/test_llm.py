@@ -383,52 +383,127 @@ def test_held_out_labels_do_not_matter(spark, docs):
     assert score(labels) == score(turned)
 
 
-def test_pseudo_likelihood(docs, odd):
+def brute_pll(known, flat, words):
+    """A text's score, one masked word after another, from plain sums over all outputs."""
+    net = {k: v.astype(np.float64) for k, v in lm_scoring.unpack(flat).items()}
+    inputs, share = known.codes(pa.array(words, pa.string()))
+    total = network = 0.0
+    for i in range(len(words)):
+        around = [int(inputs[j]) if 0 <= (j := i + d) < len(words) else 0 for d in (-2, -1, 1, 2)]
+        hidden = np.tanh(net["a"] + sum(net["e"][k][x] for k, x in enumerate(around)))
+        one = hidden @ net["o"] + net["c"]
+        p = np.exp(one) / np.exp(one).sum()
+        goal = int(inputs[i]) - 1
+        if goal < lm_scoring.HEADS:
+            log = np.log(p[goal])
+        elif goal < lm_scoring.WORDS:
+            slot, kind = divmod(goal - lm_scoring.HEADS, lm_scoring.CLASSES)
+            two = hidden @ net["p"][kind] + net["q"][kind]
+            log = np.log(p[lm_scoring.HEADS + kind]) + two[slot] - np.log(np.exp(two).sum())
+        else:
+            log = np.log(p[-1])
+        network, total = network + log, total + log + share[i]
+    return total, network
+
+
+def test_pseudo_likelihood(docs, odd, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "train", lambda d, _train=lm_scoring.train: kept.append(_train(d)) or kept[-1])
+    kept = []
     got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs).collect()}
-    for i, t in texts(docs):
-        n = len((t or "").lower().split())
-        assert got[i].n_tokens == n and (got[i].pll < 0 or n == 0)
-    mean = sum(r.pll for r in got.values()) / sum(r.n_tokens for r in got.values())
-    assert mean > -np.log(lm_scoring.SYMBOLS)
+    known, flat = kept[0]
+    unigram = lm_scoring.start(known)
+    better = 0
+    for i, t in texts(docs)[:60]:
+        words = (t or "").lower().split()
+        total, network = brute_pll(known, flat, words[:400]) if len(words) <= 400 else (None, None)
+        assert got[i].n_tokens == len(words) and (got[i].pll < 0 or not words)
+        if total is not None:
+            assert np.isclose(got[i].pll, total, rtol=1e-4, atol=1e-3) and np.isclose(got[i].network_pll, network, rtol=1e-4, atol=1e-3)
+            better += total - brute_pll(known, unigram, words)[0]
+    assert better > 0
     rows = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(odd).collect()}
     assert rows[3].n_tokens == rows[4].n_tokens == 0 and rows[5].pll == 0 and rows[5].pll_per_token is None
     assert lm_scoring.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def random_vocabulary(rng, others=5000.0):
+    counts = np.sort(rng.integers(1, 10_000, lm_scoring.WORDS))[::-1].astype(float)
+    return lm_scoring.Vocabulary([f"w{i}" for i in range(lm_scoring.WORDS)], counts, rng.integers(0, 40, 1 << 16).astype(np.uint8), others)
+
+
+def test_gradients_are_those_of_differences():
+    rng = np.random.default_rng(0)
+    flat = lm_scoring.start(random_vocabulary(rng)).astype(np.float64) + rng.normal(0, 0.1, lm_scoring._SIZE)
+    ids = rng.choice(lm_scoring.INPUTS - 1, 300).astype(np.int32) + 1
+    ids[:100] = ids[0]
+    x = lm_scoring.Windows(ids, np.array([120, 0, 180])).of(slice(None))
+    grad = np.zeros(lm_scoring._SIZE)
+    dense, rows = lm_scoring.gradient(lm_scoring.unpack(flat), x, ids)
+    for k, g in dense.items():
+        lm_scoring.unpack(grad)[k][:] = g
+    for k, (at, g) in enumerate(rows):
+        lm_scoring.unpack(grad)["e"][k][at] = g
+    names = lm_scoring.unpack(np.arange(lm_scoring._SIZE))
+    for where in names.values():
+        at = where.ravel()
+        for j in [*at[np.argsort(-np.abs(grad[at]))[:5]], *rng.choice(at, 3)]:
+            def loss(step, j=j):
+                moved = flat.copy()
+                moved[j] += step
+                return -lm_scoring.log_probabilities(lm_scoring.unpack(moved), x, ids).mean()
+            assert np.isclose(grad[j], (loss(1e-5) - loss(-1e-5)) / 2e-5, rtol=1e-4, atol=1e-8)
+
+
 def test_network_learns_from_both_sides():
-    """A word that depends on its two neighbours is predicted better with training, and gradients agree with differences."""
+    """A word that depends on its two neighbours is predicted better with training."""
     rng = np.random.default_rng(0)
     ids = rng.integers(1, 5, 6000)
     ids[2:-2:3] = (ids[1:-3:3] + ids[3:-1:3]) % 4 + 5
-    x, trainer = lm_scoring.windows(ids), lm_scoring.Trainer(lm_scoring.start())
-    before = lm_scoring.log_probabilities(lm_scoring.unpack(trainer.flat), x, ids).mean()
-    for _ in range(30):
+    x, trainer = lm_scoring.Windows(ids, np.array([6000])).of(slice(None)), lm_scoring.Trainer(lm_scoring.start(lm_scoring.Vocabulary([], np.zeros(0), np.zeros(1 << 16, np.uint8), 0.0)))
+    score = lambda: lm_scoring.log_probabilities(lm_scoring.unpack(trainer.flat), x, ids)[2:-2:3].mean()
+    before = score()
+    for _ in range(60):
         for i in range(0, len(ids), 500):
             trainer.step(x[i : i + 500], ids[i : i + 500])
-    assert lm_scoring.log_probabilities(lm_scoring.unpack(trainer.flat), x, ids).mean() > before + 3
+    assert score() > before + 2 and score() > -0.7  # 1.4 by chance
 
 
 def test_network_learns_from_every_word(spark, docs):
-    """The rounds together see each word of each text once."""
-    shared = spark.sparkContext.broadcast((lm_scoring.vocabulary(docs), lm_scoring.start()))
-    seen = [docs.select("text").mapInArrow(lm_scoring._learn(shared, turn), lm_scoring._MESSAGE).filter("chunk = 0").agg(F.sum("seen")).first()[0] for turn in range(lm_scoring.ROUNDS)]
-    assert sum(seen) == sum(len((t or "").lower().split()) for _, t in texts(docs)) and min(seen) > 0
+    """A round sees each word of each text once."""
+    known = lm_scoring.vocabulary(docs)
+    shared = spark.sparkContext.broadcast((known, lm_scoring.start(known)))
+    seen = docs.select("text").mapInArrow(lm_scoring._learn(shared), lm_scoring._MESSAGE).filter("chunk = 0").agg(F.sum("seen")).first()[0]
+    assert seen == sum(len((t or "").lower().split()) for _, t in texts(docs))
 
 
-def test_words_share_their_symbols(spark):
-    """The shares of a symbol's words sum to one, and a word of a class scores by its own frequency."""
-    counts = {f"w{i}": 2 + 3000 // (i + 1) for i in range(3000)}
+def test_words_share_their_output(spark):
+    """The shares of the words that are not frequent sum to about one, and each is its count's."""
+    counts = {f"w{i}": 2 + 30_000 // (i + 1) for i in range(6000)}
     frame = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(counts.items())], "doc_id long, text string")
     known = lm_scoring.vocabulary(frame)
-    at, sums = lm_scoring.Codes(known).of(list(counts)), Counter()
-    for c in at:
-        sums[known.symbol[c]] += np.exp(known.share[c])
-    assert lm_scoring.TOP < len(known.words) < len(counts)
-    assert len(sums) == lm_scoring.SYMBOLS - 1 and all(0.97 < x <= 1 + 1e-9 for x in sums.values())
-    listed = [(w, known.symbol[c], known.share[c]) for w, c in zip(counts, at, strict=True) if lm_scoring.TOP <= c < len(known.words)]
-    assert all((counts[a] > counts[b]) == (x > y) for a, s, x in listed for b, r, y in listed if s == r)
-    for r in lm_scoring.pseudo_likelihood(frame).collect():
-        assert np.isclose(r.word_pll, r.pll + r.n_tokens * known.share[at[r.doc_id]])
+    ordered = sorted(counts, key=lambda w: (-counts[w], w))
+    assert known.words == ordered[: lm_scoring.WORDS] and known.counts.tolist() == [counts[w] for w in known.words]
+    others = ordered[lm_scoring.WORDS :]
+    codes, share = known.codes(pa.array(ordered))
+    assert (codes[: lm_scoring.WORDS] == np.arange(1, lm_scoring.WORDS + 1)).all() and (codes[lm_scoring.WORDS :] > lm_scoring.WORDS).all()
+    assert known.others == sum(counts[w] for w in others) and abs(np.exp(share[lm_scoring.WORDS :]).sum() - 1) < 0.05
+    near = [np.isclose(np.exp(s) * known.others, counts[w], rtol=0.05) for w, s in zip(others, share[lm_scoring.WORDS :], strict=True)]
+    assert np.mean(near) > 0.9 and not share[: lm_scoring.WORDS].any()
+
+
+@given(st.lists(st.text(max_size=5), max_size=60))
+def test_hashes_of_strings_depend_on_nothing_else(words):
+    whole = shingles.hashes(pa.array(["x", *words], pa.string()).slice(1))
+    assert [int(shingles.hashes(pa.array([w], pa.string()))[0]) for w in words] == whole.tolist()
+    assert len(set(words)) == len(set(whole.tolist()))
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \t\né", max_size=12)), max_size=8))
+def test_tokens_are_those_of_split(rows):
+    words, at, lengths = lm_scoring.tokens(pa.array(rows, pa.string()))
+    want = [(t or "").lower().split() for t in rows]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert [words[int(i)].as_py() for i in at] == [x for w in want for x in w]
 
 
 # embeddings
