@@ -9,16 +9,20 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from orrery.llm.common import ready
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces of text that a worker remembers the encoding of; forgotten together when full.
-MEMO = 400_000
+MEMO = 200_000
+#: Ids sent on at a time.
+SENT = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +80,7 @@ class ByteCodec:
         self.id_of = known["vocab"]
         self.tokenizer = Tokenizer(models.BPE(vocab=known["vocab"], merges=[tuple(m) for m in known["merges"]]))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(known["pattern"]), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memo: dict[str, tuple[bytes, int, bytes]] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
 
     @staticmethod
     def state(path: str, pattern: str) -> str:
@@ -84,31 +88,30 @@ class ByteCodec:
         shown = lambda token: "".join(chars[b] for b in token)
         return json.dumps({"vocab": {shown(t): r for t, r in ranks.items()}, "merges": [[shown(a), shown(b)] for a, b in merges_of(ranks)], "pattern": pattern})
 
-    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids of a whole text and the characters [start, end) each one touches.
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole text and the characters each one touches: rows of start and end.
 
-        Tokens that split a character all have that character's offsets.
+        The text is cut where the pattern cuts in any case; the tokenizers
+        library encodes each piece once, and a bounded memo keeps its ids and
+        offsets. Tokens that split a character all have that character's offsets.
         """
-        got = self.tokenizer.encode(text, add_special_tokens=False)
-        return got.ids, got.offsets
-
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids; a character split over several tokens comes back whole once its last byte is there."""
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by spaces, and SHA-256 of the decoded bytes."""
-        pieces = cut(text)
-        memo = self.memo
+        pieces, memo = cut(text), self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({p for p in pieces if p not in memo})
-        if new:
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[piece] = (" ".join(map(str, got.ids)).encode(), len(got.ids), self.decode(got.ids))
+        if new := list({p for p in pieces if p not in memo}):
+            for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                memo[piece] = (np.array(got.ids, dtype=np.int32).tobytes(), np.array(got.offsets, dtype=np.int32).tobytes())
         found = [memo[p] for p in pieces]
-        ids, decoded = hashlib.sha256(b" ".join([f[0] for f in found])), hashlib.sha256(b"".join([f[2] for f in found]))
-        return sum([f[1] for f in found]), ids.hexdigest(), decoded.hexdigest()
+        ids = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32)
+        spans = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int32).reshape(-1, 2)
+        lengths = np.array([len(p) for p in pieces], dtype=np.int32)
+        counts = np.array([len(f[0]) // 4 for f in found], dtype=np.int64)
+        return ids, spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None].astype(np.int32)
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of the ids; a character split over several tokens comes back whole once its last byte is there."""
+        of = self.bytes_of
+        return b"".join([of[i] for i in ids])
 
 
 def cut(text: str) -> list[str]:
@@ -166,28 +169,25 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(state.value)
         for batch in batches:
-            for i in range(batch.num_rows):  # a row at a time: ids and offsets take many times the text's size
-                ids, spans = codec.encode(batch.column(1)[i].as_py() or "")
-                columns = [batch.column(0).slice(i, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([[a for a, _ in spans]], pa.list_(pa.int32())), pa.array([[b for _, b in spans]], pa.list_(pa.int32())), pa.array([codec.decode(ids)], pa.binary())]
-                yield pa.record_batch(columns, names=["doc_id", "ids", "starts", "ends", "decoded"])
+            begin, ids, spans, decoded, held = 0, [], [], [], 0
+            for i in range(batch.num_rows):
+                own, places = codec.encode(batch.column(1)[i].as_py() or "")
+                ids.append(own)
+                spans.append(places)
+                decoded.append(codec.decode(own.tolist()))
+                held += len(own)
+                if held >= SENT or i == batch.num_rows - 1:  # ids and offsets take many times the text's size
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    flat = np.concatenate(spans)
+                    lists = [pa.ListArray.from_arrays(ends, x) for x in (np.concatenate(ids), flat[:, 0].copy(), flat[:, 1].copy())]
+                    yield pa.record_batch([batch.column(0).slice(begin, len(ids)), *lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "starts", "ends", "decoded"])
+                    begin, ids, spans, decoded, held = i + 1, [], [], [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The same encoding as ``doc_id, n_tokens, ids_sha256, decoded_sha256``, without carrying the ids.
-
-    Texts are cut where the pattern cuts in any case, and a worker encodes a
-    piece once and remembers it, in a bounded memo.
-    """
-    ready(docs.sparkSession)
-    state = _state(docs.sparkSession, path or public_tokenizers.path(RANKS), pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(state.value)
-        for batch in batches:
-            rows = [codec.digest(t or "") for t in batch.column(1).to_pylist()]
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of :func:`encode_documents`' ids and decoded bytes."""
+    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return encode_documents(docs, path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(shown).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
