@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import fresh
 from orrery.storage import discard, stash
 
 # The patterns of the base scan.
@@ -19,8 +20,12 @@ RUN = r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 RUN_LEAST = 20
 #: Parts of a run that has characters of both base64 alphabets.
 PARTS = (r"[A-Za-z0-9+/]{14,}=*", r"[A-Za-z0-9_-]{14,}=*")
-#: Rate at which tokens ruled out as not random may in truth be random, in each class of encoding and length.
+#: What any text with such a run or part holds: texts without it are passed over.
+LONG = r"[A-Za-z0-9+/_=-]{20}"
+#: Rate at which runs taken for secrets may in truth be text, in each class of encoding and length.
 FDR = 0.05
+#: The battery's p-value below which a run is not random, whatever text would look like.
+FIT = 1e-3
 #: Bins a decade of the p-values' histogram, and decades kept apart.
 BINS, DECADES = 10, 12
 
@@ -35,6 +40,27 @@ ENCODINGS = {
     "base64url": (r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 }
 
+# Letters of English text in per mille, a to z.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 1, 20, 1)
+#: Shares of digits, of upper case among letters, and of other marks in runs that are text: names, paths, slugs.
+TEXT_DIGITS, TEXT_UPPER, TEXT_MARKS = 0.1, 0.15, 0.06
+
+
+def text_shares(encoding: str) -> list[float]:
+    """How often each character of an encoding's alphabet comes in runs that are no secrets."""
+    alphabet = ENCODINGS[encoding][1]
+    both = any(c in LOWER for c in alphabet) and any(c in UPPER for c in alphabet)
+
+    def share(c: str) -> float:
+        if c.isdigit():
+            return TEXT_DIGITS / sum(x.isdigit() for x in alphabet)
+        if not c.isalpha():
+            return TEXT_MARKS / 2
+        return LETTERS[ord(c.lower()) - 97] * (1.0 if not both else TEXT_UPPER if c in UPPER else 1 - TEXT_UPPER) / 1000
+
+    shares = [share(c) for c in alphabet]
+    return [x / sum(shares) for x in shares]
+
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
     """Start and text of each match, in code points: what a split leaves between matches gives their places."""
@@ -75,12 +101,23 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _battery(token: Column) -> Column:
-    """``class`` (encoding and length) and ``p`` that a token drawn uniformly from its inferred alphabet looks less random.
+def _share_sums(name: Column, power: int) -> Column:
+    out = F.lit(None).cast("double")
+    for encoding in ENCODINGS:
+        out = F.when(name == encoding, sum(x**power for x in text_shares(encoding))).otherwise(out)
+    return out
 
-    Chi-squared uniformity over the alphabet (Wilson-Hilferty normal form),
-    runs above and below the middle of the alphabet, and lag-1 serial
-    correlation; the smallest of the three p-values times three.
+
+def _battery(token: Column) -> Column:
+    """``class`` (encoding and length), ``fit`` and ``p`` of a token.
+
+    ``fit`` is the chance that a token drawn uniformly from its inferred
+    alphabet looks less random: chi-squared uniformity over the alphabet
+    (Wilson-Hilferty normal form), runs above and below the middle of the
+    alphabet, and lag-1 serial correlation; the smallest of the three p-values
+    times three. ``p`` is the chance that text of its length has so small a
+    chi-squared statistic, in normal form with the exact mean and variance; it
+    is 1 where ``fit`` says that the token is not random.
     """
     body = F.regexp_replace(token, "=+$", "")
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & ~token.rlike(r"^[a-z]*[0-9]*$")
@@ -115,8 +152,13 @@ def _battery(token: Column) -> Column:
         sd = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
         runs = F.when(both > 0, 2 * _normal_tail(F.abs((s["runs"] - both / n - 1) / sd))).otherwise(F.lit(0.0))
         serial = 2 * _normal_tail(F.abs(s["serial"] * F.sqrt(n) + 1 / F.sqrt(n)))
-        p = F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
-        return F.struct(F.concat_ws(":", s["name"], F.least(F.floor(F.log2(n)), F.lit(12)).cast("string")).alias("class"), p.alias("p"))
+        fit = F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+        two, three = (_share_sums(s["name"], k) for k in (2, 3))
+        mean = s["size"] * (1 + (n - 1) * two) - n
+        equal = n * (n - 1) * ((two - two * two) / 2 + (n - 2) * (three - two * two))
+        text = _normal_tail((mean - chi) * n / (2 * s["size"] * F.sqrt(equal)))
+        name = F.concat_ws(":", s["name"], F.least(F.floor(F.log2(n)), F.lit(12)).cast("string"))
+        return F.struct(name.alias("class"), fit.alias("fit"), F.when(fit >= FIT, text).otherwise(1.0).alias("p"))
 
     return F.when(mixed & name.isNotNull(), _then(_then(_then(base, counted), moments), judged))
 
@@ -139,7 +181,8 @@ def _candidates(text: Column, base: Column) -> Column:
     runs = F.flatten(F.transform(_then(left, lambda t: found(t, RUN)), parts))
     long = F.filter(runs, lambda x: F.length(x["value"]) >= RUN_LEAST)
     tested = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _battery(x["value"]).alias("test")))
-    return F.filter(tested, lambda x: x["test"].isNotNull())
+    none = F.array().cast("array<struct<start:int,value:string,test:struct<class:string,fit:double,p:double>>>")
+    return F.when(text.rlike(LONG), F.filter(tested, lambda x: x["test"].isNotNull())).otherwise(none)
 
 
 def _bin(p: Column) -> Column:
@@ -147,7 +190,7 @@ def _bin(p: Column) -> Column:
 
 
 def _limits(tested: DataFrame) -> Column:
-    """For each class, the bin of -log10 p at and over which a token counts as not random.
+    """For each class, the bin of -log10 p at and over which a token counts as a secret.
 
     Step-up control of the false-discovery rate in each class, on a histogram of
     the p-values: a class's table has as many rows as there are bins, so what
@@ -171,7 +214,7 @@ def _limits(tested: DataFrame) -> Column:
 
 
 def _all_spans(base: Column, tested: Column, limits: Column) -> Column:
-    stays = F.filter(tested, lambda x: _bin(x["test"]["p"]) < F.try_element_at(limits, x["test"]["class"]))
+    stays = F.filter(tested, lambda x: _bin(x["test"]["p"]) >= F.try_element_at(limits, x["test"]["class"]))
     added = F.transform(stays, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), (x["start"] + F.length(x["value"])).cast("int").alias("end"), F.lit(KINDS[3]).alias("kind"), x["value"].alias("value")))
     return F.array_sort(F.concat(base, added))
 
@@ -182,10 +225,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     The base kinds are fixed patterns: an assignment to a telling name, an
     access key, a long hex string. Other long runs of an encoding's characters
     that mix digits and letters go through a battery of randomness tests for
-    the encoding they look like; the tests' p-values of all documents meet in a
+    the encoding they look like. What passes them gets the p-value of the null
+    hypothesis that it is text; these p-values of all documents meet in a
     histogram for each class of encoding and length, and a run is added as
-    ``random`` unless the step-up procedure of its class rules it out as not
-    random. Everything happens in a row but that histogram.
+    ``random`` where the step-up procedure of its class rejects that, so of the
+    runs added in a class about FDR at most are text. Everything happens in a
+    row but that histogram.
 
     Null text: no spans. Null or repeated doc_id: rows stay as they are. Other
     columns are not looked at; an empty table gives an empty result.
@@ -210,8 +255,9 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     tested = stash(base.select(_candidates(F.col("text"), F.col("base")).alias("tested")).filter(F.size("tested") > 0), "secret-tested")
     limits = _limits(tested)
     discard(tested)
-    row = docs.withColumn("_base", _base_spans(text))
-    row = row.withColumn("_spans", _all_spans(F.col("_base"), _candidates(text, F.col("_base")), limits))
+    first, every = fresh(docs, "_base", "_spans")
+    row = docs.withColumn(first, _base_spans(text))
+    row = row.withColumn(every, _all_spans(F.col(first), _candidates(text, F.col(first)), limits))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] > acc["at"]
@@ -219,8 +265,8 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         out = F.when(fresh | (acc["at"] == 0), F.concat(acc["out"], F.when(fresh, between).otherwise(F.lit("")), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    row = row.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))).drop("_base", "_spans")
+    masked = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
+    row = row.withColumn("text", F.when(F.size(every) > 0, masked).otherwise(F.col("text"))).drop(first, every)
     return row.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else row
 
 
