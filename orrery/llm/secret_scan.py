@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ ENCODINGS = {
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 1, 20, 1)
 #: Shares of digits, of upper case among letters, and of other marks in runs that are text: names, paths, slugs.
 TEXT_DIGITS, TEXT_UPPER, TEXT_MARKS = 0.1, 0.15, 0.06
+#: Digits in hex runs that are no secrets, which often are numbers.
+HEX_DIGITS = 0.5
 
 
 def text_shares(encoding: str) -> list[float]:
@@ -53,13 +57,15 @@ def text_shares(encoding: str) -> list[float]:
 
     def share(c: str) -> float:
         if c.isdigit():
-            return TEXT_DIGITS / sum(x.isdigit() for x in alphabet)
+            return (HEX_DIGITS if encoding == "hex" else TEXT_DIGITS) / sum(x.isdigit() for x in alphabet)
         if not c.isalpha():
             return TEXT_MARKS / 2
         return LETTERS[ord(c.lower()) - 97] * (1.0 if not both else TEXT_UPPER if c in UPPER else 1 - TEXT_UPPER) / 1000
 
     shares = [share(c) for c in alphabet]
-    return [x / sum(shares) for x in shares]
+    letters = sum(x for x, c in zip(shares, alphabet, strict=True) if c.isalpha())
+    left = 1 - sum(x for x, c in zip(shares, alphabet, strict=True) if not c.isalpha())
+    return [x * left / letters if c.isalpha() else x for x, c in zip(shares, alphabet, strict=True)]
 
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
@@ -101,10 +107,12 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _share_sums(name: Column, power: int) -> Column:
-    out = F.lit(None).cast("double")
-    for encoding in ENCODINGS:
-        out = F.when(name == encoding, sum(x**power for x in text_shares(encoding))).otherwise(out)
+def _gains(name: Column) -> Column:
+    """Of each character of an encoding's alphabet, the log of its share in random tokens over that in text."""
+    out = F.lit(None).cast("array<double>")
+    for encoding, (_, alphabet) in ENCODINGS.items():
+        logs = [-math.log(len(alphabet) * x) for x in text_shares(encoding)]
+        out = F.when(name == encoding, F.array(*map(F.lit, logs))).otherwise(out)
     return out
 
 
@@ -115,9 +123,10 @@ def _battery(token: Column) -> Column:
     alphabet looks less random: chi-squared uniformity over the alphabet
     (Wilson-Hilferty normal form), runs above and below the middle of the
     alphabet, and lag-1 serial correlation; the smallest of the three p-values
-    times three. ``p`` is the chance that text of its length has so small a
-    chi-squared statistic, in normal form with the exact mean and variance; it
-    is 1 where ``fit`` says that the token is not random.
+    times three. ``p`` bounds the chance that a text's characters favour
+    randomness as much: it is the inverse of the likelihood ratio of random
+    characters to those of text, whose mean over text is 1 at any length. It is
+    1 where ``fit`` says that the token is not random.
     """
     body = F.regexp_replace(token, "=+$", "")
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & ~token.rlike(r"^[a-z]*[0-9]*$")
@@ -132,7 +141,7 @@ def _battery(token: Column) -> Column:
         n, size = F.length(s["t"]).cast("double"), F.length(s["abc"]).cast("double")
         squares = F.aggregate(F.split(s["abc"], ""), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s["t"], c, F.lit(""))), F.lit(2.0)))
         place = F.transform(F.split(s["t"], ""), lambda c: F.call_function("instr", s["abc"], c).cast("double"))
-        return F.struct(s["name"].alias("name"), n.alias("n"), size.alias("size"), squares.alias("squares"), place.alias("place"))
+        return F.struct(s["name"].alias("name"), n.alias("n"), size.alias("size"), squares.alias("squares"), place.alias("place"), _gains(s["name"]).alias("gains"))
 
     def moments(s: Column) -> Column:
         n, size, place = s["n"], s["size"], s["place"]
@@ -141,8 +150,9 @@ def _battery(token: Column) -> Column:
         pairs = F.arrays_zip(F.slice(place, F.lit(1), (n - 1).cast("int")).alias("a"), F.slice(place, F.lit(2), (n - 1).cast("int")).alias("b"))
         runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.when((x["a"] > size / 2) != (x["b"] > size / 2), 1.0).otherwise(0.0))
         cross = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean))
+        gain = F.aggregate(place, F.lit(0.0), lambda acc, x: acc + F.element_at(s["gains"], x.cast("int")))
         spread = F.aggregate(place, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        return F.struct(s["name"].alias("name"), n.alias("n"), size.alias("size"), s["squares"].alias("squares"), high.alias("high"), runs.alias("runs"), (cross / F.greatest(spread, F.lit(1e-9))).alias("serial"))
+        return F.struct(s["name"].alias("name"), n.alias("n"), size.alias("size"), s["squares"].alias("squares"), high.alias("high"), runs.alias("runs"), (cross / F.greatest(spread, F.lit(1e-9))).alias("serial"), gain.alias("gain"))
 
     def judged(s: Column) -> Column:
         n, df = s["n"], s["size"] - 1
@@ -153,12 +163,8 @@ def _battery(token: Column) -> Column:
         runs = F.when(both > 0, 2 * _normal_tail(F.abs((s["runs"] - both / n - 1) / sd))).otherwise(F.lit(0.0))
         serial = 2 * _normal_tail(F.abs(s["serial"] * F.sqrt(n) + 1 / F.sqrt(n)))
         fit = F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
-        two, three = (_share_sums(s["name"], k) for k in (2, 3))
-        mean = s["size"] * (1 + (n - 1) * two) - n
-        equal = n * (n - 1) * ((two - two * two) / 2 + (n - 2) * (three - two * two))
-        text = _normal_tail((mean - chi) * n / (2 * s["size"] * F.sqrt(equal)))
         name = F.concat_ws(":", s["name"], F.least(F.floor(F.log2(n)), F.lit(12)).cast("string"))
-        return F.struct(name.alias("class"), fit.alias("fit"), F.when(fit >= FIT, text).otherwise(1.0).alias("p"))
+        return F.struct(name.alias("class"), fit.alias("fit"), F.when(fit >= FIT, F.least(F.lit(1.0), F.exp(-s["gain"]))).otherwise(1.0).alias("p"))
 
     return F.when(mixed & name.isNotNull(), _then(_then(_then(base, counted), moments), judged))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -354,6 +355,76 @@ def test_secrets_within_runs(spark):
     assert not any(key[:18] in r.text or long in r.text for r in secret_scan.mask_secrets(frame).collect())
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def brute_battery(token):
+    """The battery of one token by plain counts: fit and p, or None where it is not tested."""
+    if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or re.fullmatch("[a-z]*[0-9]*", token):
+        return None
+    name = next((k for k, (pattern, _) in secret_scan.ENCODINGS.items() if re.search(pattern, token)), None)
+    if name is None:
+        return None
+    body, abc = token.rstrip("="), secret_scan.ENCODINGS[name][1]
+    body = body.lower() if name in ("hex", "base36") else body
+    n, k, x = len(body), len(abc), [abc.index(c) + 1 for c in body]
+    chi = sum((body.count(c) - n / k) ** 2 for c in abc) / (n / k)
+    uniform = tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [v > k / 2 for v in x]
+    n1, n0, runs = sum(high), n - sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    sd = math.sqrt(max(2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1)), 1e-9))
+    by_runs = 2 * tail(abs((runs - 2 * n1 * n0 / n - 1) / sd)) if n1 and n0 else 0.0
+    mean = sum(x) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / max(sum((a - mean) ** 2 for a in x), 1e-9)
+    fit = min(1.0, 3 * min(uniform, by_runs, 2 * tail(abs(serial * math.sqrt(n) + 1 / math.sqrt(n)))))
+    shares = dict(zip(abc, secret_scan.text_shares(name), strict=True))
+    return fit, min(1.0, math.prod(shares[c] * k for c in body)) if fit >= secret_scan.FIT else 1.0
+
+
+def planted(rng, each):
+    """Random tokens by encoding and length, and runs of words, numbers and marks."""
+    words = "account server user request service handler default config version update report client session manager process image".split()
+    for name, (_, abc) in secret_scan.ENCODINGS.items():
+        for n in (20, 24, 31):
+            for _ in range(each):
+                yield name, "".join(abc[j] for j in rng.integers(0, len(abc), n))
+    for mark in ("", "-", "/", "_"):
+        for _ in range(12 * each):
+            w = [words[j] for j in rng.integers(0, len(words), rng.integers(3, 7))]
+            yield "text", mark.join([*(map(str.capitalize, w) if not mark else w), str(rng.integers(1, 3000))])
+
+
+def test_battery_is_that_of_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    tokens = [t for _, t in planted(rng, 4)] + ["A" * 19 + "1", "aB3" * 9, "0" * 25 + "aF", "a1" * 15]
+    frame = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in frame.select("t", secret_scan._battery(F.col("t")).alias("test")).collect():
+        want = brute_battery(r.t)
+        assert (r.test is None) == (want is None)
+        if want:
+            assert np.isclose(r.test.fit, want[0], rtol=1e-3, atol=1e-6) and np.isclose(r.test.p, want[1], rtol=1e-6)
+
+
+def test_shares_of_text_sum_to_one():
+    for name, (_, abc) in secret_scan.ENCODINGS.items():
+        shares = secret_scan.text_shares(name)
+        assert len(shares) == len(abc) and np.isclose(sum(shares), 1) and min(shares) > 0
+
+
+def test_battery_finds_secrets_and_leaves_text(spark):
+    """Recall by encoding and length among planted tokens, and the share of text among what is found."""
+    rng, found, all_of = np.random.default_rng(7), Counter(), Counter()
+    cases = list(planted(rng, 40))
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    for r in secret_scan.secret_spans(frame).collect():
+        kind = cases[r.doc_id][0]
+        all_of[kind] += 1
+        found[kind] += any(s.kind in ("random", "access") for s in r.spans)
+    assert all(found[k] >= (0.3 if k == "hex" else 0.85) * n for k, n in all_of.items() if k != "text")
+    assert found["text"] <= secret_scan.FDR * sum(found.values())
+
+
 # models
 
 
