@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.session import ship
+from orrery.storage import discard, stash
 
 #: Words are runs of anything but ASCII white space.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -58,6 +59,29 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fitting(rows: DataFrame, order: list[str], bytes_most: int, each: str | None = None, each_most: int = 0) -> list:
+    """A bounded sample's rows on the driver: whole texts of at most ``bytes_most`` bytes in all.
+
+    ``rows`` is a sample of a bounded number of rows with a ``text``; it is
+    written once, so that sizes alone can settle which rows come over. They are
+    taken in the order given, at most ``each_most`` of each value of ``each``; a
+    text that does not fit is passed over and shorter ones may follow.
+    """
+    held = stash(rows.withColumn("_no", F.monotonically_increasing_id()), "fit-sample")
+    names = [*order, *([each] if each else [])]
+    facts = held.select("_no", *names, F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size")).collect()
+    left, taken, chosen = bytes_most, {}, []
+    for r in sorted(facts, key=lambda r: tuple(r[k] for k in order)):
+        value = r[each] if each else None
+        if r["_size"] <= left and (not each or taken.get(value, 0) < each_most):
+            left -= r["_size"]
+            taken[value] = taken.get(value, 0) + 1
+            chosen.append(r["_no"])
+    got = held.filter(F.col("_no").isin(chosen)).drop("_no").collect() if chosen else []
+    discard(held)
+    return sorted(got, key=lambda r: tuple(r[k] for k in order))
+
+
 def gapless_rank(rows: DataFrame, within: list[str], spread: Column, order: list[Column], n_rows: int, rank: str) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... within each value of ``within``, in no set order.
 

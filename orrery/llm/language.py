@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ready
+from orrery.llm.common import fitting, ready
 
 #: Byte n-grams of these lengths, each hashed into its own share of PLACES.
 SPECTRUM = (1, 2, 3, 4)
 PLACES = 1 << 14
-#: Rows to learn from at most for each language, languages at most, landmarks at most: what the driver holds is bounded.
-ROWS_PER_LANG = 400
-MOST_LANGS = 64
-LANDMARKS = 384
-#: Characters of text to learn from at most, in whole texts.
-FIT_CHARS = 40_000_000
+#: Rows to learn from at most for each language, rows in all (but one of each language at least), landmarks (likewise).
+ROWS_PER_LANG, FIT_ROWS, LANDMARKS = 400, 6_000, 384
+#: Bytes of text to learn from at most, in whole texts.
+FIT_BYTES = 60_000_000
 RIDGE = 1e-2
 #: Texts in one matrix product.
 BATCH = 128
@@ -77,14 +74,14 @@ def train(rows: list[tuple[str, str]]) -> Model:
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32))
-    x = _normal(np.stack([presence(t) for t, _ in rows]))
+    x = np.stack([presence(t) for t, _ in rows])
     y = np.array([langs.index(lang) for _, lang in rows])
     each = max(1, LANDMARKS // len(langs))
-    marks = x[np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])]
+    marks = _normal(x[np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
-    feature = (x @ marks.T).astype(np.float64) @ root
+    feature = np.concatenate([(_normal(x[i : i + BATCH]) @ marks.T).astype(np.float64) @ root for i in range(0, len(x), BATCH)])
     goal = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weigh = (len(y) / (len(langs) * np.bincount(y, minlength=len(langs))))[y][:, None]  # rare languages count as much
     solve = np.linalg.solve(feature.T @ (feature * weigh) + RIDGE * len(y) * np.eye(feature.shape[1]) / 100, feature.T @ (goal * weigh))
@@ -107,31 +104,30 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return names, scores
 
 
-def fit(docs: DataFrame, train_on: Column | None = None) -> Model:
-    """Learns from a bounded sample of rows with a language: about ROWS_PER_LANG of each, chosen by a hash of the id.
+def fit(docs: DataFrame, train_on: Column | None = None, per_lang: int = ROWS_PER_LANG, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
+    """Learns from a bounded sample of rows with a language, chosen by a hash of the id.
 
-    The languages' counts give each a rate, so a rare language is learned from
-    all of its rows. Only the MOST_LANGS most frequent ones are learned.
+    Each language gets ``per_lang`` rows, fewer where there are so many
+    languages that ``rows`` in all would be passed, and one at least; texts are
+    whole and of ``size`` bytes in all at most. Every language is learned. The
+    languages' counts give each a rate, so a rare language is learned from all
+    of its rows.
     """
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    known = docs.select("doc_id", "text", "lang").filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     if train_on is not None:
         known = known.filter(train_on)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return train([])
-    rate = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.25 * ROWS_PER_LANG / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.filter(draw < F.try_element_at(rate, F.col("lang")))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * ROWS_PER_LANG * MOST_LANGS)
-    rows = sorted(((zlib.crc32(str(r["doc_id"]).encode()), r["lang"], r["text"]) for r in picked.toLocalIterator()), key=lambda r: r[:2])
-    taken: dict[str, int] = {}
-    size, out = 0, []
-    for _, lang, text in rows:
-        if taken.get(lang, 0) < ROWS_PER_LANG and size + len(text) <= FIT_CHARS and any(map(str.isalpha, text)):
-            taken[lang] = taken.get(lang, 0) + 1
-            size += len(text)
-            out.append((text, lang))
-    return train(out)
+    each = max(1, min(per_lang, rows // len(counts)))
+    rate = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, (1.25 * each + 8) / r["count"]))))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    picked = known.filter(draw < F.try_element_at(rate, F.col("lang"))).withColumn("draw", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("hash", F.xxhash64("doc_id", "text"))
+    picked = picked.dropDuplicates(["lang", "hash"])  # a row that is repeated without end is one
+    # every language's first rows come before any language's second ones, so that the bound on bytes leaves none out
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "hash"))
+    got = fitting(picked.withColumn("turn", turn), ["turn", "draw", "lang", "hash"], size, "lang", each)
+    return train([(r["text"], r["lang"]) for r in got if any(map(str.isalpha, r["text"]))])
 
 
 def languages(docs: DataFrame, held_out: Column) -> DataFrame:

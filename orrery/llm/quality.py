@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ready
+from orrery.llm.common import fitting, ready
 
 #: Weights of the model; features are hashed into this many places.
 PLACES = 1 << 18
 #: Labelled rows to learn from at most: they are held in the driver's memory.
 FIT_ROWS = 6_000
-#: Characters of text to learn from at most, in whole texts, for the same reason.
-FIT_CHARS = 60_000_000
+#: Bytes of text to learn from at most, in whole texts, for the same reason.
+FIT_BYTES = 60_000_000
 PASSES = 3
 MEMO = 150_000
 
@@ -108,25 +108,23 @@ def train(rows: list[tuple[str | None, int]], settings: Settings, passes: int =
     return weights(np.arange(PLACES)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_on: Column | None = None, rows: int = FIT_ROWS, settings: Settings | None = None) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_on: Column | None = None, rows: int = FIT_ROWS, size: int = FIT_BYTES, settings: Settings | None = None) -> np.ndarray:
     """Learns from at most ``rows`` labelled rows of ``docs`` for which ``train_on`` holds, chosen by a hash of the id.
 
     The sample is a bounded top-k by hash, so it does not depend on how rows
-    are dealt; its texts are whole, and rows over FIT_CHARS in all are left out.
-    Rows whose label is null or that have none are not used.
+    are dealt; its texts are whole and of ``size`` bytes in all at most, and one
+    that does not fit is passed over. Rows whose label is null or that have
+    none are not used; of labels that differ for one id the greatest counts, of
+    several texts of one id the first in order.
     """
     named = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).filter("doc_id is not null")
     if train_on is not None:
         named = named.filter(train_on)
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    data = sorted(((r["doc_id"], r["text"], int(r["_label"])) for r in sample.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    size, kept = 0, []
-    for _, text, y in data:
-        size += len(text or "")
-        if size <= FIT_CHARS:
-            kept.append((text, y))
-    return train(kept, settings or Settings())
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    sample = sample.withColumn("_draw", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    data = fitting(sample, ["_draw", "doc_id"], size)
+    return train([(r["text"], int(r["_label"])) for r in data], settings or Settings())
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:

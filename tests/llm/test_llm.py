@@ -437,6 +437,87 @@ def test_language(docs, odd):
     assert language.languages(odd.limit(0), held_out).count() == 0
 
 
+@given(st.text(alphabet="aBcé1 .\n日", max_size=40), st.text(alphabet="aBcé1 .\n日", max_size=40))
+@settings(deadline=None)
+def test_kernel_is_that_of_plain_grams(a, b):
+    """The feature map's inner product counts the shared byte 1- to 4-grams, by their hashed places."""
+    share = language.PLACES // 4
+
+    def grams(t):
+        clean = "".join(c if c.isalpha() else " " for c in t.lower())
+        raw = b" " + " ".join(clean.split()).encode() + b" "
+        plain = {raw[i : i + k] for k in language.SPECTRUM for i in range(len(raw) - k + 1)}
+        return {(len(g) - 1) * share + ((int.from_bytes(g, "big") * 0x9E3779B1 % (1 << 32)) >> (32 - 12)) for g in plain}
+
+    x, y = language.presence(a), language.presence(b)
+    assert set(np.flatnonzero(x)) == grams(a) and int((x & y).sum()) == len(grams(a) & grams(b))
+
+
+def test_kernel_ridge_regression_is_the_plain_one():
+    """With every row a landmark, scores are those of the kernel's own dual solution."""
+    rng = np.random.default_rng(1)
+    rows = [("".join(rng.choice(list("abcdefgh" if k else "efghijkl"), 60)), "xy"[k]) for k in rng.integers(0, 2, 30)]
+    model = language.train(rows)
+    x = np.stack([language.presence(t) for t, _ in rows]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kernel, y = x @ x.T, np.array([lang for _, lang in rows])
+    weigh = np.array([len(rows) / (2 * (y == lang).sum()) for lang in y])
+    goal = np.where(y[:, None] == np.array(model.langs), 1.0, -1.0)
+    dual = np.linalg.solve(kernel + language.RIDGE * len(rows) / 100 * np.diag(1 / weigh), goal)
+    order = np.concatenate([np.flatnonzero(y == lang) for lang in model.langs])
+    assert np.allclose((x @ model.landmarks.T.astype(np.float64)) @ model.weights, kernel @ dual, atol=2e-3) and len(order) == len(model.landmarks)
+
+
+def test_every_language_is_learned(spark):
+    """Eighty languages, each of letters of its own, and bounds that leave one row of each."""
+    rows = [(80 * j + i, " ".join(chr(0x4E00 + 20 * i + (j + k) % 5) * 3 for k in range(8)), f"l{i:02}") for i in range(80) for j in range(6)]
+    frame = spark.createDataFrame([*rows, (9999, "x" * 50_000, "l00")], "doc_id long, text string, lang string")
+    for bounds in ({}, {"rows": 80, "size": 100_000}):
+        model = language.fit(frame, **bounds)
+        assert model.langs == [f"l{i:02}" for i in range(80)]
+        names, _ = language.predict(model, [t for _, t, _ in rows])
+        assert np.mean([n == r[2] for n, r in zip(names, rows, strict=True)]) > 0.95
+
+
+def test_updates_are_those_of_a_plain_loop():
+    """FTRL-proximal over dictionaries, one coordinate after another."""
+    rng, s = np.random.default_rng(2), quality.Settings(l1=0.05)
+    rows = [(" ".join(rng.choice(list("abcdef"), 12)) + (" GOOD" if k else " bad bad"), int(k)) for k in rng.integers(0, 2, 40)]
+    z, n, memo = defaultdict(float), defaultdict(float), {}
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(2):
+        for text, y in rows:
+            sparse = Counter()
+            for i, v in zip(*quality.features(text, memo), strict=True):
+                sparse[int(i)] = float(v)
+            w = {i: weight(i) for i in sparse}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in sparse.items())))
+            for i, v in sparse.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    got = quality.train(rows, s, passes=2)
+    want = np.zeros(quality.PLACES)
+    for i in list(z):
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-5) and np.count_nonzero(want)
+
+
+def test_long_texts_do_not_end_learning(spark):
+    """A text over the bound is passed over, and shorter ones after it are learned from."""
+    rows = [(i, ("x " * 40_000 if i < 5 else "fine words here" if i % 2 else "# # ##")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1), (2, 0)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows + [(7, "fine words here")] * 3, "doc_id long, text string")
+    weights = quality.fit(frame, labels, size=2_000)
+    score = {r.text: r.score for r in quality.score(frame.filter("doc_id >= 5"), weights).collect()}
+    assert score["fine words here"] > 0.6 > 0.4 > score["# # ##"]
+
+
 def test_quality(spark, docs, odd):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
