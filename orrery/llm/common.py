@@ -182,6 +182,28 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], size: int) -> Iterator[pa.Table]:
+    """Tables of about ``size`` rows of a stream sorted by ``keys``, none of which cuts the rows of a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < size:
+            continue
+        rows = pa.Table.from_batches(held)
+        change = np.zeros(rows.num_rows, dtype=bool)
+        for k in keys:
+            c = rows[k].to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if cut:
+            yield rows.slice(0, cut)
+            held = rows.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def larger(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Joins short batches until the text column holds about ``size`` bytes."""
     held, total = [], 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import grouped_rows, ready
+from orrery.llm.common import ready, whole_groups
 from orrery.operators.components import connected_components
 from orrery.storage import stash
 
@@ -21,6 +21,8 @@ MISS = 1e-9
 SIGMAS = 6.0
 #: Vectors of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Rows of buckets looked at together, pairs of them told apart at a time, and pairs estimated at a time.
+ROWS, PAIRS, EXACT = 4096, 1 << 18, 1 << 12
 
 
 def shape(n: int, limit: float) -> tuple[int, int]:
@@ -53,12 +55,13 @@ def encode(unit: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
     return turned >= 0, np.abs(turned).sum(axis=1) / np.sqrt(code)
 
 
-def estimate(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased inner products of coded vectors (rows) with rotated ones (columns), and the half-width for each row."""
-    code = signs.shape[1]
-    value = (np.where(signs, np.float32(1), np.float32(-1)) @ turned.T.astype(np.float32)) / (np.sqrt(code) * factor[:, None])
-    width = SIGMAS * np.sqrt(np.maximum(0.0, 1 - factor**2)) / (factor * np.sqrt(code - 1))
-    return value, width
+def estimate(with_code: np.ndarray, factor: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased inner products of coded vectors with rotated ones, and their half-widths.
+
+    ``with_code`` holds the products of the signs of the one, as 1 and -1, with
+    the rotated other.
+    """
+    return with_code / (np.sqrt(code) * factor), SIGMAS * np.sqrt(np.maximum(0.0, 1 - factor**2)) / (factor * np.sqrt(code - 1))
 
 
 def _rows(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
@@ -74,6 +77,7 @@ def _codes(bits: int, groups: int):
         for batch in batches:
             lists = batch.column(1).to_pylist()
             words = np.zeros((len(lists), groups), dtype=np.int64)
+            short = np.uint64 if bits > 32 else np.uint32 if bits > 16 else np.uint16
             factor, code = np.zeros(len(lists)), np.zeros((len(lists), groups * bits // 8), dtype=np.uint8)
             for dim in {len(v) for v in lists}:
                 at = [i for i, v in enumerate(lists) if len(v) == dim]
@@ -81,7 +85,8 @@ def _codes(bits: int, groups: int):
                 words[at] = signs.reshape(len(at), groups, bits) @ powers
                 code[at] = np.packbits(signs, axis=1)
             flat = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * groups, words.ravel())
-            yield pa.record_batch([batch.column(0), pa.array(factor), pa.array([c.tobytes() for c in code], pa.binary()), flat], names=["node", "factor", "code", "words"])
+            raw = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(factor), raw(code), raw(words.astype(short)), flat], names=["node", "factor", "code", "words", "keys"])
 
     return run
 
@@ -92,72 +97,113 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _linked(vectors, signs, factor: np.ndarray, group: int, bits: int, limit: float) -> np.ndarray:
-    """Of two blocks, the pairs at or over the limit whose first common group of signs is this one."""
-    ua, ub = _unit(vectors[0]), _unit(vectors[1])
-    value, width = estimate(signs[0], factor, ub @ rotation(ub.shape[1], signs[0].shape[1]).T)
-    i, j = np.nonzero(value + width[:, None] >= limit)
-    earlier = [s[:, : group * bits].reshape(len(s), group, bits) for s in signs]
-    out = np.zeros((len(ua), len(ub)), dtype=bool)
-    for k in range(0, len(i), 1 << 13):
-        p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
-        good = np.einsum("ij,ij->i", ua[p], ub[q]) >= limit
-        p, q = p[good], q[good]
-        new = ~(earlier[0][p] == earlier[1][q]).all(axis=2).any(axis=1)
-        out[p[new], q[new]] = True
-    return out
+def _partners(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by block pair and side, each row's partners: the places [from, to).
+
+    Within one block these are the rows after it; across two blocks, the rows
+    of the other side, for rows of the first side.
+    """
+    n, side, at = rows.num_rows, rows["side"].to_numpy().astype(bool), np.arange(rows.num_rows)
+    change = np.ones(n, dtype=bool)
+    change[1:] = False
+    for k in ("bucket", "left", "right"):
+        c = rows[k].to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(change)
+    group = np.cumsum(change) - 1
+    end = np.concatenate([starts[1:], [n]])[group]
+    first = starts[group] + np.bincount(group, ~side).astype(np.int64)[group]  # of the second side
+    inside = rows["left"].to_numpy() == rows["right"].to_numpy()
+    return np.where(inside, at + 1, first), np.where(side & ~inside, np.where(inside, at + 1, first), end)
+
+
+def _pairs(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row and a partner, about PAIRS at a time."""
+    many = end - begin
+    total = np.cumsum(many)
+    at = 0
+    while at < len(many):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        own = np.repeat(np.arange(at, stop), many[at:stop])
+        yield own, np.arange(len(own)) - np.repeat(total[at:stop] - many[at:stop] - total[at] + many[at], many[at:stop]) + begin[own]
+        at = stop
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places, the smallest place that the pairs connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _compare(limit: float, bits: int, groups: int):
-    """Counts of links, and edges that span them, of each pair of blocks of a bucket."""
+    """Counts of links, and edges that span them, of many blocks of buckets at a time.
+
+    Of the pairs in a block, those that met in an earlier group of signs are
+    left to it; of the others, estimates rule out what they can and the rest is
+    recomputed.
+    """
+    code = groups * bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped_rows(batches, ("bucket", "left", "right")):
-            group, side = rows["grp"][0].as_py(), rows["side"].to_numpy().astype(bool)
-            inside = rows["left"][0].as_py() == rows["right"][0].as_py()
-            a, b = (np.arange(len(side)),) * 2 if inside else (np.flatnonzero(~side), np.flatnonzero(side))
-            if not len(a) or not len(b):
-                continue
-            ids, many, vec, factor = rows["node"].to_numpy(), rows["copies"].to_numpy(), _rows(rows["embedding"]), rows["factor"].to_numpy()
-            code = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(len(side), -1)
-            signs = np.unpackbits(code, axis=1, count=groups * bits).astype(bool)
-            hit = _linked((vec[a], vec[b]), (signs[a], signs[b]), factor[a], group, bits, limit)
-            if inside:
-                np.fill_diagonal(hit, False)
-            out: list[tuple[int, int | None, int]] = [(x, y, 0) for x, y in _spanning(ids[a], ids[b], hit)]
-            for own, links in ((a, hit @ many[b]), (b, many[a] @ hit))[: 1 if inside else 2]:
-                out += [(int(ids[own[i]]), None, int(links[i])) for i in np.flatnonzero(links)]
-            if out:
-                yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["node", "other", "links"])
+        for rows in whole_groups(batches, ("bucket", "left", "right"), ROWS):
+            n, group = rows.num_rows, rows["grp"].to_numpy()
+            words = np.frombuffer(b"".join(rows["words"].to_pylist()), dtype=np.uint64 if bits > 32 else np.uint32 if bits > 16 else np.uint16).reshape(n, groups)
+            ids, many, factor = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["factor"].to_numpy()
+            packed, vectors, dims, tag = rows["code"], rows["embedding"], rows["dim"].to_numpy(), rows["tag"].to_numpy()
+            links, ends = np.zeros(n, dtype=np.int64), []
+            for a, b in _pairs(*_partners(rows)):
+                earlier = (tag[a] != tag[b]) | (dims[a] != dims[b])  # strangers whose buckets' names are equal by chance
+                for g in range(groups):
+                    live = np.flatnonzero(~earlier & (group[a] > g))
+                    if not len(live):
+                        break
+                    earlier[live] = words[a[live], g] == words[b[live], g]
+                a, b = a[~earlier], b[~earlier]
+                for dim in np.unique(dims[a]):
+                    p, q = a[dims[a] == dim], b[dims[a] == dim]
+                    used, where = np.unique(np.concatenate([p, q]), return_inverse=True)
+                    i, j = where[: len(p)], where[len(p) :]
+                    unit = _unit(_rows(vectors.take(pa.array(used))))
+                    good = _alike(unit, np.frombuffer(b"".join(packed.take(pa.array(used)).to_pylist()), dtype=np.uint8).reshape(len(used), -1), factor[used], i, j, code, limit)
+                    p, q = p[good], q[good]
+                    links += np.bincount(p, many[q], n).astype(np.int64) + np.bincount(q, many[p], n).astype(np.int64)
+                    ends.append((p, q))
+            a, b = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, dtype=np.int64) for k in (0, 1))
+            root = _least(n, a, b)
+            found, joined = np.flatnonzero(links), np.flatnonzero(root != np.arange(n))
+            if len(found):
+                node = pa.array(np.concatenate([ids[joined], ids[found]]))
+                other = pa.array(np.concatenate([ids[root[joined]], ids[found]]), mask=np.arange(len(joined) + len(found)) >= len(joined))
+                yield pa.record_batch([node, other, pa.array(np.concatenate([np.zeros(len(joined), np.int64), links[found]]))], names=["node", "other", "links"])
 
     return run
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two blocks."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges, reached = [], np.zeros(len(right), dtype=bool)
-    group = np.full(len(right), -1, dtype=np.int64)
-    for i in np.flatnonzero(hit.any(axis=1)):
-        row = np.flatnonzero(hit[i])
-        # one column of each group already joined, and all columns seen for the first time
-        known = row[reached[row]]
-        _, first = np.unique(group[known], return_index=True)
-        for j in [*known[first].tolist(), *row[~reached[row]].tolist()]:
-            x, y = find(int(left[i])), find(int(right[j]))
-            if x != y:
-                root[x] = y
-                edges.append((int(left[i]), int(right[j])))
-        reached[row] = True
-        group[row] = i if not len(known) else group[known[0]]
-    return edges
+def _alike(unit: np.ndarray, packed: np.ndarray, factor: np.ndarray, i: np.ndarray, j: np.ndarray, code: int, limit: float) -> np.ndarray:
+    """Which of the pairs ``i``, ``j`` of unit vectors are at or over the limit."""
+    out = np.zeros(len(i), dtype=bool)
+    turn = rotation(unit.shape[1], code).T.astype(np.float32)
+    for k in range(0, len(i), EXACT):
+        p, q = i[k : k + EXACT], j[k : k + EXACT]
+        a, p = np.unique(p, return_inverse=True)
+        b, q = np.unique(q, return_inverse=True)
+        signs = np.where(np.unpackbits(packed[a], axis=1, count=code).astype(bool), np.float32(1), np.float32(-1))
+        turned = unit[b].astype(np.float32) @ turn
+        value, width = estimate(np.einsum("ij,ij->i", signs[p], turned[q]), factor[a][p], code)
+        maybe = np.flatnonzero(value + width >= limit)
+        exact = np.einsum("ij,ij->i", unit[a[p[maybe]]], unit[b[q[maybe]]])
+        out[k + maybe[exact >= limit]] = True
+    return out
 
 
 def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
@@ -192,11 +238,11 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     nodes = stash(nodes, "vec-nodes")
     bits, groups = shape(nodes.count(), limit)
-    coded = nodes.select("node", "embedding").mapInArrow(_codes(bits, groups), "node long, factor double, code binary, words array<long>")
+    coded = nodes.select("node", "embedding").mapInArrow(_codes(bits, groups), "node long, factor double, code binary, words binary, keys array<long>")
     coded = stash(coded, "vec-codes")
 
     place = nodes.select("node", "label", F.size("embedding").alias("dim"))
-    slim = coded.join(place, "node").select("node", "label", "dim", F.posexplode("words").alias("grp", "word"))
+    slim = coded.join(place, "node").select("node", "label", "dim", F.posexplode("keys").alias("grp", "word"))
     slim = slim.select("node", "grp", F.xxhash64("label", "dim", "grp", "word").alias("bucket"))
     full = slim.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     held = stash(slim.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "vec-buckets")
@@ -204,8 +250,8 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     left = held.select("node", "grp", "bucket", F.col("block").alias("left"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("right"), F.lit(False).alias("side"))
     right = held.filter("block > 0").select("node", "grp", "bucket", F.explode(F.expr("sequence(0L, block - 1)")).alias("left"), F.col("block").alias("right"), F.lit(True).alias("side"))
     keys = ("bucket", "left", "right")
-    whole = nodes.select("node", "copies", "embedding").join(coded.drop("words"), "node")
-    met = left.unionByName(right).join(whole, "node").repartition(*keys).sortWithinPartitions(*keys)
+    whole = nodes.select("node", "copies", "embedding", F.size("embedding").alias("dim"), F.xxhash64(F.lit(1), "label").alias("tag")).join(coded.drop("keys"), "node")
+    met = left.unionByName(right).join(whole, "node").repartition(*keys).sortWithinPartitions(*keys, "side")
     found = stash(met.mapInArrow(_compare(limit, bits, groups), "node long, other long, links long"), "vec-links")
 
     label = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), "vec-components")

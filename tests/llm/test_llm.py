@@ -702,9 +702,29 @@ def test_estimates_are_unbiased_and_bounded():
     x = rng.standard_normal((200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     signs, factor = embeddings.encode(x, 768)
-    value, width = embeddings.estimate(signs, factor, x @ embeddings.rotation(64, 768).T)
+    value, width = embeddings.estimate(np.where(signs, 1.0, -1.0) @ embeddings.rotation(64, 768) @ x.T, factor[:, None], 768)
     error = value - x @ x.T
-    assert abs(error[~np.eye(200, dtype=bool)].mean()) < 0.002 and (np.abs(error) <= width[:, None]).all()
+    assert abs(error[~np.eye(200, dtype=bool)].mean()) < 0.002 and (np.abs(error) <= width).all()
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 2), st.booleans()), max_size=60))
+@settings(deadline=None)
+def test_partners_are_all_pairs_of_a_block(rows):
+    rows = sorted((b, min(x, y), max(x, y), s and x != y) for b, x, y, s in rows)
+    frame = pa.table({k: pa.array([r[i] for r in rows], pa.bool_() if k == "side" else pa.int64()) for i, k in enumerate(("bucket", "left", "right", "side"))})
+    got = [(int(p), int(q)) for a, b in embeddings._pairs(*embeddings._partners(frame)) for p, q in zip(a, b, strict=True)] if rows else []
+    want = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and x[:3] == y[:3] and (x[1] == x[2] or (not x[3] and y[3]))]
+    assert sorted(got) == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 29), st.integers(0, 29)), max_size=60))
+def test_least_places(pairs):
+    a, b = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+    label = list(range(30))
+    for _ in range(30):
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    assert embeddings._least(30, a, b).tolist() == label
 
 
 # queries and pipeline
