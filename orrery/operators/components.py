@@ -29,13 +29,14 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     mark = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # a plain exchange on both sides of each join, so that a hub's rows can be dealt to many tasks
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).repartition("u")
         # large star: larger neighbours move to the smallest of the closed neighbourhood
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star over the result: smaller neighbours move to their least one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            large.join(least.repartition("u"), "u")
             .filter("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))

@@ -7,18 +7,22 @@ files are in shared storage and a lost task of a later stage just reads again.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no folder, as in tests.
+#: Used only where no folder is named and driver and executors are one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 _roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a local one, which only a local master can share."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or LOCAL_DEFAULT).rstrip("/")
 
 
