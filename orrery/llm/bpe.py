@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from orrery.llm.common import ready
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces of text that a worker remembers the encoding of; forgotten together when full.
-MEMO = 200_000
+MEMO = 400_000
 #: Ids sent on at a time.
 SENT = 500_000
 
@@ -76,11 +77,15 @@ class ByteCodec:
         chars = byte_chars()
         known = json.loads(state)
         back = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = {i: bytes(back[c] for c in token) for token, i in known["vocab"].items()}
-        self.id_of = known["vocab"]
+        tokens = [b""] * (max(known["vocab"].values()) + 1)
+        for token, i in known["vocab"].items():
+            tokens[i] = bytes(back[c] for c in token)
+        self.table = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.tokenizer = Tokenizer(models.BPE(vocab=known["vocab"], merges=[tuple(m) for m in known["merges"]]))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(known["pattern"]), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
 
     @staticmethod
     def state(path: str, pattern: str) -> str:
@@ -88,30 +93,35 @@ class ByteCodec:
         shown = lambda token: "".join(chars[b] for b in token)
         return json.dumps({"vocab": {shown(t): r for t, r in ranks.items()}, "merges": [[shown(a), shown(b)] for a, b in merges_of(ranks)], "pattern": pattern})
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a whole text and the characters each one touches: rows of start and end.
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text.
 
         The text is cut where the pattern cuts in any case; the tokenizers
-        library encodes each piece once, and a bounded memo keeps its ids and
-        offsets. Tokens that split a character all have that character's offsets.
+        library encodes each piece once, and a bounded memo keeps its ids.
         """
         pieces, memo = cut(text), self.memo
         if len(memo) > MEMO:
             memo.clear()
         if new := list({p for p in pieces if p not in memo}):
-            for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[piece] = (np.array(got.ids, dtype=np.int32).tobytes(), np.array(got.offsets, dtype=np.int32).tobytes())
-        found = [memo[p] for p in pieces]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32)
-        spans = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int32).reshape(-1, 2)
-        lengths = np.array([len(p) for p in pieces], dtype=np.int32)
-        counts = np.array([len(f[0]) // 4 for f in found], dtype=np.int64)
-        return ids, spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None].astype(np.int32)
-
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids; a character split over several tokens comes back whole once its last byte is there."""
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                memo[piece] = array("i", got.ids).tobytes()
+        return np.frombuffer(b"".join([memo[p] for p in pieces]), dtype=np.int32)
+
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters [start, end) that each id touches; ids that split a character all have that character's."""
+        ends = np.cumsum(self.lengths[ids], dtype=np.int32)
+        starts = ends - self.lengths[ids]
+        if text.isascii():
+            return starts, ends
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1  # of each byte
+        return char[starts], char[ends - 1] + 1
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, by the reversed byte table; a character split over several ids is whole once its last byte is there."""
+        many = self.lengths[ids]
+        ends = np.cumsum(many)
+        return self.table[np.repeat(self.starts[ids] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 def cut(text: str) -> list[str]:
@@ -169,19 +179,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(state.value)
         for batch in batches:
-            begin, ids, spans, decoded, held = 0, [], [], [], 0
+            begin, rows, held = 0, [], 0
             for i in range(batch.num_rows):
-                own, places = codec.encode(batch.column(1)[i].as_py() or "")
-                ids.append(own)
-                spans.append(places)
-                decoded.append(codec.decode(own.tolist()))
-                held += len(own)
+                text = batch.column(1)[i].as_py() or ""
+                ids = codec.encode(text)
+                rows.append((ids, *codec.offsets(text, ids), codec.decode(ids)))
+                held += len(ids)
                 if held >= SENT or i == batch.num_rows - 1:  # ids and offsets take many times the text's size
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate(spans)
-                    lists = [pa.ListArray.from_arrays(ends, x) for x in (np.concatenate(ids), flat[:, 0].copy(), flat[:, 1].copy())]
-                    yield pa.record_batch([batch.column(0).slice(begin, len(ids)), *lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "starts", "ends", "decoded"])
-                    begin, ids, spans, decoded, held = i + 1, [], [], [], 0
+                    ends = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(ends, np.concatenate([r[k] for r in rows])) for k in range(3)]
+                    yield pa.record_batch([batch.column(0).slice(begin, len(rows)), *lists, pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "ids", "starts", "ends", "decoded"])
+                    begin, rows, held = i + 1, [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded binary")
 
