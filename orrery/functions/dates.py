@@ -37,6 +37,12 @@ _NAMED = r"^(\d{1,2})[-/ ]([A-Za-z]{3,9})[-/ ](\d{4})(?:\s.*)?$"
 _YEAR_FIRST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
 _SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?:\s.*)?$"
 _EPOCH = r"^\d{10,13}$"
+_SHORT_YEAR = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})(?:\s.*)?$"
+_MONTH_FIRST = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:\s.*)?$"
+#: Two-digit years from this one on are of the last century.
+PIVOT = 70
+#: A date within a text: day, month by number or name, year, as :func:`mixed_date` has them at a text's start.
+WITHIN = rf"(?i)\b\d{{1,2}}[-/.\s]+(?:\d{{1,2}}|{'|'.join(n for n, _ in MONTHS)})[-/.,\s]+(?:19|20)\d{{2}}\b"
 
 
 def mixed_date(text: Column) -> Column:
@@ -45,19 +51,25 @@ def mixed_date(text: Column) -> Column:
     ``d.m.yyyy`` is day first; ``d-Mon-yyyy`` and ``d Month yyyy``; year first;
     10 to 13 digits are an epoch, in milliseconds over 1e12; slashes are month
     first unless the first number is over 12, and day first where month first
-    is no date.
+    is no date; so with years of two digits, which are of this century up to
+    PIVOT. ``Month d, yyyy`` comes last.
     """
     t = F.trim(text)
     epoch = t.try_cast("long")
     seconds = F.when(epoch > 10**12, (epoch / 1000).cast("long")).otherwise(epoch)
     a, b, year = _int(_at(t, _SLASHED, 1)), _int(_at(t, _SLASHED, 2)), _int(_at(t, _SLASHED, 3))
     slashed = F.when(a > 12, _make(year, b, a)).otherwise(F.coalesce(_make(year, a, b), _make(year, b, a)))
+    c, d, short = (_int(_at(t, _SHORT_YEAR, k)) for k in (1, 2, 3))
+    full = F.when(short < PIVOT, short + 2000).otherwise(short + 1900)
+    shortened = F.when(c > 12, _make(full, d, c)).otherwise(F.coalesce(_make(full, c, d), _make(full, d, c)))
     return (
         F.when(t.rlike(_DOTTED), _make(_int(_at(t, _DOTTED, 3)), _int(_at(t, _DOTTED, 2)), _int(_at(t, _DOTTED, 1))))
         .when(t.rlike(_NAMED), _make(_int(_at(t, _NAMED, 3)), month_by_name(_at(t, _NAMED, 2)), _int(_at(t, _NAMED, 1))))
         .when(t.rlike(_YEAR_FIRST), _make(_int(_at(t, _YEAR_FIRST, 1)), _int(_at(t, _YEAR_FIRST, 2)), _int(_at(t, _YEAR_FIRST, 3))))
         .when(t.rlike(_EPOCH), F.to_date(F.timestamp_seconds(seconds)))
         .when(t.rlike(_SLASHED), slashed)
+        .when(t.rlike(_SHORT_YEAR), shortened)
+        .when(t.rlike(_MONTH_FIRST), _make(_int(_at(t, _MONTH_FIRST, 3)), month_by_name(_at(t, _MONTH_FIRST, 1)), _int(_at(t, _MONTH_FIRST, 2))))
     )
 
 
