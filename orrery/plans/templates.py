@@ -1,8 +1,9 @@
 """The fixed question templates over the work log and the contract items.
 
 A template is a pattern over the question, and an aggregate. Questions are
-matched in order and the first match wins; nothing from the question is spliced
-into a query.
+matched in order and the first match wins: counts before breakdowns, breakdowns
+before totals, so "total hours by block" is answered by block. Nothing from the
+question is spliced into a query.
 """
 
 from __future__ import annotations
@@ -64,19 +65,19 @@ HALF = 1e-7
 _SUM_HOURS = f"round(sum({_t('hours')}), 2)"
 
 TEMPLATES: list[Template] = [
-    Template("log_floor_item", "equipment_log", r"floor.*(machine|equipment)|(machine|equipment).*floor", lambda d: by(d, ["floor", "item"], [F.asc("floor"), F.desc("total_hours"), F.asc("item")], total_hours=total("hours")), f"SELECT floor, item, {_SUM_HOURS} AS total_hours FROM daily_log GROUP BY floor, item"),
-    Template("log_by_block", "equipment_log", r"hours?.*block|block.*hours?", lambda d: by(d, ["block"], _top("block", "total_hours"), total_hours=total("hours")), f"SELECT block, {_SUM_HOURS} AS total_hours FROM daily_log GROUP BY block"),
     Template("log_distinct_blocks", "equipment_log", r"how many.*blocks", lambda d: d.agg(F.count_distinct("block").alias("blocks")), "SELECT count(DISTINCT block) AS blocks FROM daily_log"),
     Template("log_distinct_floors", "equipment_log", r"how many.*floors", lambda d: d.agg(F.count_distinct("floor").alias("floors")), "SELECT count(DISTINCT floor) AS floors FROM daily_log"),
+    Template("log_floor_item", "equipment_log", r"floor.*(machine|equipment)|(machine|equipment).*floor", lambda d: by(d, ["floor", "item"], [F.asc("floor"), F.desc("total_hours"), F.asc("item")], total_hours=total("hours")), f"SELECT floor, item, {_SUM_HOURS} AS total_hours FROM daily_log GROUP BY floor, item"),
+    Template("log_by_block", "equipment_log", r"hours?.*block|block.*hours?", lambda d: by(d, ["block"], _top("block", "total_hours"), total_hours=total("hours")), f"SELECT block, {_SUM_HOURS} AS total_hours FROM daily_log GROUP BY block"),
     Template("log_item_list", "equipment_log", r"(which|list|how many).*(machines|equipment)", lambda d: d.agg(F.count_distinct("item").alias("items"), distinct_list("item").alias("item_list")), "SELECT count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS item_list FROM daily_log"),
     Template("log_avg_active_days", "equipment_log", r"(average|avg|daily).*(machine|equipment|hours)", lambda d: by(d, ["item"], _top("item", "avg_hours"), avg_hours=F.round(F.avg(F.expr("try_cast(hours AS DOUBLE)")), 2), active_days=F.count_distinct("work_date")), f"SELECT item, round(avg({_t('hours')}), 2) AS avg_hours, count(DISTINCT work_date) AS active_days FROM daily_log GROUP BY item"),
     Template("log_total", "equipment_log", r"total.*hours", lambda d: d.agg(total("hours").alias("total_hours")), f"SELECT {_SUM_HOURS} AS total_hours FROM daily_log"),
     Template("log_by_item", "equipment_log", r"hours|machine|equipment|utili[sz]ation", lambda d: by(d, ["item"], _top("item", "total_hours"), total_hours=total("hours")), f"SELECT item, {_SUM_HOURS} AS total_hours FROM daily_log GROUP BY item"),
+    Template("wk_distinct_activities", "manpower_production", r"how many.*activit", lambda d: d.agg(F.count_distinct("activity").alias("activities")), "SELECT count(DISTINCT activity) AS activities FROM daily_log"),
     Template("wk_productivity", "manpower_production", r"productivity|per worker", lambda d: by(d, ["activity"], [F.desc("productivity"), F.asc("activity")], productivity=F.round(F.sum(F.expr("try_cast(output AS DOUBLE)")) / F.nullif(F.sum("hours"), F.lit(0.0)), 2), unit=F.min("unit"), workers=F.round(F.sum("hours"), 2)), f"SELECT activity, round(sum({_t('output')}) / nullif(sum(hours), 0), 2) AS productivity, min(unit) AS unit, round(sum(hours), 2) AS workers FROM daily_log GROUP BY activity"),
     Template("wk_avg_daily", "manpower_production", r"average.*(workers|manpower)", lambda d: d.agg(F.round(F.sum("hours") / F.nullif(F.count_distinct("work_date").cast("double"), F.lit(0.0)), 1).alias("avg_workers")), "SELECT round(sum(hours) * 1.0 / nullif(count(DISTINCT work_date), 0), 1) AS avg_workers FROM daily_log"),
     Template("wk_daily", "manpower_production", r"(daily|per day|trend).*", lambda d: by(d, ["work_date"], [F.asc_nulls_last("work_date")], workers=F.round(F.sum("hours"), 2)), "SELECT work_date, round(sum(hours), 2) AS workers FROM daily_log GROUP BY work_date"),
     Template("wk_block_activity", "manpower_production", r"block", lambda d: by(d, ["block"], _top("block", "workers"), workers=F.round(F.sum("hours"), 2), activities=F.count_distinct("activity")), "SELECT block, round(sum(hours), 2) AS workers, count(DISTINCT activity) AS activities FROM daily_log GROUP BY block"),
-    Template("wk_distinct_activities", "manpower_production", r"how many.*activit", lambda d: d.agg(F.count_distinct("activity").alias("activities")), "SELECT count(DISTINCT activity) AS activities FROM daily_log"),
     Template("wk_trade_list", "manpower_production", r"(which|list|how many).*trades", lambda d: d.agg(F.count_distinct("item").alias("trades"), distinct_list("item").alias("trade_list")), "SELECT count(DISTINCT item) AS trades, string_agg(DISTINCT item, ',' ORDER BY item) AS trade_list FROM daily_log"),
     Template("wk_output_unit", "manpower_production", r"(output|quantity).*(trade|job)", lambda d: by(d, ["item"], _top("item", "output"), output=total("output"), unit=F.min("unit")), f"SELECT item, round(sum({_t('output')}), 2) AS output, min(unit) AS unit FROM daily_log GROUP BY item"),
     Template("wk_by_activity", "manpower_production", r"activit", lambda d: by(d, ["activity"], _top("activity", "workers"), workers=F.round(F.sum("hours"), 2)), "SELECT activity, round(sum(hours), 2) AS workers FROM daily_log GROUP BY activity"),
