@@ -46,7 +46,7 @@ def revision(rows: DataFrame, columns: list[str]) -> DataFrame:
     A hash of all rows in order would need them in one place; sums are partial
     aggregates.
     """
-    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    digest = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
     half = lambda a: F.conv(F.substring(digest, a, 12), 16, 10).cast("decimal(38,0)")
     sums = rows.agg(F.count("*").alias("n"), F.sum(half(1)).alias("a"), F.sum(half(13)).alias("b"))
     return sums.select("n", F.substring(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256), 1, 32).alias("revision"))

@@ -102,6 +102,31 @@ def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
+    """A shortest way between the ends of each of ``pairs(start, goal)``, whatever the edges' direction, of at most ``depth + 1`` steps.
+
+    The frontier of every pair grows a level at a time with the first of the
+    equally short ways to each node, in order of the nodes; pairs that are
+    settled take no further part. Without a way there is no row.
+
+    Returns ``start, goal, path`` with both ends in the path.
+    """
+    ways = stash(both_ways(edges), "graph-ways")
+    front = pairs.select("start", "goal").distinct().select("start", "goal", F.col("start").alias("node"), F.array("start").alias("path"))
+    done = front.filter("start = goal").select("start", "goal", "path")
+    front = stash(front.filter("start <> goal"), "graph-front")
+    seen = front.select("start", "goal", "node")
+    for _ in range(depth + 1):
+        step = front.join(ways, front["node"] == ways["a"]).select("start", "goal", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        step = step.groupBy("start", "goal", "node").agg(F.min("path").alias("path"))
+        step = stash(step.join(seen, ["start", "goal", "node"], "left_anti"), "graph-front")
+        found = step.filter("node = goal").select("start", "goal", "path")
+        done = done.unionByName(found)
+        front = stash(step.join(found.select("start", "goal"), ["start", "goal"], "left_anti"), "graph-front")
+        seen = seen.unionByName(front.select("start", "goal", "node"))
+    return done
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("in_degree"))
 

@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.storage import stash
+
 # Okapi's constants and the fusion's.
 K1, B = 1.2, 0.75
 RRF_K = 60
 CANDIDATES, FINAL = 30, 6
 #: Query terms and vectors go to every task; more than these many rows take a shuffled join.
 SMALL = 50_000
+#: Bytes at most of such a table, by the size of its first rows.
+SMALL_BYTES = 64_000_000
+#: Query terms that a filter names one by one.
+LISTED = 1_000
 
 
 def windows(docs: DataFrame, size: int, stride: int) -> DataFrame:
@@ -41,8 +47,10 @@ def stem(word: Column) -> Column:
 
 
 def small(frame: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it has at most SMALL rows."""
-    return F.broadcast(frame) if frame.limit(SMALL + 1).count() <= SMALL else frame
+    """Marks a table for broadcast if it has at most SMALL rows and, by the size of their values, SMALL_BYTES."""
+    size = F.length(F.to_json(F.struct(*frame.columns)))
+    rows, chars = frame.limit(SMALL + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(frame) if rows <= SMALL and (chars or 0) <= SMALL_BYTES else frame
 
 
 def postings(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -54,19 +62,24 @@ def postings(docs: DataFrame, key: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, key: list[str], queries: DataFrame) -> DataFrame:
     """Okapi scores of documents for ``queries(query_id, term)``.
 
-    Texts are filtered to the query's terms where they are read; only matching
-    (document, term) counts are shuffled. Lengths and the number of documents
-    come from one aggregate.
+    Texts are read and cut into words once: of each, its length and the words
+    that a query asks for go to a slim table, which all that follows reads.
     """
-    terms = queries.select("query_id", F.col("term")).distinct()
-    words = docs.select(*key, tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w").cast("long"))
-    n, average = words.agg(F.count("*"), F.avg("dl")).first()
-    wanted = small(terms.select("term").distinct())
-    found = words.select(*key, "dl", F.explode("w").alias("term")).join(wanted, "term").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    terms = queries.select("query_id", "term").distinct()
+    asked = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    words = docs.select(*key, tokens(F.col("text")).alias("w"))
+    kept = F.filter("w", lambda x: x.isin(asked)) if len(asked) <= LISTED else F.col("w")
+    slim = stash(words.select(*key, F.size("w").cast("long").alias("dl"), kept.alias("w")), "bm25-words")
+    n, average = slim.agg(F.count("*"), F.avg("dl")).first()
+    found = slim.select(*key, "dl", F.explode("w").alias("term"))
+    if len(asked) > LISTED:
+        found = found.join(small(terms.select("term").distinct()), "term")
+    found = found.groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    facts = terms.join(df, "term")  # a row for each term of each query
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average or 1.0))))
-    scored = found.join(small(df), "term").join(small(terms), "term")
+    scored = found.join(F.broadcast(facts) if len(asked) <= LISTED else facts, "term")
     return scored.groupBy("query_id", *key).agg(F.sum(part).alias("score"))
 
 
@@ -115,6 +128,28 @@ def fuse(lanes: list[DataFrame], key: list[str], boost: Column | None = None, k:
     return fused if boost is None else fused.withColumn("score", F.col("score") + F.least(boost, F.lit(0.5 / (k + 1))))
 
 
+def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, meta: list[str], boost: DataFrame | None = None, k: int = FINAL) -> DataFrame:
+    """Fused ranking of two lanes of ``query_id, file, page, rank, meta..``, one row for each file and page.
+
+    Of the hits of a lane on one page the first counts, and places are counted
+    anew; facts that one lane lacks come from the other. ``boost(query_id,
+    doc_id, boost)``, from 0 to 1, adds at most half of what a first place gives.
+    """
+    keys = ["query_id", "file", "page"]
+
+    def lane(hits: DataFrame, name: str) -> DataFrame:
+        first = hits.groupBy(*keys).agg(F.min(F.struct("rank", *meta)).alias("h")).select(*keys, "h.*")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "file", "page"))
+        return first.withColumn("rank", place).select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in ("rank", *meta)))
+
+    both = lane(dense_hits, "d").join(lane(lexical_hits, "l"), keys, "full_outer")
+    part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
+    fused = both.select(*keys, *(F.coalesce(f"d_{c}", f"l_{c}").alias(c) for c in meta), (part("d_rank") + part("l_rank")).alias("score"))
+    if boost is not None:
+        fused = fused.join(boost, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)) * 0.5 / (RRF_K + 1)).drop("boost")
+    return top_k(fused.withColumn("score", F.round("score", 9)), "query_id", "score", ["file", "page"], k)
+
+
 def rank_normalised(lanes: DataFrame, lane: str, score: str, ties: list[str]) -> DataFrame:
     """Scores of a lane replaced by (n - place) / n."""
     window = Window.partitionBy(lane)

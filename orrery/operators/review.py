@@ -82,6 +82,15 @@ def evidence_pack(passages: DataFrame, budget: int = BUDGET, floor: float = FLOO
     return passages.groupBy("request").applyInPandas(pack, "request long, file long, passage long, pick long")
 
 
+def described(passages: DataFrame, by: list[str]) -> DataFrame:
+    """Facts about a pack: distinct files (``documents``) and doc_ids (``fragments``), passages and their characters.
+
+    A file has many doc_ids, so the first two differ; empty names count as none.
+    """
+    named = lambda c: F.count_distinct(F.nullif(F.col(c).cast("string"), F.lit("")))
+    return passages.groupBy(*by).agg(named("file_name").alias("documents"), named("doc_id").alias("fragments"), F.count("*").alias("passages"), F.coalesce(F.sum(F.length("excerpt")), F.lit(0)).cast("long").alias("chars"))
+
+
 def size_batches(rows: DataFrame, group: str, order: list[str], size: str, most: int = 80_000, overhead: int = 160) -> DataFrame:
     """Numbers rows into consecutive batches of at most ``most`` characters with an overhead for each row.
 

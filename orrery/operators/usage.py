@@ -99,3 +99,10 @@ def merged(stored: DataFrame, new: DataFrame, key: list[str], add: list[str] = (
 def usage_remaining(used: Column, budget: float) -> Column:
     """Percentage of a budget that is left, between 0 and 100."""
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - used / F.lit(budget)))), 2)
+
+
+def next_sequence(stored: DataFrame, new: DataFrame, group: str, order: list[str], seq: str = "seq") -> DataFrame:
+    """``new`` with the numbers that follow each group's largest stored one, from 0 for a new group, in order."""
+    last = stored.groupBy(group).agg(F.max(seq).alias("_last"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return new.withColumn("_place", place).join(last, group, "left").withColumn(seq, (F.coalesce("_last", F.lit(-1)) + F.col("_place")).cast("long")).drop("_place", "_last")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import extract as x
 from orrery.operators import review, usage
 from orrery.plans.registry import query
-from orrery.plans.views import EVENT_STORE, chunks, event_store, table
+from orrery.plans.views import CHUNKS, EVENT_STORE, chunks, event_store, table
 
 _LETTER = """letters AS (SELECT doc_id, 'From: ' || source || chr(10) || 'To: Team ' || CAST(doc_id % 7 AS VARCHAR) || chr(10) || 'Subject: Notice of delay ' || CAST(doc_id AS VARCHAR) || chr(10)
     || 'Ref: ABC-' || CAST(1000 + doc_id % 50 AS VARCHAR) || ' Contract No: C-' || CAST(doc_id % 9 AS VARCHAR) || '/X1' || chr(10)
@@ -31,17 +31,61 @@ def notice_fields(spark, sf_dir):
     return x.notices(letters(spark, sf_dir)).select("doc_id", "sender", "recipient", "subject", "contract_ref")
 
 
-@query("refs", f"""WITH {_LETTER} SELECT ref, count(*) AS n FROM (SELECT 'ABC-' || CAST(1000 + doc_id % 50 AS VARCHAR) AS ref FROM letters UNION ALL SELECT 'C-' || CAST(doc_id % 9 AS VARCHAR) || '/X1' FROM letters) GROUP BY ref""")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _in_order(values: str) -> str:
+    """Distinct values of a list expression named ``l``, in order."""
+    return f"list_filter({values}, lambda v, i: list_position({values}, v) = i)"
+
+
+_REFS = " || ".join(f"regexp_extract_all(text, {_sql(p)}, 1)" for p in x.REF_PATTERNS)
+
+
+@query("refs", f"""WITH {_LETTER}, r AS (SELECT list_filter({_REFS}, lambda v: length(v) >= 3 AND regexp_matches(v, '[0-9]')) AS l FROM letters)
+    SELECT ref, count(*) AS n FROM (SELECT unnest({_in_order('l')}[1:10]) AS ref FROM r) GROUP BY ref""")
 def refs(spark, sf_dir):
     found = x.notices(letters(spark, sf_dir)).select(F.explode("refs").alias("ref"))
-    return found.filter("ref rlike '^(ABC-1|C-)'").groupBy("ref").agg(F.count("*").alias("n"))
+    return found.groupBy("ref").agg(F.count("*").alias("n"))
 
 
-@query("entities", f"""WITH {_LETTER}, e AS (SELECT 'amount' AS kind, unnest(regexp_extract_all(text, '(?:AED|USD|EUR|GBP|\\$)\\s?\\d[\\d,]*(?:\\.\\d+)?')) AS value FROM letters
-    UNION ALL SELECT 'email', unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) FROM letters)
-    SELECT kind, lower(value) AS value FROM e GROUP BY ALL""")
+#: Names behind a letter's text.
+_SIGNED = "chr(10) || 'Attention Mr. John Smith and Eng. Mary Ann Lee' || chr(10) || 'Alpha Beta Contracting LLC, Al Noor Ltd and Eve & Co.' || chr(10) || 'Kind Regards,' || chr(10) || 'Omar Khan' || chr(10)"
+_KINDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_filter(regexp_extract_all(text, {_sql(p)}, {group}), lambda v: length(v) >= {least})) AS value FROM s" for k, (patterns, group, least) in x.KINDS.items() for p in patterns)
+
+
+@query("entities", f"WITH {_LETTER}, s AS (SELECT doc_id, text || {_SIGNED} AS text FROM letters), e AS ({_KINDS}) SELECT kind, lower(value) AS value, count(DISTINCT doc_id) AS n FROM e GROUP BY ALL")
 def entities(spark, sf_dir):
-    return x.entities(letters(spark, sf_dir)).filter("kind in ('amount', 'email')").select("kind", "value").distinct()
+    signed = letters(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nAttention Mr. John Smith and Eng. Mary Ann Lee\nAlpha Beta Contracting LLC, Al Noor Ltd and Eve & Co.\nKind Regards,\nOmar Khan\n")))
+    return x.entities(signed).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+_CLAIMED = "lambda v: regexp_replace(trim(regexp_replace(v, '\\s+', ' ', 'g')), '[.,;]+$', '')"
+_CLAIMS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS claim_type, {i} AS pattern, list_filter(list_transform(regexp_extract_all(text, {_sql('(?i)' + p)}, 1), {_CLAIMED}), lambda v: length(v) > 10)[1] AS description FROM s" for k, ps in x.CLAIMS.items() for i, p in enumerate(ps))
+_DEMANDS = "Claim for additional cost of USD 5. Short claim of x. Please ensure  that the  works proceed; completion date is 5 May 2012 at the latest."
+
+
+@query("claims", f"WITH {_LETTER}, s AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || {_sql(_DEMANDS)} ELSE '' END AS text FROM letters), c AS ({_CLAIMS}) SELECT doc_id, claim_type, pattern, left(description, 200) AS description FROM c WHERE description IS NOT NULL")
+def claims(spark, sf_dir):
+    more = F.when(F.col("doc_id") % 2 == 0, "\n" + _DEMANDS).otherwise("")
+    return x.claims(letters(spark, sf_dir).withColumn("text", F.concat("text", more))).drop("snippet")
+
+
+_STOPS = ", ".join(map(_sql, x.STOP_WORDS))
+
+
+@query("salient_terms", f"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-zA-Z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOPS})) AS l FROM conversations)
+    SELECT conv_id, turn, array_to_string({_in_order('l')}[1:5], ' ') AS terms FROM t""")
+def salient_terms(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(x.salient_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("source_snippets", r"""WITH s AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents), p AS (SELECT *, string_split(replace(t, chr(10), ' '), '. ') AS parts FROM s)
+    SELECT doc_id, md5(CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END) AS snippet_md5, left(array_to_string(parts[1:3], '. ') || CASE WHEN len(parts) > 3 THEN '...' ELSE '' END, 300) AS highlight_text FROM p""")
+def source_snippets(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(x.snippet(text).cast("binary")).alias("snippet_md5"), x.highlight(text).alias("highlight_text"))
 
 
 def _lower_any(words):
@@ -112,7 +156,27 @@ def evidence_pack(spark, sf_dir):
     return review.evidence_pack(rows, budget=30_000)
 
 
-@query("size_batches")
+@query("pack_description", "SELECT event_type AS request, count(DISTINCT nullif('f' || CAST(user_id % 10 AS VARCHAR), 'f0')) AS documents, count(DISTINCT user_id) AS fragments, count(*) AS passages, CAST(coalesce(sum(length(props)), 0) AS BIGINT) AS chars FROM events GROUP BY 1")
+def pack_description(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    file = F.nullif(F.concat(F.lit("f"), (F.col("user_id") % 10).cast("string")), F.lit("f0"))
+    return review.described(e.select(F.col("event_type").alias("request"), file.alias("file_name"), F.col("user_id").alias("doc_id"), F.col("props").alias("excerpt")), ["request"])
+
+
+@query("next_sequence", """WITH s AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events WHERE event_id % 3 > 0 AND user_id % 5 > 0), m AS (SELECT run, max(seq) AS last FROM s GROUP BY 1)
+    SELECT event_id, user_id AS run, CAST(coalesce(last, -1) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS seq FROM events LEFT JOIN m ON run = user_id WHERE event_id % 3 = 0""")
+def next_sequence(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run"))
+    old = e.filter("event_id % 3 > 0 and run % 5 > 0")
+    stored = usage.next_sequence(e.select("run").limit(0).withColumn("seq", F.lit(0).cast("long")), old, "run", ["event_id"])
+    return usage.next_sequence(stored, e.filter("event_id % 3 = 0"), "run", ["event_id"])
+
+
+@query("size_batches", f"""WITH RECURSIVE {CHUNKS}, r(doc_id, page, batch, used) AS (
+        SELECT doc_id, page, CAST(0 AS BIGINT), CAST(length(text) + 160 AS BIGINT) FROM chunks WHERE page = 0
+        UNION ALL SELECT c.doc_id, c.page, r.batch + CASE WHEN r.used + length(c.text) + 160 > 8000 THEN 1 ELSE 0 END, CASE WHEN r.used + length(c.text) + 160 > 8000 THEN 0 ELSE r.used END + length(c.text) + 160
+        FROM r JOIN chunks c ON c.doc_id = r.doc_id AND c.page = r.page + 1)
+    SELECT doc_id, page, length(text) AS chars, batch FROM r JOIN chunks USING (doc_id, page)""")
 def size_batches(spark, sf_dir):
     rows = chunks(spark, sf_dir).select("doc_id", "page", F.length("text").cast("long").alias("chars"))
     return review.size_batches(rows, "doc_id", ["page"], "chars", most=8_000)

@@ -8,6 +8,7 @@ from orrery.operators import graph as g
 from orrery.operators.components import connected_components
 from orrery.plans.registry import query
 from orrery.plans.views import NOTICES, notices
+from orrery.storage import stash
 
 _N = f"WITH {NOTICES}"
 
@@ -88,23 +89,36 @@ _REPLIES = f"{_N}, e AS ({_REPLY}), u AS (SELECT a, b FROM e UNION SELECT b, a F
 def _trace_sql(depth: int) -> str:
     text = _REPLIES.replace("WITH ", "WITH RECURSIVE ", 1)
     return text + f""", t(start, node, depth) AS (
-        SELECT DISTINCT a, a, 0 FROM u
+        SELECT DISTINCT a, a, 0 FROM u WHERE a % 100 = 0
         UNION SELECT t.start, u.b, t.depth + 1 FROM t JOIN u ON u.a = t.node WHERE t.depth < {depth})
     SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY 1, 2"""
 
 
+def _replies(spark, sf_dir):
+    """Reply edges, written once, and the letters that searches start from."""
+    edges = stash(g.reply_edges(notices(spark, sf_dir)).select("a", "b"), "graph-replies")
+    return edges, g.both_ways(edges).select(F.col("a").alias("start")).filter("start % 100 = 0").distinct()
+
+
 @query("trace_depth3", _trace_sql(3))
 def trace_depth3(spark, sf_dir):
-    edges = g.reply_edges(notices(spark, sf_dir))
-    starts = g.both_ways(edges).select(F.col("a").alias("start")).distinct()
-    return g.trace(edges, starts, 3)
+    return g.trace(*_replies(spark, sf_dir), 3)
+
+
+def _paths_sql(depth: int) -> str:
+    """Levels of shortest ways, each the first of the ways of that length."""
+    levels = ["l0 AS (SELECT DISTINCT a AS start, a AS node, [a] AS path FROM u WHERE a % 100 = 0)"]
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT start, node FROM l{j}" for j in range(k))
+        levels.append(f"l{k} AS (SELECT start, b AS node, min(list_append(path, b)) AS path FROM l{k - 1} JOIN u ON u.a = node WHERE NOT EXISTS (SELECT 1 FROM ({before}) s WHERE s.start = l{k - 1}.start AND s.node = u.b) GROUP BY 1, 2)")
+    return f"{_REPLIES}, {', '.join(levels)} SELECT start, node AS goal, array_to_string(path, '>') AS path FROM ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(1, depth + 1))})"
 
 
-@query("shortest_path", _trace_sql(4))
+@query("shortest_path", _paths_sql(4))
 def shortest_path(spark, sf_dir):
-    edges = g.reply_edges(notices(spark, sf_dir))
-    starts = g.both_ways(edges).select(F.col("a").alias("start")).distinct()
-    return g.trace(edges, starts, 4)
+    edges, starts = _replies(spark, sf_dir)
+    pairs = stash(g.trace(edges, starts, 4).filter("depth > 0").select("start", F.col("node").alias("goal")), "graph-pairs")
+    return g.paths(edges, pairs, 3).select("start", "goal", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("neighbours_by_weight", _shared("refs") + " SELECT CASE WHEN a = m THEN b ELSE a END AS b, max(round(shared / greatest(na, nb), 6)) AS weight FROM w, (SELECT min(a) AS m FROM w) WHERE a = m OR b = m GROUP BY 1 ORDER BY weight DESC, b LIMIT 10")

@@ -90,6 +90,26 @@ def rrf_fuse(spark, sf_dir):
     return r.fuse([r.dense(vectors, queries), second], ["vec_id"]).select("query_id", "vec_id", F.round("score", 8).alias("score"))
 
 
+_LANE = "SELECT query_id, 'f' || CAST(doc_id % 20 AS VARCHAR) AS file, doc_id % 40 // 20 AS page, doc_id"
+
+
+@query("hybrid_search", f"""WITH {_Q}, {_DENSE}, {_bm25_sql('documents', 'doc_id')},
+    dn AS ({_LANE}, n_chars AS total_pages, rank FROM (SELECT query_id // 100 AS query_id, vec_id AS doc_id, rank FROM t WHERE rank <= 30 AND query_id IN (100, 200, 300)) JOIN documents USING (doc_id)),
+    ln AS ({_LANE}, CAST(NULL AS BIGINT) AS total_pages, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM b) WHERE rank <= 30),
+    dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file, page) AS place FROM (SELECT query_id, file, page, arg_min(doc_id, rank) AS doc_id, arg_min(total_pages, rank) AS total_pages, min(rank) AS first FROM dn GROUP BY 1, 2, 3)),
+    lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file, page) AS place FROM (SELECT query_id, file, page, arg_min(doc_id, rank) AS doc_id, min(rank) AS first FROM ln GROUP BY 1, 2, 3)),
+    fu AS (SELECT query_id, file, page, coalesce(dk.doc_id, lk.doc_id) AS doc_id, total_pages, round(coalesce(1.0 / (60 + dk.place), 0) + coalesce(1.0 / (60 + lk.place), 0), 9) AS score FROM dk FULL JOIN lk USING (query_id, file, page))
+    SELECT query_id, file, page, doc_id, total_pages, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, page) AS rank FROM fu) WHERE rank <= 6""")
+def hybrid_search(spark, sf_dir):
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    wanted = vectors.filter("vec_id in (100, 200, 300)").select((F.col("vec_id") / 100).cast("int").alias("query_id"), F.col("embedding").alias("query"))
+    place = lambda d: d.withColumn("file", F.concat(F.lit("f"), (F.col("doc_id") % 20).cast("string"))).withColumn("page", F.floor(F.col("doc_id") % 40 / 20))
+    near = r.dense(vectors, wanted).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id", F.col("n_chars").cast("long").alias("total_pages")), "doc_id")
+    scored = r.bm25(docs, ["doc_id"], _terms(spark)).withColumn("score", F.round("score", 6))
+    said = r.top_k(scored, "query_id", "score", ["doc_id"], r.CANDIDATES).withColumn("total_pages", F.lit(None).cast("long"))
+    return r.hybrid(place(near), place(said), ["doc_id", "total_pages"])
+
+
 @query("rank_normalised", "SELECT event_type, event_id, round(1 - (row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1) / count(*) OVER (PARTITION BY event_type), 6) AS share FROM events")
 def rank_normalised(spark, sf_dir):
     return r.rank_normalised(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "value", ["event_id"]).drop("value")

@@ -5,13 +5,13 @@ import io
 import zipfile
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orrery.functions.dates import mixed_date, month_of, sortable
 from orrery.functions.fuzzy import Glossary, denies, token_set
-from orrery.functions.periods import period
+from orrery.functions.periods import period_of
 from orrery.operators import graph, normalise, programme, retrieval, review, schema, unions, usage
 from orrery.operators.components import connected_components
 from orrery.plans import facts
@@ -21,7 +21,7 @@ from orrery.sources import files, spreadsheet
 
 DATES = {
     "2.01.2025": "2025-01-02", "01/02/2025": "2025-01-02", "04/25/2025": "2025-04-25", "25/04/2025": "2025-04-25", "2027-06-21 0:00:00": "2027-06-21", "09/18/2027": "2027-09-18",
-    "5-Mar-2024": "2024-03-05", "5 March 2024": "2024-03-05", "2024/3/5": "2024-03-05", "1709596800": "2024-03-05", "1709596800000": "2024-03-05", "31.02.2024": None, "soon": None, "": None,
+    "5-Mar-2024": "2024-03-05", "5 March 2024": "2024-03-05", "2024/3/5": "2024-03-05", "1709596800": "2024-03-05", "1709596800000": "2024-03-05", "09/18/27": "2027-09-18", "18-09-99": "1999-09-18", "March 5, 2025": "2025-03-05", "Sept. 30th 2025 9:00": "2025-09-30", "31.02.2024": None, "soon": None, "": None,
 }
 
 
@@ -39,19 +39,23 @@ def test_months_and_sort_keys(spark):
 
 PERIODS = {
     "December 2008 and January 2009": ("2008-12-01", "2009-01-31"), "12 March 2010": ("2010-03-12", "2010-03-12"), "2010-2011": ("2010-01-01", "2011-12-31"),
-    "between 3 and 9 May 2012": ("2012-05-03", "2012-05-09"), "late 1905": ("1905-01-01", "1905-12-31"), "no date": None, "": None, None: None,
+    "between 3 and 9 May 2012": ("2012-05-03", "2012-05-09"), "30 or 31 February 2011": ("2011-02-28", "2011-02-28"), "March and MAY 2010 to June": ("2010-03-01", "2010-06-30"), "1st quarter": None, "late 1905": ("1905-01-01", "1905-12-31"), "no date": None, "": None, None: None,
 }
 
 
-@pytest.mark.parametrize("phrase", list(PERIODS))
-def test_periods(phrase):
-    assert period(phrase) == PERIODS[phrase]
+def periods(spark, phrases):
+    rows = spark.createDataFrame([(p,) for p in phrases], "t string").select("t", period_of(F.col("t")).alias("p")).collect()
+    return {r.t: (str(r.p.from_date), str(r.p.to_date)) if r.p.from_date else None for r in rows}
 
 
-@given(st.text())
-def test_periods_never_fail(text):
-    got = period(text)
-    assert got is None or got[0] <= got[1]
+def test_periods(spark):
+    assert periods(spark, PERIODS) == PERIODS
+
+
+@given(st.lists(st.lists(st.sampled_from(["may ", "june", " 2009", "1999 ", "31 ", "2nd", "x", " "]), max_size=8).map("".join), min_size=1, max_size=8))
+@settings(max_examples=15, deadline=None)
+def test_periods_never_fail(spark, texts):
+    assert all(got is None or got[0] <= got[1] for got in periods(spark, texts).values())
 
 
 def test_normalisation(spark):
@@ -84,6 +88,9 @@ def test_unions_keep_tenants_apart(spark):
 def test_templates(spark):
     assert match("Total hours by block?", "equipment_log").name == "log_by_block"
     assert match("hello", "ipc_sample") is None
+    routes = {"How many floors have equipment?": "log_distinct_floors", "how many blocks": "log_distinct_blocks", "equipment by floor": "log_floor_item", "total hours": "log_total", "how many machines are there": "log_item_list", "average daily hours": "log_avg_active_days"}
+    assert {q: match(q, "equipment_log").name for q in routes} == routes
+    assert match("How many activities per block?", "manpower_production").name == "wk_distinct_activities"
     log = spark.createDataFrame([("A", "F", "m", "x", 2.0), ("B", "F", "m", "x", 5.0)], "block string, floor string, item string, activity string, hours double")
     assert [tuple(r) for r in answer("hours by block", "equipment_log", log).collect()] == [("B", 5.0), ("A", 2.0)]
     ipc = spark.createDataFrame([("c1", "n", "100", "50", "50.0%"), ("c2", "n", "10", "10", "100%"), ("c3", "n", "5", "0", None)], "code string, name string, total string, cum_amt string, cum_pct string")
@@ -122,8 +129,18 @@ def test_stems_and_names(spark):
     assert [r[0] for r in words] == ["party", "box", "class", "day", "glass"]
     pair = spark.createDataFrame([("Acme Build Ltd", "build acme")], "a string, b string").select(token_set(F.col("a"), F.col("b"))).first()[0]
     assert pair == 100.0
-    said = spark.createDataFrame([("No information was found.",), ("",), (None,), ("It is 5.",)], "a string").select(denies(F.col("a"))).collect()
-    assert [r[0] for r in said] == [True, False, False, False]
+
+
+SAID = {
+    "No information regarding this was found.": True, "The requested document was not found.": True, "": False, None: False, "It is 5.": False, "Details are not available": True,
+    "The provided document excerpts do not contain any information regarding 'preheat temperature'.": True, "The contract does not contain a termination clause; clause 60 governs payment instead.": False,
+    "Yes. The completion date moved from 2011 to 2014.": False, "This is NOT EXPLICITLY labelled": True, "X is not mentioned, it does not appear": True,
+}
+
+
+def test_denials(spark):
+    rows = spark.createDataFrame([(s,) for s in SAID], "a string").select("a", denies(F.col("a")).alias("d")).collect()
+    assert {r.a: r.d for r in rows} == SAID
 
 
 def test_glossary():
