@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,22 +14,31 @@ from orrery.storage import shared_dir
 from orrery.streaming import events as s
 
 
-def _finished(spark, stream, mode: str):
-    """Runs a stream until its source is read out and returns its sink's rows.
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/orrery-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
 
-    The sink is a table in the shared folder for appends; updates and complete
-    results end in memory, as their final rows are aggregates.
+
+def _finished(spark, stream, mode: str, keys: list[str] = ()):
+    """Runs a stream until its source is read out and returns the table that it leaves in the shared folder.
+
+    Appended rows are the table; updates are the last state of each key; of
+    complete results the last batch is.
     """
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    root = f"{shared_dir(spark)}/orrery-{spark.sparkContext.applicationId}/{name}"
+    root, last = _folder(spark), []
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
     if mode == "append":
-        run = writer.format("parquet").option("path", f"{root}/rows").start()
-        run.awaitTermination()
+        writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-    run = writer.format("memory").queryName(name).start()
-    run.awaitTermination()
-    return spark.table(name)
+    keep = s.changes_of_batch(f"{root}/rows")
+
+    def run(batch, number):
+        keep(batch, number)
+        last.append(number)
+
+    writer.foreachBatch(run).start().awaitTermination()
+    if mode == "update":
+        return s.latest(spark, f"{root}/rows", stream.schema, list(keys))
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows/batch={last[-1]}")
 
 
 def _events(spark, sf_dir):
@@ -36,6 +46,16 @@ def _events(spark, sf_dir):
     return s.timed(s.stream_of(spark, f"{sf_dir}/events.parquet*", static.schema))
 
 
+def _files(spark, *frames) -> str:
+    """A folder with the frames' files, in that order of time."""
+    folder = f"{_folder(spark)}/in"
+    for i, frame in enumerate(frames):
+        if i:
+            time.sleep(1.1)  # files' times are told apart by seconds
+        frame.write.mode("append").parquet(folder)
+    return folder
+
+
 @query("stream_tumbling", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     return _finished(spark, s.tumbling(_events(spark, sf_dir)), "complete").select(F.to_date("start").alias("day"), "event_type", "n", "total")
@@ -57,8 +77,32 @@ def stream_session(spark, sf_dir):
 
 @query("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedupe(spark, sf_dir):
-    events = _events(spark, sf_dir)
-    return _finished(spark, s.once(events), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events in files that are out of order, half of them twice."""
+    static = table(spark, sf_dir, "events")
+    folder = _files(spark, static.unionByName(static.filter("event_id % 2 = 0")).repartition(3, F.xxhash64("event_id", F.rand(7))))
+    root = _folder(spark)
+    writer = s.stream_of(spark, folder, static.schema).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+    writer.foreachBatch(s.stored_once(f"{root}/rows", "event_id", static.schema)).start().awaitTermination()
+    return spark.read.schema(static.schema).parquet(f"{root}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_late", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1, 2")
+def stream_late(spark, sf_dir):
+    """Days whose file comes after the watermark has passed them are left out; the mark that tells is that of the batch before."""
+    static = table(spark, sf_dir, "events")
+    late = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    odd = F.col("event_id") % 2 == 1
+    folder = _files(spark, *(static.filter(c).coalesce(1) for c in (~late & odd, ~late & ~odd, late)))
+    rows = _finished(spark, s.tumbling(s.timed(s.stream_of(spark, folder, static.schema))), "update", ["start", "event_type"])
+    return rows.select(F.to_date("start").alias("day"), "event_type", "n")
+
+
+@query("stream_join", "SELECT a.event_type, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type <> 'purchase' GROUP BY 1")
+def stream_join(spark, sf_dir):
+    """Events with a purchase of their user in the hour after them."""
+    first, then = _events(spark, sf_dir).filter("event_type <> 'purchase'"), _events(spark, sf_dir).filter("event_type = 'purchase'")
+    kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return _finished(spark, s.joined(first, then), "append").join(kinds, "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("stream_pairs", "WITH f AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS file FROM lineitem) SELECT a.file AS doc_a, b.file AS doc_b, count(*) AS cnt FROM f a JOIN f b ON a.i = b.i AND a.file < b.file GROUP BY 1, 2")
@@ -66,10 +110,7 @@ def stream_pairs(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     pairs = co_retrieval(line.select(F.col("l_orderkey").alias("interaction"), F.col("l_partkey").alias("file")))
     per_answer = pairs.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "cnt"))).select("doc_a", "doc_b")
-    name = f"pairs-{uuid.uuid4().hex[:12]}"
-    folder = f"{shared_dir(spark)}/orrery-{spark.sparkContext.applicationId}/{name}"
-    per_answer.write.parquet(folder)
-    return _finished(spark, s.pair_counts(s.stream_of(spark, folder, per_answer.schema, 4)), "complete")
+    return _finished(spark, s.pair_counts(s.stream_of(spark, _files(spark, per_answer), per_answer.schema, 4)), "update", ["doc_a", "doc_b"])
 
 
 @query("stream_clusters", "SELECT label AS grp, count(*) AS n FROM embeddings GROUP BY label")

@@ -4,20 +4,24 @@ import datetime as dt
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from orrery import storage
+from orrery.functions import extract
 from orrery.functions.dates import mixed_date, month_of, sortable
 from orrery.functions.fuzzy import Glossary, denies, token_set
 from orrery.functions.periods import period_of
 from orrery.operators import graph, normalise, programme, retrieval, review, schema, unions, usage
 from orrery.operators.components import connected_components
-from orrery.plans import facts
+from orrery.plans import facts, streams
 from orrery.plans.selection import Entry, choose, reliable, resolve_column
 from orrery.plans.templates import answer, match
 from orrery.sources import files, spreadsheet
+from orrery.streaming import events
 
 DATES = {
     "2.01.2025": "2025-01-02", "01/02/2025": "2025-01-02", "04/25/2025": "2025-04-25", "25/04/2025": "2025-04-25", "2027-06-21 0:00:00": "2027-06-21", "09/18/2027": "2027-09-18",
@@ -274,3 +278,100 @@ def test_csv_and_records(spark, tmp_path):
     assert frame.columns == ["a_b", "c"] and [r.c for r in frame.orderBy("a_b").collect()] == [None, "x"]
     (tmp_path / "r.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n')
     assert files.read_records(spark, str(tmp_path / "r.jsonl"), "a int").count() == 2
+
+
+def test_running_clusters_are_those_of_a_plain_loop(spark, tmp_path):
+    """Eighty directions, more than any fixed number of centres would hold, each met again later; numbers stay."""
+    rng = np.random.default_rng(3)
+    centre = np.linalg.qr(rng.standard_normal((96, 96)))[0][:80]
+    order = [*range(80), *rng.permutation(80), *rng.permutation(80)]
+    rows = [(i, 1, [float(x) for x in centre[c] + rng.normal(0, 0.02, 96)]) for i, c in enumerate(order)] + [(500, 1, [0.0] * 96)]
+    frame = spark.createDataFrame(rows, "vec_id long, grp long, embedding array<double>")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = events.running_clusters(events.stream_of(spark, str(tmp_path / "in"), frame.schema))
+    got = {r.vec_id: r.cluster for r in streams._finished(spark, stream, "append").collect()}
+    name: dict[int, int] = {}
+    assert got == {**{i: name.setdefault(c, len(name)) for i, c in enumerate(order)}, 500: 80}
+
+
+def test_a_batch_run_again_adds_nothing(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "k long, v string")
+    keep = events.stored_once(str(tmp_path / "t"), "k", frame.schema)
+    for batch in (frame, frame, spark.createDataFrame([(2, "x"), (0, "c")], frame.schema)):
+        keep(batch, 0)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(0, "c"), (1, "a"), (2, "b")]
+
+
+def test_hybrid_ranking(spark):
+    schema = "query_id int, file string, page int, rank int, doc_id string, total_pages int"
+    near = spark.createDataFrame([(1, "a.pdf", 1, 1, "d1", 2), (1, "a.pdf", 2, 2, "d1", None), (1, "a.pdf", 1, 3, "d9", 7)], schema)
+    said = spark.createDataFrame([(1, "b.pdf", 1, 1, "d2", None), (1, "a.pdf", 1, 2, "d1", None), (1, "c.pdf", 1, 4, "d3", 5)], schema)
+    got = retrieval.hybrid(near, said, ["doc_id", "total_pages"]).orderBy("rank").collect()
+    assert [(r.file, r.page, r.doc_id, r.total_pages) for r in got] == [("a.pdf", 1, "d1", 2), ("b.pdf", 1, "d2", None), ("a.pdf", 2, "d1", None), ("c.pdf", 1, "d3", 5)]
+    boost = spark.createDataFrame([(1, "d2", 1.0)], "query_id int, doc_id string, boost double")
+    assert [r.file for r in retrieval.hybrid(near, said, ["doc_id", "total_pages"], boost).orderBy("rank").collect()][0] == "a.pdf"
+    equal = retrieval.hybrid(near.limit(1), said.limit(1), ["doc_id", "total_pages"], boost).orderBy("rank").collect()
+    assert [r.file for r in equal] == ["b.pdf", "a.pdf"]
+    assert retrieval.hybrid(near.limit(0), said.limit(0), ["doc_id", "total_pages"]).count() == 0
+
+
+def test_paths(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (5, 4), (5, 6), (6, 7), (1, 8), (8, 3)], "a long, b long")
+    pairs = spark.createDataFrame([(1, 1), (1, 4), (1, 6), (1, 7), (4, 1), (9, 1)], "start long, goal long")
+    got = {(r.start, r.goal): r.path for r in graph.paths(edges, pairs, 3).collect()}
+    assert got == {(1, 1): [1], (1, 4): [1, 2, 3, 4], (4, 1): [4, 3, 2, 1]}
+    assert {(r.start, r.goal): r.path for r in graph.paths(edges, pairs, 4).collect()}[1, 6] == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
+    Context.master = "local[4]"
+    assert storage.shared_dir(Session()) == storage.LOCAL_DEFAULT
+
+
+def test_claims_and_snippets(spark):
+    texts = ["We claim for   additional time and money.  Kindly confirm the date of handover to us, please.", None, "Claim for x.", "One. Two\nlines. Three. Four. " + "y" * 600]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.claim_type): r for r in extract.claims(frame).collect()}
+    assert set(got) == {(0, "cost"), (0, "request")} and got[0, "cost"].description.startswith("additional time and money. Kindly") and got[0, "cost"].snippet.startswith("We claim for")
+    rows = frame.select("doc_id", extract.snippet(F.col("text")).alias("s"), extract.highlight(F.col("text")).alias("h")).collect()
+    assert [r.h for r in rows][1:] == ["", "Claim for x.", "One. Two lines. Three..."] and len(rows[3].s) == 503 and rows[1].s == ""
+    assert extract.claims(frame.limit(0)).count() == 0
+
+
+def test_evidence_packs_are_those_of_a_plain_loop(spark):
+    """The registered query's picks, by a loop over each request's rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "value", "event_type", F.date_diff("ts", F.lit("2024-01-01")).alias("file")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.user_id, []).append((-r.value, r.file, r.event_id, 400 + r.event_id % 900, r.event_type))
+    want = set()
+    for request, found in by.items():
+        found.sort()
+        used, files_used, seen, stale, picks, rest = 0, {}, set(), 0, [], []
+
+        def fits(chars, file):
+            return used + chars <= 30_000 and files_used.get(file, 0) + chars <= 7_500
+
+        for second in (False, True):
+            for v, file, event, chars, kind in rest if second else found:
+                if not second and (-v < review.FLOOR * -found[0][0] or stale >= review.SATURATION):
+                    rest.append((v, file, event, chars, kind))
+                elif (not second or kind not in seen) and fits(chars, file):
+                    stale = 0 if kind not in seen else stale + 1
+                    used, files_used[file] = used + chars, files_used.get(file, 0) + chars
+                    seen.add(kind)
+                    picks.append(event)
+        want |= {(request, e, i) for i, e in enumerate(picks)}
+    assert {(r.request, r.passage, r.pick) for r in facts.evidence_pack(spark, "/root/testdata/sf0.001").collect()} == want
