@@ -11,6 +11,8 @@ from orrery.plans.views import NOTICES, notices
 from orrery.storage import stash
 
 _N = f"WITH {NOTICES}"
+#: Letters of a day between two parties in one direction, named by the smallest id.
+_DAYS = f"{_N}, days AS (SELECT min(doc_id) AS doc_id, sender, recipient, date FROM notices GROUP BY 2, 3, 4)"
 
 
 def _shared(column: str) -> str:
@@ -44,23 +46,28 @@ def edge_contract(spark, sf_dir):
     return g.contract_edges(notices(spark, sf_dir))
 
 
-_REPLY = "SELECT x.doc_id AS a, y.doc_id AS b, 'reply_to' AS edge_type, CAST(0.85 AS DOUBLE) AS weight FROM notices x JOIN notices y ON x.sender = y.recipient AND x.recipient = y.sender AND y.date > x.date"
+_REPLY = "SELECT x.doc_id AS a, y.doc_id AS b, 'reply_to' AS edge_type, CAST(0.85 AS DOUBLE) AS weight FROM days x JOIN days y ON x.sender = y.recipient AND x.recipient = y.sender AND y.date > x.date"
 _CHRONO = """SELECT DISTINCT a, b, 'chronological_next' AS edge_type, CAST(0.5 AS DOUBLE) AS weight FROM (
     SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY party ORDER BY date, doc_id) AS b FROM (
         SELECT doc_id, date, sender AS party FROM notices UNION ALL SELECT doc_id, date, recipient FROM notices)) WHERE b IS NOT NULL"""
 
 
-@query("edge_reply", f"{_N} {_REPLY}")
+@query("edge_reply", f"{_DAYS} {_REPLY}")
 def edge_reply(spark, sf_dir):
     return g.reply_edges(notices(spark, sf_dir))
 
 
+@query("reply_members", _N + " SELECT doc_id AS id, min(doc_id) OVER w AS rep, count(*) OVER w AS size FROM notices WINDOW w AS (PARTITION BY lower(sender), lower(recipient), date)")
+def reply_members(spark, sf_dir):
+    return g.reply_members(notices(spark, sf_dir))
+
+
 @query("edge_chrono", f"{_N} {_CHRONO}")
 def edge_chrono(spark, sf_dir):
     return g.chronological_edges(notices(spark, sf_dir))
 
 
-_EDGES = f"{_N}, e AS ({_REPLY} UNION ALL {_CHRONO})"
+_EDGES = f"{_DAYS}, e AS ({_REPLY} UNION ALL {_CHRONO})"
 
 
 def _edges(spark, sf_dir):
@@ -83,7 +90,7 @@ def in_degree(spark, sf_dir):
     return g.in_degree(_edges(spark, sf_dir))
 
 
-_REPLIES = f"{_N}, e AS ({_REPLY}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+_REPLIES = f"{_DAYS}, e AS ({_REPLY}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
 def _trace_sql(depth: int) -> str:
