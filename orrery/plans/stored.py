@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from email.message import EmailMessage
 
 from pyspark.sql import functions as F
 
 from orrery.functions import dates, extract, fuzzy
+from orrery.functions.entries import entries
 from orrery.operators import retrieval, review, usage
 from orrery.operators.asof import as_of
 from orrery.plans.registry import query
 from orrery.plans.views import CHUNKS, chunks, table
-from orrery.sources import files, store
+from orrery.sources import export, files, spreadsheet, store
 from orrery.storage import shared_dir
 
 
@@ -65,6 +69,41 @@ def source_orc(spark, sf_dir):
     return spark.read.orc(path).select("o_orderkey", "o_totalprice")
 
 
+@query("source_sheets", "SELECT r_name AS name, CAST(n_nationkey AS BIGINT) AS key, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey")
+def source_sheets(spark, sf_dir):
+    """A workbook with a sheet for each region, written and read again."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]
+    path = _place(spark, "sheets")
+    export.export_workbook(spark, f"{path}/book.xlsx", {r: n.filter(F.col("r_name") == r).select(F.col("n_nationkey").alias("Nation Key"), F.col("n_name").alias("Nation Name"), F.lit("x").alias("Mark")) for r in regions})
+    cells = spreadsheet.read_tables(spark, path)
+    return cells.select(F.col("table").alias("name"), F.try_element_at("cells", F.lit("nation_key")).cast("double").cast("long").alias("key"), F.try_element_at("cells", F.lit("nation_name")).alias("nation"))
+
+
+@query("source_mail", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) || '@x.org' AS sender, n_name AS subject, CAST(page AS BIGINT) AS page, CASE WHEN page = 0 THEN 2000 ELSE n_nationkey END AS chars FROM nation, range(2) t(page) WHERE n_regionkey = 1 AND n_nationkey > 0")
+def source_mail(spark, sf_dir):
+    """Messages whose bodies run over to a second page."""
+    path = _place(spark, "mail")
+    for r in table(spark, sf_dir, "nation").filter("n_regionkey = 1 and n_nationkey > 0").collect():
+        m = EmailMessage()
+        m["From"], m["To"], m["Subject"] = f"n{r['n_nationkey']}@x.org", "y@x.org", r["n_name"]
+        m.set_content("\n".join(["w" * 49] * 40) + "\n" + "v" * r["n_nationkey"])
+        export.put(spark, f"{path}/{r['n_name']}.eml", m.as_bytes())
+    return files.read_mail(spark, path).select("sender", "subject", "page", F.length("text").cast("long").alias("chars"))
+
+
+@query("source_docx", "SELECT * FROM (VALUES (1, '3 May 2020', 'work began. (i) at the gate'), (2, CAST(NULL AS VARCHAR), 'It stopped.')) t(number, date_text, text)")
+def source_docx(spark, sf_dir):
+    """Entries of a chronology in a Word file."""
+    said = ["Title", "1. On 3 May 2020, work began.", "(i) at the gate", "2) It stopped."]
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="urn:w"><w:body>' + "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in said) + "</w:body></w:document>")
+    path = _place(spark, "docx")
+    export.put(spark, f"{path}/a.docx", raw.getvalue())
+    return entries(files.read_docx(spark, path)).select("number", "date_text", "text")
+
+
 @query("store_lifecycle", """WITH a AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderpriority) AS p FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
     u AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, coalesce(b.p, a.p) AS p FROM a FULL JOIN b ON a.k = b.k),
     i AS (SELECT * FROM u UNION ALL SELECT c_custkey, 0, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)) SELECT k, n, p FROM i WHERE n % 7 <> 3""")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,9 +9,10 @@ from pyspark.sql import functions as F
 from orrery.functions.dates import repaired
 from orrery.functions.entries import entries
 from orrery.functions.fuzzy import passage_place
+from orrery.operators.asof import as_of
 from orrery.operators.clusters import cluster_all, kept_ids
 from orrery.operators.evidence import golden
-from orrery.sources import formats, store
+from orrery.sources import export, formats, spreadsheet, store
 
 
 def test_store(spark, tmp_path):
@@ -78,3 +81,20 @@ def test_small_ones(spark):
     rows = spark.createDataFrame([("Q ", "sql", 1, 2), ("q", "sql", 1, 1), ("q", "doc", 1, 3)], "question string, route string, vote int, ts int")
     assert sorted((r.route, r.ts) for r in golden(rows, ["ts"]).collect()) == [("doc", 3), ("sql", 1)]
     assert spark.createDataFrame([("2024-01-02T, 2024-01-03",)], "t string").select(repaired(F.col("t"))).first()[0] == "2024-01-02, 2024-01-03"
+
+
+def test_workbooks_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a & <b>", 2.5, True, None), (2, None, None, False, dt.date(2024, 5, 6))], "k long, t string, v double, f boolean, d date")
+    export.export_workbook(spark, str(tmp_path / "out" / "x.xlsx"), {"First": rows, "Empty": rows.limit(0)})
+    cells = {(r.sheet, r.row, r.col): r.value for r in spreadsheet.read_cells(spark, str(tmp_path / "out")).collect()}
+    assert cells["First", 1, 1] == "a & <b>" and cells["First", 2, 4] == "2024-05-06" and ("First", 2, 1) not in cells
+    assert {(s, r) for s, r, _ in cells if s == "Empty"} == {("Empty", 0)}
+    assert [export.column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
+def test_as_of(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, "a", 5), (3, "b", 7), (4, None, 9), (5, "a", None), (6, "a", 3)], "id int, k string, t long")
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 9, 3.0), (None, 8, 4.0), ("b", 8, 5.0)], "k string, t long, v double")
+    got = {r.id: r.v for r in as_of(left, right, ["k"], "t", ["v"]).collect()}
+    assert got == {1: 3.0, 2: 2.0, 3: None, 4: None, 5: None, 6: None}
+    assert as_of(left, right.limit(0), ["k"], "t", ["v"]).filter("v is not null").count() == 0
