@@ -114,8 +114,52 @@ def windows_analysis(tasks: DataFrame) -> DataFrame:
 def with_impact(links: DataFrame, tasks: DataFrame, inserted: DataFrame) -> tuple[int, int]:
     """Length of the programme without and with inserted delays: ``inserted(task, days)`` lengthens those tasks."""
     longer = tasks.join(inserted, "task", "left").withColumn("duration", F.col("duration") + F.coalesce("days", F.lit(0)))
-    lengths = [early_dates(t, links).agg(F.max("ef")).first()[0] or 0 for t in (tasks, longer)]
-    return lengths[0], lengths[1]
+    return length_of(tasks, links), length_of(longer, links)
+
+
+def with_fragnet(tasks: DataFrame, links: DataFrame, new_tasks: DataFrame, new_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A network with the tasks and links of an event put in; a link that is there already gets the event's lag."""
+    known = new_tasks.select("task", "duration")
+    rest = tasks.select("task", "duration").join(known.select("task"), "task", "left_anti")
+    old = links.select("pred", "succ", "lag").join(new_links.select("pred", "succ"), ["pred", "succ"], "left_anti")
+    return rest.unionByName(known), old.unionByName(new_links.select("pred", "succ", "lag"))
+
+
+def without_tasks(tasks: DataFrame, links: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A network with tasks taken out and their logic kept: they last no time, and no lag leads to or from them."""
+    gone = removed.select("task").distinct().withColumn("gone", F.lit(True))
+    left = tasks.join(gone, "task", "left").select("task", F.when(F.col("gone"), F.lit(0)).otherwise(F.col("duration")).cast("long").alias("duration"))
+    ends = lambda c: gone.select(F.col("task").alias(c), F.col("gone").alias(f"gone_{c}"))
+    lag = F.when(F.col("gone_pred") | F.col("gone_succ"), F.lit(0)).otherwise(F.col("lag")).cast("long")
+    return left, links.join(ends("pred"), "pred", "left").join(ends("succ"), "succ", "left").select("pred", "succ", lag.alias("lag"))
+
+
+def length_of(tasks: DataFrame, links: DataFrame) -> int:
+    """Days of the longest path."""
+    return early_dates(tasks, links).agg(F.max("ef")).first()[0] or 0
+
+
+def as_built_path(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    """The tasks that drove the recorded completion: from the last to finish back over each one's driving predecessor.
+
+    A task is driven by its predecessor that finished last, of equals the one
+    with the smallest number. Ancestors are found by doubling the steps, so the
+    rounds are the logarithm of the path's length; a cycle ends it.
+
+    Returns ``task, finish``.
+    """
+    done = stash(tasks.select("task", "finish"), "built-tasks")
+    by = links.join(done.select(F.col("task").alias("pred"), F.col("finish").alias("at")), "pred").groupBy("succ").agg(F.max(F.struct("at", (-F.col("pred")).alias("neg"))).alias("d"))
+    jump = stash(by.select("succ", (-F.col("d.neg")).alias("pred")), "built-drivers")
+    found = stash(done.orderBy(F.desc("finish"), "task").limit(1).select("task"), "built-path")
+    while True:
+        back = found.join(jump, F.col("task") == F.col("succ")).select(F.col("pred").alias("task"))
+        more = stash(found.unionByName(back).distinct(), "built-path")
+        if more.count() == found.count():
+            return more.join(done, "task")
+        found = more
+        over = jump.select(F.col("succ").alias("pred"), F.col("pred").alias("further"))
+        jump = stash(jump.join(over, "pred").select("succ", F.col("further").alias("pred")), "built-drivers")
 
 
 def hierarchy(tasks: DataFrame, levels: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators import programme as p
 from orrery.plans.registry import query
 from orrery.plans.views import table
+from orrery.storage import stash
 
 
 def tasks(spark, sf_dir):
@@ -65,9 +66,43 @@ def milestone_shift(spark, sf_dir):
     return p.milestone_shift(tasks(spark, sf_dir).withColumn("task", F.expr("task div 3")))
 
 
-@query("float_erosion", f"WITH {_T}, m AS (SELECT revision, median(CAST(planned_finish - start AS DOUBLE)) AS median_float FROM tasks GROUP BY 1) SELECT revision, median_float, median_float - lag(median_float) OVER (ORDER BY revision) AS change FROM m")
+def _forward(name: str, t: str, lk: str) -> str:
+    return f"{name}(task, pos) AS (SELECT task, CAST(0 AS BIGINT) FROM {t} UNION SELECT {lk}.succ, {name}.pos + d.duration + {lk}.lag FROM {name} JOIN {lk} ON {lk}.pred = {name}.task JOIN {t} d ON d.task = {name}.task)"
+
+
+@query("float_erosion", _WHOLE + f""", {_forward('f', 't', 'l')},
+    b(task, pos) AS (SELECT task, CAST(0 AS BIGINT) FROM t UNION SELECT l.pred, b.pos + d.duration + l.lag FROM b JOIN l ON l.succ = b.task JOIN t d ON d.task = b.task),
+    e AS (SELECT task, greatest(max(pos), 0) AS es FROM f GROUP BY 1), g AS (SELECT task, greatest(max(pos), 0) AS tail FROM b GROUP BY 1),
+    m AS (SELECT revision, median(CAST((SELECT max(es + duration) FROM e JOIN t USING (task)) - (es + tail + duration) AS DOUBLE)) AS median_float FROM e JOIN g USING (task) JOIN t USING (task) GROUP BY 1)
+    SELECT revision, median_float, median_float - lag(median_float) OVER (ORDER BY revision) AS change FROM m""")
 def float_erosion(spark, sf_dir):
-    return p.float_erosion(tasks(spark, sf_dir).select("revision", "task", F.datediff("planned_finish", "start").alias("total_float")))
+    """The total float of the whole network's tasks, by the revision they came with."""
+    t = tasks(spark, sf_dir)
+    return p.float_erosion(p.critical(t, links(spark, sf_dir)).join(t.select("task", "revision"), "task"))
+
+
+_EVENT_T, _EVENT_L = "SELECT 1000000000 + task AS task, CAST(20 AS BIGINT) AS duration FROM tasks WHERE task % 50 = 0", "SELECT task AS pred, 1000000000 + task AS succ, CAST(3 AS BIGINT) AS lag FROM tasks WHERE task % 50 = 0 UNION ALL SELECT 1000000000 + pred, succ, 0 FROM links WHERE pred % 50 = 0"
+
+
+@query("time_impact", f"""WITH RECURSIVE {_T}, ti AS (SELECT task, duration FROM tasks UNION ALL {_EVENT_T}), li AS (SELECT * FROM links UNION ALL {_EVENT_L}),
+    tr AS (SELECT task, CASE WHEN task % 7 = 0 THEN 0 ELSE duration END AS duration FROM tasks), lr AS (SELECT pred, succ, CASE WHEN pred % 7 = 0 OR succ % 7 = 0 THEN 0 ELSE lag END AS lag FROM links),
+    {_forward('f0', 'tasks', 'links')}, {_forward('f1', 'ti', 'li')}, {_forward('f2', 'tr', 'lr')}
+    SELECT 'planned' AS network, CAST((SELECT max(greatest(pos, 0) + duration) FROM f0 JOIN tasks USING (task)) AS BIGINT) AS days UNION ALL SELECT 'impacted', CAST((SELECT max(greatest(pos, 0) + duration) FROM f1 JOIN ti USING (task)) AS BIGINT)
+    UNION ALL SELECT 'collapsed', CAST((SELECT max(greatest(pos, 0) + duration) FROM f2 JOIN tr USING (task)) AS BIGINT)""")
+def time_impact(spark, sf_dir):
+    """Length as it is, with an event put behind every fiftieth task, and with every seventh task taken out."""
+    t, k = stash(tasks(spark, sf_dir).select("task", "duration"), "impact-tasks"), stash(links(spark, sf_dir), "impact-links")
+    hit = t.filter("task % 50 = 0")
+    events = hit.select((1_000_000_000 + F.col("task")).alias("task"), F.lit(20).cast("long").alias("duration"))
+    tied = hit.select(F.col("task").alias("pred"), (1_000_000_000 + F.col("task")).alias("succ"), F.lit(3).cast("long").alias("lag")).unionByName(k.filter("pred % 50 = 0").select((1_000_000_000 + F.col("pred")).alias("pred"), "succ", F.lit(0).cast("long").alias("lag")))
+    days = {"planned": (t, k), "impacted": p.with_fragnet(t, k, events, tied), "collapsed": p.without_tasks(t, k, t.filter("task % 7 = 0"))}
+    return spark.createDataFrame([(name, int(p.length_of(*network))) for name, network in days.items()], "network string, days long")
+
+
+@query("as_built_path", f"""WITH RECURSIVE {_T}, d AS (SELECT succ, arg_max(pred, epoch(CAST(finish AS TIMESTAMP)) * 1000000 - pred) AS pred FROM links JOIN tasks ON task = pred GROUP BY 1),
+    w(task) AS (SELECT task FROM (SELECT task FROM tasks ORDER BY finish DESC, task LIMIT 1) UNION SELECT d.pred FROM w JOIN d ON d.succ = w.task) SELECT task, finish FROM w JOIN tasks USING (task)""")
+def as_built_path(spark, sf_dir):
+    return p.as_built_path(tasks(spark, sf_dir), links(spark, sf_dir))
 
 
 @query("progress_s_curve", f"""WITH {_T}, m AS (SELECT coalesce(a.month, b.month) AS month, coalesce(planned, 0) AS planned, coalesce(recorded, 0) AS recorded FROM (SELECT CAST(date_trunc('month', planned_finish) AS DATE) AS month, sum(units) AS planned FROM tasks GROUP BY 1) a FULL JOIN (SELECT CAST(date_trunc('month', finish) AS DATE) AS month, sum(units) AS recorded FROM tasks GROUP BY 1) b ON a.month = b.month)

@@ -375,3 +375,15 @@ def test_evidence_packs_are_those_of_a_plain_loop(spark):
                     picks.append(event)
         want |= {(request, e, i) for i, e in enumerate(picks)}
     assert {(r.request, r.passage, r.pick) for r in facts.evidence_pack(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_networks_with_and_without_events(spark):
+    tasks = spark.createDataFrame([(1, 5), (2, 4), (3, 2)], "task long, duration long")
+    links = spark.createDataFrame([(1, 2, 0), (2, 3, 1)], "pred long, succ long, lag long")
+    assert programme.length_of(tasks, links) == 12
+    event = spark.createDataFrame([(9, 10)], "task long, duration long"), spark.createDataFrame([(1, 9, 0), (9, 2, 0), (2, 3, 0)], "pred long, succ long, lag long")
+    assert programme.length_of(*programme.with_fragnet(tasks, links, *event)) == 21
+    assert programme.length_of(*programme.without_tasks(tasks, links, spark.createDataFrame([(2,)], "task long"))) == 7
+    built = spark.createDataFrame([(i, dt.date(2024, 1, d)) for i, d in ((1, 9), (2, 5), (3, 12), (4, 20), (5, 20))], "task long, finish date")
+    ties = spark.createDataFrame([(1, 3, 0), (2, 3, 0), (3, 4, 0), (2, 5, 0)], "pred long, succ long, lag long")
+    assert sorted(r.task for r in programme.as_built_path(built, ties).collect()) == [1, 3, 4]
