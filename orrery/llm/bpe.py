@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from orrery.llm.common import ready
+from orrery.llm.common import kept, ready, settled
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces of text that a worker remembers the encoding of; forgotten together when full.
@@ -145,17 +145,10 @@ def cut(text: str) -> list[str]:
     return out
 
 
-_codecs: dict[str, ByteCodec] = {}
-
-
 def _codec(state: str) -> ByteCodec:
     """A worker's codec; one is kept for the tasks that follow."""
-    name = hashlib.sha256(state.encode()).hexdigest()
-    if name not in _codecs:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        _codecs.clear()
-        _codecs[name] = ByteCodec(state)
-    return _codecs[name]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return kept(("bpe", hashlib.sha256(state.encode()).hexdigest()), lambda: ByteCodec(state))
 
 
 def _state(spark, path: str, pattern: str):
@@ -191,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
                     yield pa.record_batch([batch.column(0).slice(begin, len(rows)), *lists, pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "ids", "starts", "ends", "decoded"])
                     begin, rows, held = i + 1, [], 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(settled(run, own=True), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +161,39 @@ def without(rows: DataFrame, key: Column, gone: DataFrame, once: DataFrame) -> D
     return rows_with(left, key, once, stay=False).unionByName(single)
 
 
+_kept: dict = {}
+
+
+def kept(name, make: Callable):
+    """The one large object, such as a tokenizer with what it remembers, that a worker keeps for the tasks that follow."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def settle(own: bool = False) -> None:
+    """Drops what another operator has left in this worker (unless ``own``) and gives freed memory back to the machine."""
+    if not own:
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def settled(run: Callable, own: bool = False) -> Callable:
+    """A worker's function over batches that begins and ends with :func:`settle`; ``own`` keeps the large object for the next task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(own)
+        try:
+            yield from run(batches)
+        finally:
+            settle(own)
+
+    return task
+
+
 def grouped_rows(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """The rows of each key of a stream sorted by ``keys``; one key is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import grouped_rows, ready, row_key, sieve, sifted
+from orrery.llm.common import grouped_rows, ready, row_key, settled, sieve, sifted
 from orrery.llm.shingles import mix, shared, shingle_set
 from orrery.operators.components import connected_components
 from orrery.storage import discard, stash
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ready(docs.sparkSession)
     least = least_matches(percent / 100)
     named = docs.select("doc_id", row_key(F.md5(F.coalesce("text", F.lit("")))).alias("row_key"), "text")
-    prints = named.mapInArrow(_prints, "doc_id long, row_key string, n_shingles long, set_key binary, sig array<long>, bands array<long>")
+    prints = named.mapInArrow(settled(_prints), "doc_id long, row_key string, n_shingles long, set_key binary, sig array<long>, bands array<long>")
     prints = stash(prints.withColumn("node", F.monotonically_increasing_id()), "near-prints")
     sets = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"))
     sets = stash(sets, "near-sets")
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = stash(texts_of(wanted), "near-texts")
     paired = best.join(texts.select("id", F.col("text").alias("own")), "id")
     paired = paired.join(texts.select(F.col("id").alias("leader"), "text"), "leader").select("leader", "id", "text", "own")
-    star = stash(paired.mapInArrow(_confirm(percent), "a long, b long"), "near-star")
+    star = stash(paired.mapInArrow(settled(_confirm(percent)), "a long, b long"), "near-star")
     discard(texts)
 
     label = connected_components(star, "near-first")
@@ -243,9 +243,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rest = inner.filter("comp <> main").select("bkey", "id", "sig", "comp", F.explode(F.expr("sequence(0L, nm - 1)")).alias("mblk"), F.pmod("h", "nr").alias("rblk"), F.lit(True).alias("side"))
     keys = ("bkey", "mblk", "rblk")
     blocks = every.unionByName(rest).repartition(*keys).sortWithinPartitions(*keys)
-    doubt = stash(blocks.mapInArrow(_involved(least), "bkey long, id long, sig array<long>, comp long, mblk long, rblk long, side boolean"), "near-doubt")
+    doubt = stash(blocks.mapInArrow(settled(_involved(least)), "bkey long, id long, sig array<long>, comp long, mblk long, rblk long, side boolean"), "near-doubt")
     held = doubt.join(texts_of(doubt.select("id").distinct()), "id").repartition(*keys).sortWithinPartitions(*keys)
-    cross = stash(held.mapInArrow(_across(least, percent), "a long, b long"), "near-cross")
+    cross = stash(held.mapInArrow(settled(_across(least, percent)), "a long, b long"), "near-cross")
 
     label = connected_components(star.unionByName(cross), "near-last")
     classes = stash(sets.join(label, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("class")), "near-labels")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm.bpe import byte_chars
-from orrery.llm.common import gapless_rank, larger, ready
+from orrery.llm.common import gapless_rank, kept, larger, ready, settled
 from orrery.storage import stash
 
 VOCABULARY = "word_bpe_49k.json"
@@ -132,16 +132,9 @@ def _composed(word: str) -> bool:
     return "\u03a3" not in word and low.isalpha() and unicodedata.is_normalized("NFC", word)
 
 
-_word_ids: dict[int, WordIds] = {}
-
-
 def _held(state: str, memo: int, words: int) -> WordIds:
     """A worker's encoder; one is kept for the tasks that follow."""
-    name = zlib.crc32(f"{memo} {words} {state}".encode())
-    if name not in _word_ids:
-        _word_ids.clear()
-        _word_ids[name] = WordIds(state, memo, words)
-    return _word_ids[name]
+    return kept(("packing", zlib.crc32(f"{memo} {words} {state}".encode())), lambda: WordIds(state, memo, words))
 
 
 def _pieces(state, most: int, end: int, memo: int, size: int):
@@ -327,7 +320,7 @@ def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, e
     ready(spark)
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         state = spark.sparkContext.broadcast(f.read())
-    cut = docs.select("doc_id", "text").mapInArrow(_pieces(state, most, end, memo, batch_bytes), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = docs.select("doc_id", "text").mapInArrow(settled(_pieces(state, most, end, memo, batch_bytes), own=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = stash(cut, "pack-pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     histogram = np.zeros(most + 1, dtype=np.int64)
@@ -348,4 +341,4 @@ def pack_documents(docs: DataFrame, most: int = 2048, path: str | None = None, e
             yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(at["offset"][i])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(settled(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fitting, ready
+from orrery.llm.common import fitting, ready, settle
 
 #: Weights of the model; features are hashed into this many places.
 PLACES = 1 << 18
@@ -138,10 +138,13 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
 
     @F.pandas_udf("double")
     def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        settle()
         w, memo = model.value.astype(np.float64), {}
         for part in texts:
             dots = [w[place] @ value for place, value in (features(t, memo) for t in part)]
             yield pd.Series(1 / (1 + np.exp(-np.clip(dots, -35, 35))), dtype="float64")
+        memo.clear()
+        settle()
 
     return docs.withColumn(column, probability("text"))
 
