@@ -259,6 +259,16 @@ def test_packing(docs, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_at_the_contracts_length(docs):
+    """Sequences of 2048 tokens: nearly as few as the tokens allow, none too long."""
+    rows = packing.pack_documents(docs, 2048).collect()
+    room = Counter()
+    for r in rows:
+        room[r.sequence_id] += r.length
+    assert max(room.values()) <= 2048 and len(room) <= 1.02 * -(-sum(room.values()) // 2048) + 1
+    assert all(r.length == 2048 for r in rows if (r.doc_id, r.piece + 1) in {(x.doc_id, x.piece) for x in rows})
+
+
 @given(st.lists(st.integers(1, 32), max_size=200))
 @settings(max_examples=50, deadline=None)
 def test_plans_use_up_the_histogram(lengths):
