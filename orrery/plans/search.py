@@ -94,7 +94,7 @@ _LANE = "SELECT query_id, 'f' || CAST(doc_id % 20 AS VARCHAR) AS file, doc_id %
 
 
 @query("hybrid_search", f"""WITH {_Q}, {_DENSE}, {_bm25_sql('documents', 'doc_id')},
-    dn AS ({_LANE}, n_chars AS total_pages, rank FROM (SELECT query_id // 100 AS query_id, vec_id AS doc_id, rank FROM t WHERE rank <= 30 AND query_id IN (100, 200, 300)) JOIN documents USING (doc_id)),
+    dn AS ({_LANE}, n_chars AS total_pages, rank FROM (SELECT CAST(query_id // 100 AS INTEGER) AS query_id, vec_id AS doc_id, rank FROM t WHERE rank <= 30 AND query_id IN (100, 200, 300)) JOIN documents USING (doc_id)),
     ln AS ({_LANE}, CAST(NULL AS BIGINT) AS total_pages, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM b) WHERE rank <= 30),
     dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file, page) AS place FROM (SELECT query_id, file, page, arg_min(doc_id, rank) AS doc_id, arg_min(total_pages, rank) AS total_pages, min(rank) AS first FROM dn GROUP BY 1, 2, 3)),
     lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file, page) AS place FROM (SELECT query_id, file, page, arg_min(doc_id, rank) AS doc_id, min(rank) AS first FROM ln GROUP BY 1, 2, 3)),
