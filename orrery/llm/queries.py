@@ -9,13 +9,16 @@ from orrery.llm.bpe import encoding_digests
 from orrery.llm.common import id_mod, table
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.exact_dedup import exact_groups
+from orrery.llm.infilling import fill_in_middle, restored
 from orrery.llm.language import languages
 from orrery.llm.lm_scoring import pseudo_likelihood
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.packing import pack_documents
+from orrery.llm.prefix_trie import prefix_trie
 from orrery.llm.quality import quality_scores
 from orrery.llm.secret_scan import KINDS, secret_spans, span_digest
 from orrery.llm.sharding import shard_documents
+from orrery.llm.toxicity import toxicity_scores
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,20 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(id_mod("doc_id", 3) == 1, F.lit(False)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored("output", "form")).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -71,6 +88,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -96,4 +116,58 @@ ORACLE_SQL = {
                vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
         FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
     """,
+    "op12_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+            FROM documents),
+        d AS (
+            SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+        f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32]) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))),
+                4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (
+            SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p <= h
+            UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d, sha256(length(role) || ':' || role || text) AS x FROM r),
+        w AS (
+            SELECT conv_id, d, length(text) AS chars, string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM o
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        m AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last, sha256(path) AS node, lag(sha256(path)) OVER (PARTITION BY conv_id ORDER BY d) AS above FROM w),
+        n AS (
+            SELECT node, min(conv_id) AS conv_id, min(d) AS d, min(above) AS above, count(*) AS n_convs, min(chars) AS chars,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+            FROM m GROUP BY node),
+        k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+        a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+        s AS (
+            SELECT top.node, sum(CASE WHEN a.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((a.n_convs - 1) * a.chars) AS saved_tokens
+            FROM a JOIN m AS low ON low.node = a.node AND low.conv_id = a.conv_id JOIN m AS top ON top.conv_id = a.conv_id AND top.d <= low.d
+            GROUP BY top.node)
+        SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+        FROM a JOIN s USING (node) LEFT JOIN a AS b ON b.node = a.above
+    """,
 }
