@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fresh
-from orrery.storage import discard, stash
+from orrery.storage import stash
 
 # The patterns of the base scan.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -68,18 +68,60 @@ def text_shares(encoding: str) -> list[float]:
     return [x * left / letters if c.isalpha() else x for x, c in zip(shares, alphabet, strict=True)]
 
 
-def _places(text: Column, pattern: str, found: Column) -> Column:
-    """Start and text of each match, in code points: what a split leaves between matches gives their places."""
-    between = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(found))
-    lengths = F.transform(found, lambda x: F.length(x))
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    walk = F.aggregate(
-        F.arrays_zip(found.alias("value"), between.alias("gap"), lengths.alias("len")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).cast("int").alias("start"), x["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walk).otherwise(empty)
+def _scan(values: Column, fold) -> Column:
+    """Running folds of an array: each value with all before it.
+
+    Each round folds in what stands 1, 2, 4, ... places before, so the work is n
+    log n, where an accumulator that grows by an element a step is copied n
+    times.
+    """
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, fold(F.get(acc, i - back), x)).otherwise(x))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+    return F.aggregate(rounds, values, step)
+
+
+_SPAN = "start:int,end:int,first:int,last:int,value:string"
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """``start, end, first, last, value`` of each match: its place in code points and in bytes, ends exclusive, and its text.
+
+    What a split leaves between matches gives their places.
+    """
+
+    def placed(s: Column) -> Column:
+        found, gaps = s["found"], F.slice(s["gaps"], 1, F.size(s["found"]))
+        both = F.zip_with(gaps, found, lambda gap, x: F.struct((F.length(gap) + F.length(x)).alias("chars"), (F.octet_length(gap) + F.octet_length(x)).alias("bytes")))
+        ends = _scan(both, lambda x, y: F.struct((x["chars"] + y["chars"]).alias("chars"), (x["bytes"] + y["bytes"]).alias("bytes")))
+        return F.zip_with(ends, found, lambda e, x: F.struct((e["chars"] - F.length(x)).alias("start"), e["chars"].alias("end"), (e["bytes"] - F.octet_length(x)).alias("first"), e["bytes"].alias("last"), x.alias("value")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _then(both, placed)).otherwise(F.array().cast(f"array<struct<{_SPAN}>>"))
+
+
+def _covered(text: Column, spans: Column, cover) -> Column:
+    """``text`` with what ``spans`` (by start) cover replaced: ``cover(span, fresh)`` stands for each span.
+
+    ``fresh`` tells whether a span begins behind the end of all before it; what
+    lies between is copied by its bytes, which needs no walk from the text's
+    start.
+    """
+
+    def built(s: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(s["ends"], i - 1))
+            between = F.substring(s["raw"], F.coalesce(before["last"], F.lit(0)) + 1, F.greatest(x["first"] - F.coalesce(before["last"], F.lit(0)), F.lit(0)))
+            return F.concat(between.cast("string"), cover(x, before))
+
+        rest = F.substring(s["raw"], F.element_at(s["ends"], -1)["last"] + 1, F.octet_length(s["raw"])).cast("string")
+        return F.array_join(F.concat(F.transform(spans, piece), F.array(rest)), "")
+
+    ends = _scan(F.transform(spans, lambda x: F.struct(x["last"].alias("last"), x["end"].alias("end"))), F.greatest)
+    return F.when(F.size(spans) > 0, _then(F.struct(text.cast("binary").alias("raw"), ends.alias("ends")), built)).otherwise(text)
 
 
 def _then(value: Column, step) -> Column:
@@ -88,14 +130,13 @@ def _then(value: Column, step) -> Column:
 
 
 def _base_spans(text: Column) -> Column:
-    """Spans of the fixed kinds: ``kind, start, end, value`` (the whole match), by start, then kind as listed."""
+    """Spans of the fixed kinds: ``start, rank, end, first, last, kind, value`` (the whole match), by start, then kind as listed."""
+    assign = F.filter(_places(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    return F.array_sort(F.concat(*(F.transform(x, _span(i)) for i, x in enumerate((assign, _places(text, ACCESS), _places(text, HEX))))))
 
-    def span(order: int):
-        return lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), (x["start"] + F.length(x["value"])).cast("int").alias("end"), F.lit(KINDS[order]).alias("kind"), x["value"].alias("value"))
 
-    assign = F.filter(_places(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    whole = [_places(text, p, F.regexp_extract_all(text, F.lit(p), F.lit(0))) for p in (ACCESS, HEX)]
-    return F.array_sort(F.concat(*(F.transform(x, span(i)) for i, x in enumerate((assign, *whole)))))
+def _span(order: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), x["end"].alias("end"), x["first"].alias("first"), x["last"].alias("last"), F.lit(KINDS[order]).alias("kind"), x["value"].alias("value"))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -175,19 +216,19 @@ def _candidates(text: Column, base: Column) -> Column:
     A run with characters of both base64 alphabets is in no single encoding; it
     is cut at the ones and at the others, and parts of both kinds are tested.
     """
-    blank = lambda t, b: F.concat(F.substring(t, F.lit(1), b["start"]), F.repeat(F.lit(" "), b["end"] - b["start"]), F.substring(t, b["end"] + 1, F.length(t)))
-    found = lambda t, pattern: _places(t, pattern, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+
+    def blank(x: Column, before: Column) -> Column:
+        return F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], F.coalesce(before["end"], F.lit(0))), F.lit(0)))
 
     def parts(x: Column) -> Column:
-        cut = F.array_distinct(F.concat(*(found(x["value"], p) for p in PARTS)))
-        moved = F.transform(cut, lambda y: F.struct((x["start"] + y["start"]).cast("int").alias("start"), y["value"].alias("value")))
-        return F.when(x["value"].rlike("[+/]") & x["value"].rlike("[_-]"), moved).otherwise(F.array(F.struct(x["start"].alias("start"), x["value"].alias("value"))))
+        cut = F.array_distinct(F.concat(*(_places(x["value"], p) for p in PARTS)))
+        moved = F.transform(cut, lambda y: F.struct(*((x[a] + y[b]).cast("int").alias(b) for a, b in (("start", "start"), ("start", "end"), ("first", "first"), ("first", "last"))), y["value"].alias("value")))
+        return F.when(x["value"].rlike("[+/]") & x["value"].rlike("[_-]"), moved).otherwise(F.array(x))
 
-    left = F.when(F.size(base) > 0, F.aggregate(base, text, blank)).otherwise(text)
-    runs = F.flatten(F.transform(_then(left, lambda t: found(t, RUN)), parts))
+    runs = F.flatten(F.transform(_then(_covered(text, base, blank), lambda t: _places(t, RUN)), parts))
     long = F.filter(runs, lambda x: F.length(x["value"]) >= RUN_LEAST)
-    tested = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _battery(x["value"]).alias("test")))
-    none = F.array().cast("array<struct<start:int,value:string,test:struct<class:string,fit:double,p:double>>>")
+    tested = F.transform(long, lambda x: x.withField("test", _battery(x["value"])))
+    none = F.array().cast(f"array<struct<{_SPAN},test:struct<class:string,fit:double,p:double>>>")
     return F.when(text.rlike(LONG), F.filter(tested, lambda x: x["test"].isNotNull())).otherwise(none)
 
 
@@ -221,8 +262,7 @@ def _limits(tested: DataFrame) -> Column:
 
 def _all_spans(base: Column, tested: Column, limits: Column) -> Column:
     stays = F.filter(tested, lambda x: _bin(x["test"]["p"]) >= F.try_element_at(limits, x["test"]["class"]))
-    added = F.transform(stays, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), (x["start"] + F.length(x["value"])).cast("int").alias("end"), F.lit(KINDS[3]).alias("kind"), x["value"].alias("value")))
-    return F.array_sort(F.concat(base, added))
+    return F.array_sort(F.concat(base, F.transform(stays, _span(3))))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -241,8 +281,11 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Null text: no spans. Null or repeated doc_id: rows stay as they are. Other
     columns are not looked at; an empty table gives an empty result.
 
-    Returns ``doc_id, base, spans``: arrays of (start, rank, end, kind, value),
-    in code points, end exclusive, by start, then kind as listed.
+    Work grows with n log n of a text's length and matches.
+
+    Returns ``doc_id, base, spans``: arrays of (start, rank, end, first, last,
+    kind, value), start and end in code points, first and last in bytes, ends
+    exclusive, by start, then kind as listed.
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", _base_spans(F.col("text")).alias("base"))
@@ -253,26 +296,21 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret of a text replaced by ``mask`` and ``n_chars``, where there is one, brought up to date.
 
-    Spans that overlap or touch are masked as one. Texts without secrets, null
+    Spans that overlap or touch are masked as one. The rows are written once with
+    what was found in them, so that limits and mask come of one scan. Texts without secrets, null
     ones and all other columns stay as they are.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(text.alias("text")).select("text", _base_spans(F.col("text")).alias("base"))
-    tested = stash(base.select(_candidates(F.col("text"), F.col("base")).alias("tested")).filter(F.size("tested") > 0), "secret-tested")
-    limits = _limits(tested)
-    discard(tested)
-    first, every = fresh(docs, "_base", "_spans")
-    row = docs.withColumn(first, _base_spans(text))
-    row = row.withColumn(every, _all_spans(F.col(first), _candidates(text, F.col(first)), limits))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] > acc["at"]
-        between = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(fresh | (acc["at"] == 0), F.concat(acc["out"], F.when(fresh, between).otherwise(F.lit("")), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    row = row.withColumn("text", F.when(F.size(every) > 0, masked).otherwise(F.col("text"))).drop(first, every)
+    base, tested = fresh(docs, "_base", "_tested")
+    found = docs.withColumn(base, _base_spans(text))
+    found = stash(found.withColumn(tested, _candidates(text, F.col(base))), "secret-rows")
+    every = _all_spans(F.col(base), F.col(tested), _limits(found.select(F.col(tested).alias("tested"))))
+
+    def hide(x: Column, before: Column) -> Column:
+        return F.when(before["last"].isNull() | (x["first"] > before["last"]), F.lit(mask)).otherwise(F.lit(""))
+
+    masked = _then(every, lambda spans: _covered(F.col("text"), spans, hide))
+    row = found.withColumn("text", F.when((F.size(base) > 0) | (F.size(tested) > 0), masked).otherwise(F.col("text"))).drop(base, tested)
     return row.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else row
 
 
