@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from orrery.functions.dates import repaired
 from orrery.functions.entries import entries
 from orrery.functions.fuzzy import passage_place
 from orrery.operators.asof import as_of
-from orrery.operators.clusters import cluster_all, kept_ids
+from orrery.operators.density import kept_ids
 from orrery.operators.evidence import golden
 from orrery.sources import export, formats, spreadsheet, store
 
@@ -61,14 +60,7 @@ def test_entries(spark):
     assert [(r.number, r.date_text, r.text) for r in got] == [(1, "3 May 2020", "work began. (i) at the gate"), (2, None, "It stopped.")]
 
 
-def test_clusters(spark):
-    rng = np.random.default_rng(7)
-    centre = rng.standard_normal((5, 16))
-    rows = [(i, [float(x) for x in centre[i % 5] + 0.05 * rng.standard_normal(16)]) for i in range(20)] + [(99, [0.0] * 16)]
-    got = {r.vec_id: r.cluster for r in cluster_all(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5).collect()}
-    assert got[99] is None and len({got[i] for i in range(5)}) == 5 and all(got[i] == got[i % 5] for i in range(20))
-    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
-    assert {r.cluster for r in cluster_all(few, 5).collect()} == {None}
+def test_new_clusters_keep_ids(spark):
     old = spark.createDataFrame([(7, [1.0, 0.0])], "cluster int, centroid array<double>")
     new = spark.createDataFrame([(0, [0.9, 0.1]), (1, [0.0, 1.0])], "cluster int, centroid array<double>")
     assert {r.new_cluster: r.cluster for r in kept_ids(old, new).collect()} == {0: 7, 1: None}
