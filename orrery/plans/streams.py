@@ -12,6 +12,7 @@ from orrery.plans.registry import query
 from orrery.plans.views import table
 from orrery.storage import shared_dir
 from orrery.streaming import events as s
+from orrery.streaming import queue
 
 
 def _folder(spark) -> str:
@@ -46,11 +47,11 @@ def _events(spark, sf_dir):
     return s.timed(s.stream_of(spark, f"{sf_dir}/events.parquet*", static.schema))
 
 
-def _files(spark, *frames) -> str:
-    """A folder with the frames' files, in that order of time."""
-    folder = f"{_folder(spark)}/in"
+def _files(spark, *frames, folder: str | None = None) -> str:
+    """A folder with the frames' files, in that order of time, behind those that it has."""
+    there, folder = folder is not None, folder or f"{_folder(spark)}/in"
     for i, frame in enumerate(frames):
-        if i:
+        if i or there:
             time.sleep(1.1)  # files' times are told apart by seconds
         frame.write.mode("append").parquet(folder)
     return folder
@@ -118,3 +119,53 @@ def stream_clusters(spark, sf_dir):
     static = table(spark, sf_dir, "embeddings")
     vectors = s.stream_of(spark, f"{sf_dir}/embeddings.parquet*", static.schema).withColumn("grp", F.col("label").cast("long"))
     return _finished(spark, s.running_clusters(vectors), "append").groupBy(F.col("grp").cast("int").alias("grp")).agg(F.count("*").alias("n"))
+
+
+def _queue_steps(name: str, gate: str) -> str:
+    """A recursion over each job's events in order: leases that have run out first, then the event."""
+    return f"""{name}(project, job, i, status, attempts, until, changed) AS (
+        SELECT DISTINCT project, job, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM ev
+        UNION ALL SELECT project, job, i, CASE WHEN kind = 'enqueue' THEN coalesce(s, 'queued') WHEN kind = 'claim' AND s = 'queued' AND {gate} THEN 'processing' WHEN kind IN ('complete', 'fail') AND s = 'processing' THEN CASE kind WHEN 'fail' THEN 'failed' ELSE 'ready' END ELSE s END,
+            attempts + CASE WHEN kind = 'claim' AND s = 'queued' AND {gate} THEN 1 ELSE 0 END, CASE WHEN kind = 'claim' AND s = 'queued' AND {gate} THEN ms + 864000000 ELSE until END,
+            CASE WHEN (kind = 'enqueue' AND s IS NULL) OR (kind = 'claim' AND s = 'queued' AND {gate}) OR (kind IN ('complete', 'fail') AND s = 'processing') THEN ms ELSE c END
+        FROM (SELECT q.project, q.job, e.i, e.kind, e.ms, e.place, e.opened, q.attempts, q.until, CASE WHEN status = 'processing' AND until <= ms THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE status END AS s, CASE WHEN status = 'processing' AND until <= ms THEN until ELSE changed END AS c
+            FROM {name} q JOIN {'ev' if name == 'free' else 'gated'} e ON e.job = q.job AND e.i = q.i + 1))"""
+
+
+def _queue_last(name: str) -> str:
+    late = "status = 'processing' AND until <= (SELECT max(ms) FROM ev)"
+    return f"(SELECT project, job, CASE WHEN {late} THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempts, CASE WHEN {late} THEN until ELSE changed END AS changed FROM {name} WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1)"
+
+
+@query("stream_queue", f"""WITH RECURSIVE raw AS (SELECT o_orderkey AS job, o_custkey // 10 AS project, 'enqueue' AS kind, 2 AS o, epoch_ms(o_orderdate) AS ms FROM orders
+        UNION ALL SELECT o_orderkey, o_custkey // 10, 'claim', 3, epoch_ms(l_shipdate) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT o_orderkey, o_custkey // 10, CASE l_returnflag WHEN 'N' THEN 'complete' ELSE 'fail' END, CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END, epoch_ms(l_shipdate) + 86400000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'A'),
+    places AS (SELECT o_orderkey AS job, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders),
+    ev AS (SELECT raw.*, place, row_number() OVER (PARTITION BY job ORDER BY ms, o) AS i, CAST(NULL AS BIGINT) AS opened FROM raw JOIN places USING (job)),
+    {_queue_steps('free', 'TRUE')},
+    ends AS (SELECT project, max(changed) AS opened FROM {_queue_last('free')} JOIN places USING (job) WHERE place < 20 GROUP BY project HAVING count(*) FILTER (status NOT IN ('ready', 'failed')) = 0),
+    gated AS (SELECT ev.* REPLACE (ends.opened AS opened) FROM ev LEFT JOIN ends USING (project)),
+    {_queue_steps('held', '(place < 20 OR coalesce(ms >= opened, FALSE))')}
+    SELECT project, job, status, attempts, changed FROM {_queue_last('held')}""")
+def stream_queue(spark, sf_dir):
+    """Orders as jobs of projects of ten customers: each line claims its order, two of three ends tell how it went, the others' leases run out.
+
+    The stream is stopped before the last file comes and started again from its checkpoint.
+    """
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    job = [F.floor(F.col("o_custkey") / 10).alias("project"), F.col("o_orderkey").alias("job")]
+    lines = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    ended = lines.filter("l_returnflag <> 'A'").select(*job, F.when(F.col("l_returnflag") == "N", "complete").otherwise("fail").alias("kind"), (F.col("l_shipdate") + F.expr("interval 1 day")).alias("ts"))
+    rows = o.select(*job, F.lit("enqueue").alias("kind"), F.col("o_orderdate").alias("ts")).unionByName(lines.select(*job, F.lit("claim").alias("kind"), F.col("l_shipdate").alias("ts"))).unionByName(ended)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_millis("ts"))
+    years = [F.year("ts") < 1997, F.year("ts").between(1997, 1998), F.year("ts") > 1998]
+    root, folder, setting = _folder(spark), None, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for parts in (years[:2], years[2:]):
+        folder = _files(spark, *(rows.filter(c) for c in parts), folder=folder)
+        stream = s.stream_of(spark, folder, rows.schema, 10_000).withWatermark("ts", "0 seconds")
+        writer = queue.job_states(stream, lease=864_000).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+        writer.foreachBatch(s.changes_of_batch(f"{root}/rows")).start().awaitTermination()
+    spark.conf.set(setting, before)
+    return s.latest(spark, f"{root}/rows", queue.OUT, ["project", "job"])
