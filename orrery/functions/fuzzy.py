@@ -8,10 +8,10 @@ from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.retrieval import small, top_k
+from orrery.operators.retrieval import top_k
 from orrery.session import ship
 
 # Phrases by which an answer says that it found nothing.
@@ -52,8 +52,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def token_set(a: Column, b: Column) -> Column:
     """The similarity of two names by their sets of words: what they share against each with its own rest, the best of three."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
-    wa, wb = words(a), words(b)
+    wa, wb = _words(a), _words(b)
     both = F.array_join(F.array_intersect(wa, wb), " ")
     with_a = F.trim(F.concat_ws(" ", both, F.array_join(F.array_except(wa, wb), " ")))
     with_b = F.trim(F.concat_ws(" ", both, F.array_join(F.array_except(wb, wa), " ")))
@@ -61,12 +60,75 @@ def token_set(a: Column, b: Column) -> Column:
     return F.greatest(shared, similarity(with_a, with_b))
 
 
+def _words(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def _keys(side: DataFrame, share: float) -> DataFrame:
+    """``t, kind, key, size, need`` of distinct lower-case texts ``t``: what two texts that are alike must have in common.
+
+    ``g``: pairs of letters within words and at their ends, numbered where they
+    repeat; they stay the same in whatever order the words come, and an edit
+    changes two of them, so ``need`` of the rarest of a text are enough for one
+    to be shared. ``w``: words with their lengths; those that are not shared may
+    hold ``need`` letters. ``i``: pairs of letters as they stand, one of which is
+    enough where a text contains another.
+    """
+    bag = F.array_join(_words(F.col("t")), " ")
+    pad = side.select("t", bag.alias("bag")).select("t", "bag", F.concat(F.lit(" "), "bag", F.lit(" ")).alias("pad"))
+    places = F.sequence(F.lit(1), F.length("bag") + 1)
+    grams = F.transform(places, lambda i: F.substring(F.col("pad"), i, F.lit(2)))
+    edits = F.floor(share / (1 - share) * F.length("bag") + 1e-6)
+    numbered = pad.filter("bag <> ''").select("t", "bag", grams.alias("grams")).select("t", F.transform("grams", lambda g, i: F.concat(g, F.size(F.filter(F.slice(F.col("grams"), F.lit(1), i + 1), lambda x: x == g)).cast("string"))).alias("keys"), edits.alias("edits"))
+    g = numbered.select("t", F.lit("g").alias("kind"), F.explode("keys").alias("key"), F.lit(1).alias("size"), (2 * F.col("edits")).cast("double").alias("need"))
+    w = pad.filter("bag <> ''").select("t", F.lit("w").alias("kind"), F.explode(_words(F.col("t"))).alias("key"), (share * F.length("bag") + 1e-6).alias("need")).select("t", "kind", "key", F.length("key").alias("size"), "need")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(2)))
+    letters = F.filter(F.split("t", ""), lambda c: c != "")
+    i = side.filter("t <> ''").select("t", F.lit("i").alias("kind"), F.explode(F.array_distinct(F.concat(pairs, letters))).alias("key"), F.lit(1).alias("size"), F.lit(0.0).alias("need"))
+    return g.unionByName(w).unionByName(i)
+
+
+def alike(left: DataFrame, right: DataFrame, least: float = 80.0) -> DataFrame:
+    """``a, b``: all pairs of texts of ``left(t)`` and ``right(t)``, lower case and distinct, whose token-set similarity may reach
+    ``least`` or of which one contains the other; some other pairs too.
+
+    Each text has its rarest keys first, and two texts that are alike share one
+    of the first ones, so keys that many texts have join little. No pair is
+    missed, and none is built but by a shared key. Texts without words are alike
+    to nothing, empty ones are contained in nothing; ``least`` is 75 or more.
+    """
+    if least < 75:
+        raise ValueError("names under 75 percent alike need not share anything")
+    share = 1 - least / 100
+    both = [_keys(side, share) for side in (left, right)]
+    often = both[0].unionByName(both[1]).groupBy("kind", "key").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("t", "kind").orderBy("n", "key")
+    keys = []
+    for side in both:
+        ranked = side.join(often, ["kind", "key"]).withColumn("_before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # one-letter keys of longer texts are for the letters that they contain
+        single = (F.col("kind") != "i") | (F.length("key") == 2) | (F.length("t") == 1)
+        ranked = ranked.withColumn("_place", F.sum(single.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        first = F.when(F.col("kind") == "i", single & (F.col("_place") == 1)).otherwise(F.col("_before") <= F.col("need"))
+        keys.append(ranked.select("t", "kind", "key", first.alias("first")))
+    pairs = None
+    for a, b in ((keys[0].filter("first"), keys[1].filter("kind <> 'g' or first")), (keys[0].filter("kind <> 'g' and not first"), keys[1].filter("kind <> 'g' and first"))):
+        met = a.select(F.col("t").alias("a"), "kind", "key").join(b.select(F.col("t").alias("b"), "kind", "key"), ["kind", "key"]).select("a", "b")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
+
+
 def best_names(queries: DataFrame, names: DataFrame, least: float = 80.0, k: int = 5) -> DataFrame:
-    """For each of ``queries(query_id, q)`` the best ``names(name)``: 100 for a contained name plus the token-set similarity."""
-    inside = F.lower("q").contains(F.lower("name")) | F.lower("name").contains(F.lower("q"))
-    met = names.join(small(queries))
-    scored = met.withColumn("score", token_set(F.col("q"), F.col("name")) + inside.cast("double") * 100).filter(F.col("score") >= least)
-    return top_k(scored, "query_id", "score", ["name"], k).select("query_id", (F.col("rank") - 1).alias("place"), "name", "score")
+    """For each of ``queries(query_id, q)`` the best ``names(name)``: 100 for a contained name plus the token-set similarity.
+
+    Pairs come of :func:`alike`; nulls match nothing.
+    """
+    asked, known = queries.withColumn("_a", F.lower("q")), names.withColumn("_b", F.lower("name"))
+    texts = lambda frame, c: frame.select(F.col(c).alias("t")).filter("t is not null").distinct()
+    pairs = alike(texts(asked, "_a"), texts(known, "_b"), least)
+    scored = pairs.select("a", "b", (token_set(F.col("a"), F.col("b")) + (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))).cast("double") * 100).alias("score")).filter(F.col("score") >= least)
+    met = asked.join(scored, asked["_a"] == scored["a"]).join(known, F.col("b") == known["_b"])
+    return top_k(met, "query_id", "score", ["name"], k).select("query_id", (F.col("rank") - 1).alias("place"), "name", "score")
 
 
 def canonical(label: Column, labels: Iterable[str], least: float = 80.0) -> Column:

@@ -87,14 +87,16 @@ _BAG = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^
 _LIKE = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100.0 ELSE round(100 * (1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))), 4) END"
 
 
-@query("fuzzy_names", f"""WITH q(query_id, q) AS (VALUES (1, 'custmer 000000012'), (2, 'supplier 7'), (3, 'Customer#000000149')),
+@query("fuzzy_names", f"""WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 5 = 0 THEN right(s_name, 5) ELSE replace(s_name, 'Supplier#', 'Custmer ') END AS q FROM supplier),
     w AS (SELECT query_id, q, c_name AS name, {_BAG.format('q')} AS x, {_BAG.format('c_name')} AS y FROM q, customer),
     p AS (SELECT *, array_to_string(list_filter(x, lambda t: list_contains(y, t)), ' ') AS shared, array_to_string(list_filter(x, lambda t: NOT list_contains(y, t)), ' ') AS rx, array_to_string(list_filter(y, lambda t: NOT list_contains(x, t)), ' ') AS ry FROM w),
     j AS (SELECT *, trim(shared || ' ' || rx) AS wx, trim(shared || ' ' || ry) AS wy FROM p),
     s AS (SELECT query_id, name, greatest(CASE WHEN shared = '' THEN 0.0 ELSE greatest({_LIKE.format(a='shared', b='wx')}, {_LIKE.format(a='shared', b='wy')}) END, {_LIKE.format(a='wx', b='wy')}) + CASE WHEN contains(lower(q), lower(name)) OR contains(lower(name), lower(q)) THEN 100 ELSE 0 END AS score FROM j)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) - 1 AS INTEGER) AS place, name, CAST(score AS DOUBLE) AS score FROM s WHERE score >= 80 QUALIFY place < 5""")
 def fuzzy_names(spark, sf_dir):
-    wanted = spark.createDataFrame([(1, "custmer 000000012"), (2, "supplier 7"), (3, "Customer#000000149")], "query_id int, q string")
+    """Customers by misspelt names made of the suppliers', each fifth one an ending only."""
+    said = F.when(F.col("s_suppkey") % 5 == 0, F.right("s_name", F.lit(5))).otherwise(F.replace("s_name", F.lit("Supplier#"), F.lit("Custmer ")))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), said.alias("q"))
     return fuzzy.best_names(wanted, table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
 
 
