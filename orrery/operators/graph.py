@@ -68,7 +68,8 @@ def contract_edges(notices: DataFrame) -> DataFrame:
     return members(sets).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same_contract").alias("edge_type"), F.lit(0.9).alias("weight"))
 
 
-def _mail_days(notices: DataFrame) -> DataFrame:
+def mail_days(notices: DataFrame) -> DataFrame:
+    """``doc_id, date, s, r``: letters between two parties, by their keys."""
     return notices.select("doc_id", "date", party_key(F.col("sender")).alias("s"), party_key(F.col("recipient")).alias("r")).filter("s <> '' and r <> ''")
 
 
@@ -80,14 +81,14 @@ def reply_edges(notices: DataFrame) -> DataFrame:
     without end have edges between days and not between all their letters;
     :func:`reply_members` tells who is in a class.
     """
-    days = _mail_days(notices).groupBy("s", "r", "date").agg(F.min("doc_id").alias("doc_id"))
+    days = mail_days(notices).groupBy("s", "r", "date").agg(F.min("doc_id").alias("doc_id"))
     later = days.select(F.col("doc_id").alias("b"), F.col("date").alias("later"), F.col("s").alias("r"), F.col("r").alias("s"))
     return days.join(later, ["s", "r"]).filter("later > date").select(F.col("doc_id").alias("a"), "b", F.lit("reply_to").alias("edge_type"), F.lit(0.85).alias("weight"))
 
 
 def reply_members(notices: DataFrame) -> DataFrame:
     """``id, rep, size``: each letter between two parties, the smallest id of its class and the number of letters there."""
-    own = _mail_days(notices)
+    own = mail_days(notices)
     return own.join(own.groupBy("s", "r", "date").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), ["s", "r", "date"]).select(F.col("doc_id").alias("id"), "rep", "size")
 
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from orrery.operators.usage import co_retrieval
-from orrery.plans.registry import query
-from orrery.plans.views import table
+from orrery.plans import graphs  # noqa: F401 (its SQL is that of the stream's edges)
+from orrery.plans.registry import ORACLE_SQL, query
+from orrery.plans.views import notices, table
 from orrery.storage import shared_dir
 from orrery.streaming import events as s
 from orrery.streaming import queue
@@ -114,6 +115,16 @@ def stream_pairs(spark, sf_dir):
     return _finished(spark, s.pair_counts(s.stream_of(spark, _files(spark, per_answer), per_answer.schema, 4)), "update", ["doc_a", "doc_b"])
 
 
+@query("stream_reply_edges", ORACLE_SQL["edge_reply"])
+def stream_reply_edges(spark, sf_dir):
+    """Letters in three files that are not in order of time, a batch each."""
+    letters = notices(spark, sf_dir).select("doc_id", "date", "sender", "recipient")
+    folder, root = _files(spark, *(letters.filter(F.col("doc_id") % 3 == k).coalesce(1) for k in (1, 0, 2))), _folder(spark)
+    writer = s.stream_of(spark, folder, letters.schema).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+    writer.foreachBatch(s.reply_edges_of_batch(root)).start().awaitTermination()
+    return s.stored_reply_edges(spark, root)
+
+
 @query("stream_clusters", "SELECT label AS grp, count(*) AS n FROM embeddings GROUP BY label")
 def stream_clusters(spark, sf_dir):
     static = table(spark, sf_dir, "embeddings")

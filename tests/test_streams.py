@@ -38,3 +38,19 @@ def test_queue_gates_retries_and_goes_on(rocks, tmp_path):
     third = [(1, 3, "claim", 2600), (2, 6, "enqueue", 2700)]
     got = run_queue(rocks, str(tmp_path), [first, second, third], first=2, lease=1, attempts=2)
     assert got == {(1, 1): ("ready", 1, 20), (1, 2): ("failed", 2, 2500), (1, 3): ("processing", 1, 2600), (2, 5): ("failed", 1, 1700), (2, 6): ("queued", 0, 2700)}
+
+
+def test_reply_edges_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """A hot pair over two days has one edge, whatever the order; a smaller letter that comes later names its day; a batch may run twice."""
+    from orrery.operators import graph
+
+    letters = [(i, f"2020-01-0{1 + i % 2}", *(("A", "B") if i % 2 else ("b ", "a"))) for i in range(100, 140)] + [(1, "2020-01-01", "B", "A"), (2, "2020-01-05", "A", "B"), (3, None, "A", "B"), (4, "2020-01-03", "A", None), (5, "2020-01-04", "A", "A")]
+    frame = spark.createDataFrame(letters, "doc_id long, date string, sender string, recipient string")
+    run = s.reply_edges_of_batch(str(tmp_path))
+    parts = [frame.filter("doc_id % 3 = 1 and doc_id > 50"), frame.filter("doc_id % 3 <> 1 and doc_id > 50"), frame.filter("doc_id < 50")]
+    for number, part in enumerate(parts):
+        run(part, number)
+    run(parts[2], 2)
+    key = lambda rows: sorted((r.a, r.b) for r in rows.collect())
+    want = key(graph.reply_edges(frame))
+    assert key(s.stored_reply_edges(spark, str(tmp_path))) == want and 1 <= len(want) < 10
