@@ -223,7 +223,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     Null, empty or zero vectors, vectors with null or non-finite components and
     rows with a null label link with nothing. Rows that repeat a vec_id count as
     vectors of their own. A null vec_id counts as a vector; it is never the
-    smallest of a class that has another. Other columns are not looked at; an
+    smallest of a class that has another, and kept where it is in none. Other columns are not looked at; an
     empty table gives an empty result.
 
     Returns ``vec_id, n_links, component_id, kept``.
@@ -262,4 +262,4 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     facts = stash(facts.join(least, "component").select("node", "n_links", "component_id"), "vec-classes")
     out = rows.select("vec_id", "node").join(facts, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))

@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     bucket = one.select(F.col("node").alias("id"), F.explode("bands").alias("bkey"))
     lead = bucket.groupBy("bkey").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    member = stash(bucket.join(lead, "bkey"), "near-members")
+    member = stash(bucket.join(lead.repartition("bkey"), "bkey"), "near-members")
     pairs = member.filter("id <> leader").select("id", "leader").distinct()
     lead_signs = signs.select(F.col("id").alias("leader"), F.col("sig").alias("lead_sig"))
     scored = pairs.join(signs, "id").join(lead_signs, "leader").withColumn("same", matches("sig", "lead_sig")).filter(F.col("same") >= least)
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     share = member.groupBy("bkey", "comp").agg(F.count("*").alias("n"))
     mixed = share.groupBy("bkey").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
     mixed = mixed.select("bkey", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("nm"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("nr"))
-    inner = member.join(mixed, "bkey").join(signs, "id").withColumn("h", F.xxhash64("id"))
+    inner = member.join(mixed.repartition("bkey"), "bkey").join(signs, "id").withColumn("h", F.xxhash64("id"))
     every = inner.select("bkey", "id", "sig", "comp", F.pmod("h", "nm").alias("mblk"), F.explode(F.expr("sequence(0L, nr - 1)")).alias("rblk"), F.lit(False).alias("side"))
     rest = inner.filter("comp <> main").select("bkey", "id", "sig", "comp", F.explode(F.expr("sequence(0L, nm - 1)")).alias("mblk"), F.pmod("h", "nr").alias("rblk"), F.lit(True).alias("side"))
     keys = ("bkey", "mblk", "rblk")

@@ -706,16 +706,17 @@ def brute_vectors(rows, limit):
     least = {}
     for i, (vid, _, _) in enumerate(rows):
         least.setdefault(find(i), []).append(vid)
-    return Counter((vid, links[i], min(x for x in least[find(i)] if x is not None)) for i, (vid, _, _) in enumerate(rows) if vid is not None)
+    named = [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(rows))]
+    return Counter((vid, links[i], named[i], vid == named[i]) for i, (vid, _, _) in enumerate(rows))
 
 
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((6, 64))
     rows = [(i, [float(np.float32(x)) for x in centre[i % 6] + rng.standard_normal(64) * (0.02 if i % 2 else 0.2)], i % 3) for i in range(240)]
-    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(400, None, 1), (401, [0.0] * 64, 1), (402, [float("nan")] * 64, 1), (403, [None] + [1.0] * 63, 1), (404, rows[0][1], None), (405, [], 0), (406, [1.0, 2.0], 0), (407, [2.0, 4.0], 0), (0, rows[6][1], 0)]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(400, None, 1), (401, [0.0] * 64, 1), (402, [float("nan")] * 64, 1), (403, [None] + [1.0] * 63, 1), (404, rows[0][1], None), (405, [], 0), (406, [1.0, 2.0], 0), (407, [2.0, 4.0], 0), (0, rows[6][1], 0), (None, rows[3][1], rows[3][2]), (None, None, 1)]
     frame = spark.createDataFrame([(*r, 9, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links int, node string")
-    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(frame).collect())
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(frame).collect())
     assert got == brute_vectors(rows, 0.98)
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
