@@ -79,7 +79,7 @@ def bm25(docs: DataFrame, key: list[str], queries: DataFrame) -> DataFrame:
     facts = terms.join(df, "term")  # a row for each term of each query
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average or 1.0))))
-    scored = found.join(F.broadcast(facts) if len(asked) <= LISTED else facts, "term")
+    scored = found.join(small(facts), "term")
     return scored.groupBy("query_id", *key).agg(F.sum(part).alias("score"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import dates, extract, fuzzy
 from orrery.functions.entries import entries
-from orrery.operators import retrieval, review, usage
+from orrery.operators import retrieval, review, sketches, usage
 from orrery.operators.asof import as_of
 from orrery.plans.registry import query
 from orrery.plans.views import CHUNKS, chunks, table
@@ -204,6 +204,16 @@ def approximate_counts(spark, sf_dir):
     return sums.select("event_type", (F.abs(F.col("near") - F.col("exact")) <= 0.1 * F.col("exact") + 1).alias("near_count"), F.col("middle").between(F.col("low"), F.col("high")).alias("near_median"))
 
 
+@query("stored_sketches", """WITH e AS (SELECT event_type, user_id, CAST(date_trunc('month', ts) AS DATE) AS period FROM events UNION ALL SELECT event_type, user_id, NULL FROM events)
+    SELECT event_type, period, count(DISTINCT user_id) AS estimate FROM e GROUP BY 1, 2""")
+def stored_sketches(spark, sf_dir):
+    """Users by month and in all from stored sketches of days; the sketches are exact for so few users."""
+    path = _place(spark, "sketches")
+    sketches.daily(table(spark, sf_dir, "events"), ["event_type"], "user_id", "ts").write.parquet(path)
+    months = sketches.merged(spark.read.parquet(path), ["event_type"], "month")
+    return sketches.estimated(months.unionByName(sketches.merged(months, ["event_type"]))).select("event_type", "period", "estimate")
+
+
 @query("map_values", "SELECT user_id, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS clicks, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events GROUP BY 1")
 def map_values(spark, sf_dir):
     """Counts of a user's events as a map from type to number, read by key."""
