@@ -5,8 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -27,6 +27,7 @@ class Sheet:
     name: str
     grid: Grid
     tables: list[tuple[str, tuple[int, int, int, int]]]
+    merged: list[tuple[int, int, int, int]] = field(default_factory=list)
 
 
 def _name(e) -> str:
@@ -86,10 +87,21 @@ def _checked(path: str, rows: int, cols: int) -> tuple[int, int]:
     return rows, cols
 
 
-def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path: str) -> tuple[Grid, list]:
+def _placed(root) -> Iterator[tuple[tuple[int, int], object]]:
+    """Cells with their places; a row or cell that does not tell its own follows the one before."""
+    row = -1
+    for e in (e for e in root.iter() if _name(e) == "row"):
+        row = int(e.get("r")) - 1 if e.get("r") else row + 1
+        col = -1
+        for c in (c for c in e if _name(c) == "c"):
+            at = _place(c.get("r")) if c.get("r") else (row, col + 1)
+            col = at[1]
+            yield at, c
+
+
+def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path: str) -> tuple[Grid, list, list]:
     cells: dict[tuple[int, int], object] = {}
-    for c in (e for e in root.iter() if _name(e) == "c"):
-        at = _place(c.get("r"))
+    for at, c in _placed(root):
         kind, style = c.get("t", "n"), int(c.get("s", 0))
         value = next((v.text for v in c if _name(v) == "v"), None)
         if kind == "s" and value is not None:
@@ -105,9 +117,11 @@ def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path:
             cells[at] = value
     extent = lambda: [1 + max((k[i] for k in cells), default=-1) for i in (0, 1)]
     _checked(path, *(used := extent()))
+    merged = []
     for m in (e for e in root.iter() if _name(e) == "mergeCell"):
         r0, c0, r1, c1 = _area(m.get("ref"))
         if (r0, c0) in cells:
+            merged.append((r0, c0, r1, c1))
             for r in range(r0, min(r1 + 1, max(used[0], MAX_ROWS))):
                 for c in range(c0, min(c1 + 1, max(used[1], MAX_COLUMNS))):
                     cells[r, c] = cells[r0, c0]
@@ -122,7 +136,7 @@ def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path:
                 if target in z.namelist():
                     t = ElementTree.fromstring(z.read(target))
                     tables.append((t.get("displayName") or t.get("name") or "table", _area(t.get("ref"))))
-    return grid, tables
+    return grid, tables, merged
 
 
 def _filled(row: list[object]) -> int:
@@ -244,30 +258,54 @@ def tables_of(sheet: Sheet) -> list[tuple[str, str, list[str], Grid]]:
     return [(sheet.name, "sheet", [str(v or "") for v in sheet.grid[h]], sheet.grid[h + 1 :])]
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sheet, row, col, value`` of every filled cell of the workbooks at a path."""
+def _each_workbook(spark: SparkSession, path: str, rows: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of each workbook at a path; one that cannot be read gives a row of its path and the ``error`` alone, and others are read."""
     ship(spark)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, raw in zip(frame["path"], frame["content"], strict=True):
-                for s in workbook(raw):
-                    yield pd.DataFrame([(p, s.name, r, c, str(v)) for r, row in enumerate(s.grid) for c, v in enumerate(row) if v is not None], columns=["path", "sheet", "row", "col", "value"])
+                try:
+                    got = [(*r, None) for r in rows(p, raw)]
+                except Exception as broken:  # whatever is wrong with one file
+                    got = [(p, *[None] * (len(names) - 2), f"{type(broken).__name__}: {broken}"[:200])]
+                yield pd.DataFrame(got, columns=names, dtype=object)
+
+    return _contents(spark, path, "*.xls[xm]").mapInPandas(run, schema)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sheet, row, col, value, error`` of every filled cell of the workbooks at a path."""
+
+    def rows(p: str, raw: bytes) -> Iterator[tuple]:
+        for s in workbook(raw):
+            yield from ((p, s.name, r, c, str(v)) for r, row in enumerate(s.grid) for c, v in enumerate(row) if v is not None)
+
+    return _each_workbook(spark, path, rows, "path string, sheet string, row long, col long, value string, error string")
 
-    return _contents(spark, path, "*.xls[xm]").mapInPandas(run, "path string, sheet string, row long, col long, value string")
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sheet, first_row, first_col, last_row, last_col, value, error`` of every merged range, however far it reaches.
+
+    In grids a range is filled to MAX_ROWS and MAX_COLUMNS where its sheet's own
+    cells do not reach further; a join on these bounds tells what lies beyond.
+    """
+
+    def rows(p: str, raw: bytes) -> Iterator[tuple]:
+        for s in workbook(raw):
+            yield from ((p, s.name, r0, c0, r1, c1, str(s.grid[r0][c0])) for r0, c0, r1, c1 in s.merged)
+
+    return _each_workbook(spark, path, rows, "path string, sheet string, first_row long, first_col long, last_row long, last_col long, value string, error string")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """``path, table, strategy, row, cells`` with one map of clean column name to text a row, for the workbooks at a path."""
-    ship(spark)
+    """``path, table, strategy, row, cells, error`` with one map of clean column name to text a row, for the workbooks at a path."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, raw in zip(frame["path"], frame["content"], strict=True):
-                for s in workbook(raw):
-                    for name, how, columns, rows in tables_of(s):
-                        names = clean_names(columns)
-                        records = [(p, name, how, i, {n: str(v) for n, v in zip(names, r, strict=False) if v not in (None, "")}) for i, r in enumerate(rows)]
-                        yield pd.DataFrame(records, columns=["path", "table", "strategy", "row", "cells"])
+    def rows(p: str, raw: bytes) -> Iterator[tuple]:
+        for s in workbook(raw):
+            for name, how, columns, body in tables_of(s):
+                names = clean_names(columns)
+                yield from ((p, name, how, i, {n: str(v) for n, v in zip(names, r, strict=False) if v not in (None, "")}) for i, r in enumerate(body))
 
-    return _contents(spark, path, "*.xls[xm]").mapInPandas(run, "path string, table string, strategy string, row long, cells map<string,string>")
+    return _each_workbook(spark, path, rows, "path string, table string, strategy string, row long, cells map<string,string>, error string")

@@ -90,3 +90,26 @@ def test_as_of(spark):
     got = {r.id: r.v for r in as_of(left, right, ["k"], "t", ["v"]).collect()}
     assert got == {1: 3.0, 2: 2.0, 3: None, 4: None, 5: None, 6: None}
     assert as_of(left, right.limit(0), ["k"], "t", ["v"]).filter("v is not null").count() == 0
+
+
+def test_broken_sheets_do_not_end_the_read(spark, tmp_path):
+    """Cells without places follow one another; a sheet that cannot be read gives an error row; merged ranges are told whole."""
+    import zipfile
+
+    def book(name, sheet):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="S"/></sheets></workbook>')
+            z.writestr("xl/worksheets/sheet1.xml", sheet)
+
+    rows = "".join(f'<row><c t="inlineStr"><is><t>{a}</t></is></c><c><v>{i}</v></c></row>' for i, a in enumerate("abc"))
+    book("good.xlsx", f'<worksheet><sheetData>{rows}<row r="9"><c r="C9"><v>7</v></c><c><v>8</v></c></row></sheetData><mergeCells><mergeCell ref="A1:A1048576"/></mergeCells></worksheet>')
+    book("cut.xlsx", "<worksheet><sheetData><row>")
+    book("index.xlsx", '<worksheet><sheetData><row><c t="s"><v>5</v></c></row></sheetData></worksheet>')
+    cells = [(r.path.rsplit("/", 1)[1], r.row, r.col, r.value, r.error) for r in spreadsheet.read_cells(spark, str(tmp_path)).collect()]
+    good = {c[1:4] for c in cells if c[0] == "good.xlsx" and c[2] != 0}
+    assert good == {(0, 1, "0"), (1, 1, "1"), (2, 1, "2"), (8, 2, "7"), (8, 3, "8")}
+    bad = {c[0]: c[4].split(":")[0] for c in cells if c[4]}
+    assert bad == {"cut.xlsx": "ParseError", "index.xlsx": "IndexError"}
+    merges = spreadsheet.read_merges(spark, str(tmp_path)).filter("error is null").collect()
+    assert [tuple(r)[1:] for r in merges] == [("S", 0, 0, 1_048_575, 0, "a", None)]
+    assert {r.path.rsplit("/", 1)[1] for r in spreadsheet.read_tables(spark, str(tmp_path)).filter("error is not null").collect()} == {"cut.xlsx", "index.xlsx"}
