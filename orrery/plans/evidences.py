@@ -8,6 +8,7 @@ from orrery.functions import fuzzy
 from orrery.functions.periods import period_of
 from orrery.operators import correspondence
 from orrery.operators import evidence as e
+from orrery.operators import passages
 from orrery.plans.registry import query
 from orrery.plans.search import QUERIES, _bm25_sql, _Q
 from orrery.plans.views import CHUNKS, EVENT_STORE, chunks, event_store, table
@@ -105,3 +106,19 @@ def glossary_terms(spark, sf_dir):
     known = fuzzy.Glossary({"of the": "genitive", "la": "article", "de": "preposition"})
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(F.array_sort(known.column(F.col("text"))), ",").alias("terms"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+@query("passage_places", f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), b AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark),
+    t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d), p AS (SELECT item_id, len(ws) AS m, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM b),
+    near AS (SELECT item_id, doc_id, m FROM p JOIN (SELECT DISTINCT doc_id, word FROM t) USING (word) GROUP BY ALL HAVING count(*) >= m - floor(m * 0.25)),
+    f AS (SELECT item_id, doc_id, CAST(0 AS BIGINT) AS i, j, word, m, j AS c FROM near JOIN (SELECT * FROM t UNION ALL SELECT doc_id, NULL, 0 FROM d) USING (doc_id)),
+    dp AS (SELECT * FROM f UNION ALL SELECT item_id, doc_id, i, j, word, m, min(low - j * 10000000) OVER (PARTITION BY item_id, doc_id ORDER BY j) + j * 10000000 AS c
+        FROM (SELECT dp.item_id, doc_id, p.i, j, dp.word, dp.m, least(c + 10000000, coalesce(lag(c) OVER (PARTITION BY dp.item_id, doc_id ORDER BY j) + CASE WHEN dp.word = p.word THEN 0 ELSE 10000000 END, c + 10000000)) AS low FROM dp JOIN p ON p.item_id = dp.item_id AND p.i = dp.i + 1))
+    SELECT item_id AS passage_id, doc_id AS text_id, CAST(c % 10000000 AS INTEGER) AS place, CAST(j - c % 10000000 AS INTEGER) AS words, round(1 - (c // 10000000) / m, 6) AS likeness FROM dp
+    WHERE i = m AND c // 10000000 <= floor(m * 0.25) QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY c, j) = 1""")
+def passage_places(spark, sf_dir):
+    """Where the passages of the benchmark stand in the documents, changed words allowed."""
+    return passages.find_passages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
