@@ -84,8 +84,10 @@ def neighbours(units: DataFrame, orders: int = ORDERS, block: int = BLOCK, near:
         dealt = units.mapInArrow(coded(order), "node long, unit array<double>, code binary").repartitionByRange(ranges, "code", "node").sortWithinPartitions("code", "node")
         pairs = dealt.select("node", "unit").mapInArrow(blocks, "a long, b long, d double")
         found = pairs if found is None else found.unionByName(pairs)
-    nearest = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, near)
-    return found.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near").alias("n")).select("a", "n.b", "n.d")
+    # a pair's distance differs in its last bits from block to block, so a neighbour is told by its node and counts once
+    once = found.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"))
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, near)
+    return once.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near").alias("n")).select("a", "n.b", "n.d")
 
 
 def reachability(nodes: DataFrame, found: DataFrame, samples: int = SAMPLES) -> DataFrame:

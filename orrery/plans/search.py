@@ -8,7 +8,7 @@ from orrery.operators import density
 from orrery.operators import document_index as di
 from orrery.operators import retrieval as r
 from orrery.plans.registry import query
-from orrery.plans.views import CHUNKS, chunks, table
+from orrery.plans.views import CHUNKS, PROFILES, chunks, profiles, table
 
 QUERIES = {1: ["the", "which", "under"], 2: ["die", "nicht", "zu"], 3: ["les", "pour"]}
 
@@ -182,10 +182,10 @@ def document_index(spark, sf_dir):
     return di.ranked(di.records(docs), di.Topic("notice of variation", ("variation", "the"), parties=("idiot",)))
 
 
-def _density_sql() -> str:
-    """The clusters by a search among all pairs: components of each level by recursion, then the masses level by level."""
-    n, first = len(density.LEVELS), density.LEVELS
-    ctes = [f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nodes AS (SELECT min(vec_id) AS node, count(*) AS weight, e FROM v GROUP BY e),
+def _density_sql(rows: str = "embeddings", before: str = "", first: tuple[float, ...] = density.LEVELS) -> str:
+    """The clusters of a view's vectors by a search among all pairs: components of each level by recursion, then the masses level by level."""
+    n = len(first)
+    ctes = [f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM {rows}), nodes AS (SELECT min(vec_id) AS node, count(*) AS weight, e FROM v GROUP BY e),
     near AS (SELECT * FROM (SELECT a.node AS a, b.node AS b, b.weight, greatest(1 - list_cosine_similarity(a.e, b.e), 0) AS d, row_number() OVER (PARTITION BY a.node ORDER BY greatest(1 - list_cosine_similarity(a.e, b.e), 0), b.node) AS k FROM nodes a JOIN nodes b ON a.node <> b.node) WHERE k <= {density.NEAR}),
     core AS (SELECT node AS a, CASE WHEN weight > {density.SAMPLES} THEN 0 ELSE far END AS core FROM nodes LEFT JOIN (SELECT a, min(d) AS far FROM (SELECT near.a, near.d, sum(near.weight) OVER (PARTITION BY near.a ORDER BY d, b) + nodes.weight - 1 AS others FROM near JOIN nodes ON nodes.node = near.a) WHERE others >= {density.SAMPLES} GROUP BY a) f ON f.a = node WHERE weight > {density.SAMPLES} OR far IS NOT NULL),
     m AS (SELECT near.a, near.b, greatest(d, x.core, y.core) AS d FROM near JOIN core x ON x.a = near.a JOIN core y ON y.a = near.b),
@@ -200,7 +200,7 @@ def _density_sql() -> str:
             ctes.append(f"""f{i} AS (SELECT p{i}.part AS up, count(*) AS n, sum(own) AS one, sum(below) AS under, sum(greatest(own, below)) AS best FROM s{i - 1} s JOIN p{i} ON p{i}.node = s.part GROUP BY 1),
     s{i} AS (SELECT part, mass + CASE WHEN n = 1 THEN one ELSE 0 END AS own, CASE WHEN n = 1 THEN under ELSE coalesce(best, 0) END AS below FROM h{i} LEFT JOIN f{i} ON up = part)""")
     picks = " ".join(f"LEFT JOIN (SELECT node, p{i}.part FROM p{i} JOIN s{i} ON s{i}.part = p{i}.part WHERE own >= below) k{i} ON k{i}.node = nodes.node" for i in range(n))
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT vec_id, coalesce({', '.join(f'k{i}.part' for i in reversed(range(n)))}) AS cluster FROM v JOIN nodes ON v.e = nodes.e {picks}"
+    return f"WITH RECURSIVE {before}{', '.join(ctes)} SELECT vec_id, coalesce({', '.join(f'k{i}.part' for i in reversed(range(n)))}) AS cluster FROM v JOIN nodes ON v.e = nodes.e {picks}"
 
 
 @query("vector_clusters", _density_sql())
@@ -208,6 +208,16 @@ def vector_clusters(spark, sf_dir):
     return density.density_clusters(table(spark, sf_dir, "embeddings"))
 
 
+#: Distances between customers' profiles, nearer than those of texts: beyond the last one they are all alike.
+_NEAR = (0.05, 0.1, 0.2, 0.25, 0.3)
+
+
+@query("profile_clusters", _density_sql("profiles", f"{PROFILES}, ", _NEAR))
+def profile_clusters(spark, sf_dir):
+    """Customers who order alike, and those like nobody; neighbours are exact up to 2,048 customers, as blocks are that long."""
+    return density.density_clusters(profiles(spark, sf_dir).select("vec_id", "embedding"), _NEAR, block=2048)
+
+
 @query("term_scores", "SELECT p_type, CASE WHEN lower(p_type) = 'econ' THEN 1.0::DOUBLE WHEN starts_with(lower(p_type), 'econ') THEN 0.75 WHEN contains(lower(p_type), 'econ') THEN 0.5 ELSE 0.0 END AS score, count(*) AS n FROM part GROUP BY 1")
 def term_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type", r.term_score(F.lower("p_type"), F.lit("econ")).alias("score")).agg(F.count("*").alias("n"))

@@ -130,3 +130,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = f"""chunks AS (
     SELECT doc_id, source AS project_id, lang AS corpus, CAST(p AS BIGINT) AS page, substr(text, CAST(p * {STRIDE} + 1 AS BIGINT), {CHUNK}) AS text
     FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil((length(text) - {CHUNK - STRIDE}) / {STRIDE}.0) AS BIGINT)))) AS p FROM documents WHERE text IS NOT NULL))"""
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_YEARS = tuple(range(1992, 2002))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer ordered by priority and year, in cents less an even share: ``vec_id, grp, embedding``."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey is not null").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    cells = [F.coalesce(F.sum(F.when((F.col("o_orderpriority") == p) & (F.year("o_orderdate") == y), F.col("cents"))), F.lit(0)) for p in _PRIORITIES for y in _YEARS]
+    even = [(len(cells) * x - F.coalesce(F.sum("cents"), F.lit(0))).cast("double") for x in cells]
+    return o.groupBy(F.col("o_custkey").alias("vec_id")).agg(F.array(*even).alias("embedding")).withColumn("grp", F.col("vec_id") % 5)
+
+
+_CELLS = ", ".join(f"CAST({len(_PRIORITIES) * len(_YEARS)} * coalesce(sum(cents) FILTER (o_orderpriority = '{p}' AND year(o_orderdate) = {y}), 0) - coalesce(sum(cents), 0) AS DOUBLE)" for p in _PRIORITIES for y in _YEARS)
+PROFILES = f"""orders_by AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_custkey IS NOT NULL),
+    profiles AS (SELECT o_custkey AS vec_id, o_custkey % 5 AS grp, [{_CELLS}] AS embedding FROM orders_by GROUP BY o_custkey)"""

@@ -49,3 +49,13 @@ def test_neighbours_are_found(spark, block, least):
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(2400) for j in np.argpartition(d[i], 4)[:5]}  # those of the groups; noise has none that are near
     assert len(want & found) >= least * len(want)
+
+
+def test_a_neighbour_counts_once(spark):
+    """Distances that many blocks give with other last bits are those of one neighbour."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 50))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, unit array<double>")
+    found = density.neighbours(frame, block=64).select("a", "b").collect()
+    assert len(found) == len(set(found)) and max(np.bincount([r.a for r in found])) == density.NEAR
