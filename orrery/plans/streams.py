@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from orrery.operators.usage import co_retrieval
 from orrery.plans import graphs  # noqa: F401 (its SQL is that of the stream's edges)
 from orrery.plans.registry import ORACLE_SQL, query
-from orrery.plans.views import notices, table
+from orrery.plans.views import PROFILES, notices, profiles, table
 from orrery.storage import shared_dir
 from orrery.streaming import events as s
-from orrery.streaming import queue
+from orrery.streaming import clusters, queue
 
 
 def _folder(spark) -> str:
     return f"{shared_dir(spark)}/orrery-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def rocks(spark):
+    """The state store that keyed state asks for, while streams of it run."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _finished(spark, stream, mode: str, keys: list[str] = ()):
     """Runs a stream until its source is read out and returns the table that it leaves in the shared folder.
 
@@ -125,11 +138,36 @@ def stream_reply_edges(spark, sf_dir):
     return s.stored_reply_edges(spark, root)
 
 
-@query("stream_clusters", "SELECT label AS grp, count(*) AS n FROM embeddings GROUP BY label")
+_DOT = "list_inner_product"
+
+
+@query("stream_clusters", f"""WITH RECURSIVE {PROFILES}, e AS (SELECT grp, vec_id, row_number() OVER (PARTITION BY grp ORDER BY vec_id % 3, vec_id) AS i, list_transform(embedding, lambda v: v / sqrt({_DOT}(embedding, embedding))) AS x FROM profiles),
+    s AS (SELECT grp, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, c DOUBLE[], n BIGINT, since INTEGER, due INTEGER, shown BIGINT[])[]) AS held, CAST([] AS STRUCT(id BIGINT, x DOUBLE[])[]) AS waits, CAST([] AS STRUCT(id BIGINT, cluster BIGINT)[]) AS moved FROM (SELECT DISTINCT grp FROM e)
+        UNION ALL SELECT grp, i,
+            CASE WHEN hit THEN list_transform(held, lambda k, o: CASE WHEN o = pos THEN {{'id': k.id, 'c': list_transform(k.c, lambda v, d: (v * k.n + x[d]) / sqrt(list_sum(list_transform(k.c, lambda u, f: (u * k.n + x[f]) * (u * k.n + x[f]))))), 'n': k.n + 1, 'since': (k.since + 1) % 5, 'due': k.due + CAST(k.since = 4 AS INTEGER), 'shown': k.shown}} ELSE k END)
+                WHEN len(members) >= 3 THEN list_append(held, {{'id': seed.id, 'c': list_transform(total, lambda v: v / sqrt({_DOT}(total, total))), 'n': len(members), 'since': 0, 'due': 0, 'shown': list_transform(members[1:3], lambda m: m.id)}}) ELSE held END,
+            CASE WHEN hit THEN waits WHEN len(members) >= 3 THEN list_filter(more, lambda w: NOT list_contains(list_transform(members, lambda m: m.id), w.id)) ELSE more END[-256:],
+            CASE WHEN hit THEN [{{'id': vec_id, 'cluster': held[pos].id}}] WHEN len(members) >= 3 THEN list_concat(list_transform(members, lambda m: {{'id': m.id, 'cluster': seed.id}}), CASE WHEN list_contains(list_transform(members, lambda m: m.id), vec_id) THEN [] ELSE [{{'id': vec_id, 'cluster': NULL}}] END) ELSE [{{'id': vec_id, 'cluster': NULL}}] END
+        FROM (SELECT *, list_transform(x, lambda v, d: coalesce(list_sum(list_transform(members, lambda m: m.x[d])), 0)) AS total
+        FROM (SELECT *, CASE WHEN hit OR len(more) < 5 THEN [] ELSE list_filter(more, lambda b: {_DOT}(seed.x, b.x) >= 0.55) END AS members
+        FROM (SELECT *, more[list_position(degrees, list_max(degrees))] AS seed
+        FROM (SELECT *, list_transform(more, lambda a: len(list_filter(more, lambda b: {_DOT}(a.x, b.x) >= 0.55))) AS degrees
+        FROM (SELECT *, coalesce(list_max(cosines) >= 0.55, FALSE) AS hit, list_position(cosines, list_max(cosines)) AS pos, list_append(waits, {{'id': vec_id, 'x': x}}) AS more
+        FROM (SELECT s.grp, e.i, held, waits, vec_id, x, list_transform(held, lambda k: {_DOT}(k.c, x)) AS cosines FROM s JOIN e ON e.grp = s.grp AND e.i = s.i + 1)))))) q),
+    v AS (SELECT grp, i, m.id AS vec_id, m.cluster FROM (SELECT grp, i, unnest(moved) AS m FROM s)), k AS (SELECT grp, unnest(held, recursive := true) FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY i DESC) = 1)
+    SELECT CAST(grp AS BIGINT) AS grp, 'vector' AS kind, vec_id AS id, cluster, CAST(NULL AS BIGINT) AS members, CAST(NULL AS INTEGER) AS relabels, CAST(NULL AS VARCHAR) AS shown FROM v QUALIFY row_number() OVER (PARTITION BY grp, vec_id ORDER BY i DESC) = 1
+    UNION ALL SELECT CAST(grp AS BIGINT), 'cluster', id, id, n, due, array_to_string(shown, ',') FROM k""")
 def stream_clusters(spark, sf_dir):
-    static = table(spark, sf_dir, "embeddings")
-    vectors = s.stream_of(spark, f"{sf_dir}/embeddings.parquet*", static.schema).withColumn("grp", F.col("label").cast("long"))
-    return _finished(spark, s.running_clusters(vectors), "append").groupBy(F.col("grp").cast("int").alias("grp")).agg(F.count("*").alias("n"))
+    """Clusters of customers who order alike, in five groups, in three runs of the stream, the second and third from the checkpoint."""
+    static = profiles(spark, sf_dir).select("grp", "vec_id", F.col("vec_id").alias("at"), "embedding")
+    root, folder = _folder(spark), None
+    with rocks(spark):
+        for k in range(3):
+            folder = _files(spark, static.filter(F.col("vec_id") % 3 == k), folder=folder)
+            writer = clusters.online_clusters(s.stream_of(spark, folder, static.schema, 10_000)).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+            writer.foreachBatch(s.changes_of_batch(f"{root}/rows")).start().awaitTermination()
+    rows = s.latest(spark, f"{root}/rows", clusters.OUT, ["grp", "kind", "id"])
+    return rows.select("grp", "kind", "id", "cluster", "members", "relabels", F.array_join(F.transform("shown", lambda v: v.cast("string")), ",").alias("shown"))
 
 
 def _queue_steps(name: str, gate: str) -> str:
@@ -170,13 +208,11 @@ def stream_queue(spark, sf_dir):
     rows = o.select(*job, F.lit("enqueue").alias("kind"), F.col("o_orderdate").alias("ts")).unionByName(lines.select(*job, F.lit("claim").alias("kind"), F.col("l_shipdate").alias("ts"))).unionByName(ended)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_millis("ts"))
     years = [F.year("ts") < 1997, F.year("ts").between(1997, 1998), F.year("ts") > 1998]
-    root, folder, setting = _folder(spark), None, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for parts in (years[:2], years[2:]):
-        folder = _files(spark, *(rows.filter(c) for c in parts), folder=folder)
-        stream = s.stream_of(spark, folder, rows.schema, 10_000).withWatermark("ts", "0 seconds")
-        writer = queue.job_states(stream, lease=864_000).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
-        writer.foreachBatch(s.changes_of_batch(f"{root}/rows")).start().awaitTermination()
-    spark.conf.set(setting, before)
+    root, folder = _folder(spark), None
+    with rocks(spark):
+        for parts in (years[:2], years[2:]):
+            folder = _files(spark, *(rows.filter(c) for c in parts), folder=folder)
+            stream = s.stream_of(spark, folder, rows.schema, 10_000).withWatermark("ts", "0 seconds")
+            writer = queue.job_states(stream, lease=864_000).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+            writer.foreachBatch(s.changes_of_batch(f"{root}/rows")).start().awaitTermination()
     return s.latest(spark, f"{root}/rows", queue.OUT, ["project", "job"])

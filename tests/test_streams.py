@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.streaming import clusters, queue
 from orrery.streaming import events as s
-from orrery.streaming import queue
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,3 +55,40 @@ def test_reply_edges_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     key = lambda rows: sorted((r.a, r.b) for r in rows.collect())
     want = key(graph.reply_edges(frame))
     assert key(s.stored_reply_edges(spark, str(tmp_path))) == want and 1 <= len(want) < 10
+
+
+def run_clusters(spark, folder, batches):
+    """The last rows after the batches, each of which starts the stream anew from its checkpoint."""
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "grp long, vec_id long, at long, embedding array<double>, cluster string")
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = clusters.online_clusters(s.stream_of(spark, f"{folder}/in", frame.schema, 100))
+        writer = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/ck")
+        writer.foreachBatch(s.changes_of_batch(f"{folder}/rows")).start().awaitTermination()
+    rows = s.latest(spark, f"{folder}/rows", clusters.OUT, ["grp", "kind", "id"]).collect()
+    return {(r.grp, r.id): r.cluster for r in rows if r.kind == "vector"}, {(r.grp, r.id): (r.members, r.relabels, r.shown) for r in rows if r.kind == "cluster"}
+
+
+def test_waiting_vectors_found_clusters_and_members_ask_for_labels(rocks, tmp_path):
+    """The fifth vector that waits founds a cluster of three, named by the first of those with the most near ones; five more ask for a label; all goes on from the checkpoint."""
+    e = np.eye(6)
+    near = lambda k, j=0.0: [float(x) for x in e[k] + j * e[5]]
+    odd = [(1, 90, 0, None, "x"), (1, 91, 0, [0.0] * 6, "x"), (1, 92, 0, [float("nan"), 1.0, 0.0, 0.0, 0.0, 0.0], "x"), (1, 93, 0, [], "x"), (None, 94, 0, near(0), "x"), (1, None, 0, near(0), "x"), (1, 95, 99, [1.0, 2.0], "x"), (1, 96, 99, [None] * 6, "x")]
+    first = [(1, 30, 1, near(0), "x"), (1, 20, 2, near(0, 0.1), "x"), (1, 10, 3, near(1), "x"), (1, 40, 4, near(0, 0.2), "x"), (2, 7, 1, [1.0, 0.0], "x")]
+    second = [(1, 50, 5, near(2), "x"), (1, 60, 6, near(0, 0.3), "x")]
+    third = [(1, 61 + k, 7 + k, near(0), "x") for k in range(5)] + [(1, 70, 12, near(1), "x"), (1, 71, 13, near(1), "x"), (1, 72, 14, near(1, 0.1), "x"), (1, 73, 15, near(3), "x")]
+    placed, held = run_clusters(rocks, str(tmp_path), [first + odd, second, third])
+    one = {k: 30 for k in (30, 20, 40, 60, 61, 62, 63, 64, 65)} | {k: 10 for k in (10, 70, 71, 72)}
+    assert placed == {**{(1, k): c for k, c in one.items()}, **{(1, k): None for k in (50, 73, 90, 91, 92, 93, 95, 96)}, (2, 7): None}
+    # vector 71 is the fifth that waits with 10, 50, 70: no, four do; 72 makes five and founds with 10, 70 and 71
+    assert held == {(1, 30): (9, 1, [30, 20, 40]), (1, 10): (4, 0, [10, 70, 71])}
+
+
+def test_the_state_of_clusters_is_bounded(rocks, tmp_path, monkeypatch):
+    """Vectors beyond the bound that came first stop waiting, and no more clusters are founded than the bound."""
+    monkeypatch.setattr(clusters, "WAITING", 4)
+    monkeypatch.setattr(clusters, "CLUSTERS", 1)
+    e = [[float(x) for x in row] for row in np.eye(8)]
+    rows = [(1, k, k, e[k], "x") for k in range(5)] + [(1, 10, 10, e[0], "x"), (1, 11, 11, e[0], "x"), (1, 12, 12, e[0], "x")] + [(1, 20 + k, 20 + k, e[7], "x") for k in range(6)]
+    placed, held = run_clusters(rocks, str(tmp_path), [rows])
+    assert placed[1, 0] is None and {placed[1, k] for k in (10, 11, 12)} == {10} and all(placed[1, 20 + k] is None for k in range(6)) and held == {(1, 10): (3, 0, [10, 11, 12])}
