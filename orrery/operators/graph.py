@@ -35,6 +35,32 @@ def class_edges(sets: DataFrame, weight, kind: str) -> DataFrame:
     return shared.select("a", "b", F.lit(kind).alias("edge_type"), F.round(weight(F.col("shared"), F.col("n_a"), F.col("n_b")), 6).alias("weight"))
 
 
+def class_facts(sets: DataFrame, kind: str) -> DataFrame:
+    """``fact, id, n, letters, links, edge_type``: each fact of each class of letters with equal sets.
+
+    ``n`` facts and ``letters`` of the class named ``id``; ``links`` other classes
+    have this fact too. Two classes are linked where a fact has rows of both,
+    with the facts they share over the larger ``n`` as the weight
+    (:func:`weighted` gives these edges of stated classes), so a fact of many
+    classes has a row for each and not for each pair. A letter without facts has
+    no rows, one whose facts nobody shares has ``links`` 0.
+    """
+    classes = sets.groupBy("facts").agg(F.min("id").alias("id"), F.count("*").alias("letters"))
+    rows = classes.select("id", F.size("facts").alias("n"), "letters", F.explode("facts").alias("fact"))
+    often = rows.groupBy("fact").agg((F.count("*") - 1).alias("links"))
+    met = rows.repartition("fact").join(often.repartition("fact"), "fact")
+    return met.select("fact", "id", "n", "letters", "links", F.lit(kind).alias("edge_type"))
+
+
+def weighted(facts: DataFrame, focus: DataFrame) -> DataFrame:
+    """``a, b, edge_type, weight`` from the stated classes ``focus(id)`` to all that share a fact with them; ``facts`` is of :func:`class_facts`."""
+    own = facts.join(focus.select("id").distinct(), "id", "left_semi").select("fact", "edge_type", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    other = facts.select("fact", "edge_type", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    met = own.repartition("fact").join(other.repartition("fact"), ["fact", "edge_type"]).filter("a <> b")
+    shared = met.groupBy("a", "b", "edge_type", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return shared.select("a", "b", "edge_type", F.round(F.col("shared") / F.greatest("n_a", "n_b"), 6).alias("weight"))
+
+
 def reference_sets(notices: DataFrame) -> DataFrame:
     return _sets(notices, F.transform("refs", lambda r: r.cast("string")))
 
@@ -47,14 +73,14 @@ def topic_sets(notices: DataFrame) -> DataFrame:
     return _sets(notices, F.transform("topics", lambda t: F.lower(t)))
 
 
-def reference_edges(notices: DataFrame) -> DataFrame:
-    """Classes of letters that share references; weight: shared over the larger set."""
-    return class_edges(reference_sets(notices), lambda s, a, b: s / F.greatest(a, b), "references")
+def reference_classes(notices: DataFrame) -> DataFrame:
+    """Classes of letters by the references that they share."""
+    return class_facts(reference_sets(notices), "references")
 
 
-def party_edges(notices: DataFrame) -> DataFrame:
-    """Classes of letters that share a party; weight: shared over the larger set."""
-    return class_edges(party_sets(notices), lambda s, a, b: s / F.greatest(a, b), "same_party")
+def party_classes(notices: DataFrame) -> DataFrame:
+    """Classes of letters by the parties that they share."""
+    return class_facts(party_sets(notices), "same_party")
 
 
 def topic_edges(notices: DataFrame, least: float = 0.3) -> DataFrame:

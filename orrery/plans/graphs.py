@@ -21,14 +21,28 @@ def _shared(column: str) -> str:
     w AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM f x JOIN f y ON x.fact = y.fact AND x.id < y.id GROUP BY ALL)"""
 
 
-@query("edge_refs", _shared("refs") + " SELECT a, b, 'references' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
+def _classes(column: str, kind: str) -> str:
+    return _N + f""", k AS (SELECT doc_id, list_sort(list_distinct({column})) AS facts FROM notices), r AS (SELECT min(doc_id) AS id, count(*) AS letters, facts FROM k GROUP BY facts),
+    f AS (SELECT id, CAST(len(facts) AS INTEGER) AS n, letters, CAST(unnest(facts) AS VARCHAR) AS fact FROM r)
+    SELECT fact, id, n, letters, count(*) OVER (PARTITION BY fact) - 1 AS links, '{kind}' AS edge_type FROM f"""
+
+
+@query("edge_refs", _classes("refs", "references"))
 def edge_refs(spark, sf_dir):
-    return g.reference_edges(notices(spark, sf_dir))
+    return g.reference_classes(notices(spark, sf_dir))
 
 
-@query("edge_party", _shared("[lower(sender), lower(recipient)]") + " SELECT a, b, 'same_party' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
+@query("edge_party", _classes("[lower(sender), lower(recipient)]", "same_party"))
 def edge_party(spark, sf_dir):
-    return g.party_edges(notices(spark, sf_dir))
+    return g.party_classes(notices(spark, sf_dir))
+
+
+@query("edge_party_weights", _shared("[lower(sender), lower(recipient)]") + """, e AS (SELECT a, b, round(shared / greatest(na, nb), 6) AS weight FROM w)
+    SELECT a, b, 'same_party' AS edge_type, weight FROM (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e) WHERE a % 100 = 0""")
+def edge_party_weights(spark, sf_dir):
+    """Weighted edges of the classes whose id is divisible by 100."""
+    facts = stash(g.party_classes(notices(spark, sf_dir)), "party-classes")
+    return g.weighted(facts, facts.filter("id % 100 = 0"))
 
 
 @query("edge_topic", _shared("topics") + " SELECT a, b, 'same_topic' AS edge_type, round(shared / (na + nb - shared), 6) AS weight FROM w WHERE round(shared / (na + nb - shared), 6) >= 0.3")
@@ -130,9 +144,10 @@ def shortest_path(spark, sf_dir):
 
 @query("neighbours_by_weight", _shared("refs") + " SELECT CASE WHEN a = m THEN b ELSE a END AS b, max(round(shared / greatest(na, nb), 6)) AS weight FROM w, (SELECT min(a) AS m FROM w) WHERE a = m OR b = m GROUP BY 1 ORDER BY weight DESC, b LIMIT 10")
 def neighbours_by_weight(spark, sf_dir):
-    edges = g.reference_edges(notices(spark, sf_dir))
-    least = edges.agg(F.min("a")).first()[0]
-    return g.neighbours(edges, least if least is not None else -1)
+    facts = stash(g.reference_classes(notices(spark, sf_dir)), "reference-classes")
+    least = facts.filter("links > 0").agg(F.min("id")).first()[0]
+    least = least if least is not None else -1
+    return g.neighbours(g.weighted(facts, facts.filter(F.col("id") == least)), least)
 
 
 @query("reply_components", _REPLIES.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a")

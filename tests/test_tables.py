@@ -188,6 +188,17 @@ def test_graph_classes(spark):
     letters = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a"]), (3, ["b", "c"]), (4, [])], "doc_id long, topics array<string>")
     assert sorted(map(tuple, graph.members(graph.topic_sets(letters)).collect())) == [(1, 1), (2, 1), (3, 3)]
     assert [tuple(r) for r in graph.topic_edges(letters).collect()] == [(1, 3, "same_topic", 0.333333)]
+    named = spark.createDataFrame([(1, "A", "b"), (2, "B", "a"), (3, "b", "C"), (4, None, "c"), (5, None, ""), (6, "x", "x")], "doc_id long, sender string, recipient string")
+    rows = graph.party_classes(named)
+    assert sorted(tuple(r)[:5] for r in rows.collect()) == [("a", 1, 2, 2, 0), ("b", 1, 2, 2, 1), ("b", 3, 2, 1, 1), ("c", 3, 2, 1, 1), ("c", 4, 1, 1, 1), ("x", 6, 1, 1, 0)]
+    edges = graph.weighted(rows, spark.createDataFrame([(3,), (3,), (6,), (9,)], "id long"))
+    assert sorted(map(tuple, edges.collect())) == [(3, 1, "same_party", 0.5), (3, 4, "same_party", 0.5)]
+    assert graph.party_classes(named.limit(0)).count() == 0
+
+
+def test_a_party_of_many_letters_has_a_row_a_class(spark):
+    letters = spark.range(3000).selectExpr("id as doc_id", "'hub' as sender", "concat('p', id) as recipient")
+    assert graph.party_classes(letters).groupBy("links").count().sort("links").collect() == [(0, 3000), (2999, 3000)]
 
 
 def test_cycles_are_refused(spark):
