@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.retrieval import fits
 from orrery.session import ship
 from orrery.storage import stash
 
@@ -47,7 +48,7 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def _seeds(passages: DataFrame, least: float) -> DataFrame:
-    """``passage, key, at, size, edits`` of ``passages(passage, ws)``: runs of words that do not overlap, one more at least than edits are allowed.
+    """``passage, key, at, size, edits, q`` of ``passages(passage, ws)``: runs of ``q`` words that do not overlap, one more at least than edits are allowed.
 
     An edit touches one run, so one is left whole in every window that is near enough.
     """
@@ -55,14 +56,18 @@ def _seeds(passages: DataFrame, least: float) -> DataFrame:
     length = F.least(F.floor(F.col("size") / (F.col("edits") + 1)).cast("int"), F.lit(3))
     cut = sized.withColumn("q", length)
     starts = F.sequence(F.lit(0), F.floor(F.col("size") / F.col("q")).cast("int") - 1)
-    return cut.select("passage", "size", "edits", F.explode(F.transform(starts, lambda i: F.struct((i * F.col("q")).alias("at"), F.array_join(F.slice("ws", i * F.col("q") + 1, F.col("q")), _JOINT).alias("key")))).alias("s")).select("passage", "size", "edits", "s.at", "s.key")
+    return cut.select("passage", "size", "edits", "q", F.explode(F.transform(starts, lambda i: F.struct((i * F.col("q")).alias("at"), F.array_join(F.slice("ws", i * F.col("q") + 1, F.col("q")), _JOINT).alias("key")))).alias("s")).select("passage", "size", "edits", "q", "s.at", "s.key")
 
 
-def _runs(length: int) -> Column:
-    """Runs of ``length`` words that begin in a block, with their places in the text."""
-    begins = F.least(F.size("ws") - length + 1, F.lit(BLOCK))
-    run = lambda i: F.struct((F.col("block") * BLOCK + i - 1).alias("pos"), F.array_join(F.slice("ws", i, F.lit(length)), _JOINT).alias("key"))
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(begins, F.lit(1))), lambda i: i <= begins), run)
+def _runs(blocks: DataFrame, lengths: list[int]) -> DataFrame:
+    """``text_id, copy, pos, key`` of the runs of the given lengths that begin in a block, ``pos`` being their place in the text."""
+    n = F.greatest(F.size("ws"), F.lit(1))
+    following = F.arrays_zip(F.col("ws").alias("w1"), F.slice("ws", 2, n).alias("w2"), F.slice("ws", 3, n).alias("w3"))
+    words = blocks.select("text_id", "copy", "block", F.posexplode(following).alias("at", "w")).filter(F.col("at") < BLOCK)
+    last = {q: F.col(f"w.w{q}") for q in (1, 2, 3)}
+    run = lambda q: F.when(last[q].isNotNull(), F.concat_ws(_JOINT, *(last[i] for i in range(1, q + 1))))
+    pos = (F.col("block") * BLOCK + F.col("at")).cast("int").alias("pos")
+    return words.select("text_id", "copy", pos, F.explode(F.array(*map(run, lengths))).alias("key")).filter("key is not null")
 
 
 def find_passages(texts: DataFrame, passages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -76,11 +81,12 @@ def find_passages(texts: DataFrame, passages: DataFrame, least: float = LEAST) -
     have no rows; equal passages have the same ones; a row without id is left
     out, of an id that comes again each text is searched and the best window kept.
 
-    A passage is cut into runs of one to three words. As many of its rarest runs
-    as edits are allowed, and one more, are sought in all texts; where one is, the blocks of words around it
-    go to an alignment with the passage. What meets in a task is a passage's
-    length, not a text's, and both sides of a join on runs have plain exchanges,
-    so a frequent run can be split.
+    A passage is cut into runs of one to three words, which are sought in all
+    texts: where they are known to fit a broadcast, the texts' runs do not move;
+    beyond that both sides have plain exchanges, so a frequent run can be split.
+    Where one of a passage's rarest runs is, of which it takes one more than
+    edits are allowed, the blocks of words around it go to an alignment with the
+    passage. What meets in a task is a passage's length, not a text's.
     """
     if not 0.5 <= least <= 1:
         raise ValueError("likeness is 0.5 to 1")
@@ -90,10 +96,11 @@ def find_passages(texts: DataFrame, passages: DataFrame, least: float = LEAST) -
     rows = texts.filter("text_id is not null").select("text_id", words(F.col("text")).alias("ws"), F.sha2("text", 256).alias("copy")).filter(F.size("ws") > 0)
     blocked = rows.select("text_id", "copy", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / BLOCK).cast("int")), lambda b: F.struct(b.alias("block"), F.slice("ws", b * BLOCK + 1, F.lit(BLOCK + 2)).alias("ws")))).alias("b")).select("text_id", "copy", "b.block", "b.ws")
     blocks = stash(blocked, "passage-blocks")  # a block has the first two words of the next, so each run is in one
-    runs = blocks.select("text_id", "copy", F.explode(F.concat(*(_runs(q) for q in (1, 2, 3)))).alias("r")).select("text_id", "copy", "r.pos", "r.key")
     seeds = stash(_seeds(kinds, least), "passage-seeds")
-    asked = seeds.select("key").distinct().withColumn("h", F.xxhash64("key"))
-    hits = stash(runs.repartition("key").join(asked.select("key").repartition("key"), "key", "left_semi"), "passage-hits")
+    runs = _runs(blocks, sorted(r["q"] for r in seeds.select("q").distinct().collect()) or [1])
+    asked = seeds.select("key").distinct()
+    found = runs.join(F.broadcast(asked), "key", "left_semi") if fits(asked) else runs.repartition("key").join(asked.repartition("key"), "key", "left_semi")
+    hits = stash(found, "passage-hits")
     often = hits.groupBy("key").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("passage").orderBy(F.coalesce("n", F.lit(0)), "at")
     chosen = seeds.join(often, "key", "left").withColumn("rank", F.row_number().over(rarest)).filter("rank <= edits + 1 and n is not null")

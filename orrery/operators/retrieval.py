@@ -46,11 +46,16 @@ def stem(word: Column) -> Column:
     )
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it has at most SMALL rows and, by the size of their values, SMALL_BYTES."""
+def fits(frame: DataFrame) -> bool:
+    """Whether a table has at most SMALL rows and, by the size of their values, SMALL_BYTES, so that it may be broadcast."""
     size = F.length(F.to_json(F.struct(*frame.columns)))
     rows, chars = frame.limit(SMALL + 1).agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(frame) if rows <= SMALL and (chars or 0) <= SMALL_BYTES else frame
+    return rows <= SMALL and (chars or 0) <= SMALL_BYTES
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it :func:`fits`."""
+    return F.broadcast(frame) if fits(frame) else frame
 
 
 def postings(docs: DataFrame, key: list[str]) -> DataFrame:
