@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import evidences, facts, graphs, letters, pdfs, programmes, search, sql_surface, stored, streams, tables, templates  # noqa: F401
+from orrery.plans import compounds, evidences, facts, graphs, letters, pdfs, programmes, search, sql_surface, stored, streams, tables, templates  # noqa: F401
 from orrery.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -10,6 +10,7 @@ import email
 import email.policy
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 
 from orrery.operators.normalise import clean_names, nulls_from_tokens
 from orrery.session import ship
+from orrery.sources import compound
 
 # Kinds of files by extension.
 KINDS = {
-    ".csv": "data", ".xlsx": "data", ".xlsm": "data", ".parquet": "data", ".json": "records", ".jsonl": "records",
-    ".txt": "document", ".md": "document", ".docx": "document", ".pdf": "document", ".eml": "email",
+    ".csv": "data", ".xlsx": "data", ".xlsm": "data", ".xls": "data", ".parquet": "data", ".json": "records", ".jsonl": "records",
+    ".txt": "document", ".md": "document", ".docx": "document", ".pdf": "document", ".eml": "email", ".msg": "email",
 }
 #: Rows and columns to which a merged range is filled in where the sheet's own cells do not reach further.
 MAX_ROWS, MAX_COLUMNS = 10_000, 500
@@ -94,30 +96,48 @@ def docx_paragraphs(raw: bytes) -> list[str]:
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sender, recipients, subject, date, page, text, attachments`` of mail files, a row for each page of the body."""
-    ship(spark)
-    schema = "path string, sender string, recipients array<string>, subject string, date string, page long, text string, attachments array<string>"
+    """:func:`mail` of the files at a path."""
+    return mail(_contents(spark, path, "*.{eml,msg}"))
+
+
+def mail(files: DataFrame) -> DataFrame:
+    """``path, sender, recipients, subject, date, page, text, attachments, error`` of ``files(path, content)``, a row for each page of a message's body.
+
+    A message without a body has one empty page; a compound file that cannot be
+    read or is no message has a row of its path and the error. Bodies that are
+    kept as compressed rich text only are not read.
+    """
+    ship(files.sparkSession)
+    schema = "path string, sender string, recipients array<string>, subject string, date string, page long, text string, attachments array<string>, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(p, *row) for p, raw in zip(frame["path"], frame["content"], strict=True) for row in mail_pages(raw)]
-            yield pd.DataFrame(rows, columns=["path", "sender", "recipients", "subject", "date", "page", "text", "attachments"])
+            yield pd.DataFrame(rows, columns=["path", "sender", "recipients", "subject", "date", "page", "text", "attachments", "error"], dtype=object)
 
-    return _contents(spark, path, "*.eml").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def mail_pages(raw: bytes) -> list[tuple]:
     """Headers and body of a message; a plain part is preferred, an HTML one is stripped."""
-    message = email.message_from_bytes(raw, policy=email.policy.default)
-    part = message.get_body(preferencelist=("plain", "html"))
-    body = part.get_content() if part is not None else ""
-    if part is not None and part.get_content_type() == "text/html":
+    if raw[:8] == compound.MAGIC:
+        try:
+            sender, people, subject, date, body, html, files = compound.message(raw)
+        except (ValueError, struct.error, OverflowError) as broken:
+            return [(*[None] * 7, f"{type(broken).__name__}: {broken}"[:200])]
+    else:
+        message = email.message_from_bytes(raw, policy=email.policy.default)
+        part = message.get_body(preferencelist=("plain", "html"))
+        body = part.get_content() if part is not None else ""
+        html = part is not None and part.get_content_type() == "text/html"
+        people = [a.strip() for h in ("to", "cc") for a in str(message.get(h) or "").split(",") if a.strip()]
+        files = [a.get_filename() or "" for a in message.iter_attachments()]
+        sender, subject, date = (str(message.get(h) or "") for h in ("from", "subject", "date"))
+    if html:
         body = re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]+>", " ", re.sub(r"(?is)<(style|script).*?</\1>", " ", body)))
     body = body.strip()
-    people = [a.strip() for h in ("to", "cc") for a in str(message.get(h) or "").split(",") if a.strip()]
-    files = [a.get_filename() or "" for a in message.iter_attachments()]
     pages = [body[i : i + MAIL_PAGE] for i in range(0, len(body), MAIL_PAGE)] or [""]
-    return [(str(message.get("from") or ""), people, str(message.get("subject") or ""), str(message.get("date") or ""), i, t, files) for i, t in enumerate(pages)]
+    return [(sender, people, subject, date, i, t, files, None) for i, t in enumerate(pages)]
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

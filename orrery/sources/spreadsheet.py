@@ -1,4 +1,4 @@
-"""Spreadsheets: cells of zipped XML workbooks, merged cells, native tables, and tables found by layout."""
+"""Spreadsheets: cells of zipped XML and of older binary workbooks, merged cells, native tables, and tables found by layout."""
 
 from __future__ import annotations
 
@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.operators.normalise import clean_names
 from orrery.session import ship
+from orrery.sources import compound, legacy_sheets
 from orrery.sources.files import MAX_COLUMNS, MAX_GRID, MAX_ROWS, _contents
 
 # Number formats of a workbook that are dates.
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 Grid = list[list[object]]
+#: Names of workbooks.
+PATTERN = "*.{xls,xlsx,xlsm}"
 
 
 @dataclass
@@ -54,7 +57,9 @@ def _date(serial: float) -> str:
 
 
 def workbook(raw: bytes) -> list[Sheet]:
-    """Sheets with their cells (merged ones filled) and native tables; a file that is no workbook has none."""
+    """Sheets with their cells (merged ones filled) and native tables, of which the binary kind has none; a file that is no workbook has no sheets."""
+    if raw[:8] == compound.MAGIC:
+        return [_legacy(*s) for s in legacy_sheets.sheets(raw, _DATE_FORMATS)]
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
@@ -99,6 +104,28 @@ def _placed(root) -> Iterator[tuple[tuple[int, int], object]]:
             yield at, c
 
 
+def _legacy(name: str, cells: dict, dates: set, ranges: list, days: int) -> Sheet:
+    for at in dates:
+        cells[at] = _date(cells[at] + days)
+    grid, merged = _grid(cells, ranges, name)
+    return Sheet(name, grid, [], merged)
+
+
+def _grid(cells: dict[tuple[int, int], object], ranges: list[tuple[int, int, int, int]], path: str) -> tuple[Grid, list]:
+    """The rows of a sheet with its merged ranges filled, and those that hold a value."""
+    extent = lambda: [1 + max((k[i] for k in cells), default=-1) for i in (0, 1)]
+    _checked(path, *(used := extent()))
+    merged = []
+    for r0, c0, r1, c1 in ranges:
+        if (r0, c0) in cells:
+            merged.append((r0, c0, r1, c1))
+            for r in range(r0, min(r1 + 1, max(used[0], MAX_ROWS))):
+                for c in range(c0, min(c1 + 1, max(used[1], MAX_COLUMNS))):
+                    cells[r, c] = cells[r0, c0]
+    rows, cols = _checked(path, *extent())
+    return [[cells.get((r, c)) for c in range(cols)] for r in range(rows)], merged
+
+
 def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path: str) -> tuple[Grid, list, list]:
     cells: dict[tuple[int, int], object] = {}
     for at, c in _placed(root):
@@ -115,18 +142,7 @@ def _cells(root, shared: list[str], dated: list[bool], z: zipfile.ZipFile, path:
             cells[at] = _date(number) if style < len(dated) and dated[style] else int(number) if number.is_integer() else number
         elif value is not None:
             cells[at] = value
-    extent = lambda: [1 + max((k[i] for k in cells), default=-1) for i in (0, 1)]
-    _checked(path, *(used := extent()))
-    merged = []
-    for m in (e for e in root.iter() if _name(e) == "mergeCell"):
-        r0, c0, r1, c1 = _area(m.get("ref"))
-        if (r0, c0) in cells:
-            merged.append((r0, c0, r1, c1))
-            for r in range(r0, min(r1 + 1, max(used[0], MAX_ROWS))):
-                for c in range(c0, min(c1 + 1, max(used[1], MAX_COLUMNS))):
-                    cells[r, c] = cells[r0, c0]
-    rows, cols = _checked(path, *extent())
-    grid = [[cells.get((r, c)) for c in range(cols)] for r in range(rows)]
+    grid, merged = _grid(cells, [_area(m.get("ref")) for m in root.iter() if _name(m) == "mergeCell"], path)
     folder, _, leaf = path.rpartition("/")
     tables, rels = [], f"{folder}/_rels/{leaf}.rels"
     if rels in z.namelist():
@@ -258,9 +274,9 @@ def tables_of(sheet: Sheet) -> list[tuple[str, str, list[str], Grid]]:
     return [(sheet.name, "sheet", [str(v or "") for v in sheet.grid[h]], sheet.grid[h + 1 :])]
 
 
-def _each_workbook(spark: SparkSession, path: str, rows: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows of each workbook at a path; one that cannot be read gives a row of its path and the ``error`` alone, and others are read."""
-    ship(spark)
+def _each_workbook(files: DataFrame, rows: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of each workbook of ``files(path, content)``; one that cannot be read gives a row of its path and the ``error`` alone, and others are read."""
+    ship(files.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +288,7 @@ def _each_workbook(spark: SparkSession, path: str, rows: Callable[[str, bytes],
                     got = [(p, *[None] * (len(names) - 2), f"{type(broken).__name__}: {broken}"[:200])]
                 yield pd.DataFrame(got, columns=names, dtype=object)
 
-    return _contents(spark, path, "*.xls[xm]").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -282,7 +298,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
         for s in workbook(raw):
             yield from ((p, s.name, r, c, str(v)) for r, row in enumerate(s.grid) for c, v in enumerate(row) if v is not None)
 
-    return _each_workbook(spark, path, rows, "path string, sheet string, row long, col long, value string, error string")
+    return _each_workbook(_contents(spark, path, PATTERN), rows, "path string, sheet string, row long, col long, value string, error string")
 
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
@@ -296,11 +312,16 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
         for s in workbook(raw):
             yield from ((p, s.name, r0, c0, r1, c1, str(s.grid[r0][c0])) for r0, c0, r1, c1 in s.merged)
 
-    return _each_workbook(spark, path, rows, "path string, sheet string, first_row long, first_col long, last_row long, last_col long, value string, error string")
+    return _each_workbook(_contents(spark, path, PATTERN), rows, "path string, sheet string, first_row long, first_col long, last_row long, last_col long, value string, error string")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """``path, table, strategy, row, cells, error`` with one map of clean column name to text a row, for the workbooks at a path."""
+    """:func:`tables` of the workbooks at a path."""
+    return tables(_contents(spark, path, PATTERN))
+
+
+def tables(files: DataFrame) -> DataFrame:
+    """``path, table, strategy, row, cells, error`` with one map of clean column name to text a row, for the workbooks of ``files(path, content)``."""
 
     def rows(p: str, raw: bytes) -> Iterator[tuple]:
         for s in workbook(raw):
@@ -308,4 +329,4 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
                 names = clean_names(columns)
                 yield from ((p, name, how, i, {n: str(v) for n, v in zip(names, r, strict=False) if v not in (None, "")}) for i, r in enumerate(body))
 
-    return _each_workbook(spark, path, rows, "path string, table string, strategy string, row long, cells map<string,string>, error string")
+    return _each_workbook(files, rows, "path string, table string, strategy string, row long, cells map<string,string>, error string")
