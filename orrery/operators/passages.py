@@ -110,7 +110,8 @@ def find_passages(texts: DataFrame, passages: DataFrame, least: float = LEAST) -
     first = F.greatest(F.col("band") * wide - F.col("edits"), F.lit(0))
     until = F.col("band") * wide + F.col("edits") + F.col("size") + F.col("edits")
     spans = places.filter(until > 0).select("passage", "text_id", "copy", first.alias("first"), until.alias("until"), F.explode(F.sequence(F.floor(first / BLOCK).cast("int"), F.floor((until - 1) / BLOCK).cast("int"))).alias("block"))
-    parts = spans.repartition("text_id", "copy", "block").join(blocks.select("text_id", "copy", "block", F.slice("ws", 1, BLOCK).alias("ws")).repartition("text_id", "copy", "block"), ["text_id", "copy", "block"])
+    said = blocks.select("text_id", "copy", "block", F.array_join(F.slice("ws", 1, BLOCK), " ").alias("said"))  # half as large as the words one by one
+    parts = spans.repartition("text_id", "copy", "block").join(said.repartition("text_id", "copy", "block"), ["text_id", "copy", "block"]).withColumn("ws", F.split("said", " "))
     inner = F.col("first") - F.col("block") * BLOCK
     clipped = parts.withColumn("ws", F.slice("ws", F.greatest(inner, F.lit(0)) + 1, F.greatest(F.least(F.col("until") - F.col("block") * BLOCK, F.lit(BLOCK)) - F.greatest(inner, F.lit(0)), F.lit(0))))
     window = clipped.groupBy("passage", "text_id", "copy", "first", "until").agg(F.array_sort(F.collect_list(F.struct("block", "ws"))).alias("parts")).select("passage", "text_id", "first", F.flatten(F.col("parts.ws")).alias("around"))
