@@ -14,6 +14,8 @@ from orrery.session import ship
 from orrery.sources import compound_export, files, spreadsheet
 
 _SENT = datetime(2024, 1, 1, tzinfo=UTC)
+#: Bytes of files that go on together.
+HELD = 4_000_000
 
 
 @query("msg_mail", """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body FROM documents), p AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(body) / 2000.0) AS BIGINT)))) AS page FROM d WHERE doc_id % 50 <> 7)
@@ -25,11 +27,18 @@ def msg_mail(spark, sf_dir):
     ship(spark)
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for frame in frames:
             for i, text in zip(frame["doc_id"], frame["text"], strict=True):
                 people = [(2, "", f"c{i % 3}@x.org"), (1, "Reader", "r@x.org"), (3, "Hidden", "h@x.org")]
                 raw = compound_export.message((f"Writer {i}", f"w{i}@x.org"), people, f"Nº {i}", _SENT + timedelta(minutes=int(i)), text or "", ["a.pdf"] * (i % 4 == 0))
-                yield pd.DataFrame([(f"{i}.msg", raw[:700] if i % 50 == 7 else raw)], columns=["path", "content"])
+                rows.append((f"{i}.msg", raw[:700] if i % 50 == 7 else raw))
+                held += len(raw)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "content"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null")
     pages = files.mail(docs.mapInPandas(made, "path string, content binary"))
