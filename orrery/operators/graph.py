@@ -35,6 +35,52 @@ def class_edges(sets: DataFrame, weight, kind: str) -> DataFrame:
     return shared.select("a", "b", F.lit(kind).alias("edge_type"), F.round(weight(F.col("shared"), F.col("n_a"), F.col("n_b")), 6).alias("weight"))
 
 
+#: Classes of a fact that meet each other in one piece of work, about.
+BLOCK = 512
+#: Facts of a class that go along with each of its rows; pairs of larger classes are counted.
+ALONG = 64
+
+
+def all_edges(sets: DataFrame, weight, kind: str) -> DataFrame:
+    """The edges of :func:`class_edges`, for facts of very many classes.
+
+    A pair is written where its first common fact is and needs no exchange of
+    pairs: each row of a fact takes the class's facts before and after it along,
+    a pair with a common fact before is left to that one, those after are
+    counted. Two masks of bits tell most pairs without a further common fact
+    at once. A fact of over ``BLOCK`` classes deals them into blocks, and each two
+    of its blocks meet apart from the others. Pairs with a class of over
+    ``ALONG`` facts are grouped and counted instead.
+    """
+    classes = stash(sets.groupBy("facts").agg(F.min("id").alias("id")), "graph-classes")
+    often = classes.select(F.explode("facts").alias("fact")).groupBy("fact").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK)
+    hubs = stash(often.select("fact", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "graph-hubs")
+    n, few = F.size("facts"), F.size("facts") <= ALONG
+    rows = classes.select("id", n.alias("n"), "facts", F.posexplode("facts").alias("pos", "fact")).select(
+        "id", "n", "fact", F.when(few, F.slice("facts", F.lit(1), F.col("pos"))).alias("before"), F.when(few, F.slice("facts", F.col("pos") + 2, F.col("n"))).alias("after")
+    )
+    bits = "aggregate(concat(before, after), 0L, (m, f) -> m | shiftleft(1L, cast(pmod(shiftright(xxhash64(f), {}), 64) AS int)))"
+    rows = rows.withColumns({"bits": F.expr(bits.format(0)), "more": F.expr(bits.format(6))})
+    blocks = F.coalesce("blocks", F.lit(1))
+    met = rows.join(hubs, "fact", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    kept = ["own", "n", "before", "after", "bits", "more"]
+    met = met.select("fact", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", *kept).repartition("fact", "low", "high")
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("fact", "low", "high", F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in kept])
+
+    place = ["fact", "low", "high"]
+    met_once = (F.col("low") == F.col("high")) | (F.col("own_a") != F.col("own_b"))
+    apart = (F.col("bits_a").bitwiseAND(F.col("bits_b")) == 0) | (F.col("more_a").bitwiseAND(F.col("more_b")) == 0)
+    pairs = side(met, "a").join(side(met, "b").hint("merge"), place).filter((F.col("a") < F.col("b")) & met_once & (apart | ~F.arrays_overlap("before_a", "before_b")))
+    shared = pairs.select("a", "b", "n_a", "n_b", F.when(apart, 1).otherwise(F.size(F.array_intersect("after_a", "after_b")) + 1).cast("long").alias("shared"))
+    if not classes.filter(~few).isEmpty():
+        many = met.filter("before is null")
+        large = side(many, "a").join(side(met, "b").hint("merge"), place).unionByName(side(met.filter("before is not null"), "a").join(side(many, "b").hint("merge"), place))
+        shared = shared.unionByName(large.filter((F.col("a") < F.col("b")) & met_once).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")))
+    return shared.select("a", "b", F.lit(kind).alias("edge_type"), F.round(weight(F.col("shared"), F.col("n_a"), F.col("n_b")), 6).alias("weight"))
+
+
 def class_facts(sets: DataFrame, kind: str) -> DataFrame:
     """``fact, id, n, letters, links, edge_type``: each fact of each class of letters with equal sets.
 
@@ -73,6 +119,16 @@ def topic_sets(notices: DataFrame) -> DataFrame:
     return _sets(notices, F.transform("topics", lambda t: F.lower(t)))
 
 
+def reference_edges(notices: DataFrame) -> DataFrame:
+    """Classes of letters that share references; weight: shared over the larger set."""
+    return all_edges(reference_sets(notices), lambda s, a, b: s / F.greatest(a, b), "references")
+
+
+def party_edges(notices: DataFrame) -> DataFrame:
+    """Classes of letters that share a party; weight: shared over the larger set."""
+    return all_edges(party_sets(notices), lambda s, a, b: s / F.greatest(a, b), "same_party")
+
+
 def reference_classes(notices: DataFrame) -> DataFrame:
     """Classes of letters by the references that they share."""
     return class_facts(reference_sets(notices), "references")

@@ -27,8 +27,19 @@ def _classes(column: str, kind: str) -> str:
     SELECT fact, id, n, letters, count(*) OVER (PARTITION BY fact) - 1 AS links, '{kind}' AS edge_type FROM f"""
 
 
-@query("edge_refs", _classes("refs", "references"))
+@query("edge_refs", _shared("refs") + " SELECT a, b, 'references' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
 def edge_refs(spark, sf_dir):
+    return g.reference_edges(notices(spark, sf_dir))
+
+
+@query("reference_members", _shared("refs") + " SELECT doc_id AS id, r.id AS rep FROM k JOIN r USING (facts)")
+def reference_members(spark, sf_dir):
+    """The class of each letter in ``edge_refs``."""
+    return g.members(g.reference_sets(notices(spark, sf_dir)))
+
+
+@query("reference_classes", _classes("refs", "references"))
+def reference_classes(spark, sf_dir):
     return g.reference_classes(notices(spark, sf_dir))
 
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
+import random
 import zipfile
 
 import numpy as np
@@ -17,7 +19,7 @@ from orrery.functions.fuzzy import Glossary, denies, token_set
 from orrery.functions.periods import period_of
 from orrery.operators import graph, normalise, programme, retrieval, review, schema, unions, usage
 from orrery.operators.components import connected_components
-from orrery.plans import facts
+from orrery.plans import facts, graphs, views
 from orrery.plans.selection import Entry, choose, reliable, resolve_column
 from orrery.plans.templates import answer, match
 from orrery.sources import files, spreadsheet
@@ -201,6 +203,37 @@ def test_a_party_of_many_letters_has_a_row_a_class(spark):
     assert graph.party_classes(letters).groupBy("links").count().sort("links").collect() == [(0, 3000), (2999, 3000)]
 
 
+def brute_edges(letters):
+    """Edges between the classes of ``(id, facts)`` by looking at all pairs."""
+    classes = {}
+    for i, facts in letters:
+        if facts := frozenset(f for f in facts if f not in (None, "")):
+            classes[facts] = min(i, classes.get(facts, i))
+    pairs = itertools.combinations(sorted(classes.items(), key=lambda c: c[1]), 2)
+    return [(i, j, round(len(x & y) / max(len(x), len(y)), 6)) for (x, i), (y, j) in pairs if x & y]
+
+
+def test_edges_of_references_are_all_pairs_of_classes(spark, monkeypatch):
+    """Blocks of a hub, classes of many facts and pairs with several common facts give each edge once."""
+    draw = random.Random(1)
+    letters = [(i, [draw.randint(1, 8 if i % 2 else 30) for _ in range(i % 7)] + [None] * (i % 5 == 0)) for i in range(150)]
+    notices = spark.createDataFrame(letters, "doc_id long, refs array<long>")
+    want = brute_edges(letters)
+    assert len({w for *_, w in want}) > 5
+    for block, along in ((512, 64), (4, 64), (512, 2), (4, 2)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "ALONG", along)
+        assert sorted(map(tuple, graph.reference_edges(notices).drop("edge_type").collect())) == sorted(want)
+    assert graph.reference_edges(notices.limit(0)).count() == 0
+
+
+def test_edge_refs_has_every_edge_and_its_weight(spark, sf_dir):
+    letters = views.notices(spark, sf_dir).select("doc_id", "refs").collect()
+    got = graphs.edge_refs(spark, sf_dir)
+    assert got.columns == ["a", "b", "edge_type", "weight"]
+    assert sorted((r.a, r.b, r.weight) for r in got.collect()) == sorted(brute_edges(letters))
+
+
 def test_cycles_are_refused(spark):
     tasks = spark.createDataFrame([(1, 2), (2, 3)], "task long, duration long")
     with pytest.raises(ValueError):
