@@ -43,8 +43,14 @@ def reference_classes(spark, sf_dir):
     return g.reference_classes(notices(spark, sf_dir))
 
 
-@query("edge_party", _classes("[lower(sender), lower(recipient)]", "same_party"))
+@query("edge_party", _shared("[lower(sender), lower(recipient)]") + " SELECT a, b, 'same_party' AS edge_type, round(shared / greatest(na, nb), 6) AS weight FROM w")
 def edge_party(spark, sf_dir):
+    """Edges between classes; ``edge_members`` has the class of each letter."""
+    return g.party_edges(notices(spark, sf_dir))
+
+
+@query("party_classes", _classes("[lower(sender), lower(recipient)]", "same_party"))
+def party_classes(spark, sf_dir):
     return g.party_classes(notices(spark, sf_dir))
 
 

@@ -234,6 +234,21 @@ def test_edge_refs_has_every_edge_and_its_weight(spark, sf_dir):
     assert sorted((r.a, r.b, r.weight) for r in got.collect()) == sorted(brute_edges(letters))
 
 
+def test_edge_party_has_every_edge_and_its_weight(spark, sf_dir):
+    letters = [(r.doc_id, [r.sender.lower(), r.recipient.lower()]) for r in views.notices(spark, sf_dir).collect()]
+    got = graphs.edge_party(spark, sf_dir)
+    assert got.columns == ["a", "b", "edge_type", "weight"]
+    assert sorted((r.a, r.b, r.weight) for r in got.collect()) == sorted(brute_edges(letters))
+
+
+def test_a_party_of_many_classes_links_all_of_them(spark):
+    """A hub of over two blocks; letters of equal parties are one class, those without a party none."""
+    letters = spark.range(1500).selectExpr("id as doc_id", "if(id = 7, null, 'Hub') as sender", "if(id = 7, '', concat('p', id % 1400)) as recipient")
+    edges = graph.party_edges(letters)
+    n = 1400  # letter 1407 is of the class that letter 7 would be of
+    assert edges.agg(F.count("*"), F.count_distinct("a", "b"), F.min("weight"), F.max("weight")).first()[:] == (n * (n - 1) // 2, n * (n - 1) // 2, 0.5, 0.5)
+
+
 def test_cycles_are_refused(spark):
     tasks = spark.createDataFrame([(1, 2), (2, 3)], "task long, duration long")
     with pytest.raises(ValueError):
