@@ -27,9 +27,16 @@ def events_for(events: DataFrame, windows: DataFrame, k: int = EVENTS) -> DataFr
     return events.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def keep_best(rows: DataFrame, key: list[str], score: str) -> DataFrame:
-    """Of rows with one key the one with the best score: coverage merging."""
+def keep_best(rows: DataFrame, key: list[str], score: str, by: Column | None = None) -> DataFrame:
+    """Of rows with one key the one with the best score: coverage merging.
+
+    With ``by`` that value decides, and the best score stands beside the row
+    that it picks, which need not have it. Rows where it is null are not picked.
+    """
     rest = [c for c in rows.columns if c not in key and c != score]
+    if by is not None:
+        best = rows.groupBy(*key).agg(F.max(score).alias(score), F.max_by(F.struct(*rest), by).alias("b"))
+        return best.select(*key, score, "b.*")
     best = rows.groupBy(*key).agg(F.max(F.struct(score, *rest)).alias("b"))
     return best.select(*key, "b.*")
 
