@@ -92,6 +92,27 @@ def violation(spark: SparkSession, sql: str, allowed: set[str]) -> str | None:
     return None
 
 
+def loses_order(frame: DataFrame) -> bool:
+    """Whether a subquery that depends on its outer row has a limit and is ordered by what it does not select.
+
+    Spark numbers such a subquery's rows for the limit after an exchange that
+    forgets their order, so which ones stay is chance.
+    """
+    plans, expressions = [], []
+    _walk(frame._jdf.queryExecution().analyzed(), set(), plans, expressions)
+    held: list = []
+    for e in expressions:
+        if _simple(e) in {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"} and not e.outerAttrs().isEmpty():
+            _walk(e.plan(), set(), held, [])
+    for node in held:
+        below = node.child() if _simple(node) == "LocalLimit" else None
+        while below is not None and _simple(below) in {"Project", "SubqueryAlias"}:
+            below = below.child()
+            if _simple(below) == "Sort":
+                return True
+    return False
+
+
 def without_stray_limit(spark: SparkSession, sql: str, question: str) -> str:
     """Drops the last LIMIT of a grouped query when the question asks for no part of the groups."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
@@ -108,7 +129,8 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], questio
     """Runs a guarded statement over the given tables and no others.
 
     The tables are views of a session of their own, so nothing else has a name
-    there, and double quotes mark identifiers.
+    there, and double quotes mark identifiers. A statement whose limit would
+    take rows out of order is refused as well.
     """
     sql = strip_fences(sql)
     own = spark.newSession()
@@ -121,4 +143,7 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], questio
     for name, frame in tables.items():
         # the frame's plan moves to the other session, which shares catalogs, caches and executors with this one
         DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, frame._jdf.logicalPlan()), own).createOrReplaceTempView(name)
-    return own.sql(sql)
+    frame = own.sql(sql)
+    if loses_order(frame):
+        raise Refused("a subquery with a limit has to select the columns that it is ordered by")
+    return frame

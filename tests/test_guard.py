@@ -43,3 +43,21 @@ def test_fences_and_stray_limits(spark):
     assert run_sql(spark, grouped, {"t": t}, "count by a").count() == 9
     assert run_sql(spark, grouped, {"t": t}, "top five of a").count() == 5
     assert without_stray_limit(spark, "SELECT a FROM t LIMIT 5", "all a") == "SELECT a FROM t LIMIT 5"
+
+
+def test_limits_of_subqueries_keep_their_order(spark, tmp_path):
+    """A limit by columns that a lateral query does not select would be by chance; the query over customers orders its window, null keys last."""
+    from orrery.plans.catalog import QUERIES
+
+    t = spark.createDataFrame([(1, 5), (1, 7), (2, 3)], "a int, b int")
+    for lost in ("SELECT t.a, x.c FROM t, LATERAL (SELECT u.a + 1 AS c FROM t u WHERE u.a = t.a ORDER BY u.b DESC LIMIT 1) x", "SELECT a, (SELECT u.a FROM t u WHERE u.a = t.a ORDER BY u.b LIMIT 1) AS c FROM t"):
+        with pytest.raises(Refused, match="ordered by"):
+            run_sql(spark, lost, {"t": t})
+    kept = "SELECT t.a, x.b FROM t, LATERAL (SELECT b FROM t u WHERE u.a = t.a ORDER BY b DESC LIMIT 1) x"
+    assert sorted(map(tuple, run_sql(spark, kept, {"t": t}).collect())) == [(1, 7), (1, 7), (2, 3)]
+    assert run_sql(spark, "SELECT a, (SELECT max(b) FROM t u WHERE u.a = t.a) AS c FROM t WHERE a = (SELECT a FROM t ORDER BY b DESC LIMIT 1)", {"t": t}).count() == 2
+    spark.createDataFrame([(1,), (1,), (2,), (None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, None, "2024-01-02"), (1, 9, "2024-01-02"), (1, 8, "2024-01-01"), (2, None, None), (3, 4, "2024-01-01")], "o_custkey long, o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["lateral_latest"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 9), (1, 9), (2, None)]
+    assert "row_number() windowspecdefinition(o_custkey#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "DESC NULLS LAST, o_orderkey#" in plan.split("windowspecdefinition")[1].split("]")[0]
