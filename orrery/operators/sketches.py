@@ -1,4 +1,4 @@
-"""Distinct counts from stored sketches: one a day, merged into longer periods without a look at the rows."""
+"""Distinct counts from stored days, merged into longer periods without a look at the rows: sketches, or the values themselves for exact counts."""
 
 from __future__ import annotations
 
@@ -34,3 +34,20 @@ def estimated(sketches: DataFrame, lg_k: int = LG_K) -> DataFrame:
     error = SIGMAS * 1.04 / math.sqrt(1 << lg_k)
     out = sketches.withColumn("estimate", F.hll_sketch_estimate("sketch")).drop("sketch")
     return out.withColumns({"low": F.floor(F.col("estimate") * (1 - error)), "high": F.ceil(F.col("estimate") * (1 + error))})
+
+
+def daily_values(rows: DataFrame, keys: list[str], value: str, time: str) -> DataFrame:
+    """``keys, day, value`` once each: what :func:`daily` stores in a sketch, kept whole. Rows without a time have no day and count in no unit but all."""
+    return rows.select(*keys, F.to_date(time).alias("day"), F.col(value).alias("value")).distinct()
+
+
+def merged_values(values: DataFrame, keys: list[str], period: str | None = None) -> DataFrame:
+    """``keys, period, value`` once each, like :func:`merged`; each value is a row, so no task holds a period's."""
+    day = "day" if "day" in values.columns else "period"
+    unit = F.to_date(F.date_trunc(period, F.col(day))) if period else F.lit(None).cast("date")
+    return values.select(*keys, unit.alias("period"), "value").distinct()
+
+
+def counted(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, period, estimate``: how many values there are, null not among them."""
+    return values.groupBy(*keys, "period").agg(F.count("value").alias("estimate"))

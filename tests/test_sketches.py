@@ -17,3 +17,19 @@ def test_merged_days_are_the_sketch_of_all_rows(spark):
     for k, (estimate, exact) in direct.items():
         assert abs(whole[k].estimate - estimate) <= 0.01 * estimate and whole[k].low <= exact <= whole[k].high
     assert sketches.merged(days.limit(0), ["k"]).count() == 0
+
+
+def test_stored_days_count_exactly_beyond_what_sketches_do(spark, tmp_path):
+    """Ten thousand users, where a sketch of all is off; users and times that are null count as in SQL."""
+    import datetime as dt
+
+    import duckdb
+
+    from orrery.plans.catalog import ORACLE_SQL, QUERIES
+
+    rows = spark.range(30_000).select(F.concat(F.lit("t"), F.col("id") % 2).alias("event_type"), F.when(F.col("id") % 90 > 0, F.pmod(F.xxhash64("id"), F.lit(10_000)) * 7).alias("user_id"), F.when(F.col("id") % 11 > 0, F.timestamp_seconds(F.col("id") * 180)).cast("timestamp_ntz").alias("ts"))
+    odd = spark.createDataFrame([("none", None, dt.datetime(2024, 1, 1)), ("when", 5, None), (None, 6, dt.datetime(2024, 2, 1))], "event_type string, user_id long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows.unionByName(odd).coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.execute(ORACLE_SQL["stored_sketches"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [(r.event_type, r.period, r.estimate) for r in QUERIES["stored_sketches"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and max(r[2] for r in want) > 7_000
