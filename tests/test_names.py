@@ -36,3 +36,22 @@ def test_no_alike_pair_is_missed(spark, least):
     assert {(r.query_id, r.name) for r in got.collect()} == {(i, n) for i, q in enumerate(left) for n in right if (q.lower(), n.lower()) in want}
     with pytest.raises(ValueError, match="75"):
         fuzzy.alike(*(named(s, "t") for s in sides), 60)
+
+
+@pytest.mark.parametrize("k", [5, 40])
+def test_numbered_names_meet_few_others(spark, k):
+    """Names of one pattern, some twice, have the best of all pairs; far fewer than all pairs are built, and contained ones are found by a long part."""
+    names = [f"Customer#{i:09d}" for i in range(0, 6000, 3)] + ["Customer#000000012", "CUSTOMER#000000012", None]
+    asked = [f"Custmer {i:09d}" for i in range(0, 3000, 60)] + ["00012", "00599", "custmer 000000120", "zz", None]
+    sides = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string"), spark.createDataFrame([(n,) for n in names], "name string")
+    a, b = F.lower("q"), F.lower("name")
+    every = sides[0].crossJoin(sides[1]).withColumn("score", fuzzy.token_set(a, b) + (a.contains(b) | b.contains(a)).cast("double") * 100).filter("score >= 80")
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (r.query_id, -r.score, r.name)):
+        want.setdefault(r.query_id, []).append((r.name, r.score))
+    got = {}
+    for r in sorted(fuzzy.best_names(*sides, 80.0, k).collect(), key=lambda r: (r.query_id, r.place)):
+        got.setdefault(r.query_id, []).append((r.name, r.score))
+    assert got == {q: rows[:k] for q, rows in want.items()}
+    texts = [f.select(F.lower(c).alias("t")).filter("t is not null").distinct() for f, c in zip(sides, ("q", "name"), strict=True)]
+    assert fuzzy.alike(*texts, 88.0).count() < 0.1 * len(asked) * len(names)
