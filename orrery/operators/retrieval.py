@@ -6,9 +6,15 @@ number of them; the chunks are read once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import ship
 from orrery.storage import stash
 
 # Okapi's constants and the fusion's.
@@ -19,6 +25,8 @@ CANDIDATES, FINAL = 30, 6
 SMALL = 50_000
 #: Bytes at most of such a table, by the size of its first rows.
 SMALL_BYTES = 64_000_000
+#: Vectors and queries of a block, queries of a block that are looked at together, and the error of products that decide what is looked at anew.
+ROW_BLOCK, QUERY_BLOCK, AT_ONCE, MARGIN = 8_192, 8_192, 256, 1e-9
 #: Query terms that a filter names one by one.
 LISTED = 1_000
 
@@ -97,12 +105,65 @@ def top_k(scored: DataFrame, group: str, score: str, ties: list[str], k: int) ->
 def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """For each of ``queries(query_id, query)`` the ``k`` rows of ``vectors(vec_id, embedding)`` of the largest cosine.
 
-    The stated queries meet all rows; the best k of each query in a partition
-    are found before anything is shuffled.
+    The stated queries meet all rows, in blocks of both as matrices; of a block,
+    the best k of each query go on.
     """
-    q = queries.select("query_id", unit(F.col("query")).alias("q"))
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).join(small(q))
-    return top_k(rows.select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("score")), "query_id", "score", ["vec_id"], k)
+
+    def pick(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, size = rows["vec_id"].to_numpy(), rows["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        first, out = np.lexsort((ids,)), []
+        for n, group in asked.groupby(asked["v"].map(lambda v: -1 if v is None else len(v))):
+            like = np.flatnonzero(size == n) if n >= 0 else np.array([], int)
+            unlike = first[size[first] != n][:k] if n >= 0 else first[:k]  # no cosine; they come last
+            held = np.stack(rows["v"].to_numpy()[like]) if len(like) else np.zeros((0, max(n, 0)))
+            for at in range(0, len(group), AT_ONCE):
+                some = group.iloc[at : at + AT_ONCE]
+                near = np.stack(some["v"].to_numpy()) @ held.T if len(like) else np.zeros((len(some), 0))
+                near[np.isnan(near)] = np.inf
+                least = np.partition(near, -k, axis=1)[:, -k] - MARGIN if near.shape[1] > k else np.full(len(some), -np.inf)
+                for query, v, row, low in zip(some["query_id"], some["v"], near, least, strict=True):
+                    best = np.flatnonzero(row >= low)
+                    score = np.zeros(len(best))
+                    for d in range(max(n, 0)):  # added up in order, as dot() does, so equal vectors have equal scores
+                        score += held[best, d] * v[d]
+                    order = np.lexsort((ids[like[best]], -np.where(np.isnan(score), np.inf, score)))[:k]
+                    found = np.concatenate([ids[like[best[order]]], ids[unlike]])
+                    out.append((np.full(len(found), query), found, np.concatenate([score[order], np.full(len(unlike), np.nan)]), np.arange(len(found)) < len(order)))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "alike"), columns, strict=True)))
+
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), unit(c)).alias("v")
+    near = _blocks(vectors.select("vec_id", whole(F.col("embedding"))), queries.select("query_id", whole(F.col("query"))), pick, "query_id long, vec_id long, score double, alike boolean")
+    return top_k(near.select("query_id", "vec_id", F.when(F.col("alike"), F.coalesce("score", F.lit(float("nan")))).alias("score")), "query_id", "score", ["vec_id"], k)
+
+
+def nearest_ids(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """For each ``query_id`` of ``queries`` the ``k`` rows of ``vectors(vec_id)`` whose ids are nearest, of two as near the smaller first."""
+
+    def pick(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, wanted, out = np.sort(rows["vec_id"].to_numpy()), asked["query_id"].to_numpy(), []
+        for at in range(0, len(wanted) if len(ids) else 0, AT_ONCE):
+            some = wanted[at : at + AT_ONCE, None]
+            place = np.searchsorted(ids, some) + np.arange(-k, k)
+            there = (place >= 0) & (place < len(ids))
+            found = ids[place.clip(0, len(ids) - 1)]
+            order = np.argsort(np.where(there, np.abs(found - some), np.iinfo(np.int64).max), axis=1, kind="stable")[:, :k]
+            kept = np.take_along_axis(there, order, 1)
+            out.append((np.broadcast_to(some, kept.shape)[kept], np.take_along_axis(found, order, 1)[kept]))
+        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out] or [[]]), "vec_id": np.concatenate([o[1] for o in out] or [[]])})
+
+    near = _blocks(vectors.select("vec_id").filter("vec_id is not null"), queries.select("query_id").filter("query_id is not null"), pick, "query_id long, vec_id long")
+    return top_k(near.withColumn("near", -F.abs(F.col("query_id") - F.col("vec_id"))), "query_id", "near", ["vec_id"], k)
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, pick: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``pick`` takes of each block of rows with each block of queries."""
+    ship(rows.sparkSession)
+    n, m = max(1, ceil(rows.count() / ROW_BLOCK)), max(1, ceil(queries.count() / QUERY_BLOCK))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    own = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    left, right = rows.withColumns({"i": own("vec_id", n), "j": every(m)}), queries.withColumns({"i": every(n), "j": own("query_id", m)})
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pick, schema)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -85,9 +85,7 @@ def dense_topk(spark, sf_dir):
     SELECT query_id, vec_id, round(score, 8) AS score FROM f""")
 def rrf_fuse(spark, sf_dir):
     vectors, queries = table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir)
-    near = vectors.select("vec_id").join(r.small(queries.select("query_id"))).withColumn("near", -F.abs(F.col("query_id") - F.col("vec_id")))
-    second = r.top_k(near, "query_id", "near", ["vec_id"], r.CANDIDATES)
-    return r.fuse([r.dense(vectors, queries), second], ["vec_id"]).select("query_id", "vec_id", F.round("score", 8).alias("score"))
+    return r.fuse([r.dense(vectors, queries), r.nearest_ids(vectors, queries)], ["vec_id"]).select("query_id", "vec_id", F.round("score", 8).alias("score"))
 
 
 _LANE = "SELECT query_id, 'f' || CAST(doc_id % 20 AS VARCHAR) AS file, doc_id % 40 // 20 AS page, doc_id"

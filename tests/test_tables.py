@@ -447,3 +447,25 @@ def test_the_best_row_is_picked_by_the_weighted_score(spark, tmp_path):
     tied = {4}  # SQL leaves it open which of two equal marks counts
     assert sorted((r for r in got if r[0] not in tied), key=repr) == sorted((r for r in want if r[0] not in tied), key=repr)
     assert (1, "a", 116.6, 47_100) in got and (4, "a", 1.5, 500_000) in got
+
+
+def test_dense_and_nearest_ids_are_those_of_all_pairs(spark, monkeypatch):
+    """Over blocks of few rows, with equal vectors, odd ones and fewer rows than are asked for; no plan joins all pairs."""
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 60)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(int(i * 3 - 100), [float(x) for x in rng.normal(size=6).round(1)]) for i in range(400)]
+    rows += [(5_000 + i, rows[7][1]) for i in range(90)] + [(6_000, None), (6_001, [None] * 6), (6_002, [0.0] * 6), (6_003, [1.0, 2.0]), (6_004, [float("nan")] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 10 = 0 or vec_id > 5998").selectExpr("vec_id as query_id", "embedding as query")
+    unit = lambda c: retrieval.unit(F.col(c))
+    pairs = vectors.select("vec_id", unit("embedding").alias("v")).crossJoin(queries.select("query_id", unit("query").alias("q")))
+    key = lambda frame: sorted((r.query_id, r["rank"], r.vec_id, repr(r.score)) for r in frame.collect())
+    for k in (30, 600):
+        want = retrieval.top_k(pairs.select("query_id", "vec_id", retrieval.dot(F.col("v"), F.col("q")).alias("score")), "query_id", "score", ["vec_id"], k)
+        got = retrieval.dense(vectors, queries, k)
+        assert key(got) == key(want) and "NestedLoop" not in got._jdf.queryExecution().toString()
+        near = retrieval.top_k(pairs.withColumn("score", -F.abs(F.col("query_id") - F.col("vec_id"))), "query_id", "score", ["vec_id"], k)
+        got = retrieval.nearest_ids(vectors, queries, k).withColumnRenamed("near", "score")
+        assert key(got) == key(near) and "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert retrieval.dense(vectors.limit(0), queries).count() == 0 == retrieval.nearest_ids(vectors, queries.limit(0)).count()
