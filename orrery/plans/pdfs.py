@@ -29,6 +29,7 @@ def _files(spark, sf_dir):
         return pd.DataFrame(out + [(f"{part}-broken.pdf", out[0][1][8:])] * (part % 5 == 0), columns=["path", "content"])
 
     o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / KEYS).alias("part"), "o_orderkey", "o_custkey", "o_orderpriority")
+    o = o.repartition(pdf.TASKS_A_CORE * spark.sparkContext.defaultParallelism, "part")  # by number, as a file takes longer than its rows tell
     return stash(o.groupBy("part").applyInPandas(made, "path string, content binary"), "pdf-files")
 
 

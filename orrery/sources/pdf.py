@@ -23,6 +23,8 @@ MARKS = "path string, page int, kind string, x0 double, y0 double, x1 double, y1
 SNAP, ALIGN = 3.0, 5.0
 #: A line's text is cut into cells at gaps of so many times its size, and a column needs starts in so many lines.
 GAP, COLUMN_LINES = 1.5, 3
+#: Tasks for each core that read files.
+TASKS_A_CORE = 4
 #: Rows of marks in a batch that leaves a Python worker.
 ROWS = 20_000
 
@@ -49,7 +51,9 @@ def page_marks(files: DataFrame) -> DataFrame:
 
     names = [c.split()[0] for c in MARKS.split(", ")]
     kinds = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}[c.split()[1]] for c in MARKS.split(", ")]
-    return files.select("path", "content").mapInArrow(run, MARKS)
+    # files are small against what reading them takes, so they are dealt out anew, by number and not by size
+    tasks = TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content").repartition(tasks).mapInArrow(run, MARKS)
 
 
 def _numbered(rows: DataFrame, within: list[str], order: list[Column], new: Column, name: str) -> DataFrame:

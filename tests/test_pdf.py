@@ -77,3 +77,14 @@ def test_tables_and_the_gate(spark, tmp_path):
     want = [("a.pdf", 2, 0, i, {"name": f"n{i}", "name_1": f"m{i}", "col_2": f"k{i}"}) for i in range(4)] + [("a.pdf", 2, 1, i, {"p": str(2 * i + 1), "q": str(2 * i + 2)}) for i in range(3)]
     want += [("b.pdf", 1, 0, 0, {"head": "a", "one": "over both"}), ("b.pdf", 1, 0, 1, {"head": "b", "one": "x", "two": "y"})]
     assert [r for r in rows if r[0] == "b.pdf"] == want[-2:] and [r for r in rows if r[0] == "a.pdf"] == want[:-2]
+
+
+def test_files_are_dealt_out_by_number_and_maps_of_all_codes_are_not_written_out(spark):
+    """Small files go to all cores; a font's range over all codes is read code by code, later maps before earlier ones."""
+    data = document([table_page("t", ["a", "b"], [["1", "2"]] * 3, True)], wide=True)
+    frame = spark.createDataFrame([(f"{i}", bytearray(data)) for i in range(64)], "path string, content binary").coalesce(1)
+    found = pdf.page_marks(frame)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.select("path").distinct().count() == 64
+    maps, size = pdf_marks._to_unicode(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfrange <0000> <FFFF> <0000> <0003> <0004> [<0058> <0059005A>] endbfrange 1 beginbfchar <0041> <0062> endbfchar")
+    font = pdf_marks.Font(size, {}, {}, 500.0, maps)
+    assert len(maps) == 3 and font.read(bytes.fromhex("00410003000400420005")) == [("b", 500.0), ("X", 500.0), ("YZ", 500.0), ("B", 500.0), ("\x05", 500.0)]
