@@ -17,6 +17,7 @@ from orrery.functions.extract import text_quality_needs_ocr
 from orrery.operators.normalise import clean_names
 from orrery.session import ship
 from orrery.sources.pdf_marks import marks
+from orrery.storage import stash
 
 MARKS = "path string, page int, kind string, x0 double, y0 double, x1 double, y1 double, size double, text string, place long, error string"
 #: Points by which lines may miss each other, and by which starts of words in a column may differ.
@@ -84,13 +85,14 @@ def _text(order: list[str], spaced: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.array_join(said, "" if spaced else " "), r" {2,}", " "))
 
 
-def page_texts(found: DataFrame) -> DataFrame:
+def page_texts(found: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """``path, page, text, chars, image_share, needs_ocr, error``: a row for each page, and one for a file that cannot be read.
 
     Lines go from the top, the runs of a line from the left. A page without
-    text has the empty text.
+    text has the empty text. ``runs`` are those of :func:`_runs`, where they are
+    there already.
     """
-    lines = _runs(found).groupBy(*PAGE, "line").agg(_text(["x0", "place"]).alias("text"))
+    lines = (_runs(found) if runs is None else runs).groupBy(*PAGE, "line").agg(_text(["x0", "place"]).alias("text"))
     texts = lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     pages = found.groupBy("path", "page", "error").agg(F.sum(F.when(F.col("kind") == "image", area)).alias("_images"), F.max(F.when(F.col("kind") == "page", area)).alias("_area"))
@@ -132,14 +134,14 @@ def _ruled_grids(found: DataFrame) -> DataFrame:
     return grids.withColumn("table", F.row_number().over(order) - 1).drop("band", "part")
 
 
-def _ruled_cells(found: DataFrame) -> DataFrame:
+def _ruled_cells(found: DataFrame, runs: DataFrame) -> DataFrame:
     """``path, page, table, row, column, text``: a run is in the cell whose lines lie next to its middle.
 
     A line counts only where it reaches the run, so text of merged cells is in
     the first of them.
     """
     grids = _ruled_grids(found)
-    runs = _runs(found).withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": F.col("y0") + 0.3 * F.col("size")})
+    runs = runs.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": F.col("y0") + 0.3 * F.col("size")})
     runs = runs.select(*PAGE, "line", "x0", "place", "space", "text", "mx", "my")
     met = runs.join(grids, PAGE).filter(F.col("mx").between(F.col("left"), F.col("right")) & F.col("my").between(F.array_min("rows"), F.array_max("rows")))
     left = F.array_max(F.transform(F.filter("up", lambda v: (v["at"] <= F.col("mx")) & F.col("my").between(v["y0"] - SNAP, v["y1"] + SNAP)), lambda v: v["at"]))
@@ -150,9 +152,9 @@ def _ruled_cells(found: DataFrame) -> DataFrame:
     return cells.groupBy(*PAGE, "table", "row", "column", "width").agg(_text(["line", "x0", "place"]).alias("text"))
 
 
-def _aligned_cells(found: DataFrame) -> DataFrame:
+def _aligned_cells(runs: DataFrame) -> DataFrame:
     """The same of pages without ruled tables: columns are where cells of at least COLUMN_LINES lines start."""
-    words = _runs(found).groupBy(*PAGE, "line", "cell").agg(F.min("x0").alias("x0"), _text(["x0", "place"]).alias("text"))
+    words = runs.groupBy(*PAGE, "line", "cell").agg(F.min("x0").alias("x0"), _text(["x0", "place"]).alias("text"))
     counted = words.withColumn("_cells", F.count("*").over(Window.partitionBy(*PAGE, "line"))).filter("_cells > 1")
     order = Window.partitionBy(*PAGE).orderBy("x0")
     starts = _numbered(counted, PAGE, [F.col("x0")], F.col("x0") - F.lag("x0").over(order) > ALIGN, "_n")
@@ -173,10 +175,11 @@ def page_tables(found: DataFrame) -> DataFrame:
     than two rows or columns are left out.
     """
     ship(found.sparkSession)
-    clear = page_texts(found).filter("not needs_ocr and error is null").select(*PAGE)
-    found = found.join(clear, PAGE)
-    ruled = _ruled_cells(found)
-    cells = ruled.unionByName(_aligned_cells(found.join(ruled.select(*PAGE).distinct(), PAGE, "left_anti"))).filter("text <> ''")
+    runs = stash(_runs(found).select(*PAGE, "line", "cell", "x0", "x1", "y0", "size", "place", "space", "text"), "pdf-runs")
+    clear = stash(page_texts(found, runs).filter("not needs_ocr and error is null").select(*PAGE), "pdf-pages")
+    runs = runs.join(clear, PAGE)
+    ruled = stash(_ruled_cells(found.filter("kind in ('v', 'h')").join(clear, PAGE), runs), "pdf-cells")
+    cells = ruled.unionByName(_aligned_cells(runs.join(ruled.select(*PAGE).distinct(), PAGE, "left_anti"))).filter("text <> ''")
     rows = cells.groupBy(*PAGE, "table", "row", "width").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("texts"))
     table = Window.partitionBy(*PAGE, "table")
     rows = rows.withColumns({"_first": F.min("row").over(table), "_rows": F.count("*").over(table)}).filter("width > 1 and _rows > 2")
