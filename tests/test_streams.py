@@ -92,3 +92,37 @@ def test_the_state_of_clusters_is_bounded(rocks, tmp_path, monkeypatch):
     rows = [(1, k, k, e[k], "x") for k in range(5)] + [(1, 10, 10, e[0], "x"), (1, 11, 11, e[0], "x"), (1, 12, 12, e[0], "x")] + [(1, 20 + k, 20 + k, e[7], "x") for k in range(6)]
     placed, held = run_clusters(rocks, str(tmp_path), [rows])
     assert placed[1, 0] is None and {placed[1, k] for k in (10, 11, 12)} == {10} and all(placed[1, 20 + k] is None for k in range(6)) and held == {(1, 10): (3, 0, [10, 11, 12])}
+
+
+def test_jobs_of_a_project_lie_in_buckets(rocks, tmp_path, monkeypatch):
+    """State is read and written by buckets that grow one by one, over restarts; each job is found again, and the results are those of a plain loop."""
+    calls = []
+    monkeypatch.setattr(queue, "BUCKET", 8)
+
+    class Held(dict):
+        def getValue(self, key):
+            calls.append(key)
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+    work, held = queue.WorkQueue(2, 1, 2), Held()
+    work.jobs, state = held, {}
+    for start in range(0, 500, 100):
+        work.count, work.done, work.buckets, work.running, work.soonest = *state.get("project", (0, 0, 1)), {}, None
+        work.read, work.touched, work.written = {}, set(), set()
+        for job in range(start, start + 100):
+            work._take(queue.ORDER["enqueue"], job * 7 - 300, job)
+        for bucket in work.written:
+            held.updateValue((bucket,), (queue._packed(x for j, r in work.read[bucket].items() for x in (j, *r)),))
+        state["project"] = work.count, work.done, work.buckets
+    assert work.count == 500 and work.buckets == 63 == len(held) and len(calls) < 500
+    work.read = {}
+    assert [work._job(job * 7 - 300) for job in range(500)] == [("queued", job, 0, job) for job in range(500)] and work._job(2) is None
+    assert max(len(work._rows(b)) for b in range(63)) < 60
+    monkeypatch.undo()
+    ends = [(1, j, "complete", 2000 + j) for j in range(0, 900, 3)]
+    got = run_queue(rocks, str(tmp_path), [[(1, j, "enqueue", j + 1) for j in range(900)] + [(1, j, "claim", 1900) for j in range(900)], ends], first=2, lease=5, attempts=2)
+    assert len(got) == 900 and got[1, 0] == ("ready", 1, 2000) and got[1, 1] == ("processing", 1, 1900) and got[1, 897] == ("queued", 0, 898)
